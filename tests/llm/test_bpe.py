@@ -28,6 +28,15 @@ def test_unsplit_text(seed):
     assert bpe.encode_text(PATH, text, leaf_chars=300) == expected(text)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_words_equal_library(seed):
+    rng = random.Random(seed)
+    chars = "abcABC'sSxyz<|>.,!?019-_" + "\xe9\xc9\xdf\xaa\xb2\xbd\xd7\u0130\u01c5\u024f\u03a3\u0301\xad\x7f\x01\x1c"
+    for _ in range(400):
+        text = "".join(rng.choices(chars, k=rng.randint(1, 12)))
+        assert bpe.encode_text(PATH, text) == expected(text)
+
+
 def test_rows(spark):
     long = "word's " * 400 + "x" * 900
     rows = [(1, "Hello, World"), (2, None), (3, ""), (4, long), (4, long), (None, "a"), (None, long), (5, "a\x1cb <|endoftext|>c")]

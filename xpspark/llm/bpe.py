@@ -23,11 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space to the tokenizer's ``\s``; str.split() also splits at the four separators 1C to 1F.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+BLACK = re.compile(f"[^{WHITE.pattern[1:]}")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 LEAF_CHARS = 32_768
 FIRST_WINDOW = 64
@@ -44,19 +46,51 @@ def load(path: str):
     return tokenizer
 
 
+#: The pre-tokenizer's pattern, for words below U+0250, which normalize to their lower case (U+0130 does not).
+TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+PLAIN = re.compile("[!-~\x80-\u012f\u0131-\u024f]*")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level pre-tokenizer's characters: printable bytes stand for themselves, others for 256 and on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordCache(dict):
-    """Ids and decoded form by white-space-free piece; at most ``limit`` pieces are kept."""
+    """Ids by white-space-free piece; at most ``limit`` pieces and as many pre-tokens are kept."""
 
-    def __init__(self, tokenizer, limit: int = 150_000):
+    def __init__(self, tokenizer, limit: int = 250_000):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.parts = tokenizer, limit, {}
+        self.model, self.number = tokenizer.model, list(range(tokenizer.get_vocab_size()))
+        self.letters = byte_alphabet()
 
     def __missing__(self, word: str):
-        ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if word.isalpha() and PLAIN.fullmatch(word):
+            low = word.lower()
+            ids = self.parts.get(low) or self.part(low)
+        elif PLAIN.fullmatch(word) and "<|" not in word:
+            found: list[int] = []
+            for part in TOKEN.findall(word.lower()):
+                ids = self.parts.get(part)
+                found += self.part(part) if ids is None else ids
+            ids = tuple(found)
+        else:
+            ids = tuple(self.number[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) < self.limit and len(word) <= 64:
             self[word] = ids
         return ids
 
+    def part(self, part: str) -> tuple[int, ...]:
+        """Ids of one pre-token, by the model alone."""
+        mapped = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        ids = tuple(self.number[t.id] for t in self.model.tokenize(mapped))
+        if len(self.parts) < self.limit and len(part) <= 64:
+            self.parts[part] = ids
+        return ids
+
 
 @functools.lru_cache(maxsize=4)
 def cache(path: str) -> WordCache:
@@ -86,6 +120,22 @@ def clean_edge(piece: Piece, i: int) -> bool:
     return i == 0 or piece.ends[i - 1] <= piece.starts[i]
 
 
+def encode_leaf(path: str, text: str, at: int) -> Piece:
+    """As encode_piece, from the cache. Tokens of a cached word all get the word's extent: exact for words of one
+    token; the other words' tokens match no token of a window, and the window grows past them."""
+    table, tokenizer = cache(path), load(path)
+    parts: list = []
+    for m in BLACK.finditer(text):
+        if m.end() - m.start() > 64:
+            p = encode_piece(tokenizer, m[0], at + m.start())
+            parts.append((p.ids, p.starts, p.ends))
+        else:
+            ids = table[m[0]]
+            parts.append((ids, [at + m.start()] * len(ids), [at + m.end()] * len(ids)))
+    ids, starts, ends = (np.fromiter(itertools.chain.from_iterable(p[k] for p in parts), t) for k, t in enumerate((np.int32, np.int64, np.int64)))
+    return Piece(at, at + len(text), ids, starts, ends)
+
+
 def concatenate(tokenizer, text, left: Piece, right: Piece) -> Piece:
     """The encoding of two adjacent pieces; ``text(a, b)`` gives characters a to b."""
     cut, width = left.hi, FIRST_WINDOW
@@ -148,11 +198,8 @@ def cuts(text: str, leaf_chars: int) -> list[int]:
     return sorted(found)
 
 
-def tree(tokenizer, leaves: list[str], encoded: list[Piece] | None = None) -> list[int]:
-    """Ids of the concatenated leaves."""
-    at = list(itertools.accumulate(map(len, leaves), initial=0))
-    whole = "".join(leaves)
-    level = encoded or [encode_piece(tokenizer, leaf, lo) for leaf, lo in zip(leaves, at, strict=False)]
+def tree(tokenizer, whole: str, level: list[Piece]) -> list[int]:
+    """Ids of a text from the encodings of its leaves."""
     while len(level) > 1:
         joined = [concatenate(tokenizer, lambda a, b: whole[a:b], x, y) for x, y in zip(level[::2], level[1::2], strict=False)]
         level = joined + level[len(joined) * 2 :]
@@ -163,7 +210,7 @@ def encode_text(path: str, text: str, leaf_chars: int = LEAF_CHARS) -> list[int]
     """Ids of one text, by the same steps in one process."""
     if len(text) > leaf_chars:
         at = [0, *cuts(text, leaf_chars), len(text)]
-        return tree(load(path), [text[a:b] for a, b in itertools.pairwise(at)])
+        return tree(load(path), text, [encode_leaf(path, text[a:b], a) for a, b in itertools.pairwise(at)])
     return list(itertools.chain.from_iterable(map(cache(path).__getitem__, words_of(text))))
 
 
@@ -175,19 +222,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     out = f"key {kind}, ids array<int>, decoded string"
+    plain = load(path).decoder is None
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tokenizer = cache(path), load(path)
+        name = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
         for batch in batches:
-            texts = batch.column("body").to_pylist()
-            flat, ends, decoded = [], [0], []
-            for text in texts:
-                ids = list(itertools.chain.from_iterable(map(table.__getitem__, words_of(text))))
-                flat += ids
-                ends.append(len(flat))
-                decoded.append(tokenizer.decode(ids, skip_special_tokens=False))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, ends, decoded = [], [0], []
+                for text in part.column("body").to_pylist():
+                    ids = list(itertools.chain.from_iterable(map(table.__getitem__, words_of(text))))
+                    flat += ids
+                    ends.append(len(flat))
+                    # the file names no decoder: the library puts a space between tokens
+                    decoded.append(" ".join([name[i] for i in ids]) if plain else tokenizer.decode(ids, skip_special_tokens=False))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), ids, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
 
     def halve(batches):
         for pdf in batches:
@@ -197,16 +248,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pd.DataFrame({"key": [key] * (len(at) - 1), "digest": digest, "leaf": range(len(at) - 1), "lo": at[:-1], "body": [text[a:b] for a, b in itertools.pairwise(at)]}).astype({"key": pdf["key"].dtype})
 
     def leaves(batches):
-        tokenizer = load(path)
         for pdf in batches:
-            p = [encode_piece(tokenizer, text, lo) for text, lo in zip(pdf["body"], pdf["lo"], strict=True)]
+            p = [encode_leaf(path, text, lo) for text, lo in zip(pdf["body"], pdf["lo"], strict=True)]
             yield pdf.assign(ids=[x.ids for x in p], starts=[x.starts for x in p], ends=[x.ends for x in p])
 
     def join_up(pdf):
         copies = int((pdf["leaf"] == 0).sum())
         pdf = pdf.drop_duplicates("leaf").sort_values("leaf")
         parts = [Piece(lo, lo + len(t), np.asarray(i, np.int32), np.asarray(s), np.asarray(e)) for lo, t, i, s, e in zip(pdf["lo"], pdf["body"], pdf["ids"], pdf["starts"], pdf["ends"], strict=True)]
-        ids = tree(load(path), list(pdf["body"]), parts)
+        ids = tree(load(path), "".join(pdf["body"]), parts)
         decoded = load(path).decode(ids, skip_special_tokens=False)
         return pd.DataFrame({"key": [pdf["key"].iloc[0]] * copies, "ids": [ids] * copies, "decoded": [decoded] * copies}).astype({"key": pdf["key"].dtype})
 
