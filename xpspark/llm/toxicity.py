@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SAMPLE_ROWS = 12_000
 STEM_MIN, STEM_MAX = 3, 12
 #: Most stems that the driver gets to choose from.
@@ -161,17 +163,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(b[0]), float(max(b[1], 0.1)), float(min(b[2], 0.0))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn stems and calibration from at most ``sample_rows`` distinct texts, chosen by their hash."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    rows = rows.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("body"), (F.col(label_col) == 1).alias("y"))
-    # the hashes decide, so that texts cross the network only for the rows chosen
-    drawn = rows.groupBy("h").agg(F.max("y").alias("y")).orderBy("h").limit(sample_rows)
-    least = drawn.agg(F.max("h")).first()[0]
-    if least is None:
-        return Model(tuple(known().items()))
-    sample = rows.where(F.col("h") <= least).dropDuplicates(["h"]).select("h", "body", "y")
+def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``body, y`` of at most ``sample_rows`` labelled rows, chosen by the hash of their id; equal texts come once."""
+    ids = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col) == 1).alias("y"))
+    ids = ids.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
+    # the broadcast side has sample_rows rows at most
+    found = texts.join(F.broadcast(ids), "key").withColumn("h", F.xxhash64("body")).dropDuplicates(["h"]).limit(sample_rows)
+    return materialize(found.select("body", "y"), "toxicity")
+
 
+def train(sample: DataFrame) -> Model:
+    """Learn stems and linear form from ``body, y`` rows, which must be bounded in number: see ``draw``."""
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for y, text in zip(pdf["y"], pdf["body"], strict=True):
