@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, minhash, toxicity, warc
+from . import bpe, chat, common, line_dedup, minhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,9 +92,34 @@ def bpe_digest(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, details=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP10 = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), h AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS v FROM l
+), f AS (
+  SELECT *, CAST((v * 5 + coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS INT) AS cut FROM h
+), g AS (
+  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM f
+), c AS (
+  SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, place
+), r AS (
+  SELECT *, n > 1 AND regexp_matches(body, '\\S') AND row_number() OVER (PARTITION BY body ORDER BY doc_id, place) > 1 AS gone FROM c
+)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
+  coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2, "op9_warc": OP9}
+    return {"op2_chat": OP2, "op9_warc": OP9, "op10_lines": OP10}
