@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, embedding_dedup, line_dedup, minhash, substring_dedup, toxicity, warc
+from . import bpe, chat, common, decontaminate, embedding_dedup, line_dedup, minhash, pii, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(pii.find(table(spark, sf_dir, "documents")))
+    return found.withColumn("base_sha256", F.sha2("base_text", 256)).drop("base_text")
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 3 == 1
 
