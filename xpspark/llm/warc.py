@@ -38,10 +38,11 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*digits)
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", parts: int | None = None) -> DataFrame:
     """``page_id, url, payload, payload_digest, payload_bytes, refers_to``; refers_to is null for responses.
 
     Only headers are shuffled by digest. Pages meet their revisit notes by id, and only duplicates have notes.
+    ``parts`` fixes into how many partitions that one shuffle of payloads deals them.
     """
     records = pages.select(
         F.col(id_col).alias("page_id"),
@@ -53,6 +54,8 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     first = heads.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
     notes = heads.join(first.drop("n"), ["payload_digest", "payload_bytes"]).where("page_id <> first")
     notes = notes.select(F.col("page_id").alias("note_id"), F.col("payload_digest").alias("note_digest"), F.col("first").alias("refers_to")).distinct()
+    if parts is not None:
+        records = records.repartition(parts, "page_id", "payload_digest")
     return records.join(notes, (F.col("page_id") == F.col("note_id")) & (F.col("payload_digest") == F.col("note_digest")), "left").drop("note_id", "note_digest")
 
 
@@ -82,10 +85,9 @@ def record_text(date: str) -> Column:
     )
 
 
-def write(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", archives: int | None = None) -> str:
-    """Write ``resolved`` as archives under ``path``; ``archives`` fixes their number."""
-    rows = resolved if archives is None else resolved.repartition(archives)
-    rows.select(record_text(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+def write(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> str:
+    """Write ``resolved`` as archives under ``path``, one for each partition."""
+    resolved.select(record_text(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
 
@@ -131,7 +133,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Resolve, write under ``path`` and read back."""
     total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    write(resolve(pages, id_col, url_col, payload_col), path, archives=1 + total // ARCHIVE_BYTES)
+    write(resolve(pages, id_col, url_col, payload_col, parts=1 + total // ARCHIVE_BYTES), path)
     found = read(pages.sparkSession, path)
     kind = pages.schema[id_col].dataType
     return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
