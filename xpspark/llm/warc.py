@@ -29,9 +29,9 @@ END = "\r\n\r\n"
 ARCHIVE_BYTES = 32 << 20
 
 
-def base32_sha1(payload: Column) -> Column:
-    """SHA-1 in upper-case base32: 8 groups of 20 bits, each 4 digits of 5."""
-    digest, digits = F.sha1(payload), []
+def base32(digest: Column) -> Column:
+    """A hexadecimal SHA-1 in upper-case base32: 8 groups of 20 bits, each 4 digits of 5."""
+    digits = []
     for group in range(8):
         bits = F.conv(F.substring(digest, group * 5 + 1, 5), 16, 10).cast("int")
         digits += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
@@ -49,14 +49,15 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
     )
-    records = records.withColumns({"payload_digest": base32_sha1(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
-    heads = records.select("page_id", "payload_digest", "payload_bytes")
-    first = heads.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    notes = heads.join(first.drop("n"), ["payload_digest", "payload_bytes"]).where("page_id <> first")
-    notes = notes.select(F.col("page_id").alias("note_id"), F.col("payload_digest").alias("note_digest"), F.col("first").alias("refers_to")).distinct()
+    records = records.withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    heads = records.select("page_id", "sha1", "payload_bytes")
+    first = heads.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    notes = heads.join(first.drop("n"), ["sha1", "payload_bytes"]).where("page_id <> first")
+    notes = notes.select(F.col("page_id").alias("note_id"), F.col("sha1").alias("note_sha1"), F.col("first").alias("refers_to")).distinct()
     if parts is not None:
-        records = records.repartition(parts, "page_id", "payload_digest")
-    return records.join(notes, (F.col("page_id") == F.col("note_id")) & (F.col("payload_digest") == F.col("note_digest")), "left").drop("note_id", "note_digest")
+        records = records.repartition(parts, "page_id", "sha1")
+    found = records.join(notes, (F.col("page_id") == F.col("note_id")) & (F.col("sha1") == F.col("note_sha1")), "left")
+    return found.withColumn("payload_digest", base32(F.col("sha1"))).drop("note_id", "note_sha1", "sha1")
 
 
 def record_text(date: str) -> Column:
@@ -133,7 +134,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Resolve, write under ``path`` and read back."""
     total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    write(resolve(pages, id_col, url_col, payload_col, parts=1 + total // ARCHIVE_BYTES), path)
+    # with fewer partitions than the session's the join would deal the payloads again
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write(resolve(pages, id_col, url_col, payload_col, parts=max(least, 1 + total // ARCHIVE_BYTES)), path)
     found = read(pages.sparkSession, path)
     kind = pages.schema[id_col].dataType
     return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
