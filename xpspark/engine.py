@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .errors import StaticError
 from .functions import core
 from .functions.core import Val
+from .operators import nodes as node_lane
 from .operators.value import Compiler, Options
 from .plans.parser import parse
 
@@ -64,3 +65,22 @@ class Engine:
         out = Engine(self.spark, self.options.version)
         out.options, out.functions = replace(self.options, **options), dict(self.functions)
         return out
+
+    # -- nodes
+
+    def compiler(self, variables: dict | None = None) -> Compiler:
+        bound = {k: v if isinstance(v, Val) else self.constant(v) for k, v in (variables or {}).items()}
+        return Compiler(bound, functions=self.functions, options=self.options)
+
+    def nodes(self, nodes: DataFrame, query: str, variables: dict | None = None, namespaces: dict | None = None, order_mode: str = "reference") -> DataFrame:
+        """The nodes that a path or set expression selects in each document."""
+        return node_lane.select(nodes, parse(query, self.options.version), self.compiler(variables), namespaces, order_mode)
+
+    def table(self, nodes: DataFrame, each: str, queries: dict[str, str], variables: dict | None = None, namespaces: dict | None = None, order_mode: str = "reference") -> DataFrame:
+        """A row for each node of ``each``, a column for each query with that node as context."""
+        parsed = {k: parse(q, self.options.version) for k, q in queries.items()}
+        return node_lane.values(nodes, parse(each, self.options.version), parsed, self.compiler(variables), namespaces, order_mode)
+
+    def flwor(self, nodes: DataFrame, query: str, variables: dict | None = None) -> DataFrame:
+        """``for $x in path return value``; over ``distinct-values`` it groups."""
+        return node_lane.flwor(nodes, parse(query, self.options.version), self.compiler(variables))
