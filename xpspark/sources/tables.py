@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shred import Level, relational
@@ -31,9 +31,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per order: order / lineitem; documents spread evenly at any scale."""
     c = F.col
     o = table(spark, sf_dir, "orders")
-    l = table(spark, sf_dir, "lineitem").withColumn("o_orderkey", c("l_orderkey"))
+    # line numbers repeat within an order: a rank within the order, a small group, is the key
+    rank = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    l = table(spark, sf_dir, "lineitem").withColumns({"o_orderkey": c("l_orderkey"), "rank": F.row_number().over(rank)})
     levels = [
         Level("order", o, c("o_orderkey"), 0, {"key": c("o_orderkey"), "totalprice": c("o_totalprice")}),
-        Level("lineitem", l, c("l_linenumber"), 10, {"linenumber": c("l_linenumber"), "quantity": c("l_quantity"), "extendedprice": c("l_extendedprice"), "returnflag": c("l_returnflag")}),
+        Level("lineitem", l, c("rank"), 16, {"linenumber": c("l_linenumber"), "quantity": c("l_quantity"), "extendedprice": c("l_extendedprice"), "returnflag": c("l_returnflag")}),
     ]
-    return relational(levels, "o_orderkey", [[], [c("l_linenumber")]])
+    return relational(levels, "o_orderkey", [[], [c("rank")]])
