@@ -11,6 +11,7 @@ of the reference (siblings before a node are counted from the first one), with `
 
 from __future__ import annotations
 
+import functools
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,7 @@ class Paths:
         if axis in ("child", "attribute"):
             out = c.join(d, same & (parent == c_pre))
         elif axis == "parent":
+            d = d.where(F.col("kind").isin(ELEMENT, DOCUMENT))
             out = c.join(d, same & (pre == c_parent))
         elif axis == "namespace":
             declared = self.nodes.where((F.col("kind") == NAMESPACE) & fits)
@@ -128,6 +130,8 @@ class Paths:
             out = out.withColumn("__near", F.row_number().over(nearest)).where("__near = 1").drop("__near")
         elif axis in ("ancestor", "ancestor-or-self"):
             up = F.col("c_anc") if axis == "ancestor" else F.concat("c_anc", F.array("c_pre"))
+            # only elements and documents have others below them
+            d = d if axis == "ancestor-or-self" else d.where(F.col("kind").isin(ELEMENT, DOCUMENT))
             out = c.withColumn("a", F.explode(up)).join(d, same & (pre == F.col("a"))).drop("a")
         elif axis == "descendant":
             out = c.join(d, same & (pre > c_pre) & (pre <= c_fin))
@@ -177,7 +181,7 @@ class Paths:
         c = replace(self.compiler, paths=s, focus=s.focus(), position=F.col("__pos") if extra else None, last=F.col("__last") if extra else None)
         v = c.compile(p)
         keep = F.coalesce(v.col == F.col("__pos"), F.lit(False)) if v.kind == "num" and extra and not v.many else core.ebv(v)
-        return s.rows.where(keep).select(*found.columns)
+        return s.result().where(keep).select(*found.columns)
 
     def semi(self, found: DataFrame, p: A.Node, key: list) -> DataFrame | None:
         """Existence of a path, or of a node in it that compares with a constant, as a semi or anti join."""
@@ -189,6 +193,9 @@ class Paths:
         if inner is None:
             return None
         hit = inner.select(F.col("it").alias("__hit"))
+        if how == "left_semi":
+            # an inner join with distinct hits: a semi join would be pushed into every branch of a union, with its whole right side
+            return found.join(hit.distinct(), F.struct(*key) == F.col("__hit")).drop("__hit")
         return found.join(hit, F.struct(*key) == F.col("__hit"), how)
 
     def existence(self, found: DataFrame, p: A.Node, key: list) -> DataFrame | None:
@@ -208,7 +215,7 @@ class Paths:
                 values = self.path(left, self.inner(found, key)).select("it", "str_val")
                 if absolute(right):
                     others = self.path(right, self.top()).select(F.col("str_val").alias("__o")).distinct()
-                    return values.join(others, F.col("str_val") == F.col("__o"), "left_semi")
+                    return values.join(others, F.col("str_val") == F.col("__o"))
                 others = self.path(right, self.inner(found, key)).select(F.col("it").alias("__i"), F.col("str_val").alias("__o"))
                 return values.join(others, (F.col("it") == F.col("__i")) & (F.col("str_val") == F.col("__o")), "left_semi")
             if uses_focus_path(right):
@@ -284,18 +291,26 @@ class Scope:
 
     def __init__(self, paths: Paths, rows: DataFrame, key: list):
         self.paths, self.rows, self.key, self.n = paths, rows, key, 0
+        self.joins: dict[str, tuple[DataFrame, list[Column]]] = {}
 
     def focus(self) -> Val:
         return Val(F.col("str_val"), STR)
 
-    def join(self, values: DataFrame, column: Column, default: Column | None = None) -> Column:
-        """A column of one aggregated value for each focus node."""
+    def join(self, values: DataFrame, column: Column, default: Column | None = None, key: object = None) -> Column:
+        """A column of one aggregated value for each focus node; aggregates over one path share a group-by and a join."""
         self.n += 1
-        name, hit = f"__v{self.n}", f"__i{self.n}"
-        values = values.groupBy(F.col("it").alias(hit)).agg(column.alias(name))
-        self.rows = self.rows.join(values, F.struct(*self.key) == F.col(hit), "left").drop(hit)
+        name = f"__v{self.n}"
+        self.joins.setdefault(repr(key) if key is not None else name, (values, []))[1].append(column.alias(name))
         return F.col(name) if default is None else F.coalesce(F.col(name), default)
 
+    def result(self) -> DataFrame:
+        """The rows with all columns that were asked for."""
+        rows = self.rows
+        for k, (values, columns) in enumerate(self.joins.values()):
+            found = values.groupBy(F.col("it").alias(f"__i{k}")).agg(*columns)
+            rows = rows.join(found, F.struct(*self.key) == F.col(f"__i{k}"), "left").drop(f"__i{k}")
+        return rows
+
     def inner(self) -> DataFrame:
         return self.paths.inner(self.rows, self.key)
 
@@ -321,7 +336,7 @@ class Scope:
         if rows is None:
             return replace(c, paths=None).on_path(n)
         pairs = F.sort_array(F.collect_list(F.struct("pre", "str_val")))
-        return Val(self.join(rows, F.transform(pairs, lambda p: p["str_val"]), F.array().cast("array<string>")), STR.seq)
+        return Val(self.join(rows, F.transform(pairs, lambda p: p["str_val"]), F.array().cast("array<string>"), key=n), STR.seq)
 
     def set_value(self, c: Compiler, n: A.Bin) -> Val:
         if n.op in ("is", "<<", ">>"):
@@ -358,33 +373,34 @@ class Scope:
         rows = self.nodes(n.args[0]) if len(n.args) >= 1 else None
         if rows is None:
             return None
+        join = functools.partial(self.join, rows, key=n.args[0])
         number = core.parse_number(F.col("str_val"))
         zero = F.lit(0.0)
         if name == "count":
-            return num(self.join(rows, F.count("*").cast("double"), zero))
+            return num(join(F.count("*").cast("double"), zero))
         if name in ("exists", "boolean"):
-            return boolean(self.join(rows, F.lit(True) | F.bool_or(F.lit(True)), F.lit(False)))
+            return boolean(join(F.lit(True) | F.bool_or(F.lit(True)), F.lit(False)))
         if name in ("empty", "not"):
-            return boolean(~self.join(rows, F.bool_or(F.lit(True)), F.lit(False)))
+            return boolean(~join(F.bool_or(F.lit(True)), F.lit(False)))
         if name == "sum":
-            return num(self.join(rows, F.sum(F.nanvl(number, zero)), zero))
+            return num(join(F.sum(F.nanvl(number, zero)), zero))
         if name == "avg":
-            return num(self.join(rows, F.sum(F.nanvl(number, zero)) / F.count("*")))
+            return num(join(F.sum(F.nanvl(number, zero)) / F.count("*")))
         if name in ("min", "max"):
             pick = F.min(number) if name == "min" else F.max(number)
-            return num(self.join(rows, F.when(F.bool_or(F.isnan(number)), core.nan()).otherwise(pick)))
+            return num(join(F.when(F.bool_or(F.isnan(number)), core.nan()).otherwise(pick)))
         if name in ("string", "data") and len(n.args) == 1:
-            return string(self.join(rows, F.min_by("str_val", "pre"), F.lit("")))
+            return string(join(F.min_by("str_val", "pre"), F.lit("")))
         if name == "number":
-            return num(self.join(rows, F.min_by(number, "pre"), core.nan()))
+            return num(join(F.min_by(number, "pre"), core.nan()))
         if name in node_columns:
-            return string(self.join(rows, F.min_by(F.coalesce(node_columns[name], F.lit("")), "pre"), F.lit("")))
+            return string(join(F.min_by(F.coalesce(node_columns[name], F.lit("")), "pre"), F.lit("")))
         if name == "string-join":
             sep = c.compile(n.args[1]).literal if len(n.args) > 1 else ""
             pairs = F.sort_array(F.collect_list(F.struct("pre", "str_val")))
-            return string(self.join(rows, F.array_join(F.transform(pairs, lambda p: p["str_val"]), sep or ""), F.lit("")))
+            return string(join(F.array_join(F.transform(pairs, lambda p: p["str_val"]), sep or ""), F.lit("")))
         if name == "distinct-values":
-            return Val(self.join(rows, F.array_sort(F.collect_set("str_val")), F.array().cast("array<string>")), STR.seq)
+            return Val(join(F.array_sort(F.collect_set("str_val")), F.array().cast("array<string>")), STR.seq)
         return None
 
     def node_path(self) -> Val:
@@ -425,7 +441,7 @@ def values(nodes: DataFrame, each: A.Node, queries: dict[str, A.Node], compiler:
     rows = p.relation(rewrite(each), p.top())
     s = Scope(p, rows, ["it", "doc_id", "pre"])
     out = {name: replace(compiler, paths=s, focus=s.focus()).compile(rewrite(q)).col for name, q in queries.items()}
-    return s.rows.select("doc_id", "pre", *(c.alias(k) for k, c in out.items()))
+    return s.result().select("doc_id", "pre", *(c.alias(k) for k, c in out.items()))
 
 
 def flwor(nodes: DataFrame, query: A.For, compiler: Compiler, **options) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,16 +273,24 @@ def shred(df: DataFrame, form: str, id_col: str, text_col: str, uri_col: str | N
     parse = PARSERS[form]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), (F.col(uri_col) if uri_col else F.lit(None)).cast("string").alias("uri"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, body, uri in zip(pdf["doc_id"], pdf["body"], pdf["uri"], strict=True):
-                found = parse(body, uri)
-                for k in range(0, len(found or ()), 20_000):
-                    part = pd.DataFrame(found[k : k + 20_000], columns=COLUMNS[1:])
-                    part["parent"] = part["parent"].astype("Int64")
-                    part.insert(0, "doc_id", doc)
-                    yield part
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[list] = []
+            for doc, body, uri in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "uri")), strict=True):
+                held += ([doc, *r] for r in parse(body, uri) or ())
+                while len(held) >= 20_000:
+                    yield pack(held[:20_000])
+                    held = held[20_000:]
+            if held:
+                yield pack(held)
 
-    return rows.where("doc_id IS NOT NULL AND body IS NOT NULL").mapInPandas(run, SCHEMA)
+    # parsing costs far more than dealing the texts evenly
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.where("doc_id IS NOT NULL AND body IS NOT NULL").repartition(n, "doc_id").mapInArrow(run, SCHEMA)
 
 
+ARROW = pa.schema([("doc_id", pa.int64()), ("pre", pa.int64()), ("fin", pa.int64()), ("level", pa.int32()), ("parent", pa.int64()), ("kind", pa.int8()), ("name", pa.string()), ("local", pa.string()), ("ns_uri", pa.string()), ("value", pa.string()), ("str_val", pa.string()), ("ord", pa.int64()), ("anc", pa.list_(pa.int64()))])
+
+
+def pack(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
