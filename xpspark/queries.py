@@ -13,8 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema
 from .engine import Engine
-from .sources import shred, tables
+from .functions import indexed
+from .sources import serialize, shred, tables
+from .streaming import runtime
 
 #: name: (table, kept columns, [(column, query, SQL)])
 VALUE: dict[str, tuple[str, list[str], list[tuple[str, str, str]]]] = {
@@ -169,15 +172,94 @@ def flwor_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("pre")
 
 
+def accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running sum of quantities over each order's document."""
+    nodes = tables.orders(spark, sf_dir).where((F.col("kind") == 2) & F.col("name").isin("quantity", "linenumber"))
+    rule = runtime.Accumulator("q", F.col("name") == "quantity", F.col("str_val").cast("double"))
+    rows = runtime.accumulate(nodes, [rule]).where("name = 'quantity'")
+    return rows.select("doc_id", F.col("q_before").alias("before"), F.col("q_after").alias("after"))
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream; the pattern lets a single file stand for a folder."""
+    return spark.readStream.schema(tables.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.[p]arquet")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by hour and type of the events as a stream."""
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return runtime.tumbling_counts(spark, events, "ts", "event_type", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The character sets that pages name, from pages as a stream."""
+    pages = stream_of(spark, sf_dir, "pages")
+    found = runtime.select_stream(spark, pages, "html", "page_id", "html", "/html/head/meta[@charset]/@charset")
+    return found.select("doc_id", F.col("str_val").alias("value"))
+
+
+def serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's document as XML, without its customers."""
+    nodes = tables.geography(spark, sf_dir).where("level <= 1 OR (level = 2 AND kind = 2)")
+    return serialize.serialize(nodes).select("doc_id", "text")
+
+
+def nodes_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tables.geography(spark, sf_dir).where("level <= 1 OR (level = 2 AND kind = 2)")
+    return serialize.xml_to_json(nodes)
+
+
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """json-to-xml of event properties, then a path."""
+    nodes = shred.shred(tables.table(spark, sf_dir, "events"), "json", "event_id", "props")
+    return Engine(spark).nodes(nodes, "/root/k").select("doc_id", F.col("str_val").alias("value"))
+
+
+def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose balance is out of bounds."""
+    bounds = schema.SimpleType("double", {"minInclusive": 0.0, "maxInclusive": 9000.0})
+    declared = schema.Schema(attributes={"acctbal": schema.Declaration("acctbal", bounds)})
+    rows = schema.validate(tables.geography(spark, sf_dir), declared).where("name = 'acctbal'")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((~F.col("is_valid")).cast("long")).alias("invalid"))
+
+
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite-key and range lookups."""
+    t = functools.partial(tables.table, spark, sf_dir)
+    keys = t("orders").where("o_totalprice > 200000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return indexed.by_range(indexed.by_key(t("lineitem"), keys, "l_orderkey"), "l_quantity", 10, 20).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties to YAML and back."""
+    events = tables.table(spark, sf_dir, "events")
+    back = serialize.yaml_to_json(serialize.json_to_yaml(F.col("props")))
+    return events.select("event_id", F.get_json_object(back, "$.k").cast("long").alias("k"))
+
+
+#: name: (query, SQL)
+OTHER: dict[str, tuple[Callable, str]] = {
+    "accumulators": (accumulators, "SELECT l_orderkey AS doc_id, CAST(coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before, CAST(sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS after FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)"),
+    "stream_windows": (stream_windows, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "stream_documents": (stream_documents, "SELECT page_id AS doc_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS value FROM pages WHERE contains(html, '<meta charset=')"),
+    "serialized": (serialized, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<nation key=\"' || n_nationkey || '\" name=\"' || n_name || '\"/>' AS text FROM nation"),
+    "nodes_to_json": (nodes_to_json, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '{\"@key\": ' || n_nationkey || ', \"@name\": \"' || n_name || '\"}' AS json FROM nation"),
+    "json_documents": (json_documents, "SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events"),
+    "schema_validation": (schema_validation, "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n, count(*) FILTER (c_acctbal < 0 OR c_acctbal > 9000) AS invalid FROM customer GROUP BY 1"),
+    "lookups": (lookups, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) AND l_quantity BETWEEN 10 AND 20"),
+    "yaml_round_trip": (yaml_round_trip, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable] = {}
     for kind, run in ((PATHS, path_query), (VALUE, value_query), (TABLES, table_query), (FLWOR, flwor_query)):
         found |= {name: functools.partial(run, name) for name in kind}
-    return found
+    return found | {name: run for name, (run, _) in OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: sql for name, (_, _, sql) in PATHS.items()} | {name: sql for name, (_, _, _, sql) in TABLES.items()} | {name: sql for name, (_, _, sql) in FLWOR.items()}
+    found = {name: sql for name, (_, _, sql) in PATHS.items()} | {name: sql for name, (_, _, _, sql) in TABLES.items()} | {name: sql for name, (_, _, sql) in FLWOR.items()} | {name: sql for name, (_, sql) in OTHER.items()}
     for name, (source, keep, columns) in VALUE.items():
         # a number like 2.0 is a DECIMAL in the SQL dialect: it is spelled as a DOUBLE
         typed = [(c, re.sub(r"(?<![\w.'])(-?\d+\.\d+)(?![\w.'])", r"\1e0", sql)) for c, _, sql in columns]
