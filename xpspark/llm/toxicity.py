@@ -40,6 +40,9 @@ STEM_MIN, STEM_MAX = 3, 12
 CANDIDATES = 20_000
 #: Least ratio of the rates in toxic and clean texts of a stem.
 RATIO = 8.0
+#: What holds the linear form's numbers near their defaults, per row: on separable rows one strong insult stays above the
+#: threshold, and length counts only where clean texts match by chance.
+RIDGE = np.array([0.01, 0.01, 1.0])
 #: Most occurrences of a stem in one text that count for its choice.
 PER_TEXT = 6
 WORD = re.compile(r"[^\W\d_]+")
@@ -147,13 +150,13 @@ def choose(rows: list[tuple[list[int], list[int], bool]], stems: list[str], weig
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """The linear form by Newton's method, with a small ridge towards the default."""
-    prior = np.array(Model.form)
+    prior, ridge = np.array(Model.form), RIDGE * len(x)
     b, z = prior.copy(), np.column_stack([np.ones(len(x)), x])
-    loss = lambda b: np.logaddexp(0, (1 - 2 * y) * (z @ b)).sum() + 0.25 * ((b - prior) ** 2).sum()
+    loss = lambda b: np.logaddexp(0, (1 - 2 * y) * (z @ b)).sum() + 0.5 * (ridge * (b - prior) ** 2).sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        grad = z.T @ (p - y) + 0.5 * (b - prior)
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 0.5 * np.eye(3), grad)
+        grad = z.T @ (p - y) + ridge * (b - prior)
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(ridge), grad)
         size = 1.0
         while size > 1e-4 and loss(b - size * step) > loss(b):
             size /= 2
