@@ -61,7 +61,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordCache(dict):
     """Ids by white-space-free piece; at most ``limit`` pieces and as many pre-tokens are kept."""
 
-    def __init__(self, tokenizer, limit: int = 250_000):
+    def __init__(self, tokenizer, limit: int = 400_000):
         super().__init__()
         self.tokenizer, self.limit, self.parts = tokenizer, limit, {}
         self.model, self.number = tokenizer.model, list(range(tokenizer.get_vocab_size()))
