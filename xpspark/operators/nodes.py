@@ -338,6 +338,15 @@ class Scope:
         pairs = F.sort_array(F.collect_list(F.struct("pre", "str_val")))
         return Val(self.join(rows, F.transform(pairs, lambda p: p["str_val"]), F.array().cast("array<string>"), key=n), STR.seq)
 
+    def is_kind(self, n: A.TypeOp) -> Val | None:
+        """``. instance of element(name)`` and the like; None for types of values."""
+        kinds = {"node": None, "element": (1,), "attribute": (2,), "text": (3, 4), "comment": (8,), "processing-instruction": (7,), "document-node": (9,), "schema-element": (1,), "schema-attribute": (2,)}
+        if n.op != "instance of" or n.type.item not in kinds or not isinstance(n.operand, A.Context):
+            return None
+        of = kinds[n.type.item]
+        out = F.lit(True) if of is None else F.col("kind").isin(*of)
+        return boolean(out & (F.col("local") == n.type.name.rpartition(":")[2]) if n.type.name not in (None, "*") else out)
+
     def set_value(self, c: Compiler, n: A.Bin) -> Val:
         if n.op in ("is", "<<", ">>"):
             a, b = (self.join(self.nodes(x), F.min(F.struct("doc_id", "pre"))) for x in (n.left, n.right))
@@ -370,6 +379,13 @@ class Scope:
             prefix = n.args[0].value
             rows = self.nodes(A.Path(A.Context(), [A.Step("namespace", A.Test("name", prefix))]))
             return string(self.join(rows, F.max_by("value", "level")))
+        if name == "resolve-QName" and len(n.args) == 2 and isinstance(n.args[0], A.Str):
+            prefix, _, _ = n.args[0].value.rpartition(":")
+            rows = self.nodes(A.Path(A.Context(), [A.Step("namespace", A.Test("name", prefix))]))
+            uri = self.join(rows, F.max_by("value", "level"))
+            known = F.when(uri.isNotNull(), uri) if prefix else F.coalesce(uri, F.lit(""))
+            missing = F.raise_error(F.lit(f"FONS0004: no namespace for prefix {prefix}")).cast("string")
+            return Val(F.concat(F.lit("{"), F.coalesce(known, missing), F.lit("}"), F.lit(n.args[0].value)), core.Ty("qname"))
         rows = self.nodes(n.args[0]) if len(n.args) >= 1 else None
         if rows is None:
             return None

@@ -379,6 +379,8 @@ class Compiler:
     # -- types
 
     def on_typeop(self, n):
+        if self.paths is not None and (out := self.paths.is_kind(n)) is not None:
+            return out
         v = self.compile(n.operand)
         if n.op == "instance of":
             return boolean(casts.instance(v, n.type))
