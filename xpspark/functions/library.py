@@ -6,6 +6,7 @@ options, and the argument values.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -16,6 +17,7 @@ from urllib.parse import quote, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DynamicError, StaticError, TypeMismatch, fail
 from . import core
@@ -1150,3 +1152,71 @@ def _serialize_csv(c, a):
     return string(row(v.col, v.ty.of))
 
 
+
+
+# -- trees as text: these need a parser, so they run as Arrow functions
+
+
+def as_text(build: Callable[[str], str | None], text: Column) -> Val:
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else build(x) for x in s], dtype=object)
+
+    return string(run(text))
+
+
+def xml_of_json(text: str) -> str | None:
+    """The XML that ``json-to-xml`` gives: elements named after keys, members named item."""
+    from xml.sax.saxutils import escape
+
+    from ..sources.shred import json_name
+
+    def element(name: str, v) -> str:
+        if isinstance(v, dict):
+            inner = "".join(element(json_name(k), x) for k, x in v.items())
+        elif isinstance(v, list):
+            inner = "".join(element("item", x) for x in v)
+        else:
+            inner = "" if v is None else escape(v if isinstance(v, str) else json.dumps(v))
+        return f"<{name}>{inner}</{name}>" if inner else f"<{name}/>"
+
+    try:
+        return element("root", json.loads(text))
+    except (ValueError, RecursionError):
+        return None
+
+
+def json_of_xml(text: str) -> str | None:
+    from ..sources import serialize, shred
+
+    rows = shred.xml_nodes(text)
+    return None if rows is None else json.dumps(serialize.json_of([(r[0], r[3], r[4], r[5], r[8]) for r in rows]), ensure_ascii=False)
+
+
+@fn("json-to-xml", least=1, most=2)
+def _json_to_xml(c, a):
+    return as_text(xml_of_json, to_str(a[0]))
+
+
+@fn("xml-to-json", least=1, most=2)
+def _xml_to_json(c, a):
+    return as_text(json_of_xml, to_str(a[0]))
+
+
+@fn("parse-yaml", least=1, most=2)
+def _parse_yaml(c, a):
+    from ..sources import serialize
+
+    return Val(F.parse_json(serialize.yaml_to_json(to_str(a[0]))), JSON)
+
+
+@fn("serialize-yaml", least=1, most=2)
+def _serialize_yaml(c, a):
+    from ..sources import serialize
+
+    return string(serialize.json_to_yaml(_serialize(c, a[:1]).col))
+
+
+@fn("serialize-json", "serialize-text", "serialize-xml", "serialize-html", least=1, most=2)
+def _serialize_value(c, a):
+    return _serialize(c, a[:1]) if a[0].many or a[0].kind in ("arr", "map", "rec", "json") else string(str0(a[0]))
