@@ -19,7 +19,50 @@ def tokenizer_path() -> str:
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.report(table(spark, sf_dir, "documents"))
+    found = substring_dedup.report(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(spans, ","))
+
+
+OP1 = r"""
+WITH u AS (
+  SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS i FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]\s+|[。！？]\s*|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents)
+), w AS (
+  SELECT doc_id, i, unit, regexp_extract_all(unit, '^\s*\S+\s*|\S+\s*') AS ws FROM u
+), long AS (
+  SELECT doc_id, i, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM w WHERE len(ws) > 30
+), cuts AS (
+  SELECT *, CAST(k < n AND CAST('0x' || substr(md5(regexp_replace(word, '\s+', '', 'g')), 1, 7) AS BIGINT) % 8 = 0 AS INT) AS cut FROM long
+), grouped AS (
+  SELECT doc_id, i, k, word, coalesce(sum(cut) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM cuts
+), p AS (
+  SELECT doc_id, i, 0 AS g, unit AS piece FROM w WHERE len(ws) <= 30
+  UNION ALL SELECT doc_id, i, g, string_agg(word, '' ORDER BY k) FROM grouped GROUP BY doc_id, i, g
+), s AS (
+  SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, g) - 1 AS place, list_filter(string_split_regex(piece, '\s+'), lambda x: x <> '') AS words FROM p
+), t AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place) AS stop, lead(words) OVER (PARTITION BY doc_id ORDER BY place) AS more FROM s
+), r AS (
+  SELECT doc_id, place, array_to_string(list_concat(words, more), ' ') AS run FROM t WHERE more IS NOT NULL AND len(words) + len(more) >= 12
+), f AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, place) AS first_doc, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM r
+), gone AS (
+  SELECT DISTINCT doc_id, place + d AS place FROM f, (VALUES (0), (1)) AS v(d) WHERE n > 1
+), m AS (
+  SELECT t.*, gone.place IS NOT NULL AS gone FROM t LEFT JOIN gone USING (doc_id, place)
+), islands AS (
+  SELECT doc_id, min(stop - length(piece)) AS a, max(stop) AS b
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM m WHERE gone) GROUP BY doc_id, island
+), spans AS (
+  SELECT doc_id, string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a) AS spans FROM islands GROUP BY doc_id
+), firsts AS (
+  SELECT doc_id, list_sort(list(DISTINCT first_doc)) AS first_ids FROM f WHERE n > 1 GROUP BY doc_id
+)
+SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, any_value(spans) AS spans, any_value(first_ids) AS first_ids,
+  coalesce(string_agg(piece, '' ORDER BY place) FILTER (NOT gone), '') AS text
+FROM m JOIN spans USING (doc_id) JOIN firsts USING (doc_id) GROUP BY doc_id
+"""
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +209,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2, "op4_decontaminate": OP4, "op9_warc": OP9, "op10_lines": OP10}
+    return {"op1_substrings": OP1, "op2_chat": OP2, "op4_decontaminate": OP4, "op9_warc": OP9, "op10_lines": OP10}

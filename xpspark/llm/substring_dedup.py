@@ -13,8 +13,8 @@ extra columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +40,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return found + pieces(text, at, len(text)) if at < len(text) else found
 
 
+def word_hash(word: str) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
+
+
 def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
     if end - start <= 2 * LONG_WORDS:
         return [(start, end)]
     words = list(WORD.finditer(text, start, end))
     if len(words) <= LONG_WORDS:
         return [(start, end)]
-    cuts = [w.end() for w in words[:-1] if zlib.crc32(w[0].strip().encode("utf-8", "surrogatepass")) % CUT == 0]
+    cuts = [w.end() for w in words[:-1] if word_hash(w[0].strip()) % CUT == 0]
     return list(zip([start, *cuts], [*cuts, end], strict=True))
 
 
