@@ -111,6 +111,27 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.components(table(spark, sf_dir, "embeddings"))
 
 
+OP3 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0
+    AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), r(node, root) AS (
+  SELECT vec_id, vec_id FROM good UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+), c AS (
+  SELECT node, min(root) AS component FROM r GROUP BY node
+), n AS (
+  SELECT a, count(*) AS n FROM e GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS component_id, coalesce(coalesce(c.component, vec_id) = vec_id, true) AS kept
+FROM v LEFT JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -146,6 +167,29 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], chr(1)) AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), r(node, root) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+), c AS (
+  SELECT node, min(root) AS component FROM r GROUP BY node
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = doc_id
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(pii.find(table(spark, sf_dir, "documents")))
     return found.withColumn("base_sha256", F.sha2("base_text", 256)).drop("base_text")
@@ -209,4 +253,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substrings": OP1, "op2_chat": OP2, "op4_decontaminate": OP4, "op9_warc": OP9, "op10_lines": OP10}
+    return {"op1_substrings": OP1, "op2_chat": OP2, "op3_embeddings": OP3, "op4_decontaminate": OP4, "op5_minhash": OP5, "op9_warc": OP9, "op10_lines": OP10}
