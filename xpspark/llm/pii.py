@@ -24,13 +24,14 @@ import functools
 import json
 import math
 import random
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 SAMPLE, SEED, TREES, DEPTH, RATE, PRECISION = 3000, 5, 40, 3, 0.3, 0.97
 BLOCK = 512
 
@@ -63,11 +64,6 @@ AGAINST = r"(?i)(?:commit|md5|sha\d*|checksum|hash|page|order|total|sum|part|isb
 KINDS = [*BASE, *PROPOSED]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def prefix_sums(lengths: Column) -> Column:
     """For each element the sum of those before it; blocks keep the copying of growing arrays bounded."""
     zero = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("s"))
