@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: White space to the tokenizer's ``\s``; str.split() also splits at the four separators 1C to 1F.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 BLACK = re.compile(f"[^{WHITE.pattern[1:]}")
@@ -61,7 +63,7 @@ def byte_alphabet() -> dict[int, str]:
 class WordCache(dict):
     """Ids by white-space-free piece; at most ``limit`` pieces and as many pre-tokens are kept."""
 
-    def __init__(self, tokenizer, limit: int = 400_000):
+    def __init__(self, tokenizer, limit: int = 250_000):
         super().__init__()
         self.tokenizer, self.limit, self.parts = tokenizer, limit, {}
         self.model, self.number = tokenizer.model, list(range(tokenizer.get_vocab_size()))
@@ -219,6 +221,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Only texts longer than ``leaf_chars`` are shuffled, as leaves; a task holds one text at most.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     out = f"key {kind}, ids array<int>, decoded string"

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 OPEN, MID, CLOSE = "[INST]", "[/INST]", "</s>"
 #: Control strings, and those with backslashes before the last character.
 LIKE = re.compile(r"(\[/?INST|</s)(\\*)([\]>])")
@@ -65,6 +67,7 @@ def render(role: str, body: str) -> str:
 
 def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per turn: ``conv_id, turn, role, formatted``, ``formatted`` being the turn's part of the output."""
+    bounded_batches(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "body"))))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -120,6 +123,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             done.append(reader.row(now))
         yield pd.DataFrame(done, columns=columns)
 
+    bounded_batches(formatted.sparkSession)
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = formatted.withColumn("conv_id", F.col("conv_id").cast("string"))
     rows = sent.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "formatted")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_side
+from .common import bounded_batches, connected_components, materialize, small_side
 
 BINS, BANDS, ROWS, ATTEMPTS = 256, 42, 6, 128
 #: Shingles that a block of the exhaustive comparison holds on either side, about.
@@ -187,6 +187,7 @@ def rest_links(buckets_: DataFrame, components: DataFrame, sets: DataFrame, perc
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; texts link at a Jaccard similarity of percent / 100."""
+    bounded_batches(docs.sparkSession)
     sig = materialize(signatures(docs, words, id_col, text_col), "minhash")
     have = sig.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(have.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash")

@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 RUN, LEAST_WORDS, LONG_WORDS, CUT = 2, 12, 30, 8
 #: After a sentence: white space behind its mark, an ideographic mark, or a new line.
 END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n\s*")
@@ -81,6 +83,7 @@ def without(text: str, places: list[int], run: int = RUN) -> tuple[str, list[tup
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``key, places, first_ids``: for each text, its runs that occur earlier in the corpus and where those stand."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 SAMPLE_ROWS = 12_000
 STEM_MIN, STEM_MAX = 3, 12
@@ -168,6 +168,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``body, y`` of at most ``sample_rows`` labelled rows, chosen by the hash of their id; equal texts come once."""
+    bounded_batches(docs.sparkSession)
     ids = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col) == 1).alias("y"))
     ids = ids.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
@@ -217,6 +218,7 @@ def train(sample: DataFrame) -> Model:
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` of each row."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
@@ -230,6 +232,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows, all columns as they are, whose text scores below ``threshold``."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
