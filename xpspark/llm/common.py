@@ -26,9 +26,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it again: this cuts the lineage durably."""
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it again: this cuts the lineage durably.
+
+    ``narrow`` tables (keys and counts) are written by a sixteenth of the session's partitions, 8 at least: fewer files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = shared_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,7 +65,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     and skewed join partitions can be split; rounds are written to the shared folder.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = materialize(pairs, name), None
+    now, before = materialize(pairs, name, narrow=True), None
     while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
@@ -74,6 +79,6 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(step, name)
+        new = materialize(step, name, narrow=True)
         release(now)
         now = new

@@ -42,8 +42,8 @@ def item_terms(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.monotonically_increasing_id().alias("item"), raw_words(F.col(text_col)).alias("words"))
     words = items.select("item_id", "item", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
     words = materialize(words.withColumn("word", lowered(F.col("word"))), "decontaminate")
-    terms = materialize(words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "decontaminate")
-    return materialize(words.join(terms, "word").drop("word"), "decontaminate"), terms
+    terms = materialize(words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "decontaminate", narrow=True)
+    return materialize(words.join(terms, "word").drop("word"), "decontaminate", narrow=True), terms
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,22 +68,22 @@ def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int
     spread = words.withColumns({"size": F.least(F.lit(window), "n"), "last": F.greatest(F.lit(0), F.col("n") - window)})
     in_window = spread.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("size") + 1), F.least("last", "off"))))
     # a term that the corpus lacks leaves its windows without exact matches; the others' terms still give proximity matches
-    counted = in_window.join(small_side(materialize(freq, "decontaminate"), BROADCAST_ROWS), "term")
+    counted = in_window.join(small_side(materialize(freq, "decontaminate", narrow=True), BROADCAST_ROWS), "term")
     rank = F.sort_array(F.collect_list(F.struct("freq", "off", "term")))
     rare = counted.groupBy("item", "w", "size").agg(rank.alias("terms")).where(F.size("terms") * 10 >= F.col("size") * near)
-    pairs = materialize(rare.select("item", "w", F.col("terms")[0]["off"].alias("off1"), F.col("terms")[0]["term"].alias("term1"), F.get("terms", F.lit(1))["off"].alias("off2"), F.get("terms", F.lit(1))["term"].alias("term2")), "decontaminate")
+    pairs = materialize(rare.select("item", "w", F.col("terms")[0]["off"].alias("off1"), F.col("terms")[0]["term"].alias("term1"), F.get("terms", F.lit(1))["off"].alias("off2"), F.get("terms", F.lit(1))["term"].alias("term2")), "decontaminate", narrow=True)
     anchors = pairs.select("item", F.col("off1").alias("off"), F.col("term1").alias("term")).unionByName(pairs.where("off2 IS NOT NULL").select("item", F.col("off2").alias("off"), F.col("term2").alias("term"))).distinct()
-    anchors = small_side(materialize(anchors, "decontaminate"), BROADCAST_ROWS)
+    anchors = small_side(materialize(anchors, "decontaminate", narrow=True), BROADCAST_ROWS)
     lists = materialize(index.join(anchors, "term").select("row", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off"), "decontaminate")
     two = pairs.select("item", "off1", "off2").distinct()
     left = lists.withColumnRenamed("off", "off1").join(two, ["item", "off1"])
     right = lists.withColumnRenamed("off", "off2")
     alone = left.where("off2 IS NULL").select("row", "item", "diagonal")
     places = left.join(right, ["row", "item", "diagonal", "off2"]).select("row", "item", "diagonal").unionByName(alone).distinct()
-    places = materialize(places, "decontaminate")
+    places = materialize(places, "decontaminate", narrow=True)
 
     wanted = places.join(words.select("item", "off", "term", "n"), "item").withColumn("pos", F.col("diagonal") + F.col("off")).where("pos >= 0")
-    rows = small_side(materialize(places.select("row").distinct(), "decontaminate"), BROADCAST_ROWS)
+    rows = small_side(materialize(places.select("row").distinct(), "decontaminate", narrow=True), BROADCAST_ROWS)
     there = index.where("term >= 0").join(rows, "row", "left_semi").select("row", "term", "pos")
     hit = wanted.join(there, ["row", "pos", "term"]).withColumns({"size": F.least(F.lit(window), "n"), "last": F.greatest(F.lit(0), F.col("n") - window)})
     hit = hit.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("size") + 1), F.least("last", "off"))))
@@ -96,7 +96,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """The index of ``docs`` and the matches of ``benchmark`` in it, both written."""
     words, terms = item_terms(benchmark, item_col, item_text_col)
     index = build_index(docs, terms, id_col, text_col)
-    return index, materialize(matches(index, words), "decontaminate")
+    return index, materialize(matches(index, words), "decontaminate", narrow=True)
 
 
 def report(index: DataFrame, found: DataFrame) -> DataFrame:

@@ -198,15 +198,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     rows = classes.select("rep", "n", F.explode("bands").alias("band"))
     centers = rows.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("k")).where("k > 1").drop("k")
     full = materialize(rows.join(centers, "band").select("band", "rep", "n", "center"), "minhash")
-    edges = materialize(full.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct(), "minhash")
-    nodes = materialize(edges.select(F.col("u").alias("rep")).unionByName(edges.select(F.col("v").alias("rep"))).distinct(), "minhash")
+    edges = materialize(full.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct(), "minhash", narrow=True)
+    nodes = materialize(edges.select(F.col("u").alias("rep")).unionByName(edges.select(F.col("v").alias("rep"))).distinct(), "minhash", narrow=True)
     sets = materialize(sets_of(docs, nodes, words, id_col, text_col), "minhash")
     a = sets.select(F.col("rep").alias("u"), F.col("hashes").alias("a"))
     b = sets.select(F.col("rep").alias("v"), F.col("hashes").alias("b"))
     common, both = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     sized = (100 * F.least(F.size("a"), F.size("b"))) >= percent * F.greatest(F.size("a"), F.size("b"))
     links = edges.join(a, "u").join(b, "v").where(sized & (100 * common >= percent * (both - common))).select("u", "v")
-    first = materialize(connected_components(links.unionByName(twice), "minhash"), "minhash")
+    first = materialize(connected_components(links.unionByName(twice), "minhash"), "minhash", narrow=True)
 
     more = rest_links(full.select("band", "rep", "n"), first, sets, percent)
     label = first.withColumnRenamed("node", "w")
