@@ -52,3 +52,40 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.text == text, r.text is None) for r in line_dedup.dedup(df).collect()}
     assert got == {(1, True, False), (2, False, False), (None, True, False), (3, False, True)}
     assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_every_repeated_block_goes(spark):
+    rng = random.Random(5)
+    blocks = [[f"block {b} {rng.random()}" for _ in range(n)] for b, n in enumerate([2, 2, 2, 3, 3, 4, 5, 9])]
+    rows, own = [], {}
+    for i in range(160):
+        own[i] = [f"own {i} {k}" for k in range(rng.randint(1, 4))]
+        rows.append((i, "\n".join([*own[i], *blocks[i % 8], *([f"end {i}"] if i % 3 else [])])))
+        own[i] += [f"end {i}"] if i % 3 else []
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
+    got = {r.doc_id: r for r in line_dedup.dedup_blocks(df).collect()}
+    assert {k: r.text for k, r in got.items()} == {i: t if i < 8 else "\n".join(own[i]) for i, t in rows}
+    assert all(r.n_removed == (len(blocks[k % 8]) if k >= 8 else 0) for k, r in got.items())
+    chunked = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert any(chunked[k] != r.text for k, r in got.items())
+
+
+def test_blocks_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choices(["", " ", "a", "b", "c", f"own {i}"], k=rng.randint(0, 9)))) for i in range(120)]
+    rows += [(500, "a\na\na\na"), (501, "\n".join(map(str, range(5000)))), (502, "\n".join(map(str, range(5000)))), (503, "")]
+    seen, want = set(), {}
+    for key, text in rows:
+        lines, gone = text.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if "".join(pair).strip():
+                gone |= {k, k + 1} if pair in seen else set()
+                seen.add(pair)
+        want[key] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    df = spark.createDataFrame([*rows, (None, "a\nb"), (900, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_blocks(df).where("doc_id IS NOT NULL AND text IS NOT NULL").collect()}
+    assert got == want
+    odd = {(r.doc_id, r.text) for r in line_dedup.dedup_blocks(df).where("doc_id IS NULL OR text IS NULL").collect()}
+    assert odd == {(None, "a\nb"), (900, None)}
+    lines = lambda texts: {x for t in texts for x in t.split("\n") if x.strip()}
+    assert lines(t for t, _, _ in got.values()) == lines(t for _, t in rows)

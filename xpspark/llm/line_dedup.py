@@ -5,6 +5,10 @@ A text's lines are hashed; a rolling hash over two neighbouring line hashes ends
 more lines, not all blank, that occur more than once in the corpus are removed but for their first occurrence (by id,
 then place).
 
+``dedup_blocks`` reaches every repeated block: its chunks are all windows of two neighbouring lines, not both blank, so a
+block of two or more lines is covered from its first line to its last wherever it stands. A line that any window but a
+first occurrence covers is removed; the first occurrence of each line in the corpus stays.
+
 A narrow pass finds hashes that repeat. Only chunks with such hashes are fetched as text and compared byte by byte, by
 grouping on the text itself; copies are pre-aggregated where they lie. What is removed then meets its text by id.
 
@@ -15,6 +19,8 @@ occurrence at that place; extra columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +52,7 @@ def eligible(chunk: Column) -> Column:
     return (chunk["n"] > 1) & chunk["body"].rlike(r"\S")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunks: Callable[[Column], Column] = chunks) -> DataFrame:
     """``key, gone``: the places of the chunks that each text loses."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
     hashed = F.transform(chunks(F.col("body")), lambda c, i: F.when(eligible(c), F.struct(i.alias("place"), F.xxhash64(c["body"]).alias("h"))))
@@ -76,3 +82,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", detai
         out["n_removed"] = F.when(F.col("__gone").isNull(), 0).otherwise(let(cut, size)).cast("long")
     names = [*docs.columns, *(n for n in out if n not in docs.columns)]
     return rows.withColumns(out).select(*names)
+
+
+def pairs(text: Column) -> Column:
+    """The windows of two neighbouring lines in order, as ``array<struct<n int, body string>>``."""
+    piece = lambda line, following: F.struct(F.lit(2).alias("n"), F.concat(line, F.lit("\n"), following).alias("body"))
+    both = lambda lines: F.zip_with(F.slice(lines, 1, F.size(lines) - 1), F.slice(lines, 2, F.size(lines) - 1), piece)
+    return let(F.split(text, "\n", -1), both)
+
+
+def dedup_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows without repeated blocks of two or more lines in ``text_col``; adds ``n_lines`` and ``n_removed``."""
+    gone = removals(docs, id_col, text_col, pairs).withColumnsRenamed({"key": "__gone_id", "gone": "__gone"})
+    rows = docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left")
+    lines = F.split(text_col, "\n", -1)
+    covered = F.array_union(F.col("__gone"), F.transform("__gone", lambda i: i + 1))
+    kept = lambda found: F.array_except(F.sequence(F.lit(0), F.size(found) - 1), covered)
+    left = let(lines, lambda found: F.transform(kept(found), lambda i: F.get(found, i)))
+    out = {
+        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
+        "n_lines": F.size(lines).cast("long"),
+        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size(lines) - F.size(let(lines, kept))).cast("long"),
+    }
+    return rows.withColumns(out).select(*docs.columns, *(n for n in out if n not in docs.columns))

@@ -248,9 +248,30 @@ FROM r GROUP BY doc_id
 """
 
 
+def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_blocks(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP10_BLOCKS = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), w AS (
+  SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM l
+), f AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS n FROM w WHERE regexp_matches(body, '\\S')) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + d AS i, true AS gone FROM f, (VALUES (0), (1)) AS v(d)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone IS NOT NULL) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '') AS text
+FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substrings": OP1, "op2_chat": OP2, "op3_embeddings": OP3, "op4_decontaminate": OP4, "op5_minhash": OP5, "op9_warc": OP9, "op10_lines": OP10}
+    return {"op1_substrings": OP1, "op2_chat": OP2, "op3_embeddings": OP3, "op4_decontaminate": OP4, "op5_minhash": OP5, "op9_warc": OP9, "op10_lines": OP10, "op10_blocks": OP10_BLOCKS}
