@@ -63,3 +63,49 @@ def test_odd_rows(spark):
     got = {(r.doc_id, r.text) for r in sd.dedup(df).collect()}
     assert got == {(1, text), (2, "End."), (None, text), (3, None)}
     assert sd.dedup(df.limit(0)).count() == 0 == sd.report(df.limit(0)).count()
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 8)))
+    short = lambda n: "".join(" ".join(word() for _ in range(rng.randint(1, 5))) + rng.choice([". ", "!! ", "\n"]) for _ in range(n))
+    repeats = [short(30) for _ in range(5)] + [" ".join(word() + "!!" for _ in range(60)) + " "]
+    rows = [(i, f"Own {i} {word()}. {short(i % 4)}" + (repeats[i % 6] if i % 2 else "") + f"{word()} end {i}.") for i in range(90)]
+    rows += [(500, ""), (501, "\n\n Ab. \n\n"), (502, "x " * 900), (503, rows[1][1] + rows[1][1])]
+    seen, want = set(), {}
+    for key, text in rows:
+        parts = [(k, text[a:b].split()) for k, (a, b) in enumerate(sd.units(text)) if text[a:b].strip()]
+        gone = set()
+        found = set()
+        for i in range(len(parts)):
+            found |= set([(i, j) for j in range(i + 1, len(parts)) if sum(len(w) for _, w in parts[i : j + 1]) >= 12][:1])
+            found |= set([(j, i) for j in range(i - 1, -1, -1) if sum(len(w) for _, w in parts[j : i + 1]) >= 12][:1])
+        for i, j in sorted(found):
+            run = " ".join(x for _, w in parts[i : j + 1] for x in w)
+            if run in seen:
+                gone |= set(range(parts[i][0], parts[j][0] + 1))
+            seen.add(run)
+        want[key] = "".join(text[a:b] for k, (a, b) in enumerate(sd.units(text)) if k not in gone)
+    df = spark.createDataFrame([*rows, (None, rows[1][1]), (900, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sd.passages(df).collect() if r.doc_id is not None and r.doc_id != 900}
+    assert {k: r.text for k, r in got.items() if r.n_removed} == {k: want[k] for k, t in rows if want[k] != t}
+    for k, r in got.items():
+        text = dict(rows)[k]
+        for s in reversed(r.spans):
+            text = text[: s.start] + text[s.end :]
+        assert text == r.text and bool(r.first_ids) == bool(r.n_removed)
+    later = [(i, t) for i, t in rows if i % 2 and 11 < i < 90]
+    assert all(repeats[i % 6].strip()[:40] not in got[i].text for i, _ in later)
+    old = {r.doc_id: r.text for r in sd.dedup(df).collect()}
+    assert any(repeats[i % 6] in old[i] for i, _ in later)
+
+
+def test_passages_without_spaces_or_hashed_words(spark):
+    rng = random.Random(11)
+    glyphs = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300))
+    still = [w for w in ("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)) if sd.word_hash(w) % sd.CUT]
+    uncut = " ".join(still[:200])
+    df = spark.createDataFrame([(1, f"前{glyphs}"), (2, f"後文{glyphs}"), (3, f"One two {uncut}."), (4, f"Six {uncut}.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in sd.passages(df).collect()}
+    assert len(got[2].text) < 60 and len(got[4].text.split()) < 30
+    assert "".join(uncut[a:b] for a, b in sd.units(uncut)) == uncut

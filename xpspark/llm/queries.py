@@ -269,6 +269,12 @@ FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
 """
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(spans, ","))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

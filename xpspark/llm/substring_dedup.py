@@ -6,6 +6,12 @@ hashed (128 bits, white space between words normalized). Hashes meet globally: m
 occurrence (by id, then place), a join on the hash finds the others, and skewed hashes split. Sentences covered by any
 occurrence that isn't the first are removed.
 
+``passages`` reaches passages of sentences of any length: its runs grow, from each sentence on and back from each
+sentence, over as many sentences (two or more) as hold ``LEAST_WORDS`` words, so a repeated passage of whole sentences is
+covered from its first to its last. Long sentences are cut further at local minima of a hash where no word's hash is 0 or
+no white space stands; characters of scripts without spaces count half a word, other words of more than ``LONG_CHARS``
+characters a word per five.
+
 Results for odd input: null text stays null; a text of fewer sentences than a run is left alone; rows without id are
 neither changed nor counted; rows that share an id keep a run if any of them holds its first occurrence at that place;
 extra columns pass through.
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 RUN, LEAST_WORDS, LONG_WORDS, CUT = 2, 12, 30, 8
 #: After a sentence: white space behind its mark, an ideographic mark, or a new line.
 END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n\s*")
 WORD = re.compile(r"\S+\s*")
+LONG_CHARS, NEIGHBOURS = 40, 8
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -140,3 +149,102 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
 
     out = f"key {kind}, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, first_ids array<{kind}>, body string"
     return rows.select("key", "body", "places", F.array_sort("first_ids").alias("first_ids")).mapInArrow(cut, out).withColumnsRenamed({"key": id_col, "body": text_col})
+
+
+def weight(words: list[str]) -> int:
+    """How many words ``words`` count for."""
+    if all(w.isascii() and len(w) <= LONG_CHARS for w in words):
+        return len(words)
+    return sum(max(1, len(SPACELESS.findall(w)) // 2, len(w) // 5 if len(w) > LONG_CHARS else 0) for w in words)
+
+
+def low_cuts(ends: list[int], values: list[int]) -> list[int]:
+    """The ends whose value is the least of ``NEIGHBOURS`` on either side."""
+    return [e for i, e in enumerate(ends[:-1]) if values[i] == min(values[max(0, i - NEIGHBOURS) : i + NEIGHBOURS + 1])]
+
+
+def units(text: str) -> list[tuple[int, int]]:
+    """First and end character of each sentence or piece, long pieces cut further."""
+    found = []
+    for a, b in sentences(text):
+        words = text[a:b].split() if b - a > LONG_CHARS else []
+        cuts: list[int] = []
+        if len(words) > LONG_WORDS:
+            marks = list(WORD.finditer(text, a, b))
+            cuts = low_cuts([m.end() for m in marks], [zlib.crc32(m[0].strip().encode("utf-8", "surrogatepass")) for m in marks])
+        elif words and weight(words) > LONG_WORDS:
+            cuts = low_cuts(list(range(a + 3, b + 1)), [zlib.crc32(text[i - 3 : i].encode("utf-8", "surrogatepass")) for i in range(a + 3, b + 1)])
+        found += zip([a, *cuts], [*cuts, b], strict=True)
+    return found
+
+
+def grown_runs(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
+    """Place, number of units and hash of each grown run."""
+    parts = [(k, text[a:b].split()) for k, (a, b) in enumerate(units(text))]
+    parts = [(k, " ".join(words), weight(words)) for k, words in parts if words]
+    total = np.concatenate([[0], np.cumsum([n for _, _, n in parts], dtype=np.int64)])
+    at = np.arange(len(parts))
+    # the last part of the run from each part on, and the first part of the run back from each part
+    stop = np.maximum(np.searchsorted(total, total[:-1] + least_words) - 1, at + 1)
+    start = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, at - 1)
+    found = {(i, j) for i, j in zip(at.tolist(), stop.tolist(), strict=True) if j < len(parts)}
+    found |= {(i, j) for i, j in zip(start.tolist(), at.tolist(), strict=True) if i >= 0}
+    body = lambda i, j: " ".join([p[1] for p in parts[i : j + 1]]).encode("utf-8", "surrogatepass")
+    return [(parts[i][0], parts[j][0] - parts[i][0] + 1, xxhash.xxh3_128_digest(body(i, j))) for i, j in sorted(found)]
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``key, runs, first_ids``: for each text, place and length of its grown runs that occur earlier and where those stand."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [grown_runs(t, least_words) for t in part.column("body").to_pylist()]
+                which = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+                halves = np.frombuffer(b"".join(h for f in found for *_, h in f), dtype=">i8").astype(np.int64).reshape(-1, 2)
+                numbers = [pa.array([r[k] for f in found for r in f], pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), *numbers, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["key", "place", "size", "h0", "h1"])
+
+    runs = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "passages")
+    # half of the hash finds what may repeat, so that little is left to group by all of it
+    again = runs.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    runs = materialize(runs.join(again, "h0"), "passages")
+    first = runs.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = runs.join(first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
+    return later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("runs"), F.collect_set("first.key").alias("first_ids"))
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """Only rows that lose text: ``id, n_sentences, n_removed, spans, first_ids, text``, as ``report`` but of grown runs."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    lost = repeated_passages(docs, id_col, text_col, least_words).withColumnRenamed("key", "lost")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(lost, F.col("key") == F.col("lost"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def one(text: str | None, runs: list[dict] | None) -> tuple:
+        if text is None:
+            return None, 0, [], None
+        found = units(text)
+        gone = sorted({k for r in runs or [] for k in range(r["place"], r["place"] + r["size"]) if k < len(found)})
+        removed: list[dict] = []
+        for a, b in (found[k] for k in gone):
+            if removed and removed[-1]["end"] == a:
+                removed[-1]["end"] = b
+            else:
+                removed.append({"start": a, "end": b})
+        edges = [0, *(x for s in removed for x in (s["start"], s["end"])), len(text)]
+        return len(found), len(gone), removed, "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [one(t, r) for t, r in zip(batch.column("body").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            made = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.int64(), span, pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *made[:3], batch.column("first_ids"), made[3]], ["key", "n_sentences", "n_removed", "spans", "first_ids", "body"])
+
+    out = f"key {kind}, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, first_ids array<{kind}>, body string"
+    ids = F.coalesce(F.array_sort("first_ids"), F.array().cast(f"array<{kind}>")).alias("first_ids")
+    return rows.select("key", "body", "runs", ids).mapInArrow(cut, out).withColumnsRenamed({"key": id_col, "body": text_col})
