@@ -109,3 +109,12 @@ def test_passages_without_spaces_or_hashed_words(spark):
     got = {r.doc_id: r for r in sd.passages(df).collect()}
     assert len(got[2].text) < 60 and len(got[4].text.split()) < 30
     assert "".join(uncut[a:b] for a, b in sd.units(uncut)) == uncut
+
+
+def test_passages_return_every_row(spark):
+    text = "One two three four five six seven. Eight nine ten eleven twelve thirteen. End."
+    rows = [(1, text), (2, text + " Other."), (None, text), (3, None), (4, ""), (5, "Short."), (6, "Not repeated. At all.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_sentences, r.n_removed, r.text) for r in sd.passages(df).collect()}
+    assert got == {(1, 3, 0, text), (2, 4, 3, "Other."), (None, 3, 0, text), (3, None, None, None), (4, 0, 0, ""), (5, 1, 0, "Short."), (6, 2, 0, "Not repeated. At all.")}
+    assert sd.passages(df.limit(0)).count() == 0

@@ -219,15 +219,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Only rows that lose text: ``id, n_sentences, n_removed, spans, first_ids, text``, as ``report`` but of grown runs."""
+    """Every row: ``id, n_sentences, n_removed, spans, first_ids, text``; unchanged rows keep their text, null text has null counts."""
     kind = docs.schema[id_col].dataType.simpleString()
     lost = repeated_passages(docs, id_col, text_col, least_words).withColumnRenamed("key", "lost")
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(lost, F.col("key") == F.col("lost"))
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(lost, F.col("key") == F.col("lost"), "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def one(text: str | None, runs: list[dict] | None) -> tuple:
         if text is None:
-            return None, 0, [], None
+            return None, None, [], None
         found = units(text)
         gone = sorted({k for r in runs or [] for k in range(r["place"], r["place"] + r["size"]) if k < len(found)})
         removed: list[dict] = []
