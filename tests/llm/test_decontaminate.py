@@ -60,3 +60,30 @@ def test_no_rows(spark):
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
     assert decontaminate.decontaminate(d, b.limit(0)).first().n_hit == 0
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(7)
+    vocab = [f"v{k}" for k in range(60)]
+    items = [(i, rng.choices(vocab, k=rng.choice([1, 2, 4, 5, 9, 10, 12, 20]))) for i in range(16)]
+    docs = [(1, "x a b c d q f g h i j y".split()), (2, ["e"])]
+    items.append((99, list("abcdefghij")))
+    for i in range(10, 90):
+        copy = list(items[i % 16][1])
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = rng.choice([*vocab, "new"])
+        docs.append((i, rng.choices(vocab, k=rng.randint(0, 9)) + copy + rng.choices(vocab, k=3)))
+    want = {}
+    for key, have in docs:
+        near = set()
+        for item, w in items:
+            size = min(10, len(w))
+            for at in range(len(w) - size + 1):
+                for p in range(-at - size, len(have) + 1):
+                    n = sum(0 <= p + k < len(have) and have[p + k] == w[at + k] for k in range(size))
+                    near |= {item} if 10 * n >= 8 * size and n < size else set()
+        want[key] = len(near)
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in decontaminate.decontaminate(d, b).collect()}
+    assert want[1] == 1 and got == want

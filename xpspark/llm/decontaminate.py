@@ -2,8 +2,8 @@
 
 One pass over the corpus stores the postings (row, term, position) of every benchmark term, sharded by document, and a
 row's number of words. All else reads the index. Each benchmark window (``WINDOW`` consecutive words of an item, or all
-words of a shorter item) looks up its two rarest terms by their counts in the index; their lists, less the terms'
-offsets in the item, are intersected on (row, item, start). What is left is confirmed term by term, again as an
+words of a shorter item) looks up its rarest terms by their counts in the index, two more than may be out of place; their
+lists, less the terms' offsets in the item, are intersected on (row, item, start): any two that meet make a candidate. What is left is confirmed term by term, again as an
 intersection of offset-adjusted postings on (row, position, term): all terms in place make an exact phrase match, at
 least ``NEAR`` tenths of a window's terms in place a proximity match. Every join is an equi-join on those keys, so work grows with postings, not
 with their products, and a broadcast side is counted first.
@@ -71,15 +71,15 @@ def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int
     counted = in_window.join(small_side(materialize(freq, "decontaminate", narrow=True), BROADCAST_ROWS), "term")
     rank = F.sort_array(F.collect_list(F.struct("freq", "off", "term")))
     rare = counted.groupBy("item", "w", "size").agg(rank.alias("terms")).where(F.size("terms") * 10 >= F.col("size") * near)
-    pairs = materialize(rare.select("item", "w", F.col("terms")[0]["off"].alias("off1"), F.col("terms")[0]["term"].alias("term1"), F.get("terms", F.lit(1))["off"].alias("off2"), F.get("terms", F.lit(1))["term"].alias("term2")), "decontaminate", narrow=True)
-    anchors = pairs.select("item", F.col("off1").alias("off"), F.col("term1").alias("term")).unionByName(pairs.where("off2 IS NOT NULL").select("item", F.col("off2").alias("off"), F.col("term2").alias("term"))).distinct()
-    anchors = small_side(materialize(anchors, "decontaminate", narrow=True), BROADCAST_ROWS)
-    lists = materialize(index.join(anchors, "term").select("row", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off"), "decontaminate")
-    two = pairs.select("item", "off1", "off2").distinct()
-    left = lists.withColumnRenamed("off", "off1").join(two, ["item", "off1"])
-    right = lists.withColumnRenamed("off", "off2")
-    alone = left.where("off2 IS NULL").select("row", "item", "diagonal")
-    places = left.join(right, ["row", "item", "diagonal", "off2"]).select("row", "item", "diagonal").unionByName(alone).distinct()
+    # with at most size * (10 - near) / 10 terms elsewhere, any so many and two more terms hold two that stand in place
+    spare = F.floor(F.col("size") * (10 - near) / 10).cast("int") - (F.col("size") - F.size("terms"))
+    picked = F.slice("terms", 1, spare + 2)
+    anchors = rare.where(spare >= 0).select("item", "w", F.least(F.lit(2), F.size("terms") - spare).alias("least"), F.explode(picked).alias("t"))
+    anchors = materialize(anchors.select("item", "w", "least", "t.off", "t.term"), "decontaminate", narrow=True)
+    known = small_side(anchors.select("item", "off", "term").distinct(), BROADCAST_ROWS)
+    lists = materialize(index.join(known, "term").select("row", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off"), "decontaminate")
+    met = lists.join(small_side(anchors.select("item", "off", "w", "least"), BROADCAST_ROWS), ["item", "off"])
+    places = met.groupBy("row", "item", "diagonal", "w").agg(F.count("*").alias("k"), F.first("least").alias("least")).where("k >= least").select("row", "item", "diagonal").distinct()
     places = materialize(places, "decontaminate", narrow=True)
 
     wanted = places.join(words.select("item", "off", "term", "n"), "item").withColumn("pos", F.col("diagonal") + F.col("off")).where("pos >= 0")
