@@ -34,3 +34,12 @@ def test_equals_sql(spark, duck, name):
     want = duck.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, want.fetchall())
+
+
+def test_whole_texts(spark, tmp_path):
+    text = "ABC the " * 100
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = queries.queries()["strings_whole"](spark, str(tmp_path)).first()
+    assert (r["lower"], r["swapped"]) == (text.lower(), text.replace("e", "E"))
+    r = queries.queries()["regex_whole"](spark, str(tmp_path)).first()
+    assert (r["masked"], r["groups"]) == (text.replace("e", "*"), text.replace("th", "ht"))

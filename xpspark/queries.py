@@ -52,11 +52,17 @@ VALUE: dict[str, tuple[str, list[str], list[tuple[str, str, str]]]] = {
         ("before", "substring-before($text, ' ')", "CASE WHEN contains(text, ' ') THEN split_part(text, ' ', 1) ELSE '' END"), ("after", "substring-after($text, '. ')", "CASE WHEN contains(text, '. ') THEN substr(text, strpos(text, '. ') + 2) ELSE '' END"), ("part", "substring($text, 0, 5)", "substr(text, 1, 4)"), ("swapped", "translate(substring($text, 1, 40), 'aeiou', 'AEI')", "replace(replace(translate(substr(text, 1, 40), 'aei', 'AEI'), 'o', ''), 'u', '')"),
         ("glued", "string-join(($lang, $source), '-')", "lang || '-' || source"), ("concat", "concat($lang, ':', $doc_id)", "lang || ':' || doc_id"), ("text", "string($n_chars)", "CAST(n_chars AS VARCHAR)"), ("equal", "compare($lang, 'en')", "CASE WHEN lang < 'en' THEN -1.0 WHEN lang = 'en' THEN 0.0 ELSE 1.0 END"),
     ]),
+    "strings_whole": ("documents", ["doc_id"], [
+        ("lower", "lower-case($text)", "lower(text)"), ("swapped", "translate($text, 'aeiou', 'AEI')", "replace(replace(translate(text, 'aei', 'AEI'), 'o', ''), 'u', '')"),
+    ]),
     "spaces": ("documents", ["doc_id"], [("clean", "normalize-space($text)", "trim(regexp_replace(text, '\\s+', ' ', 'g'))")]),
     "regex": ("documents", ["doc_id"], [
         ("hit", "matches($text, '[0-9]{3}')", "regexp_matches(text, '[0-9]{3}')"), ("hit_i", "matches($text, '^THE', 'i')", "regexp_matches(text, '(?i)^THE')"), ("words", "count(tokenize($text, ' '))", "CAST(len(string_split(trim(text, ' '), ' ')) AS DOUBLE)"), ("masked", "replace(substring($text, 1, 60), '[aeiou]', '*')", "regexp_replace(substr(text, 1, 60), '[aeiou]', '*', 'g')"), ("groups", "replace(substring($text, 1, 60), '(t)(h)', '$2$1')", "regexp_replace(substr(text, 1, 60), '(t)(h)', '\\2\\1', 'g')"),
         ("numbers", "count(analyze-string($text, '[0-9]+')[?type = 'match'])", "CAST(len(regexp_extract_all(text, '[0-9]+')) AS DOUBLE)"),
     ]),
+    "regex_whole": ("documents", ["doc_id"], [
+        ("masked", "replace($text, '[aeiou]', '*')", "regexp_replace(text, '[aeiou]', '*', 'g')"), ("groups", "replace($text, '(t)(h)', '$2$1')", "regexp_replace(text, '(t)(h)', '\\2\\1', 'g')"),
+    ]),
     "codes": ("part", ["p_partkey"], [
         ("points", "sum(string-to-codepoints(substring($p_name, 1, 3)))", "CAST(list_sum(list_transform(string_split(substr(p_name, 1, 3), ''), lambda c: unicode(c))) AS DOUBLE)"), ("back", "codepoints-to-string(string-to-codepoints($p_name))", "p_name"), ("uri", "encode-for-uri($p_name)", "url_encode(p_name)"), ("hex", "encode-hex($p_name)", "hex(encode(p_name))"), ("b64", "encode-base64($p_name)", "base64(encode(p_name))"), ("again", "decode-hex(encode-hex($p_name))", "p_name"), ("swap", "hex-to-base64(encode-hex($p_name))", "base64(encode(p_name))"), ("bytes", "binary-length(encode-hex($p_name), 'hex')", "CAST(strlen(p_name) AS DOUBLE)"), ("cut", "binary-substring(encode-hex($p_name), 1, 2, 'hex')", "hex(encode(substr(p_name, 1, 2)))"), ("nfc", "normalize-unicode($p_name)", "p_name"),
     ]),
