@@ -13,6 +13,8 @@ from .functions.core import Val
 from .operators import nodes as node_lane
 from .operators.value import Compiler, Options
 from .plans.parser import parse
+from .plans.rules import rewrite
+from .sources.storage import stage
 
 
 class Engine:
@@ -20,6 +22,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, version: str = "3.1", **options):
         self.spark, self.options, self.functions = spark, Options(version=version, **options), {}
+        #: Where ``doc`` and ``collection`` find documents; the accumulators and keys that queries may name.
+        self.catalog, self.accumulators, self.keys = None, [], {}
 
     def register(self, name: str, build, least: int = 1, most: int | None = None) -> None:
         """A host function: ``build(compiler, values)`` returns a value, or takes and returns Columns of strings."""
@@ -64,6 +68,7 @@ class Engine:
     def with_options(self, **options) -> Engine:
         out = Engine(self.spark, self.options.version)
         out.options, out.functions = replace(self.options, **options), dict(self.functions)
+        out.catalog, out.accumulators, out.keys = self.catalog, list(self.accumulators), dict(self.keys)
         return out
 
     # -- nodes
@@ -72,15 +77,33 @@ class Engine:
         bound = {k: v if isinstance(v, Val) else self.constant(v) for k, v in (variables or {}).items()}
         return Compiler(bound, functions=self.functions, options=self.options)
 
-    def nodes(self, nodes: DataFrame, query: str, variables: dict | None = None, namespaces: dict | None = None, order_mode: str = "reference") -> DataFrame:
-        """The nodes that a path or set expression selects in each document."""
-        return node_lane.select(nodes, parse(query, self.options.version), self.compiler(variables), namespaces, order_mode)
+    def key(self, name: str, match: str, use: str) -> None:
+        """Declare what ``key(name, value)`` finds: elements named ``match`` whose ``use`` equals the value."""
+        self.keys[name] = (match, parse(use, self.options.version))
+
+    def lane(self, options: dict) -> dict:
+        return {"catalog": self.catalog, "keys": self.keys, "accumulators": tuple(self.accumulators), **options}
+
+    @staticmethod
+    def read(nodes: DataFrame, *queries) -> DataFrame:
+        """Nodes that come from a parser are written first if a query reads them more than once."""
+        return stage(nodes, "nodes") if getattr(nodes, "_parsed", False) and node_lane.scans(*map(rewrite, queries)) > 1 else nodes
+
+    def nodes(self, nodes: DataFrame, query: str, variables: dict | None = None, namespaces: dict | None = None, order_mode: str = "reference", scope: str = "document") -> DataFrame:
+        """The items that a query selects in each document, or with scope "all" in all of them at once.
+
+        Nodes come with their columns, values as rows of kind 0 (``str_val`` their text, ``name`` their type); ``seq`` gives
+        the order where it isn't that of the documents.
+        """
+        tree = parse(query, self.options.version)
+        return node_lane.select(self.read(nodes, tree), tree, self.compiler(variables), **self.lane({"namespaces": namespaces, "order_mode": order_mode, "scope": scope}))
 
     def table(self, nodes: DataFrame, each: str, queries: dict[str, str], variables: dict | None = None, namespaces: dict | None = None, order_mode: str = "reference") -> DataFrame:
         """A row for each node of ``each``, a column for each query with that node as context."""
-        parsed = {k: parse(q, self.options.version) for k, q in queries.items()}
-        return node_lane.values(nodes, parse(each, self.options.version), parsed, self.compiler(variables), namespaces, order_mode)
+        parsed, top = {k: parse(q, self.options.version) for k, q in queries.items()}, parse(each, self.options.version)
+        return node_lane.values(self.read(nodes, top, *parsed.values()), top, parsed, self.compiler(variables), **self.lane({"namespaces": namespaces, "order_mode": order_mode}))
 
     def flwor(self, nodes: DataFrame, query: str, variables: dict | None = None) -> DataFrame:
         """``for $x in path return value``; over ``distinct-values`` it groups."""
-        return node_lane.flwor(nodes, parse(query, self.options.version), self.compiler(variables))
+        tree = parse(query, self.options.version)
+        return node_lane.flwor(self.read(nodes, tree), tree, self.compiler(variables), **self.lane({}))

@@ -23,8 +23,30 @@ def to_string(v: Val) -> Column:
 
 
 def compare(op: str, a: Val, b: Val) -> Column:
-    """The comparison of 1.0: existential over node-sets, ordered comparison always of numbers."""
-    if (a.kind == "bool" or b.kind == "bool") and op in ("=", "!="):
-        x, y = to_boolean(a), to_boolean(b)
-        return x == y if op == "=" else x != y
-    return core.general(op, a, b)
+    """The comparison of 1.0 as the compatibility mode has it: of first items; nothing equals an empty side.
+
+    ``<`` compares numbers, ``<=`` adds equality, ``>`` and ``>=`` are their negations.
+    """
+    if op == "!=":
+        return ~compare("=", a, b)
+    if op == ">":
+        return ~compare("<=", a, b)
+    if op == ">=":
+        return ~compare("<", a, b)
+    a, b = core.one(a), core.one(b)
+    x, y = to_number(a), to_number(b)
+    less = F.when(F.isnan(x) | F.isnan(y), False).otherwise(x < y)
+    if op == "<":
+        return less
+    if "empty" in (a.kind, b.kind):
+        equal = F.lit(False)
+    elif "bool" in (a.kind, b.kind):
+        equal = to_boolean(a) == to_boolean(b)
+    elif "num" in (a.kind, b.kind):
+        equal = ~F.isnan(x) & ~F.isnan(y) & (x == y)
+    else:
+        equal = to_string(a) == to_string(b)
+    for v in (a, b):
+        if v.kind != "empty":
+            equal = F.when(v.col.isNull(), False).otherwise(equal)
+    return equal if op == "=" else less | equal

@@ -58,6 +58,10 @@ class Val:
     arity: int | None = None
     name: str | None = None
     literal: object = None
+    #: The value stands for nodes: true if there is any.
+    nodes: bool = False
+    #: First and last number of a range.
+    bounds: tuple | None = None
 
     @property
     def many(self) -> bool:
@@ -135,6 +139,11 @@ def many(v: Val) -> Val:
     return v if v.many else Val(items(v), v.ty.seq)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def each(v: Val, body: Callable[[Val], Val], compact: bool = True) -> Val:
     """The items' results, concatenated."""
     inner: list[Val] = []
@@ -222,7 +231,7 @@ def to_num(v: Val) -> Column:
 
 def num_str(x: Column) -> Column:
     """A number as the language prints it: no point for whole numbers, NaN, INF, -INF."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e21)
+    whole = (F.abs(x) < 1e21) & (x == F.rint(x))
     return F.when(F.isnan(x), "NaN").when(x == inf(), "INF").when(x == -inf(), "-INF").when(whole, x.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1"))
 
 
@@ -266,6 +275,8 @@ def to_json(v: Val) -> Column:
 
 def ebv(v: Val) -> Column:
     """Effective boolean value; never NULL. Many items are true if there is any; one item goes by its own value."""
+    if v.nodes:
+        return F.size(v.col) > 0 if v.many else v.col.isNotNull()
     if v.many:
         # a sequence of one value goes by the value, as after a filter
         if v.kind in ("num", "str", "bool"):
@@ -313,7 +324,11 @@ def compare(op: str, a: Val, b: Val, ordered_text: bool = False) -> Column:
 
 
 def general(op: str, a: Val, b: Val) -> Column:
-    """True if any pair of items compares; an empty side is false."""
+    """True if any pair of items compares; an empty side is false. Nodes compare with a boolean by their existence."""
+    if a.kind == "bool" and not a.many and b.nodes:
+        b = boolean(ebv(b))
+    elif b.kind == "bool" and not b.many and a.nodes:
+        a = boolean(ebv(a))
     if a.many and b.many:
         if op == "=" and a.ty == b.ty and a.kind in ("str", "date"):
             return F.coalesce(F.arrays_overlap(a.col, b.col), F.lit(False))

@@ -431,8 +431,11 @@ def size(v: Val) -> Column:
 
 @fn("count")
 def _count(c, a):
-    if c.options.compat and not a[0].many:
+    if c.options.compat and not a[0].many and not a[0].nodes:
         return num(0.0)  # the reference counts only arrays
+    if a[0].bounds is not None:
+        low, high = a[0].bounds
+        return num(F.greatest(high - low + 1, F.lit(0)).cast("double"))
     return num(size(a[0]).cast("double"))
 
 
@@ -614,6 +617,33 @@ def _environments(c, a):
     return Val(F.array(*map(F.lit, sorted(os.environ))), STR.seq)
 
 
+@fn("system-property")
+def _system_property(c, a):
+    known = {"xsl:version": "3.0", "xsl:vendor": "", "xsl:vendor-url": "", **dict(c.options.properties)}
+    return string(known.get(literal(a[0], "name"), ""))
+
+
+@fn("function-available", least=1, most=2)
+def _function_available(c, a):
+    name = literal(a[0], "name").removeprefix("fn:")
+    entry = c.functions.get(name) or LIBRARY.get(name)
+    if entry is None or len(a) < 2:
+        return boolean(entry is not None or name.startswith("xs:"))
+    return boolean(entry[0] <= literal(a[1], "arity") <= entry[1])
+
+
+@fn("element-available")
+def _element_available(c, a):
+    # a query has no instructions: hosts that do declare them as properties
+    return boolean(literal(a[0], "name") in dict(c.options.properties))
+
+
+@fn("unparsed-entity-uri")
+def _unparsed_entity(c, a):
+    # documents are read without external entities
+    return string(F.lit(""))
+
+
 @fn("error", least=0, most=3)
 def _error(c, a):
     return string(F.raise_error(F.concat(str0(a[0]) if a else F.lit("FOER0000"), F.lit(": "), str0(a[1]) if len(a) > 1 else F.lit(""))))

@@ -1,34 +1,99 @@
-"""The node lane: paths over a ``nodes`` relation become joins, windows and aggregates.
+"""The node lane: queries over a ``nodes`` relation become joins, windows and aggregates.
 
 A node is a row ``doc_id, pre, fin, level, parent, kind, name, local, ns_uri, value, str_val, ord, anc``: ``pre`` numbers
 nodes in document order (gaps are fine), a node's subtree is ``pre`` to ``fin``, ``anc`` lists its ancestors from the root.
-A path's intermediate result carries ``it``, the iteration that it belongs to: the document at the outside, the
-candidate node inside a predicate. Node tests filter the ``nodes`` side before a join, so that they reach the scan.
+Two more columns save joins where a shredder gives them: ``path``, the local names from the root to an element, answers a
+chain of steps by one filter; ``attrs``, an element's attributes by name, turns attribute steps into projections.
 
-Order: results are in document order (``pre``). Positions follow the axis; with ``order_mode='reference'`` they are those
-of the reference (siblings before a node are counted from the first one), with ``'spec'`` reverse axes count backwards.
+An expression becomes a ``Seq``: rows keyed by the columns ``it``, the iteration that they belong to. At the outside an
+iteration is a document (or all of them, ``scope="all"``); each binding of a loop adds its node to the key. What doesn't
+depend on a loop is computed once and keyed by fewer columns; it meets the loop's rows only where a result needs them, and
+a comparison with a loop's variable is a join on the compared values. In a predicate the iteration is the candidate node
+itself, so predicates are evaluated once a node, however many contexts lead to it.
+
+Order: without ``order`` a sequence is in document order. Commas, ``reverse``, ``sort``, loops, and in the mode "reference"
+steps whose result the reference doesn't sort, carry an order key ``seq``. Positions follow the axis: "reference" counts
+siblings before a node from the first one and puts a subtree's root after its descendants on ``preceding``; "spec" counts
+reverse axes backwards. A predicate of numeric type is a position, whatever its form.
 """
 
 from __future__ import annotations
 
 import functools
-from dataclasses import replace
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import StaticError, TypeMismatch
+from ..errors import DynamicError, StaticError, TypeMismatch
 from ..functions import core
-from ..functions.core import STR, Val, boolean, num, string
+from ..functions.core import STR, Ty, Val, boolean, num, string
 from ..plans import ast as A
-from ..plans.rules import absolute, positional, rewrite, substitute, uses_focus_path
+from ..plans.rules import movable, own_calls, rewrite, substitute, variables
+from .running import before
 from .value import Compiler
 
 COLUMNS = ["doc_id", "pre", "fin", "level", "parent", "kind", "name", "local", "ns_uri", "value", "str_val", "ord", "anc"]
-ELEMENT, ATTRIBUTE, PI, COMMENT, DOCUMENT, NAMESPACE = 1, 2, 7, 8, 9, 13
-REVERSE = {"ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
-#: Axes that never meet a node twice if their contexts are distinct.
-DISTINCT = {"child", "attribute", "self", "namespace"}
+#: Columns that a relation may have as well: local names from the root, and attributes by name.
+MORE = ["path", "attrs"]
+ATOM, ELEMENT, ATTRIBUTE, PI, COMMENT, DOCUMENT, NAMESPACE = 0, 1, 2, 7, 8, 9, 13
+#: Steps that keep document order if their contexts are in it.
+EASY = {"self", "child", "attribute", "descendant", "descendant-or-self", "//", "//@"}
+SIBLINGS = {"following-sibling", "preceding-sibling"}
+ROAMING = {*SIBLINGS, "following", "preceding"}
+XML_NS = "http://www.w3.org/XML/1998/namespace"
+#: Functions that give nodes if their first argument does.
+NODE_CALLS = {"root", "innermost", "outermost", "reverse", "unordered", "head", "tail", "subsequence", "remove", "insert-before", "sort", "one-or-more", "zero-or-one", "exactly-one", "copy-of"}
+#: Functions that give nodes from addresses or keys.
+SOURCES = {"doc", "document", "collection", "key"}
+#: Functions that give a number.
+NUMERIC = {"count", "sum", "avg", "min", "max", "number", "round", "floor", "ceiling", "abs", "string-length", "position", "last", "round-half-to-even", "map:size", "array:size", "compare", "binary-length"}
+
+
+@dataclass(frozen=True)
+class Seq:
+    """A sequence for each iteration.
+
+    order: an array of longs that sorts the items of an iteration; None for document order. flat: no node holds another;
+    level: the level of all nodes, if known; unique: a node occurs once over all iterations; bag: a node may occur more
+    than once in one; single: one item at most; atoms: the type of the items if they aren't nodes.
+    """
+
+    df: DataFrame
+    it: tuple[str, ...]
+    order: Column | None = None
+    flat: bool = False
+    level: int | None = None
+    unique: bool = True
+    bag: bool = False
+    single: bool = False
+    atoms: str | None = None
+
+    def key(self) -> Column:
+        return F.array("doc_id", "pre") if self.order is None else self.order
+
+
+@dataclass(frozen=True)
+class Env:
+    """Where an expression stands: its iterations (``rows``, keyed by ``it``), their context node and loop variables.
+
+    doc names the column with the document of absolute paths (None: all documents); free: paths may start from nodes that
+    are no context, as results meet the contexts afterwards.
+    """
+
+    it: tuple[str, ...]
+    rows: DataFrame
+    focus: Seq | None = None
+    loops: dict = field(default_factory=dict)
+    values: dict = field(default_factory=dict)
+    doc: str | None = None
+    free: bool = False
+
+
+def on(left: DataFrame, right: DataFrame, keys: tuple | list, how: str = "inner") -> DataFrame:
+    """A join on equal column names; without keys ``right`` is one row, or all of it belongs to every row."""
+    return left.join(right, list(keys), how) if keys else left.crossJoin(right)
 
 
 def test_condition(test: A.Test, axis: str, namespaces: dict) -> Column:
@@ -44,7 +109,7 @@ def test_condition(test: A.Test, axis: str, namespaces: dict) -> Column:
         return of & (F.col("local") == test.name.rpartition(":")[2]) if test.name else of
     if test.kind == "document":
         return kind == DOCUMENT
-    principal = {"attribute": kind == ATTRIBUTE, "namespace": kind == NAMESPACE}.get(axis, kind == ELEMENT)
+    principal = {"attribute": kind == ATTRIBUTE, "//@": kind == ATTRIBUTE, "namespace": kind == NAMESPACE}.get(axis, kind == ELEMENT)
     out = principal if test.kind == "any" else principal & (F.col("local") == test.name)
     if test.prefix is not None:
         uri = test.prefix[1:-1] if test.prefix.startswith("{") else namespaces.get(test.prefix)
@@ -53,371 +118,1199 @@ def test_condition(test: A.Test, axis: str, namespaces: dict) -> Column:
 
 
 class Paths:
-    """Path evaluation over one ``nodes`` relation."""
+    """Evaluation over one ``nodes`` relation.
 
-    def __init__(self, nodes: DataFrame, compiler: Compiler, namespaces: dict | None = None, order_mode: str = "reference"):
-        if order_mode not in ("reference", "spec"):
-            raise StaticError("XPST0001", f"order mode {order_mode}")
-        self.nodes, self.compiler, self.namespaces, self.order_mode = nodes.select(*COLUMNS), compiler, namespaces or {}, order_mode
+    catalog: addresses of documents and collections; keys: ``name -> (pattern, use)`` for ``key()``; accumulators: those
+    that ``accumulator-before`` and ``-after`` may name.
+    """
 
-    # -- relations
+    def __init__(self, nodes: DataFrame, compiler: Compiler, namespaces: dict | None = None, order_mode: str = "reference", scope: str = "document", catalog=None, keys: dict | None = None, accumulators: tuple = ()):
+        if order_mode not in ("reference", "spec") or scope not in ("document", "all"):
+            raise StaticError("XPST0001", f"order mode {order_mode}, scope {scope}")
+        self.columns = COLUMNS + [c for c in MORE if c in nodes.columns]
+        self.nodes, self.compiler, self.namespaces = nodes.select(*self.columns), compiler, namespaces or {}
+        self.order_mode, self.scope, self.catalog, self.keys, self.accumulators = order_mode, scope, catalog, keys or {}, accumulators
+        self.made = 0
 
-    def documents(self) -> DataFrame:
-        """Document nodes; each document is an iteration of its own."""
-        return self.nodes.where(F.col("level") == 0).withColumn("it", F.col("doc_id"))
+    def fresh(self, n: int = 1) -> tuple[str, ...]:
+        self.made += n
+        return tuple(f"i{self.made - k}" for k in range(n))
 
-    def path(self, n: A.Path, context: DataFrame) -> DataFrame:
-        """The nodes of a path from ``context`` (``it`` and node columns), each once an iteration."""
-        now, steps = context, list(n.steps)
-        if isinstance(n.start, A.Root):
-            if not steps:
-                return self.root_of(context)
-            if context is None or "__documents" in context.columns:
-                now, steps = self.from_root(steps)
+    # -- environments
+
+    def top(self) -> Env:
+        if self.scope == "all":
+            return Env((), self.nodes.sparkSession.range(1).select(F.lit(True).alias("__one")))
+        (doc,) = self.fresh()
+        docs = self.nodes.where("level = 0").withColumn(doc, F.col("doc_id"))
+        return Env((doc,), docs.select(doc), Seq(docs, (doc,), flat=True, level=0, single=True), doc=doc)
+
+    def inside(self, seq: Seq, env: Env, correlated: bool = False) -> tuple[DataFrame, Env]:
+        """Rows of ``seq`` and the environment of an expression with each of them as context node."""
+        a, b = self.fresh(2)
+        rows = seq.df.withColumns({a: F.col("doc_id"), b: F.col("pre")})
+        it = (*seq.it, a, b) if correlated else (a, b)
+        # contexts that repeat count once
+        known = rows if seq.unique or (correlated and not seq.bag) else rows.dropDuplicates(list(it))
+        focus = Seq(known.select(*it, *self.columns), it, flat=True, level=seq.level, unique=not correlated, single=True)
+        loops = env.loops if correlated else {}
+        return rows, Env(it, known.select(*it), focus, loops, env.values, a, free=not correlated)
+
+    def enter(self, seq: Seq, env: Env, ordered: bool, name: str | None = None) -> Env:
+        """An iteration for each item of ``seq``: as context node, or as the variable ``name``."""
+        marked = seq.atoms is not None or seq.bag or (ordered and seq.order is not None)
+        new = self.fresh(1 if marked else 2)
+        seq = self.lift(seq, env)
+        cols = {new[0]: seq.key()} if marked else {new[0]: F.col("doc_id"), new[1]: F.col("pre")}
+        it = (*env.it, *new)
+        rows = seq.df.withColumns(cols)
+        item = Seq(rows.select(*it, *self.columns), it, flat=True, level=seq.level, unique=seq.unique and not seq.bag, single=True, atoms=seq.atoms)
+        loops = env.loops if name is None else {**env.loops, name: item}
+        focus = item if name is None or self.compiler.options.compat else env.focus
+        return replace(env, it=it, rows=rows.select(*it), focus=focus, loops=loops, free=False, doc=new[0] if name is None and not marked else env.doc)
+
+    def leave(self, out: Seq, inner: Env, env: Env, ordered: bool, distinct: bool = False) -> Seq:
+        """The items of all of ``inner``'s iterations as one sequence of ``env``'s."""
+        out = self.lift(out, inner)
+        new = inner.it[len(env.it) :]
+        df, order = out.df, None
+        if ordered or out.atoms is not None:
+            at = F.col(new[0]) if len(new) == 1 else F.array(*new)
+            df, order = df.withColumn("seq", F.concat(at, out.key())), F.col("seq")
+        cols = [*env.it, *self.columns, *(["seq"] if order is not None else [])]
+        df = df.select(*cols)
+        if distinct and out.atoms is None:
+            df = self.once(df, env.it, order is not None)
+        return Seq(df, env.it, order, unique=False, bag=not distinct, atoms=out.atoms)
+
+    def once(self, df: DataFrame, it: tuple, ordered: bool) -> DataFrame:
+        """Each node once an iteration, at its first place."""
+        if not ordered:
+            return df.dropDuplicates([*it, "doc_id", "pre"])
+        rest = [c for c in self.columns if c not in ("doc_id", "pre")]
+        found = df.groupBy(*it, "doc_id", "pre").agg(F.min("seq").alias("seq"), *(F.first(c).alias(c) for c in rest))
+        return found.select(*it, *self.columns, "seq")
+
+    def lift(self, seq: Seq, env: Env) -> Seq:
+        """``seq`` for every iteration of ``env``."""
+        if set(seq.it) == set(env.it):
+            return seq
+        return replace(seq, df=on(env.rows.select(*env.it), seq.df, seq.it), it=env.it, unique=False)
+
+    # -- static kinds
+
+    def noded(self, n: A.Node, env: Env) -> bool:
+        """True if an expression gives nodes."""
+        if isinstance(n, A.Path):
+            return not n.steps or isinstance(n.steps[-1], A.Step) or self.noded(n.steps[-1], env)
+        if isinstance(n, A.Root | A.Context):
+            return isinstance(n, A.Root) or (env.focus is not None and env.focus.atoms is None)
+        if isinstance(n, A.Bin):
+            return n.op in ("union", "intersect", "except")
+        if isinstance(n, A.Filter):
+            return self.noded(n.base, env)
+        if isinstance(n, A.Sequence):
+            return bool(n.items) and all(self.noded(x, env) for x in n.items)
+        if isinstance(n, A.If):
+            branches = [x for x in (n.then, n.other) if not (isinstance(x, A.Sequence) and not x.items)]
+            return bool(branches) and all(self.noded(x, env) for x in branches)
+        if isinstance(n, A.For | A.Let):
+            return self.noded(n.body, self.known(n.bindings, env))
+        if isinstance(n, A.SimpleMap):
+            return self.noded(n.right, replace(env, focus=self.any_node()) if self.noded(n.left, env) else replace(env, focus=None))
+        if isinstance(n, A.Call):
+            name = n.name.removeprefix("fn:")
+            return name in SOURCES or (name in NODE_CALLS and (self.noded(n.args[0], env) if n.args else name == "root"))
+        return isinstance(n, A.Var) and n.name in env.loops and env.loops[n.name].atoms is None
+
+    def known(self, bindings: list, env: Env) -> Env:
+        """The environment of a body as far as kinds go."""
+        for name, source in bindings:
+            if self.plural(source, env):
+                env = replace(env, loops={**env.loops, name: self.any_node() if self.noded(source, env) else replace(self.any_node(), atoms="str")})
+        return env
+
+    def any_node(self) -> Seq:
+        return Seq(self.nodes, ())
+
+    def plural(self, n: A.Node, env: Env) -> bool:
+        """True if an expression is computed as rows: it reads nodes and may give many items."""
+        if isinstance(n, A.Context):
+            return False
+        if isinstance(n, A.Path):
+            return True
+        if isinstance(n, A.Sequence):
+            return any(self.plural(x, env) for x in n.items)
+        if isinstance(n, A.If):
+            return self.plural(n.then, env) or self.plural(n.other, env)
+        if isinstance(n, A.For):
+            return any(self.plural(s, env) for _, s in n.bindings) or self.plural(n.body, self.known(n.bindings, env))
+        if isinstance(n, A.Let):
+            return self.plural(n.body, self.known(n.bindings, env))
+        if isinstance(n, A.SimpleMap):
+            return self.plural(n.left, env) or self.plural(n.right, env)
+        if isinstance(n, A.Filter):
+            return self.plural(n.base, env)
+        if isinstance(n, A.Call) and n.args and n.name.removeprefix("fn:") in NODE_CALLS | {"distinct-values", "data"}:
+            return self.plural(n.args[0], env)
+        return self.noded(n, env)
+
+    def kind_of(self, p: A.Node, env: Env) -> str:
+        """num, bool, nodes, str, or any if only the compiled expression can tell."""
+        if isinstance(p, A.Num | A.Unary) or (isinstance(p, A.Bin) and p.op in ("+", "-", "*", "div", "mod", "idiv")):
+            return "num"
+        if isinstance(p, A.Bin):
+            return "nodes" if p.op in ("union", "intersect", "except") else "bool" if p.op not in ("to", "||") else "any"
+        if isinstance(p, A.Str | A.Template):
+            return "str"
+        if isinstance(p, A.Quant) or (isinstance(p, A.TypeOp) and p.op in ("instance of", "castable as")):
+            return "bool"
+        if self.noded(p, env):
+            return "nodes"
+        if isinstance(p, A.Call):
+            name = p.name.removeprefix("fn:")
+            if name in NUMERIC:
+                return "num"
+            if name in ("not", "empty", "exists", "boolean", "true", "false", "contains", "starts-with", "ends-with", "matches", "lang", "has-children", "nilled", "doc-available", "deep-equal"):
+                return "bool"
+        return "any"
+
+    # -- expressions as rows
+
+    def relation(self, n: A.Node, env: Env, ordered: bool = False) -> Seq:
+        """An expression that gives nodes."""
+        out = self.sequence(n, env, ordered)
+        if out.atoms is not None:
+            raise TypeMismatch("XPTY0019", f"{type(n).__name__} is not a node sequence")
+        return out
+
+    def sequence(self, n: A.Node, env: Env, ordered: bool = False) -> Seq:
+        """Any expression: nodes, or atomic items as rows of kind 0 with their text as ``str_val`` and type as ``name``."""
+        if isinstance(n, A.Path | A.Root):
+            return self.path(n if isinstance(n, A.Path) else A.Path(n, []), env, ordered)
+        if isinstance(n, A.Context) and env.focus is not None:
+            return env.focus
+        if isinstance(n, A.Var) and n.name in env.loops:
+            return env.loops[n.name]
+        if isinstance(n, A.Bin) and n.op in ("union", "intersect", "except"):
+            return self.combined(n, env)
+        if isinstance(n, A.Sequence) and n.items:
+            return self.comma([self.sequence(x, env, ordered) for x in n.items], env, ordered)
+        if isinstance(n, A.Filter) and self.plural(n.base, env):
+            # positions count over the whole sequence of an iteration
+            return self.filtered(self.sequence(n.base, env, True), n.predicates, (), None, env)
+        if isinstance(n, A.If) and self.plural(n, env):
+            return self.choice(n, env, ordered)
+        if isinstance(n, A.For) and self.plural(n, env):
+            return self.loop(n, env, ordered)
+        if isinstance(n, A.Let):
+            return self.sequence(n.body, self.bound(n.bindings, env), ordered)
+        if isinstance(n, A.SimpleMap) and self.plural(n, env):
+            if not self.plural(n.left, env):
+                return self.loop(A.For([("__each", n.left)], substitute(n.right, "__each", back=True)), env, ordered)
+            return self.mapped(self.sequence(n.left, env, ordered), n.right, env, ordered)
+        if isinstance(n, A.Call):
+            out = self.called(n, env, ordered)
+            if out is not None:
+                return out
+        return self.scalar(n, env)
+
+    def scalar(self, n: A.Node, env: Env) -> Seq:
+        """An expression of values, once for each iteration."""
+        if isinstance(n, A.Sequence) and not n.items:
+            return Seq(self.atom_rows(env.rows.where(F.lit(False)), F.lit(""), "str", env.it, F.array(F.lit(0).cast("long"))), env.it, F.col("seq"), atoms="str")
+        s = Scope(self, env.rows if env.focus is None or set(env.focus.it) != set(env.it) else env.focus.df, env)
+        v = s.compile(n)
+        return self.spread(s.result(), v, env.it, None)
+
+    def spread(self, df: DataFrame, v: Val, it: tuple, at: Column | None) -> Seq:
+        """A value column as atomic items, one row each; ``at`` is the order of the rows they come from."""
+        if v.kind in ("arr", "map", "rec", "fn"):
+            raise TypeMismatch("FOTY0012", f"a {v.kind} has no string value")
+        zero = F.array(F.lit(0).cast("long"))
+        if v.many:
+            df = df.select("*", F.posexplode(v.col).alias("__at", "__item"))
+            text, place = core.to_str(Val(F.col("__item"), v.ty.item)), F.array(F.col("__at").cast("long"))
+        else:
+            df = df.withColumn("__item", v.col).where("__item IS NOT NULL")
+            text, place = core.to_str(Val(F.col("__item"), v.ty.item)), zero
+        order = place if at is None else F.concat(at, place)
+        kind = v.kind if v.kind in ("num", "bool") else "str"
+        return Seq(self.atom_rows(df, text, kind, it, order), it, F.col("seq"), unique=False, atoms=kind, single=not v.many and at is None)
+
+    def atom_rows(self, df: DataFrame, text: Column, kind: str, it: tuple, order: Column) -> DataFrame:
+        types = dict(self.nodes.dtypes)
+        given = {"kind": F.lit(ATOM), "name": F.lit(kind), "value": text, "str_val": text}
+        return df.select(*it, *(given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in self.columns), order.alias("seq"))
+
+    def combined(self, n: A.Bin, env: Env) -> Seq:
+        a, b = (self.relation(x, env) for x in (n.left, n.right))
+        it = a.it
+        if set(a.it) != set(b.it):
+            it = tuple(x for x in env.it if x in a.it or x in b.it)
+            rows = replace(env, it=it, rows=env.rows.select(*it).distinct())
+            a, b = self.lift(a, rows), self.lift(b, rows)
+        same = [*it, "doc_id", "pre"]
+        cols = [*it, *self.columns]
+        if n.op == "union":
+            return Seq(a.df.select(*cols).unionByName(b.df.select(*cols)).dropDuplicates(same), it, unique=a.unique and b.unique)
+        df = a.df.select(*cols) if not a.bag else a.df.select(*cols).dropDuplicates(same)
+        return Seq(df.join(b.df.select(*same), same, "left_semi" if n.op == "intersect" else "left_anti"), it, flat=a.flat, level=a.level, unique=a.unique)
+
+    def comma(self, parts: list[Seq], env: Env, ordered: bool) -> Seq:
+        atoms = {p.atoms for p in parts}
+        parts = [self.lift(p, env) for p in parts]
+        marked = ordered or atoms != {None}
+        cols = [*env.it, *self.columns]
+        dfs = [p.df.withColumn("seq", F.concat(F.array(F.lit(k).cast("long")), p.key())).select(*cols, "seq") if marked else p.df.select(*cols) for k, p in enumerate(parts)]
+        kind = None if atoms == {None} else next(iter(atoms)) if len(atoms) == 1 else "str"
+        return Seq(functools.reduce(DataFrame.unionByName, dfs), env.it, F.col("seq") if marked else None, unique=False, bag=len(parts) > 1, atoms=kind)
+
+    def choice(self, n: A.If, env: Env, ordered: bool) -> Seq:
+        s = Scope(self, env.rows if env.focus is None or set(env.focus.it) != set(env.it) else env.focus.df, env)
+        test = core.ebv(s.compile(n.test))
+        rows = s.result().select(*env.it, test.alias("__test"))
+        parts = []
+        for branch, keep in ((n.then, F.col("__test")), (n.other, ~F.col("__test"))):
+            if isinstance(branch, A.Sequence) and not branch.items:
+                continue
+            found = self.sequence(branch, env, ordered)
+            parts.append(replace(found, df=on(rows.where(keep).select(*env.it), found.df, found.it), it=env.it))
+        return replace(self.comma(parts, env, ordered), bag=any(p.bag for p in parts), unique=all(p.unique for p in parts)) if len(parts) > 1 else parts[0]
+
+    def bound(self, bindings: list, env: Env) -> Env:
+        for name, source in bindings:
+            if self.plural(source, env) or variables(source) & env.loops.keys():
+                env = replace(env, loops={**env.loops, name: self.sequence(source, env, True)})
             else:
-                now = self.root_of(context)
-        elif not isinstance(n.start, A.Context):
-            now = self.relation(n.start, context)
+                s = Scope(self, env.rows, env)
+                v = s.compile(source)
+                if s.joins or s.ready:
+                    env = replace(env, loops={**env.loops, name: self.sequence(source, env, True)})
+                else:
+                    env = replace(env, values={**env.values, name: v})
+        return env
+
+    def loop(self, n: A.For, env: Env, ordered: bool) -> Seq:
+        """``for``: an iteration for each item of each binding; a condition on all of them narrows the last binding."""
+        bindings, body = list(n.bindings), n.body
+        empty = isinstance(body, A.If) and isinstance(body.other, A.Sequence) and not body.other.items
+        last, source = bindings[-1]
+        if empty and isinstance(source, A.Path) and source.steps and isinstance(source.steps[-1], A.Step) and movable(body.test, last, {name for name, _ in bindings}):
+            step = source.steps[-1]
+            test = A.Call("boolean", [substitute(body.test, last)]) if self.kind_of(body.test, env) != "bool" else substitute(body.test, last)
+            bindings[-1] = (last, replace(source, steps=[*source.steps[:-1], replace(step, predicates=[*step.predicates, test])]))
+            body = body.then
+        envs = [env]
+        for name, source in bindings:
+            now = envs[-1]
+            envs.append(self.enter(self.sequence(rewrite(source), now, ordered), now, ordered, name))
+        out = self.sequence(body, envs[-1], ordered)
+        for inner, outer in zip(reversed(envs[1:]), reversed(envs[:-1]), strict=True):
+            out = self.leave(out, inner, outer, ordered)
+        return out
+
+    def mapped(self, seq: Seq, body: A.Node, env: Env, ordered: bool, step: bool = False) -> Seq:
+        """``body`` with each item as context; ``step``: nodes come once, as after a path's step."""
+        if seq.atoms is None and (self.noded(body, replace(env, focus=seq)) or self.plural(body, replace(env, focus=seq))):
+            inner = self.enter(seq, env, ordered)
+            return self.leave(self.sequence(body, inner, ordered), inner, env, ordered, step)
+        # a value for each item: no further rows
+        calls = {c.name.removeprefix("fn:") for c in own_calls(body) if not c.args}
+        correlated = bool(variables(body) & env.loops.keys())
+        seq = self.lift(seq, env) if correlated else seq
+        if seq.atoms is None:
+            rows, inside = self.inside(seq, env, correlated)
+            s = Scope(self, rows, inside)
+        else:
+            s = Scope(self, seq.df, replace(env, it=seq.it, focus=replace(seq, single=True)), item=seq)
+        v = s.compile(body, position=F.col("__pos"), last=F.col("__last"))
+        df = s.result()
+        if calls & {"position", "last"}:
+            df = self.numbered(df, seq.it, [seq.key()])
+        return self.spread(df, v, seq.it, seq.key())
+
+    def numbered(self, df: DataFrame, by: tuple, order: list[Column]) -> DataFrame:
+        w = Window.partitionBy(*by)
+        return df.withColumns({"__pos": F.row_number().over(w.orderBy(*order)), "__last": F.count("*").over(w)})
+
+    # -- paths
+
+    def path(self, n: A.Path, env: Env, ordered: bool = False) -> Seq:
+        """The nodes of a path: after every step each once an iteration."""
+        steps = list(n.steps)
+        if isinstance(n.start, A.Root):
+            now, steps = self.from_documents(steps, env, ordered)
+        elif isinstance(n.start, A.Context):
+            if env.focus is None:
+                raise DynamicError("XPDY0002", "no context item")
+            now = env.focus
+            if env.free and steps and isinstance(steps[0], A.Step) and steps[0].axis in ("child", "attribute"):
+                now, steps = self.from_parents(steps[0], env), steps[1:]
+        else:
+            now = self.relation(n.start, env, ordered)
         for s in steps:
-            now = self.step(now, s) if isinstance(s, A.Step) else self.expression_step(now, s)
+            now = self.step(now, s, env, ordered) if isinstance(s, A.Step) else self.expression_step(now, s, env, ordered)
         return now
 
-    def top(self) -> DataFrame:
-        return self.documents().withColumn("__documents", F.lit(True))
-
-    def root_of(self, context: DataFrame) -> DataFrame:
-        if "__documents" in context.columns:
-            return context.drop("__documents")
-        docs = context.select("it", F.col("doc_id").alias("c_doc")).distinct()
-        return self.nodes.where("level = 0").join(docs, F.col("doc_id") == F.col("c_doc")).drop("c_doc")
-
-    def from_root(self, steps: list) -> tuple[DataFrame, list]:
-        """From all roots a child or descendant step is a filter on the nodes, without a join."""
-        s = steps[0]
-        if isinstance(s, A.Step) and s.axis in ("child", "descendant"):
-            low = F.col("level") == 1 if s.axis == "child" else F.col("level") >= 1
-            found = self.nodes.where(low & ~F.col("kind").isin(ATTRIBUTE, NAMESPACE) & test_condition(s.test, s.axis, self.namespaces))
-            found = found.withColumns({"it": F.col("doc_id"), "c_pre": F.lit(0).cast("long")})
-            return self.filtered(found, s.predicates, s.axis).drop("c_pre"), steps[1:]
-        return self.documents(), steps
-
-    def step(self, context: DataFrame, s: A.Step) -> DataFrame:
-        found = self.filtered(self.axis(context, s), s.predicates, s.axis).drop("c_pre")
-        return found if s.axis in DISTINCT else found.dropDuplicates(["it", "doc_id", "pre"])
-
-    def axis(self, context: DataFrame, s: A.Step) -> DataFrame:
-        axis = s.axis
-        keys = {"doc_id": "c_doc", "pre": "c_pre", "fin": "c_fin", "parent": "c_parent", "ord": "c_ord", "anc": "c_anc", "kind": "c_kind"}
-        c = context.select("it", *(F.col(a).alias(b) for a, b in keys.items()))
-        plain = ~F.col("kind").isin(ATTRIBUTE, NAMESPACE)
-        fits = test_condition(s.test, axis, self.namespaces)
-        if axis == "self":
-            return context.where(fits).withColumn("c_pre", F.col("pre"))
-        d = self.nodes.where(fits if axis in ("attribute", "namespace", "parent", "ancestor", "ancestor-or-self", "descendant-or-self") else fits & plain)
+    def keyed(self, df: DataFrame, name: str | None) -> DataFrame:
+        return df if name is None else df.withColumn(name, F.col("doc_id"))
+
+    def simple(self, s: A.Node, first: bool) -> bool:
+        """True if a step from the root, or from one of simple steps, can be a filter on the nodes."""
+        if not isinstance(s, A.Step):
+            return False
+        if s.axis == "//@":
+            return first
+        return s.axis in ("child", "//", "descendant") and s.test.kind != "document" and (first or (s.test.kind in ("name", "any") and s.test.prefix is None))
+
+    def from_documents(self, steps: list, env: Env, ordered: bool) -> tuple[Seq, list]:
+        """Absolute steps: a chain of names is one filter on the nodes, without a join."""
+        it = (env.doc,) if env.doc else ()
+        n = 0
+        while n < len(steps) and self.simple(steps[n], n == 0):
+            n += 1
+            if steps[n - 1].predicates or steps[n - 1].axis == "//@" or steps[n - 1].test.kind not in ("name", "any") or steps[n - 1].test.prefix is not None:
+                break
+        strict = ordered and self.order_mode == "reference"
+        while n > 1 and ("path" not in self.columns or (strict and any(s.axis == "//" for s in steps[:n])) or (steps[n - 1].axis == "descendant" and steps[n - 1].predicates)):
+            n -= 1
+        if n == 0:
+            return Seq(self.keyed(self.nodes.where("level = 0"), env.doc), it, flat=True, level=0, single=bool(it)), steps
+        last, down = steps[n - 1], all(s.axis == "child" for s in steps[:n])
+        here = test_condition(last.test, last.axis, self.namespaces)
+        if last.axis != "//@":
+            here = here & ~F.col("kind").isin(ATTRIBUTE, NAMESPACE)
+        if n == 1:
+            here = here & (F.col("level") == 1 if down else F.col("level") >= 1)
+        else:
+            name = lambda s: re.escape(s.test.name) if s.test.kind == "name" else "[^/]+"
+            if down and all(s.test.kind == "name" for s in steps[:n]):
+                here = here & (F.col("path") == "".join(f"/{s.test.name}" for s in steps[:n]))
+            else:
+                here = here & F.col("path").rlike("^" + "".join(("/" if s.axis == "child" else "(?:/[^/]+)*/") + name(s) for s in steps[:n]) + "$")
+        found = Seq(self.keyed(self.nodes.where(here), env.doc), it, flat=down or last.axis == "//@", level=n if down else None)
+        found = self.filtered(found, last.predicates, ("doc_id",) if last.axis == "descendant" else ("doc_id", "parent"), [F.asc("pre")], env)
+        return replace(found, order=F.array("doc_id", "parent", "pre") if strict and last.axis == "//" else None), steps[n:]
+
+    def from_parents(self, s: A.Step, env: Env) -> Seq:
+        """A first child or attribute step of all nodes, keyed by the parent: what is no context meets none afterwards."""
+        a, b = env.it
+        here = test_condition(s.test, s.axis, self.namespaces)
+        plain = F.col("kind").isin(ATTRIBUTE, NAMESPACE)
+        rows = self.nodes.where(here & (F.col("kind") == ATTRIBUTE if s.axis == "attribute" else ~plain) & F.col("parent").isNotNull())
+        level = env.focus.level + 1 if env.focus is not None and env.focus.level is not None else None
+        rows = rows if level is None else rows.where(F.col("level") == level)
+        rows = self.tested(rows, s.test)
+        found = Seq(rows.withColumns({a: F.col("doc_id"), b: F.col("parent")}), env.it, flat=True, level=level)
+        return self.filtered(found, s.predicates, (), [F.asc("pre")], env)
+
+    def tested(self, df: DataFrame, test: A.Test) -> DataFrame:
+        """``document-node(element(n))``: documents whose first element fits."""
+        if test.kind != "document" or test.inner is None:
+            return df
+        roots = self.nodes.where((F.col("level") == 1) & (F.col("kind") == ELEMENT))
+        first = roots.groupBy(F.col("doc_id").alias("__r")).agg(*(F.min_by(c, "pre").alias(c) for c in ("kind", "name", "local", "ns_uri")))
+        fits = first.where(test_condition(test.inner, "child", self.namespaces)).select("__r")
+        return df.join(fits, F.col("doc_id") == F.col("__r")).drop("__r")
+
+    def step(self, ctx: Seq, s: A.Step, env: Env, ordered: bool = False) -> Seq:
+        if ctx.atoms is not None:
+            raise TypeMismatch("XPTY0019", f"step {s.axis} on a value")
+        strict = ordered and self.order_mode == "reference"
+        if s.axis == "namespace":
+            return self.filtered(self.namespace_nodes(ctx, s), s.predicates, ("parent",), [F.asc("ord")], env)
+        if strict and (ctx.order is not None or s.axis not in EASY):
+            return self.pairwise(ctx, s, env, True)
+        parental = s.axis in ("self", "child", "attribute", "//", "//@")
+        counted = any(self.kind_of(p, env) in ("num", "any") or self.placed(p) for p in s.predicates)
+        if counted and not parental:
+            return self.nth(ctx, s, env) or self.pairwise(ctx, s, env, False)
+        out = self.targets(ctx, s)
+        order = F.array("doc_id", "parent", "pre") if strict and (s.axis == "//" or (s.axis in ("child", "attribute") and not ctx.flat)) else None
+        by = ("doc_id", "pre") if s.axis == "self" else ("doc_id", "parent")
+        return replace(self.filtered(out, s.predicates, by, [F.asc("pre")], env), order=order)
+
+    @staticmethod
+    def placed(p: A.Node) -> bool:
+        return any(c.name.removeprefix("fn:") in ("position", "last") and not c.args for c in own_calls(p))
+
+    def goal(self, s: A.Step) -> DataFrame:
+        """The nodes that a step may reach, by its test."""
+        here = test_condition(s.test, s.axis, self.namespaces)
+        if s.axis not in ("attribute", "//@", "parent", "ancestor", "ancestor-or-self", "descendant-or-self"):
+            here = here & ~F.col("kind").isin(ATTRIBUTE, NAMESPACE)
+        if s.axis in ("attribute", "//@"):
+            here = here & (F.col("kind") == ATTRIBUTE)
+        # only elements and documents have others below them
+        if s.axis in ("parent", "ancestor"):
+            here = here & F.col("kind").isin(ELEMENT, DOCUMENT)
+        return self.tested(self.nodes.where(here), s.test)
+
+    def targets(self, ctx: Seq, s: A.Step) -> Seq:
+        """The distinct nodes of a step. Contexts are reduced to distinct keys first, so results need no deduplication."""
+        axis, it = s.axis, list(ctx.it)
         same = F.col("doc_id") == F.col("c_doc")
-        pre, fin, parent = (F.col(k) for k in ("pre", "fin", "parent"))
-        c_pre, c_fin, c_parent = (F.col(k) for k in ("c_pre", "c_fin", "c_parent"))
+        cols = [*it, *self.columns]
+        c = ctx.df.select(*it, F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"))
+        if axis == "self":
+            return replace(ctx, df=self.tested(ctx.df.where(test_condition(s.test, axis, self.namespaces)).select(*cols), s.test), order=None)
+        below = replace(ctx, level=None if ctx.level is None else ctx.level + 1, order=None, single=False)
+        if axis == "attribute" and (rows := self.attributes(ctx, s.test)) is not None:
+            return replace(below, df=rows.select(*cols), flat=True)
+        d = self.goal(s)
         if axis in ("child", "attribute"):
-            out = c.join(d, same & (parent == c_pre))
+            c = c.distinct() if ctx.bag else c
+            return replace(below, df=c.join(d, same & (F.col("parent") == F.col("c_pre"))).select(*cols), flat=ctx.flat or axis == "attribute", bag=False)
+        unique = ctx.unique and (ctx.it == () or len(ctx.it) == 1)
+        if axis == "parent":
+            keys = ctx.df.where("parent IS NOT NULL").select(*it, F.col("doc_id").alias("c_doc"), F.col("parent").alias("c_pre")).distinct()
+            return Seq(keys.join(d, same & (F.col("pre") == F.col("c_pre"))).select(*cols), ctx.it, level=ctx.level - 1 if ctx.level else None, flat=ctx.level is not None, unique=unique)
+        if axis in ("ancestor", "ancestor-or-self"):
+            up = F.col("anc") if axis == "ancestor" else F.concat("anc", F.array("pre"))
+            keys = ctx.df.select(*it, F.col("doc_id").alias("c_doc"), F.explode(up).alias("c_pre")).distinct()
+            return Seq(keys.join(d, same & (F.col("pre") == F.col("c_pre"))).select(*cols), ctx.it, unique=unique)
+        if axis in ("descendant", "descendant-or-self", "//", "//@"):
+            own = axis == "descendant-or-self"
+            if ctx.level is not None:
+                # all contexts are of one level: a node has one ancestor there
+                at = F.get("anc", F.lit(ctx.level))
+                at = F.when(F.col("level") == ctx.level, F.col("pre")).otherwise(at) if own else at
+                d, c = d.where(F.col("level") >= ctx.level).withColumn("__a", at), c.distinct() if ctx.bag else c
+            else:
+                c = self.outermost(ctx).select(*it, F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre")) if not ctx.flat else c
+                d = d.withColumn("__a", F.explode(F.concat("anc", F.array("pre")) if own else F.col("anc")))
+            out = c.join(d, same & (F.col("__a") == F.col("c_pre")))
+            if own:
+                out = out.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE) | (F.col("pre") == F.col("c_pre")))
+            return Seq(out.select(*cols), ctx.it, flat=axis == "//@", unique=ctx.unique)
+        if axis == "self-and-siblings":
+            keys = ctx.df.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE)).select(*it, F.col("doc_id").alias("c_doc"), F.col("parent").alias("c_pre")).distinct()
+            return Seq(keys.join(d, same & (F.col("parent") == F.col("c_pre"))).select(*cols), ctx.it, flat=True, level=ctx.level, unique=unique)
+        # of all contexts in a group the first or last one decides
+        if axis in SIBLINGS:
+            edge = F.min("ord") if axis == "following-sibling" else F.max("ord")
+            keys = ctx.df.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE)).groupBy(*it, F.col("doc_id").alias("c_doc"), F.col("parent").alias("c_pre")).agg(edge.alias("__edge"))
+            beyond = F.col("ord") > F.col("__edge") if axis == "following-sibling" else F.col("ord") < F.col("__edge")
+            return Seq(keys.join(d, same & (F.col("parent") == F.col("c_pre")) & beyond).select(*cols), ctx.it, flat=True, level=ctx.level, unique=unique)
+        edge, beyond = (F.min("fin"), F.col("pre") > F.col("__edge")) if axis == "following" else (F.max("pre"), F.col("fin") < F.col("__edge"))
+        if axis not in ("following", "preceding"):
+            raise StaticError("XPST0010", axis)
+        keys = ctx.df.groupBy(*it, F.col("doc_id").alias("c_doc")).agg(edge.alias("__edge"))
+        # one row for a document and iteration: no node is met twice
+        return Seq(d.join(keys, same & beyond).select(*cols), ctx.it, unique=unique)
+
+    def attributes(self, ctx: Seq, test: A.Test) -> DataFrame | None:
+        """Attribute nodes made from their elements' ``attrs``, without a join; None if that can't be done."""
+        if "attrs" not in self.columns or test.prefix is not None or test.kind not in ("name", "any") or ctx.bag:
+            return None
+        if test.kind == "name":
+            rows, name, a = ctx.df, F.lit(test.name), F.col("attrs")[test.name]
+        else:
+            rest = [c for c in ctx.df.columns if c != "attrs"]
+            rows = ctx.df.select(*rest, F.explode("attrs").alias("__k", "__a"))
+            name, a = F.col("__k"), F.col("__a")
+        made = {
+            "pre": F.col("pre") + a["off"], "fin": F.col("pre") + a["off"], "level": F.col("level") + 1, "parent": F.col("pre"), "kind": F.lit(ATTRIBUTE).cast("tinyint"), "name": name, "local": name, "ns_uri": F.lit(""),
+            "value": a["v"], "str_val": a["v"], "ord": a["off"].cast("long"), "anc": F.concat("anc", F.array("pre")), "attrs": F.lit(None).cast(dict(self.nodes.dtypes)["attrs"]),
+        }
+        return rows.where(a["v"].isNotNull()).select(*ctx.it, *(made.get(c, F.col(c)).alias(c) for c in self.columns))
+
+    def attribute(self, n: A.Node) -> Column | None:
+        """The value of an attribute of the row at hand, if a column holds it."""
+        if "attrs" not in self.columns or not isinstance(n, A.Path) or not isinstance(n.start, A.Context) or len(n.steps) != 1:
+            return None
+        s = n.steps[0]
+        fits = isinstance(s, A.Step) and s.axis == "attribute" and not s.predicates and s.test.kind == "name" and s.test.prefix is None
+        return F.col("attrs")[s.test.name]["v"] if fits else None
+
+    def outermost(self, ctx: Seq) -> DataFrame:
+        """The contexts that no other one holds."""
+        it = list(ctx.it)
+        rows = ctx.df.dropDuplicates([*it, "doc_id", "pre"]) if ctx.bag else ctx.df
+        ups = rows.select(*it, "doc_id", F.explode("anc").alias("__up"), F.col("pre").alias("__below"))
+        tops = rows.select(*it, "doc_id", F.col("pre").alias("__up"))
+        hit = ups.join(tops, [*it, "doc_id", "__up"]).select(*it, "doc_id", F.col("__below").alias("pre")).distinct()
+        return rows.join(hit, [*it, "doc_id", "pre"], "left_anti")
+
+    def namespace_nodes(self, ctx: Seq, s: A.Step) -> Seq:
+        """In-scope namespaces of each element: the nearest declaration of a prefix, ``xml`` always; undeclared ones are out.
+
+        Each element has nodes of its own, numbered below all others by a hash of element and prefix.
+        """
+        it = list(ctx.it)
+        c = ctx.df.where(F.col("kind") == ELEMENT).select(*it, F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("level").alias("c_level"), F.col("anc").alias("c_anc"))
+        scope = c.withColumn("__a", F.explode(F.concat("c_anc", F.array("c_pre"))))
+        found = self.nodes.where(F.col("kind") == NAMESPACE).select(F.col("doc_id").alias("__d"), F.col("parent").alias("__p"), F.col("pre").alias("__at"), F.col("level").alias("__l"), F.col("local").alias("prefix"), F.col("value").alias("uri"))
+        known = scope.join(found, (F.col("c_doc") == F.col("__d")) & (F.col("__a") == F.col("__p"))).groupBy(*it, "c_doc", "c_pre", "c_level", "c_anc", "prefix")
+        known = known.agg(F.max_by("uri", "__l").alias("uri"), F.max(F.struct("__l", -F.col("__at"))).alias("__near")).where("uri <> ''")
+        known = known.select(*it, "c_doc", "c_pre", "c_level", "c_anc", "prefix", "uri", "__near")
+        none = F.lit(None).cast("struct<__l:int,col2:bigint>")
+        xml = c.select(*it, "c_doc", "c_pre", "c_level", "c_anc", F.lit("xml").alias("prefix"), F.lit(XML_NS).alias("uri"), none.alias("__near"))
+        rows = known.union(xml).withColumn("__n", F.row_number().over(Window.partitionBy(*it, "c_doc", "c_pre").orderBy(F.desc_nulls_last("__near"))))
+        types = dict(self.nodes.dtypes)
+        at = -F.abs(F.xxhash64("c_pre", "prefix").bitwiseAND(F.lit((1 << 62) - 1))) - 1
+        made = {"doc_id": F.col("c_doc"), "pre": at, "fin": at, "level": F.col("c_level") + 1, "parent": F.col("c_pre"), "kind": F.lit(NAMESPACE), "name": F.col("prefix"), "local": F.col("prefix"), "ns_uri": F.col("uri"), "value": F.col("uri"), "str_val": F.col("uri"), "ord": F.col("__n"), "anc": F.concat("c_anc", F.array("c_pre"))}
+        df = rows.select(*it, *(made.get(c, F.lit(None)).cast(types[c]).alias(c) for c in self.columns))
+        return Seq(df.where(test_condition(s.test, "namespace", self.namespaces)), ctx.it, flat=True, unique=ctx.unique)
+
+    # -- steps that need each context by itself
+
+    def positions(self, axis: str) -> list[Column]:
+        """The order in which an axis numbers its nodes."""
+        if axis in ("ancestor", "ancestor-or-self") or (axis in ("preceding", "preceding-sibling") and self.order_mode == "spec"):
+            return [F.desc("pre")]
+        if axis == "preceding":
+            # a subtree's root stands after all that is below it
+            root = F.get(F.array_except(F.concat("anc", F.array("pre")), "c_anc"), F.lit(0))
+            return [root.asc(), (F.col("pre") == root).asc(), F.asc("pre")]
+        return [F.asc("pre")]
+
+    def pairs(self, ctx: Seq, s: A.Step, keyed: bool) -> DataFrame:
+        """A row for each context and node that it reaches."""
+        axis, it = s.axis, list(ctx.it)
+        names = {"doc_id": "c_doc", "pre": "c_pre", "fin": "c_fin", "parent": "c_parent", "ord": "c_ord", "anc": "c_anc", "kind": "c_kind"}
+        c = ctx.df.select(*it, *(F.col(a).alias(b) for a, b in names.items()), *([ctx.key().alias("c_seq")] if keyed else []))
+        d = self.goal(s)
+        same = F.col("doc_id") == F.col("c_doc")
+        pre, parent = F.col("pre"), F.col("parent")
+        if axis == "self":
+            out = c.join(d, same & (pre == F.col("c_pre")))
+        elif axis in ("child", "attribute"):
+            out = c.join(d, same & (parent == F.col("c_pre")))
         elif axis == "parent":
-            d = d.where(F.col("kind").isin(ELEMENT, DOCUMENT))
-            out = c.join(d, same & (pre == c_parent))
-        elif axis == "namespace":
-            declared = self.nodes.where((F.col("kind") == NAMESPACE) & fits)
-            scope = c.withColumn("a", F.explode(F.concat("c_anc", F.array("c_pre"))))
-            out = scope.join(declared, same & (parent == F.col("a"))).drop("a")
-            nearest = Window.partitionBy("it", "c_pre", "local").orderBy(F.desc("level"))
-            out = out.withColumn("__near", F.row_number().over(nearest)).where("__near = 1").drop("__near")
+            out = c.join(d, same & (pre == F.col("c_parent")))
         elif axis in ("ancestor", "ancestor-or-self"):
             up = F.col("c_anc") if axis == "ancestor" else F.concat("c_anc", F.array("c_pre"))
-            # only elements and documents have others below them
-            d = d if axis == "ancestor-or-self" else d.where(F.col("kind").isin(ELEMENT, DOCUMENT))
-            out = c.withColumn("a", F.explode(up)).join(d, same & (pre == F.col("a"))).drop("a")
-        elif axis == "descendant":
-            out = c.join(d, same & (pre > c_pre) & (pre <= c_fin))
-        elif axis == "descendant-or-self":
-            out = c.join(d, same & (pre >= c_pre) & (pre <= c_fin)).where(plain | (pre == c_pre))
+            out = c.withColumn("__a", F.explode(up)).join(d, same & (pre == F.col("__a")))
+        elif axis in ("descendant", "descendant-or-self", "//", "//@"):
+            own = axis == "descendant-or-self"
+            out = c.join(d.withColumn("__a", F.explode(F.concat("anc", F.array("pre")) if own else F.col("anc"))), same & (F.col("__a") == F.col("c_pre")))
+            out = out.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE) | (pre == F.col("c_pre"))) if own else out
         elif axis in ("following-sibling", "preceding-sibling", "self-and-siblings"):
             order = {"following-sibling": F.col("ord") > F.col("c_ord"), "preceding-sibling": F.col("ord") < F.col("c_ord")}.get(axis, F.lit(True))
-            out = c.where(~F.col("c_kind").isin(ATTRIBUTE, NAMESPACE)).join(d, same & (parent == c_parent) & order)
-        elif axis == "following":
-            out = c.join(d, same & (pre > c_fin))
-        elif axis == "preceding":
-            out = c.join(d, same & (fin < c_pre))
+            out = c.where(~F.col("c_kind").isin(ATTRIBUTE, NAMESPACE)).join(d, same & (parent == F.col("c_parent")) & order)
+        elif axis in ("following", "preceding"):
+            out = c.join(d, same & (pre > F.col("c_fin") if axis == "following" else F.col("fin") < F.col("c_pre")))
         else:
             raise StaticError("XPST0010", axis)
-        return out.select("it", "c_pre", *COLUMNS)
+        return out.select(*it, "c_doc", "c_pre", "c_anc", *(["c_seq"] if keyed else []), *self.columns)
 
-    def order(self, axis: str) -> list[Column]:
-        """The order in which an axis numbers its nodes."""
-        if axis in ("ancestor", "ancestor-or-self") or (axis in REVERSE and self.order_mode == "spec"):
-            return [F.desc("pre")]
-        return [F.asc("pre")]
+    def pairwise(self, ctx: Seq, s: A.Step, env: Env, keyed: bool) -> Seq:
+        order = self.positions(s.axis)
+        by = ("doc_id", "parent") if s.axis == "//" else ()
+        found = self.filtered(Seq(self.pairs(ctx, s, keyed), ctx.it, unique=False), s.predicates, ("c_doc", "c_pre", *by), order, env)
+        it, df = found.it, found.df
+        if not keyed:
+            return Seq(self.once(df.select(*it, *self.columns), it, False), it, unique=len(it) <= 1)
+        # the axis' place of a node, as longs
+        place = {"ancestor": [F.bitwise_not("pre")], "ancestor-or-self": [F.bitwise_not("pre")], "//": [F.col("parent"), F.col("pre")]}.get(s.axis, [F.col("pre")])
+        if s.axis == "preceding":
+            root = F.get(F.array_except(F.concat("anc", F.array("pre")), "c_anc"), F.lit(0))
+            place = [root, (F.col("pre") == root).cast("long"), F.col("pre")]
+        df = df.withColumn("seq", F.concat("c_seq", F.array(*place))).select(*it, *self.columns, "seq")
+        return Seq(self.once(df, it, True), it, F.col("seq"), unique=len(it) <= 1)
+
+    def nth(self, ctx: Seq, s: A.Step, env: Env) -> Seq | None:
+        """``[k]`` and ``[last()]`` on siblings and ``following``: the node's rank is counted, and joined on; None for other forms."""
+        p = s.predicates[0]
+        last = isinstance(p, A.Call) and p.name == "last" and not p.args
+        whole = isinstance(p, A.Num) and p.value == int(p.value) and p.value >= 1
+        if s.axis not in (*SIBLINGS, "following") or not (last or whole):
+            return None
+        rows = ctx.df if s.axis == "following" else ctx.df.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE))
+        counted, group = self.ranks(rows.select(*ctx.it, *self.columns), list(ctx.it), s)
+        n, total = F.col("__n"), F.col("__total")
+        k = None if last else int(p.value)
+        if s.axis == "preceding-sibling":
+            at = n if (last and self.order_mode == "reference") or (k == 1 and self.order_mode == "spec") else F.lit(1) if last else F.lit(k) if self.order_mode == "reference" else n - k + 1
+            ok = (at >= 1) & (at <= n)
+        else:
+            at = total if last else n + k
+            ok = (at > n) & (at <= total)
+        nodes = counted.where("__w = 1").select(*(F.col(f"__d.{c}").alias(c) for c in self.columns), F.col("__n").alias("__rank"))
+        wanted = counted.where("__w = 0").where(ok).select(*ctx.it, *(F.col(g).alias(f"c_{g}") for g in group), at.alias("__want")).distinct()
+        same = functools.reduce(lambda a, b: a & b, (F.col(g) == F.col(f"c_{g}") for g in group))
+        df = nodes.join(wanted, same & (F.col("__rank") == F.col("__want"))).select(*ctx.it, *self.columns)
+        out = Seq(df, ctx.it, flat=s.axis in SIBLINGS, level=ctx.level if s.axis in SIBLINGS else None, unique=len(ctx.it) <= 1)
+        # what follows counts a single node for each context
+        rest = s.predicates[1:]
+        if any(self.kind_of(q, env) in ("num", "any") or self.placed(q) for q in rest):
+            return None
+        return self.filtered(out, rest, (), [F.asc("pre")], env)
+
+    def ranks(self, rows: DataFrame, keep: list[str], s: A.Step) -> tuple[DataFrame, list[str]]:
+        """Contexts (``__w`` 0) and a step's nodes (``__w`` 1), each with ``__n``, the nodes up to its place, and ``__total``.
+
+        Counts run over bounded blocks of places, so a large document or family is spread over many tasks.
+        """
+        group = ["doc_id", "parent"] if s.axis in SIBLINGS else ["doc_id"]
+        place, here = ("ord", "ord") if s.axis in SIBLINGS else ("pre", "fin") if s.axis == "following" else ("fin", "pre")
+        d, strict = self.goal(replace(s, predicates=[])), s.axis.startswith("preceding")
+        if s.predicates and not (isinstance(s.predicates[0], A.Num) or (isinstance(s.predicates[0], A.Call) and s.predicates[0].name == "last")):
+            d = self.filtered(Seq(d, ()), s.predicates, ("doc_id", "parent"), [F.asc("pre")], Env((), d)).df
+        types = dict(self.nodes.dtypes)
+        full = "struct<" + ",".join(f"{c}:{types[c]}" for c in self.columns) + ">"
+        kinds = dict(rows.dtypes)
+        nodes = d.select(*(F.lit(None).cast(kinds[k]).alias(k) for k in keep), *group, F.col(place).alias("__at"), F.lit(0 if not strict else 1).alias("__tie"), F.lit(1).cast("long").alias("__w"), F.struct(*self.columns).cast(full).alias("__d"), F.lit(None).cast("long").alias("__id"))
+        contexts = rows.select(*keep, *group, F.col(here).alias("__at"), F.lit(1 if not strict else 0).alias("__tie"), F.lit(0).cast("long").alias("__w"), F.lit(None).cast(full).alias("__d"), F.col("pre").alias("__id"))
+        return before(nodes.unionByName(contexts), group, "__at", "__tie", "__w", "__n", "__total"), group
 
-    def filtered(self, found: DataFrame, predicates: list, axis: str, scope: tuple = ("it", "c_pre")) -> DataFrame:
+    # -- predicates
+
+    def filtered(self, found: Seq, predicates: list, by: tuple, order: list[Column] | None, env: Env) -> Seq:
+        """``by``: columns beside the iteration within which positions count; order None: that of the sequence."""
         for p in predicates:
-            found = self.predicate(found, p, self.order(axis), scope)
+            found = self.predicate(found, p, by, order, env)
         return found
 
-    def predicate(self, found: DataFrame, p: A.Node, order: list, scope: tuple) -> DataFrame:
-        """Candidates that a predicate keeps; ``scope`` are the columns within which positions count."""
-        if isinstance(p, A.Bin) and p.op == "and" and not positional(p):
-            return self.predicate(self.predicate(found, p.left, order, scope), p.right, order, scope)
-        by = Window.partitionBy(*scope)
+    def predicate(self, found: Seq, p: A.Node, by: tuple, order: list[Column] | None, env: Env) -> Seq:
+        """Items that a predicate keeps."""
+        kinds = replace(env, focus=found if found.atoms is None else None)
+        if isinstance(p, A.Bin) and p.op == "and" and not self.placed(p) and {self.kind_of(p.left, kinds), self.kind_of(p.right, kinds)} <= {"bool", "nodes"}:
+            return self.predicate(self.predicate(found, p.left, by, order, env), p.right, by, order, env)
+        if isinstance(p, A.Bin) and p.op == "=" and [type(x) for x in (p.left, p.right)] == [A.Call, A.Call] and {p.left.name, p.right.name} == {"position", "last"} and not p.left.args + p.right.args:
+            p = A.Call("last", [])
+        columns = found.df.columns
+        scope = (*found.it, *by)
+        order = [found.key()] if order is None and found.order is not None else order or [F.asc("doc_id"), F.asc("pre")]
         if isinstance(p, A.Num):
-            return found.withColumn("__n", F.row_number().over(by.orderBy(*order))).where(F.col("__n") == p.value).drop("__n")
+            df = found.df.withColumn("__n", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("__n") == p.value)
+            return replace(found, df=df.select(*columns), single=found.single or not by)
         if isinstance(p, A.Call) and p.name == "last" and not p.args:
-            back = [F.asc("pre") if str(o).find("DESC") >= 0 else F.desc("pre") for o in order]
-            return found.withColumn("__n", F.row_number().over(by.orderBy(*back))).where("__n = 1").drop("__n")
-        key = ["it", "doc_id", "pre", *(["c_pre"] if "c_pre" in found.columns else [])]
-        if not positional(p):
-            if (kept := self.semi(found, p, key)) is not None:
-                return kept
-        rows, extra = found, []
-        if positional(p):
-            rows = rows.withColumns({"__pos": F.row_number().over(by.orderBy(*order)), "__last": F.count("*").over(by)})
-            extra = ["__pos", "__last"]
-        s = Scope(self, rows, key)
-        c = replace(self.compiler, paths=s, focus=s.focus(), position=F.col("__pos") if extra else None, last=F.col("__last") if extra else None)
-        v = c.compile(p)
-        keep = F.coalesce(v.col == F.col("__pos"), F.lit(False)) if v.kind == "num" and extra and not v.many else core.ebv(v)
-        return s.result().where(keep).select(*found.columns)
-
-    def semi(self, found: DataFrame, p: A.Node, key: list) -> DataFrame | None:
-        """Existence of a path, or of a node in it that compares with a constant, as a semi or anti join."""
-        how = "left_semi"
-        while isinstance(p, A.Call) and p.name in ("not", "empty", "exists", "boolean") and len(p.args) == 1 and self.is_nodes(p.args[0] if p.name in ("empty", "exists") else p):
-            how = {"left_semi": "left_anti", "left_anti": "left_semi"}[how] if p.name in ("not", "empty") else how
-            p = p.args[0]
-        inner = self.existence(found, p, key)
-        if inner is None:
-            return None
-        hit = inner.select(F.col("it").alias("__hit"))
-        if how == "left_semi":
-            # an inner join with distinct hits: a semi join would be pushed into every branch of a union, with its whole right side
-            return found.join(hit.distinct(), F.struct(*key) == F.col("__hit")).drop("__hit")
-        return found.join(hit, F.struct(*key) == F.col("__hit"), how)
-
-    def existence(self, found: DataFrame, p: A.Node, key: list) -> DataFrame | None:
-        """Rows ``it`` (a struct of ``key``) of candidates for which a path has a node that fits; None for other forms."""
-        if isinstance(p, A.Path) and not absolute(p):
-            return self.path(p, self.inner(found, key))
-        if isinstance(p, A.Bin) and p.op in ("=", "!=", "<", "<=", ">", ">="):
-            left, right, op = p.left, p.right, p.op
-            if self.is_path(right) and not self.is_path(left):
-                left, right, op = right, left, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
-            if not self.is_path(left) or absolute(left):
+            df = self.numbered(found.df, scope, order).where("__pos = __last")
+            return replace(found, df=df.select(*columns), single=found.single or not by)
+        correlated = bool(variables(p) & env.loops.keys())
+        if found.atoms is None and correlated and (kept := self.value_join(found, p, env)) is not None:
+            return kept
+        if found.atoms is None and not correlated and not self.placed(p) and (kept := self.semi(found, p, env)) is not None:
+            return kept
+        if found.atoms is not None:
+            s = Scope(self, found.df, replace(env, it=found.it, focus=None), item=found)
+        else:
+            if correlated:
+                found = self.lift(found, env)
+                columns, scope = list(dict.fromkeys([*found.it, *columns])), (*found.it, *by)
+            rows, inside = self.inside(found, env, correlated)
+            s = Scope(self, rows, inside)
+        v = s.compile(p, position=F.col("__pos"), last=F.col("__last"))
+        numeric = v.kind == "num" and not v.many and not v.nodes
+        df = s.result()
+        if numeric or self.placed(p):
+            df = self.numbered(df, scope, order)
+        keep = F.coalesce(v.col == F.col("__pos"), F.lit(False)) if numeric else core.ebv(v)
+        return replace(found, df=df.where(keep).select(*columns))
+
+    def semi(self, found: Seq, p: A.Node, env: Env) -> Seq | None:
+        """Existence of nodes, or of one that compares with a value, as a semi or anti join on the node; None for other forms."""
+        keep, probe = True, replace(env, focus=found, loops={})
+        while isinstance(p, A.Call) and p.name.removeprefix("fn:") in ("not", "empty", "exists", "boolean") and len(p.args) == 1:
+            inner = p.args[0]
+            if not (self.noded(inner, probe) or (p.name.removeprefix("fn:") in ("not", "boolean") and (isinstance(inner, A.Call) or (isinstance(inner, A.Bin) and inner.op in ("=", "!=", "<", "<=", ">", ">="))))):
                 return None
-            if self.is_path(right):
-                if op != "=":
-                    return None
-                # a value join: both sides meet on their string values
-                values = self.path(left, self.inner(found, key)).select("it", "str_val")
-                if absolute(right):
-                    others = self.path(right, self.top()).select(F.col("str_val").alias("__o")).distinct()
-                    return values.join(others, F.col("str_val") == F.col("__o"))
-                others = self.path(right, self.inner(found, key)).select(F.col("it").alias("__i"), F.col("str_val").alias("__o"))
-                return values.join(others, (F.col("it") == F.col("__i")) & (F.col("str_val") == F.col("__o")), "left_semi")
-            if uses_focus_path(right):
+            keep = keep != (p.name.removeprefix("fn:") in ("not", "empty"))
+            p = inner
+        rows, inside = self.inside(found, env)
+        hits = self.hits(p, inside, found)
+        if hits is None:
+            return None
+        marked = on(rows, hits.df.select(*hits.it).distinct().withColumn("__hit", F.lit(True)), hits.it, "left" if hits.it else "inner")
+        # an outer join: a semi or anti join would be pushed into every branch of a union, with its whole right side
+        df = marked.where("__hit") if keep else marked.where("__hit IS NULL")
+        return replace(found, df=df.select(*found.df.columns))
+
+    def hits(self, p: A.Node, inside: Env, found: Seq) -> Seq | None:
+        """The nodes, as iterations of ``inside``, for which an existence test holds."""
+        if self.noded(p, inside) and not isinstance(p, A.Context):
+            if self.attribute(p) is not None:
                 return None
-            v = self.compiler.compile(right)
-            values = self.path(left, self.inner(found, key))
-            if v.kind == "bool":
+            if isinstance(p, A.Path) and isinstance(p.start, A.Context) and len(p.steps) == 1 and p.steps[0].axis in ROAMING and not p.steps[0].predicates:
+                return self.any_beyond(p.steps[0], inside)
+            seq = self.relation(p, inside)
+            return seq if seq.it else None
+        if not (isinstance(p, A.Bin) and p.op in ("=", "!=", "<", "<=", ">", ">=")):
+            return None
+        left, right, op = p.left, p.right, p.op
+        path = lambda n: isinstance(n, A.Path) and self.noded(n, inside) and self.attribute(n) is None
+        if path(right) and not path(left):
+            left, right, op = right, left, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+        if not path(left):
+            return None
+        if self.noded(right, inside):
+            if op != "=" or not isinstance(right, A.Path):
                 return None
-            return values.where(core.general(op, Val(F.col("str_val"), STR), v))
-        return None
+            # a value join: both sides meet on their string values
+            values = self.relation(left, inside)
+            others = self.relation(right, inside) if self.attribute(right) is None else replace(inside.focus, df=inside.focus.df.withColumn("str_val", self.attribute(right)))
+            it = [x for x in inside.it if x in values.it or x in others.it]
+            shared = [x for x in values.it if x in others.it]
+            met = values.df.select(*values.it, "str_val").distinct().join(others.df.select(*others.it, "str_val").distinct(), [*shared, "str_val"])
+            return Seq(met.select(*it), tuple(it)) if it else None
+        if any(isinstance(x, A.Path | A.Context | A.Root) for x in right.walk()) or self.placed(right):
+            return None
+        v = replace(self.compiler, variables={**self.compiler.variables, **inside.values}).compile(right)
+        if v.kind not in ("num", "str"):
+            return None
+        seq, value = self.valued(left, inside)
+        return replace(seq, df=seq.df.where(core.general(op, Val(value, STR), v))) if seq.it else None
 
-    def is_path(self, n: A.Node) -> bool:
-        return isinstance(n, A.Path) and all(isinstance(s, A.Step) for s in n.steps) and isinstance(n.start, A.Root | A.Context)
+    def any_beyond(self, s: A.Step, inside: Env) -> Seq:
+        """Contexts that have a node on a roaming axis, by the extreme place of the group's nodes."""
+        group = ["doc_id", "parent"] if s.axis in SIBLINGS else ["doc_id"]
+        forward = s.axis.startswith("following")
+        place = "ord" if s.axis in SIBLINGS else "pre" if forward else "fin"
+        edge = self.goal(s).groupBy(*group).agg((F.max if forward else F.min)(place).alias("__edge"))
+        rows = inside.focus.df if s.axis in ("following", "preceding") else inside.focus.df.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE))
+        here = F.col("ord" if s.axis in SIBLINGS else "fin" if forward else "pre")
+        met = rows.join(edge, group).where(here < F.col("__edge") if forward else here > F.col("__edge"))
+        return Seq(met, inside.it)
 
-    def is_nodes(self, n: A.Node) -> bool:
-        if isinstance(n, A.Call) and n.name in ("not", "empty", "exists", "boolean") and len(n.args) == 1:
-            return self.is_nodes(n.args[0]) or (isinstance(n.args[0], A.Bin) and n.args[0].op in ("=", "!=", "<", "<=", ">", ">=") and self.is_path(n.args[0].left))
-        return self.is_path(n)
+    def valued(self, n: A.Node, env: Env, ordered: bool = False) -> tuple[Seq, Column]:
+        """Nodes and the column of their values; a last attribute step is read from its element's row."""
+        last = A.Path(A.Context(), n.steps[-1:]) if isinstance(n, A.Path) and len(n.steps) > 1 else None
+        value = self.attribute(last) if last is not None else None
+        if value is None:
+            return self.sequence(n, env, ordered), F.col("str_val")
+        seq = self.sequence(replace(n, steps=n.steps[:-1]), env, ordered)
+        return replace(seq, df=seq.df.where(value.isNotNull())), value
 
-    def inner(self, rows: DataFrame, key: list) -> DataFrame:
-        """Candidates as contexts of iterations of their own."""
-        return rows.withColumn("it", F.struct(*key)).select("it", *COLUMNS)
+    def value_join(self, found: Seq, p: A.Node, env: Env) -> Seq | None:
+        """A comparison of the candidates' values with those of a loop's variables, as a join on them; None for other forms."""
+        if not (isinstance(p, A.Bin) and p.op in ("=", "!=", "<", "<=", ">", ">=")):
+            return None
+        left, right, op = p.left, p.right, p.op
+        if variables(left) & env.loops.keys():
+            left, right, op = right, left, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+        own = any(isinstance(x, A.Context) for x in right.walk()) or self.placed(right)
+        if variables(left) & env.loops.keys() or own or not (isinstance(right, A.Var) or (isinstance(right, A.Path) and isinstance(right.start, A.Var))):
+            return None
+        rows, inside = self.inside(found, env)
+        if not (isinstance(left, A.Context) or self.noded(left, inside)):
+            return None
+        other, value = self.valued(right, env)
+        own_value = F.col("str_val") if isinstance(left, A.Context) else self.attribute(left)
+        if own_value is not None:
+            mine = rows.withColumn("__mine", own_value).where("__mine IS NOT NULL")
+        else:
+            seq, text = self.valued(left, inside)
+            mine = on(rows, seq.df.select(*seq.it, text.alias("__mine")), seq.it)
+        theirs = other.df.select(*other.it, value.alias("__theirs"))
+        shared = [x for x in found.it if x in other.it]
+        theirs = theirs.select(*(F.col(x).alias(f"__k_{x}") if x in shared else F.col(x) for x in other.it), "__theirs").distinct()
+        same = functools.reduce(lambda a, b: a & b, (F.col(x) == F.col(f"__k_{x}") for x in shared), F.lit(True))
+        kind = other.atoms or "str"
+        a, b = Val(F.col("__mine"), STR), Val(core.parse_number(F.col("__theirs")), core.NUM) if kind == "num" else Val(F.col("__theirs"), STR)
+        if op == "=" and kind != "num":
+            met = mine.join(theirs, same & (F.col("__mine") == F.col("__theirs")))
+        elif op == "=":
+            met = mine.withColumn("__number", core.parse_number(F.col("__mine"))).join(theirs.withColumn("__value", b.col), same & (F.col("__number") == F.col("__value")) & ~F.isnan("__number"))
+        else:
+            met = mine.join(theirs, same & core.compare(op, a, b))
+        it = tuple(x for x in env.it if x in found.it or x in other.it)
+        one = own_value is not None and other.single
+        extra = [c for c in found.df.columns if c not in found.it]
+        df = met.select(*it, *extra)
+        df = df if one else df.dropDuplicates([*it, "doc_id", "pre", *(c for c in ("c_doc", "c_pre") if c in extra)])
+        return replace(found, df=df, it=it, unique=False)
 
-    def expression_step(self, context: DataFrame, s: A.Node) -> DataFrame:
-        if isinstance(s, A.Filter):
-            base = self.relation(s.base, context)
-            return self.filtered(base, s.predicates, "child", ("it",))
-        return self.relation(s, context)
+    def expression_step(self, ctx: Seq, s: A.Node, env: Env, ordered: bool) -> Seq:
+        """A step that is any expression, with each node as its context."""
+        return self.mapped(ctx, s, env, ordered, step=True)
 
-    def relation(self, n: A.Node, context: DataFrame) -> DataFrame:
-        """Any expression over nodes: paths, set operations, filters, node functions."""
-        if isinstance(n, A.Path | A.Root):
-            return self.path(n if isinstance(n, A.Path) else A.Path(n, []), context)
-        if isinstance(n, A.Context):
-            return context.drop("__documents")
-        if isinstance(n, A.Bin) and n.op in ("union", "intersect", "except"):
-            a, b = self.relation(n.left, context), self.relation(n.right, context)
-            same = ["it", "doc_id", "pre"]
-            if n.op == "union":
-                return a.unionByName(b).dropDuplicates(same)
-            return a.join(b.select(*same), same, "left_semi" if n.op == "intersect" else "left_anti")
-        if isinstance(n, A.Sequence) and n.items:
-            out = self.relation(n.items[0], context)
-            for x in n.items[1:]:
-                out = out.unionByName(self.relation(x, context))
-            return out
-        if isinstance(n, A.Filter):
-            # positions count over the whole sequence of an iteration
-            return self.filtered(self.relation(n.base, context), n.predicates, "child", ("it",))
-        if isinstance(n, A.Call) and n.name.removeprefix("fn:") in ("root", "innermost", "outermost", "reverse", "unordered", "head", "tail"):
-            return self.node_function(n.name.removeprefix("fn:"), self.relation(n.args[0], context) if n.args else context)
-        raise TypeMismatch("XPTY0019", f"{type(n).__name__} is not a node sequence")
+    # -- functions that give sequences
 
-    def node_function(self, name: str, rows: DataFrame) -> DataFrame:
+    def called(self, n: A.Call, env: Env, ordered: bool) -> Seq | None:
+        name = n.name.removeprefix("fn:")
+        if name in SOURCES:
+            return self.source(name, n, env)
+        if name == "root" and not n.args:
+            return self.roots(env.focus)
+        if not n.args or not self.plural(n.args[0], env):
+            return None
+        if name == "distinct-values":
+            seq, value = self.valued(n.args[0], env, True)
+            df = seq.df.withColumn("__v", value).groupBy(*seq.it, F.col("__v").alias("__v")).agg(F.min(seq.key()).alias("__k"))
+            return Seq(self.atom_rows(df, F.col("__v"), seq.atoms or "str", seq.it, F.col("__k")), seq.it, F.col("seq"), unique=False, atoms=seq.atoms or "str")
+        if name == "data":
+            seq = self.sequence(n.args[0], env, True)
+            return seq if seq.atoms else Seq(self.atom_rows(seq.df, F.col("str_val"), "str", seq.it, seq.key()), seq.it, F.col("seq"), unique=False, atoms="str")
+        if name not in NODE_CALLS:
+            return None
         if name == "root":
-            return self.root_of(rows).dropDuplicates(["it", "doc_id", "pre"])
-        if name in ("unordered", "reverse"):
-            return rows
-        first = F.row_number().over(Window.partitionBy("it").orderBy("pre"))
+            return self.roots(self.relation(n.args[0], env))
+        if name in ("innermost", "outermost"):
+            seq = self.relation(n.args[0], env)
+            if name == "outermost":
+                return replace(seq, df=self.outermost(seq), flat=True, order=None, bag=False)
+            same = [*seq.it, "doc_id", "pre"]
+            ups = seq.df.select(*seq.it, "doc_id", F.explode("anc").alias("pre")).distinct()
+            return replace(seq, df=seq.df.join(ups, same, "left_anti"), flat=True, order=None)
+        if name in ("unordered", "one-or-more", "zero-or-one", "exactly-one", "copy-of"):
+            seq = self.sequence(n.args[0], env, ordered)
+            return seq if name in ("unordered", "copy-of") else self.checked(name, seq, env)
+        seq = self.sequence(n.args[0], env, True)
+        if name == "reverse":
+            back = F.transform(seq.key(), F.bitwise_not)
+            return replace(seq, df=seq.df.withColumn("seq", back), order=F.col("seq"))
+        if name == "sort":
+            return self.sorted(seq, n, env)
+        if name == "insert-before":
+            return self.inserted(seq, n, env)
+        df = self.numbered(seq.df, seq.it, [seq.key()])
+        at = F.col("__pos")
         if name in ("head", "tail"):
-            return rows.withColumn("__n", first).where("__n = 1" if name == "head" else "__n > 1").drop("__n")
-        ups = rows.select("it", "doc_id", F.explode("anc").alias("a"), F.col("pre").alias("below"))
-        if name == "innermost":
-            hit = ups.select("it", "doc_id", F.col("a").alias("pre"))
-            return rows.join(hit, ["it", "doc_id", "pre"], "left_anti")
-        tops = rows.select("it", "doc_id", F.col("pre").alias("a"))
-        hit = ups.join(tops, ["it", "doc_id", "a"]).select("it", "doc_id", F.col("below").alias("pre"))
-        return rows.join(hit, ["it", "doc_id", "pre"], "left_anti")
+            keep = at == 1 if name == "head" else at > 1
+        else:
+            bounds = [replace(self.compiler, variables={**self.compiler.variables, **env.values}).compile(x) for x in n.args[1:]]
+            start = core.js_round(core.to_num(bounds[0]))
+            if name == "remove":
+                keep = at != F.floor(core.to_num(bounds[0]))
+            else:
+                keep = (at >= start) & (at < start + core.js_round(core.to_num(bounds[1])) if len(bounds) > 1 else F.lit(True))
+        return replace(seq, df=df.where(keep).drop("__pos", "__last"), single=seq.single or name == "head")
+
+    def checked(self, name: str, seq: Seq, env: Env) -> Seq:
+        """Cardinality functions: an iteration of another size raises when its rows are read."""
+        sizes = on(env.rows.select(*env.it), seq.df.groupBy(*seq.it).agg(F.count("*").alias("__size")), seq.it, "left" if seq.it else "inner")
+        size = F.coalesce("__size", F.lit(0))
+        bad = {"one-or-more": size == 0, "zero-or-one": size > 1, "exactly-one": size != 1}[name]
+        ok = sizes.select(*env.it, F.when(bad, F.raise_error(F.lit(f"XPTY0004: {name}")).cast("boolean")).otherwise(True).alias("__fine"))
+        seq = self.lift(seq, env)
+        return replace(seq, df=on(ok, seq.df, env.it, "left" if env.it else "inner").where("__fine AND kind IS NOT NULL").drop("__fine"), single=name != "one-or-more")
+
+    def sorted(self, seq: Seq, n: A.Call, env: Env) -> Seq:
+        """``sort``: by value or by a function of each item; equal keys keep their order."""
+        value: Column = F.col("str_val")
+        df = seq.df
+        if len(n.args) > 2:
+            rows, inside = self.inside(seq, env)
+            s = Scope(self, rows, inside)
+            key = s.compile(n.args[2]).call([s.focus()]) if not isinstance(n.args[2], A.Inline) else s.compile(substitute(n.args[2].body, n.args[2].params[0]))
+            key = core.one(key)
+            df, value = s.result(), key.col if key.kind in ("num", "bool", "date", "ts") else core.to_str(key)
+        elif seq.atoms == "num":
+            value = core.parse_number(value)
+        w = Window.partitionBy(*seq.it).orderBy(value, seq.key())
+        df = df.withColumn("__rank", F.array(F.row_number().over(w).cast("long")))
+        rest = [c for c in seq.df.columns if c != "seq"]
+        return replace(seq, df=df.select(*rest, F.col("__rank").alias("seq")), order=F.col("seq"))
+
+    def inserted(self, seq: Seq, n: A.Call, env: Env) -> Seq:
+        """``insert-before``: items before the position, the new ones, and the others."""
+        at = core.to_num(replace(self.compiler, variables={**self.compiler.variables, **env.values}).compile(n.args[1]))
+        df = self.numbered(self.lift(seq, env).df, env.it, [seq.key()])
+        head = replace(seq, df=df.where((F.col("__pos") < at) | (F.col("__last") < F.col("__pos"))).drop("__pos", "__last"), it=env.it)
+        tail = replace(seq, df=df.where(F.col("__pos") >= at).drop("__pos", "__last"), it=env.it)
+        return self.comma([head, self.sequence(n.args[2], env, True), tail], env, True)
+
+    def roots(self, seq: Seq | None) -> Seq:
+        if seq is None:
+            raise DynamicError("XPDY0002", "no context item")
+        docs = seq.df.select(*seq.it, F.col("doc_id").alias("c_doc")).distinct()
+        return Seq(self.nodes.where("level = 0").join(docs, F.col("doc_id") == F.col("c_doc")).select(*seq.it, *self.columns), seq.it, flat=True, level=0, unique=len(seq.it) <= 1)
+
+    def source(self, name: str, n: A.Call, env: Env) -> Seq:
+        """``doc``, ``document``, ``collection`` by address; ``key`` as the loop over its value that it stands for."""
+        if name == "key":
+            if not isinstance(n.args[0], A.Str) or n.args[0].value not in self.keys:
+                raise StaticError("XPST0001", "key() needs the name of a declared key")
+            pattern, use = self.keys[n.args[0].value]
+            where = A.Path(A.Root(), [A.Step("//", A.Test("name", pattern), [A.Bin("=", use, A.Var("__key"))])])
+            return replace(self.loop(A.For([("__key", n.args[1])], where), env, False), bag=True)
+        if self.catalog is None:
+            raise DynamicError("FODC0005", "no documents are known by address")
+        if n.args and not isinstance(n.args[0], A.Str):
+            raise StaticError("XPST0001", f"the address of {name}() must be a literal")
+        uri = n.args[0].value if n.args else None
+        docs = self.catalog.known(uri, collection=name == "collection")
+        rows = self.nodes.where("level = 0").join(docs.select(F.col("doc_id").alias("__known")).distinct(), F.col("doc_id") == F.col("__known")).select(*self.columns)
+        return Seq(rows, (), flat=True, level=0, single=name != "collection")
 
 
 class Scope:
-    """Rows of focus nodes; paths that an expression reads become columns of them, by a left join each."""
+    """Rows that an expression is evaluated on; what it reads from nodes becomes columns of them, by a left join each.
+
+    Aggregates over one path share a group-by and a join. ``item``: the rows are atomic items, which are the focus.
+    """
+
+    def __init__(self, paths: Paths, rows: DataFrame, env: Env, item: Seq | None = None):
+        self.paths, self.rows, self.env, self.item = paths, rows, env, item
+        self.joins: dict[str, tuple[Seq, list[Column]]] = {}
+        self.ready: list[tuple[DataFrame, list[str]]] = []
+        self.at_nodes = item is None and env.focus is not None and "str_val" in rows.columns
 
-    def __init__(self, paths: Paths, rows: DataFrame, key: list):
-        self.paths, self.rows, self.key, self.n = paths, rows, key, 0
-        self.joins: dict[str, tuple[DataFrame, list[Column]]] = {}
+    def name(self) -> str:
+        self.paths.made += 1
+        return f"__v{self.paths.made}"
 
-    def focus(self) -> Val:
-        return Val(F.col("str_val"), STR)
+    def focus(self) -> Val | None:
+        if self.item is not None:
+            text = F.col("str_val")
+            return {"num": num(core.parse_number(text)), "bool": boolean(text == "true")}.get(self.item.atoms, string(text))
+        return Val(F.col("str_val"), STR, nodes=False) if self.at_nodes else None
 
-    def join(self, values: DataFrame, column: Column, default: Column | None = None, key: object = None) -> Column:
-        """A column of one aggregated value for each focus node; aggregates over one path share a group-by and a join."""
-        self.n += 1
-        name = f"__v{self.n}"
-        self.joins.setdefault(repr(key) if key is not None else name, (values, []))[1].append(column.alias(name))
+    def compile(self, n: A.Node, **where) -> Val:
+        c = self.paths.compiler
+        return replace(c, variables={**c.variables, **self.env.values}, paths=self, focus=self.focus(), **where).compile(n)
+
+    def join(self, seq: Seq, column: Column, default: Column | None = None, key: str | None = None) -> Column:
+        """A column of one aggregated value for each iteration."""
+        name = self.name()
+        self.joins.setdefault(key or name, (seq, []))[1].append(column.alias(name))
         return F.col(name) if default is None else F.coalesce(F.col(name), default)
 
     def result(self) -> DataFrame:
         """The rows with all columns that were asked for."""
         rows = self.rows
-        for k, (values, columns) in enumerate(self.joins.values()):
-            found = values.groupBy(F.col("it").alias(f"__i{k}")).agg(*columns)
-            rows = rows.join(found, F.struct(*self.key) == F.col(f"__i{k}"), "left").drop(f"__i{k}")
+        for seq, columns in self.joins.values():
+            found = seq.df.groupBy(*seq.it).agg(*columns) if seq.it else seq.df.agg(*columns)
+            rows = on(rows, found, seq.it, "left")
+        for found, keys in self.ready:
+            rows = on(rows, found, keys, "left")
         return rows
 
-    def inner(self) -> DataFrame:
-        return self.paths.inner(self.rows, self.key)
-
-    def nodes(self, n: A.Node) -> DataFrame | None:
-        """The node relation of an expression over the focus, if it is one."""
-        if isinstance(n, A.Path) and absolute(n):
-            top = self.paths.path(n, self.paths.top()).drop("it")
-            own = self.rows.select(F.struct(*self.key).alias("it"), F.col("doc_id").alias("__d"))
-            return own.join(top, F.col("__d") == F.col("doc_id")).drop("__d")
-        if isinstance(n, A.Path) and isinstance(n.start, A.Context) and all(isinstance(s, A.Step) for s in n.steps):
-            return self.paths.path(n, self.inner())
-        if isinstance(n, A.Bin) and n.op in ("union", "intersect", "except"):
-            return self.paths.relation(n, self.inner())
-        if isinstance(n, A.Filter) and self.nodes(n.base) is not None:
-            return self.paths.relation(n, self.inner())
-        return None
+    # -- hooks of the compiler
+
+    def takes(self, n: A.Node) -> bool:
+        """True for expressions that must be computed as rows."""
+        if isinstance(n, A.Let):
+            return any(self.paths.plural(source, self.env) for _, source in n.bindings)
+        return isinstance(n, A.For | A.SimpleMap | A.Filter | A.Sequence | A.If | A.Call | A.Root | A.Path) and self.paths.plural(n, self.env)
+
+    def variable(self, name: str) -> Val | None:
+        if name not in self.env.loops:
+            return None
+        seq = self.env.loops[name]
+        if not seq.single:
+            return self.collected(seq, f"${name}")
+        text = self.join(seq, F.max("str_val"), key=f"${name}")
+        return self.typed(text, seq)
+
+    def typed(self, text: Column, seq: Seq) -> Val:
+        if seq.atoms == "num":
+            return num(core.parse_number(text))
+        return boolean(text == "true") if seq.atoms == "bool" else Val(text, STR, nodes=seq.atoms is None)
+
+    def collected(self, seq: Seq, key: str | None) -> Val:
+        pairs = F.sort_array(F.collect_list(F.struct(seq.key().alias("k"), F.col("str_val").alias("v"))))
+        texts = self.join(seq, F.transform(pairs, lambda p: p["v"]), F.array().cast("array<string>"), key)
+        if seq.atoms == "num":
+            return Val(F.transform(texts, core.parse_number), core.NUM.seq)
+        return Val(texts, STR.seq, nodes=seq.atoms is None)
 
     def value(self, c: Compiler, n: A.Node) -> Val:
-        """A path as a value: the string values of its nodes, in document order."""
-        if isinstance(n.start, A.Context) and not n.steps:
-            return self.focus()
-        rows = self.nodes(n)
-        if rows is None:
+        """Nodes as a value: their string values, in order."""
+        if isinstance(n, A.Let):
+            outer, self.env = self.env, self.paths.bound(n.bindings, self.env)
+            out = replace(c, variables={**c.variables, **self.env.values}).compile(n.body)
+            self.env = outer
+            return out
+        if isinstance(n, A.Path) and isinstance(n.start, A.Context) and not n.steps and c.focus is not None:
+            return c.focus
+        if self.item is not None and isinstance(n, A.Path) and isinstance(n.start, A.Context):
+            return replace(c, paths=None).on_path(n)
+        if self.at_nodes and (own := self.paths.attribute(n)) is not None:
+            return Val(own, STR, nodes=True)
+        if isinstance(n, A.Path) and isinstance(n.start, A.Var) and n.start.name not in self.env.loops:
             return replace(c, paths=None).on_path(n)
-        pairs = F.sort_array(F.collect_list(F.struct("pre", "str_val")))
-        return Val(self.join(rows, F.transform(pairs, lambda p: p["str_val"]), F.array().cast("array<string>"), key=n), STR.seq)
+        return self.collected(self.paths.sequence(n, self.env, True), f"value {n!r}")
 
     def is_kind(self, n: A.TypeOp) -> Val | None:
         """``. instance of element(name)`` and the like; None for types of values."""
         kinds = {"node": None, "element": (1,), "attribute": (2,), "text": (3, 4), "comment": (8,), "processing-instruction": (7,), "document-node": (9,), "schema-element": (1,), "schema-attribute": (2,)}
-        if n.op != "instance of" or n.type.item not in kinds or not isinstance(n.operand, A.Context):
+        if n.op != "instance of" or n.type.item not in kinds or not isinstance(n.operand, A.Context) or not self.at_nodes:
             return None
         of = kinds[n.type.item]
         out = F.lit(True) if of is None else F.col("kind").isin(*of)
         return boolean(out & (F.col("local") == n.type.name.rpartition(":")[2]) if n.type.name not in (None, "*") else out)
 
     def set_value(self, c: Compiler, n: A.Bin) -> Val:
-        if n.op in ("is", "<<", ">>"):
-            a, b = (self.join(self.nodes(x), F.min(F.struct("doc_id", "pre"))) for x in (n.left, n.right))
-            return boolean({"is": a == b, "<<": a < b, ">>": a > b}[n.op])
-        rows = self.nodes(n)
-        pairs = F.sort_array(F.collect_list(F.struct("pre", "str_val")))
-        return Val(self.join(rows, F.transform(pairs, lambda p: p["str_val"]), F.array().cast("array<string>")), STR.seq)
+        if n.op not in ("is", "<<", ">>"):
+            return self.collected(self.paths.relation(n, self.env), f"value {n!r}")
+        a, b = (self.identity(x) for x in (n.left, n.right))
+        return boolean({"is": a == b, "<<": a < b, ">>": a > b}[n.op])
+
+    def identity(self, n: A.Node) -> Column:
+        if isinstance(n, A.Context) and self.at_nodes:
+            return F.struct("doc_id", "pre")
+        seq = self.paths.relation(n, self.env, True)
+        return self.join(seq, F.min_by(F.struct("doc_id", "pre"), seq.key()))
+
+    #: Functions of the row at hand, by column.
+    OWN = {"name": "name", "local-name": "local", "namespace-uri": "ns_uri", "node-name": "name"}
+    NODE = ("has-children", "generate-id", "path", "nilled", "base-uri", "document-uri", "in-scope-prefixes", "root", "accumulator-before", "accumulator-after")
+
+    def own(self, name: str) -> Val | None:
+        """A function of the context node."""
+        if name in self.OWN:
+            return string(F.coalesce(F.col(self.OWN[name]), F.lit("")))
+        if name == "has-children":
+            inner = self.paths.nodes.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE) & F.col("parent").isNotNull()).select(F.col("doc_id").alias("__d"), F.col("parent").alias("__p"))
+            a, b = self.env.focus.it[-2:]
+            found = inner.withColumnsRenamed({"__d": a, "__p": b})
+            return boolean(self.join(Seq(found, (a, b)), F.bool_or(F.lit(True)), F.lit(False), "has-children"))
+        if name == "generate-id":
+            return string(F.concat(F.lit("n"), F.lower(F.hex(F.xxhash64("doc_id", "pre")))))
+        if name == "path":
+            return self.node_path()
+        if name in ("nilled", "base-uri", "document-uri", "in-scope-prefixes"):
+            return self.inherited(name)
+        return None
+
+    def relative(self, *steps: A.Step) -> Seq:
+        return self.paths.relation(A.Path(A.Context(), list(steps)), self.env)
 
     def call(self, c: Compiler, n: A.Call) -> Val | None:
-        """Functions that read nodes, as aggregates over the path; None for all others."""
+        """Functions that read nodes, as aggregates over their rows; None for all others."""
         name = n.name.removeprefix("fn:")
-        node_columns = {"name": "name", "local-name": "local", "namespace-uri": "ns_uri", "node-name": "name"}
-        if not n.args or (len(n.args) == 1 and isinstance(n.args[0], A.Context)):
-            if name in node_columns:
-                return string(F.coalesce(F.col(node_columns[name]), F.lit("")))
-            if name == "has-children":
-                return boolean(F.col("fin") > F.col("pre"))
-            if name == "generate-id":
-                return string(F.concat(F.lit("n"), F.lower(F.hex(F.xxhash64("doc_id", "pre")))))
-            if name == "path":
-                return self.node_path()
-            if name in ("nilled", "base-uri", "document-uri", "in-scope-prefixes"):
-                return self.inherited(name)
+        here = not n.args or (len(n.args) == 1 and isinstance(n.args[0], A.Context))
+        if here and self.at_nodes and (name in self.OWN or name in self.NODE):
+            return self.own(name)
+        if name in ("string", "number", "data", "string-length", "normalize-space") and here and self.at_nodes:
             return None
-        if name == "lang" and len(n.args) == 1:
-            rows = self.nodes(A.Path(A.Context(), [A.Step("ancestor-or-self", A.Test("node")), A.Step("attribute", A.Test("name", "lang"))]))
-            found = string(self.join(rows, F.max_by("str_val", "level")))
+        if name in ("accumulator-before", "accumulator-after"):
+            return self.accumulated(name, n)
+        if name == "lang" and len(n.args) == 1 and self.at_nodes:
+            found = string(self.join(self.relative(A.Step("ancestor-or-self", A.Test("node")), A.Step("attribute", A.Test("name", "lang"))), F.max_by("str_val", "level")))
             return c.bind("lang", found).resolve("lang", 1)([c.compile(n.args[0])])
-        if name == "namespace-uri-for-prefix":
-            prefix = n.args[0].value
-            rows = self.nodes(A.Path(A.Context(), [A.Step("namespace", A.Test("name", prefix))]))
-            return string(self.join(rows, F.max_by("value", "level")))
-        if name == "resolve-QName" and len(n.args) == 2 and isinstance(n.args[0], A.Str):
+        if name == "namespace-uri-for-prefix" and self.at_nodes:
+            prefix = core.str0(c.compile(n.args[0]))
+            seq = self.relative(A.Step("namespace", A.Test("any")))
+            entries = self.join(seq, F.map_from_entries(F.collect_list(F.struct("local", "str_val"))), key="in scope")
+            return string(F.try_element_at(entries, prefix))
+        if name == "resolve-QName" and len(n.args) == 2 and isinstance(n.args[0], A.Str) and self.at_nodes:
             prefix, _, _ = n.args[0].value.rpartition(":")
-            rows = self.nodes(A.Path(A.Context(), [A.Step("namespace", A.Test("name", prefix))]))
-            uri = self.join(rows, F.max_by("value", "level"))
+            uri = self.join(self.relative(A.Step("namespace", A.Test("name", prefix))), F.max("str_val"))
             known = F.when(uri.isNotNull(), uri) if prefix else F.coalesce(uri, F.lit(""))
             missing = F.raise_error(F.lit(f"FONS0004: no namespace for prefix {prefix}")).cast("string")
-            return Val(F.concat(F.lit("{"), F.coalesce(known, missing), F.lit("}"), F.lit(n.args[0].value)), core.Ty("qname"))
-        rows = self.nodes(n.args[0]) if len(n.args) >= 1 else None
-        if rows is None:
+            return Val(F.concat(F.lit("{"), F.coalesce(known, missing), F.lit("}"), F.lit(n.args[0].value)), Ty("qname"))
+        if name == "doc-available":
+            return self.available(c, n)
+        if not n.args:
             return None
-        join = functools.partial(self.join, rows, key=n.args[0])
-        number = core.parse_number(F.col("str_val"))
-        zero = F.lit(0.0)
+        if name in (*self.OWN, *self.NODE) and self.paths.noded(n.args[0], self.env):
+            if name == "in-scope-prefixes":
+                return c.compile(A.Call("distinct-values", [A.SimpleMap(n.args[0], A.Call(name, []))]))
+            if name == "root":
+                return None
+            found = core.one(self.collected(self.paths.mapped(self.paths.sequence(n.args[0], self.env, True), A.Call(name, []), self.env, True), None))
+            if name == "has-children":
+                return boolean(F.coalesce(found.col == "true", F.lit(False)))
+            return string(F.coalesce(found.col, F.lit("")))
+        if not self.paths.plural(n.args[0], self.env):
+            return None
+        return self.aggregated(c, name, n)
+
+    def aggregated(self, c: Compiler, name: str, n: A.Call) -> Val | None:
+        arg = n.args[0]
+        if self.at_nodes and (own := self.paths.attribute(arg)) is not None:
+            return self.single(name, Val(own, STR, nodes=True), c, n)
+        if name not in ("count", "exists", "boolean", "empty", "not", "sum", "avg", "min", "max", "string", "data", "number", "string-join", "distinct-values") or len(n.args) > (2 if name == "string-join" else 1):
+            return None
+        if (found := self.tallied(name, arg)) is not None:
+            return found
+        ordered = name in ("string", "data", "number", "string-join")
+        key = f"{ordered} {replace(arg, steps=arg.steps[:-1])!r}" if isinstance(arg, A.Path) and len(arg.steps) > 1 and self.paths.attribute(A.Path(A.Context(), arg.steps[-1:])) is not None else f"{ordered} {arg!r}"
+        value: Column | None = None
+        if key in self.joins:
+            seq = self.joins[key][0]
+        else:
+            seq, _ = self.whole(arg, ordered)
+        value = self.whole_value(arg)
+        join = functools.partial(self.join, seq, key=key)
+        number, zero = core.parse_number(value), F.lit(0.0)
+        some = F.count(value)
         if name == "count":
-            return num(join(F.count("*").cast("double"), zero))
-        if name in ("exists", "boolean"):
-            return boolean(join(F.lit(True) | F.bool_or(F.lit(True)), F.lit(False)))
-        if name in ("empty", "not"):
-            return boolean(~join(F.bool_or(F.lit(True)), F.lit(False)))
+            return num(join(some.cast("double"), zero))
+        if name in ("exists", "empty") or (name in ("boolean", "not") and seq.atoms is None):
+            out = join(some > 0, F.lit(False))
+            return boolean(out if name in ("exists", "boolean") else ~out)
+        if name in ("boolean", "not"):
+            return None
         if name == "sum":
             return num(join(F.sum(F.nanvl(number, zero)), zero))
         if name == "avg":
-            return num(join(F.sum(F.nanvl(number, zero)) / F.count("*")))
+            return num(join(F.sum(F.nanvl(number, zero)) / some))
         if name in ("min", "max"):
             pick = F.min(number) if name == "min" else F.max(number)
             return num(join(F.when(F.bool_or(F.isnan(number)), core.nan()).otherwise(pick)))
-        if name in ("string", "data") and len(n.args) == 1:
-            return string(join(F.min_by("str_val", "pre"), F.lit("")))
+        at = F.when(value.isNotNull(), seq.key())
+        if name in ("string", "data"):
+            return string(join(F.min_by(value, at), F.lit("")))
         if name == "number":
-            return num(join(F.min_by(number, "pre"), core.nan()))
-        if name in node_columns:
-            return string(join(F.min_by(F.coalesce(node_columns[name], F.lit("")), "pre"), F.lit("")))
+            return num(join(F.min_by(number, at), core.nan()))
         if name == "string-join":
             sep = c.compile(n.args[1]).literal if len(n.args) > 1 else ""
-            pairs = F.sort_array(F.collect_list(F.struct("pre", "str_val")))
-            return string(join(F.array_join(F.transform(pairs, lambda p: p["str_val"]), sep or ""), F.lit("")))
-        if name == "distinct-values":
-            return Val(join(F.array_sort(F.collect_set("str_val")), F.array().cast("array<string>")), STR.seq)
-        return None
+            pairs = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct(seq.key().alias("k"), value.alias("v")))))
+            return string(join(F.array_join(F.transform(pairs, lambda p: p["v"]), sep or ""), F.lit("")))
+        return Val(join(F.array_sort(F.collect_set(value)), F.array().cast("array<string>")), STR.seq)
+
+    def whole(self, arg: A.Node, ordered: bool) -> tuple[Seq, Column]:
+        """The rows that an aggregate reads: an attribute step's elements, with absent attributes as NULL."""
+        value = self.whole_value(arg)
+        if isinstance(arg, A.Path) and len(arg.steps) > 1 and self.paths.attribute(A.Path(A.Context(), arg.steps[-1:])) is not None:
+            return self.paths.sequence(replace(arg, steps=arg.steps[:-1]), self.env, ordered), value
+        return self.paths.sequence(arg, self.env, ordered), value
+
+    def whole_value(self, arg: A.Node) -> Column:
+        if isinstance(arg, A.Path) and len(arg.steps) > 1 and (value := self.paths.attribute(A.Path(A.Context(), arg.steps[-1:]))) is not None:
+            return value
+        return F.coalesce("str_val", F.lit(""))
+
+    def single(self, name: str, v: Val, c: Compiler, n: A.Call) -> Val | None:
+        """Aggregates of an attribute that is a column."""
+        number = F.nanvl(core.parse_number(v.col), F.lit(0.0))
+        there = v.col.isNotNull()
+        if name == "count":
+            return num(there.cast("double"))
+        if name in ("exists", "boolean"):
+            return boolean(there)
+        if name in ("empty", "not"):
+            return boolean(~there)
+        if name == "sum" and len(n.args) == 1:
+            return num(F.coalesce(number, F.lit(0.0)))
+        return num(F.when(there, number)) if name == "avg" else None
+
+    def tallied(self, name: str, arg: A.Node) -> Val | None:
+        """``count`` along a roaming axis from the context: a difference of running counts; None for other forms."""
+        if not (name in ("count", "exists", "empty") and self.at_nodes and self.env.free and isinstance(arg, A.Path) and isinstance(arg.start, A.Context) and len(arg.steps) == 1):
+            return None
+        s = arg.steps[0]
+        probe = replace(self.env, focus=self.paths.any_node())
+        if not (isinstance(s, A.Step) and s.axis in ROAMING and not any(self.paths.kind_of(p, probe) in ("num", "any") or self.paths.placed(p) or variables(p) for p in s.predicates)):
+            return None
+        focus = self.env.focus
+        counted, _ = self.paths.ranks(focus.df, list(self.env.it), s)
+        n = F.col("__total") - F.col("__n") if s.axis.startswith("following") else F.col("__n")
+        column = self.name()
+        still = F.col("__w") == 0
+        if s.axis in SIBLINGS:
+            plain = focus.df.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE)).select(*self.env.it)
+            counted = counted.join(plain, list(self.env.it), "left_semi")
+        self.ready.append((counted.where(still).select(*self.env.it, n.cast("double").alias(column)), list(self.env.it)))
+        out = F.coalesce(F.col(column), F.lit(0.0))
+        return num(out) if name == "count" else boolean(out > 0 if name == "exists" else out == 0)
+
+    def accumulated(self, name: str, n: A.Call) -> Val:
+        """An accumulator's running value at the context node."""
+        from ..streaming.runtime import accumulate
+
+        if not n.args or not isinstance(n.args[0], A.Str) or not self.at_nodes:
+            raise StaticError("XPST0001", f"{name} needs an accumulator's name and a context node")
+        known = [a for a in self.paths.accumulators if a.name == n.args[0].value]
+        if not known:
+            raise DynamicError("XPDY0002", f"no accumulator {n.args[0].value}")
+        a, b = self.env.focus.it[-2:]
+        rows = accumulate(self.paths.nodes, known).select(F.col("doc_id").alias(a), F.col("pre").alias(b), F.col(f"{known[0].name}_before").alias("__before"), F.col(f"{known[0].name}_after").alias("__after"))
+        return num(self.join(Seq(rows, (a, b)), F.max("__before" if name.endswith("before") else "__after").cast("double"), key=f"accumulator {known[0].name}"))
+
+    def available(self, c: Compiler, n: A.Call) -> Val:
+        if self.paths.catalog is None:
+            return boolean(False)
+        column = self.name()
+        uris = self.paths.catalog.documents.select(F.col("uri").alias(f"__u{column}")).distinct()
+        self.rows = self.rows.join(uris.withColumn(column, F.lit(True)), core.str0(c.compile(n.args[0])) == F.col(f"__u{column}"), "left").drop(f"__u{column}")
+        return boolean(F.coalesce(F.col(column), F.lit(False)))
 
     def node_path(self) -> Val:
         """Names of the ancestors and the node, with an index where siblings share a name."""
@@ -425,68 +1318,99 @@ class Scope:
         w = Window.partitionBy("doc_id", "parent", "kind", "name")
         named = nodes.where("level > 0").select("doc_id", "pre", "level", F.when(F.col("kind") == ATTRIBUTE, F.concat(F.lit("@"), "name")).otherwise(F.col("name")).alias("nm"), F.row_number().over(w.orderBy("pre")).alias("i"), F.count("*").over(w).alias("k"))
         part = F.when(F.col("k") > 1, F.concat("nm", F.lit("["), F.col("i").cast("string"), F.lit("]"))).otherwise(F.col("nm"))
-        ups = self.inner().select("it", "doc_id", F.explode(F.concat("anc", F.array("pre"))).alias("pre"))
-        rows = ups.join(named, ["doc_id", "pre"]).select("it", "level", part.alias("part"))
+        ups = self.env.focus.df.select(*self.env.focus.it, "doc_id", F.explode(F.concat("anc", F.array("pre"))).alias("pre"))
+        rows = ups.join(named, ["doc_id", "pre"]).select(*self.env.focus.it, "level", part.alias("part"))
         pairs = F.sort_array(F.collect_list(F.struct("level", "part")))
-        return string(self.join(rows, F.concat(F.lit("/"), F.array_join(F.transform(pairs, lambda p: p["part"]), "/")), F.lit("/")))
+        return string(self.join(Seq(rows, self.env.focus.it), F.concat(F.lit("/"), F.array_join(F.transform(pairs, lambda p: p["part"]), "/")), F.lit("/")))
 
     def inherited(self, name: str) -> Val:
-        up = [A.Step("ancestor-or-self", A.Test("node"))]
         if name == "in-scope-prefixes":
-            rows = self.nodes(A.Path(A.Context(), [A.Step("namespace", A.Test("any"))]))
-            found = self.join(rows, F.array_sort(F.collect_set("local")), F.array().cast("array<string>"))
-            return Val(F.array_distinct(F.concat(F.array(F.lit("xml")), found)), STR.seq)
+            found = self.join(self.relative(A.Step("namespace", A.Test("any"))), F.array_sort(F.collect_set("local")), F.array().cast("array<string>"))
+            return Val(found, STR.seq)
         if name == "nilled":
-            rows = self.nodes(A.Path(A.Context(), [A.Step("attribute", A.Test("name", "nil"))]))
-            return boolean(self.join(rows, F.bool_or(F.col("str_val").isin("true", "1")), F.lit(False)))
+            return boolean(self.join(self.relative(A.Step("attribute", A.Test("name", "nil"))), F.bool_or(F.col("str_val").isin("true", "1")), F.lit(False)))
         if name == "base-uri":
-            rows = self.nodes(A.Path(A.Context(), [*up, A.Step("attribute", A.Test("name", "base"))]))
+            rows = self.relative(A.Step("ancestor-or-self", A.Test("node")), A.Step("attribute", A.Test("name", "base")))
             return string(self.join(rows, F.max_by("str_val", "level"), F.lit(self.paths.compiler.options.base_uri)))
         return string(F.when(F.col("kind") == DOCUMENT, F.col("value")))
 
 
-def select(nodes: DataFrame, query: A.Node, compiler: Compiler, namespaces: dict | None = None, order_mode: str = "reference") -> DataFrame:
-    """The nodes that a query selects, with ``it`` the document."""
-    p = Paths(nodes, compiler, namespaces, order_mode)
-    return p.relation(rewrite(query), p.top())
+def scans(*queries: A.Node) -> int:
+    """How often queries read the nodes, about."""
+    n = 0
+    for q in queries:
+        for x in q.walk():
+            if isinstance(x, A.Path):
+                moving = [s for s in x.steps if isinstance(s, A.Step) and s.axis not in ("self", "attribute")]
+                chained = isinstance(x.start, A.Root) and all(isinstance(s, A.Step) and s.test.kind in ("name", "any") for s in moving) and not any(s.predicates for s in moving[:-1])
+                n += 1 if chained and moving else len(moving)
+    return n
+
+
+def result(p: Paths, out: Seq, it: tuple) -> DataFrame:
+    """Items with ``it``, the document they were selected from, and ``seq`` where their order isn't the documents'."""
+    df = out.df
+    first = F.col(it[0]) if it and it[0] in df.columns else F.col("doc_id")
+    doc = F.coalesce("doc_id", first) if out.atoms else F.col("doc_id")
+    cols = [first.alias("it"), *((doc if c == "doc_id" else F.col(c)).alias(c) for c in p.columns)]
+    return df.select(*cols, *([out.order.alias("seq")] if out.order is not None else []))
+
+
+def select(nodes: DataFrame, query: A.Node, compiler: Compiler, **options) -> DataFrame:
+    """The items that a query gives in each document: nodes, or values as rows of kind 0."""
+    p = Paths(nodes, compiler, **options)
+    env = p.top()
+    out = p.sequence(rewrite(query), env, True)
+    return result(p, p.lift(out, env), env.it)
 
 
-def values(nodes: DataFrame, each: A.Node, queries: dict[str, A.Node], compiler: Compiler, namespaces: dict | None = None, order_mode: str = "reference") -> DataFrame:
+def values(nodes: DataFrame, each: A.Node, queries: dict[str, A.Node], compiler: Compiler, **options) -> DataFrame:
     """``doc_id, pre`` and one column per query, for each node of ``each``, which is the queries' context."""
-    p = Paths(nodes, compiler, namespaces, order_mode)
-    rows = p.relation(rewrite(each), p.top())
-    s = Scope(p, rows, ["it", "doc_id", "pre"])
-    out = {name: replace(compiler, paths=s, focus=s.focus()).compile(rewrite(q)).col for name, q in queries.items()}
+    p = Paths(nodes, compiler, **options)
+    env = p.top()
+    rows, inside = p.inside(p.relation(rewrite(each), env), env)
+    s = Scope(p, rows, inside)
+    out = {name: s.compile(rewrite(q)).col for name, q in queries.items()}
     return s.result().select("doc_id", "pre", *(c.alias(k) for k, c in out.items()))
 
 
 def flwor(nodes: DataFrame, query: A.For, compiler: Compiler, **options) -> DataFrame:
-    """``for $x in path return value`` as ``doc_id, pre, value``; over distinct-values as ``key, value``."""
-    (name, source), = query.bindings
-    if isinstance(source, A.Call) and source.name == "distinct-values":
+    """``for $x in path return value`` as ``doc_id, pre, value``; over distinct-values of all documents as ``key, value``."""
+    (name, source), *more = query.bindings
+    if not more and isinstance(source, A.Call) and source.name == "distinct-values":
         return grouped(nodes, name, source.args[0], query.body, compiler, **options)
+    if more or not movable(query.body, name, {name}):
+        out = select(nodes, query, compiler, **options)
+        return out.select("doc_id", "pre", F.col("str_val").alias("value"), *(["seq"] if "seq" in out.columns else []))
     return values(nodes, source, {"value": substitute(query.body, name)}, compiler, **options)
 
 
-def grouped(nodes: DataFrame, name: str, keys: A.Path, body: A.Node, compiler: Compiler, **options) -> DataFrame:
+def grouped(nodes: DataFrame, name: str, source: A.Path, body: A.Node, compiler: Compiler, **options) -> DataFrame:
     """``for $k in distinct-values(P/k) return agg(Q[k = $k]/v)`` as one group-by on the key."""
     p = Paths(nodes, compiler, **options)
     if not (isinstance(body, A.Call) and body.name in ("count", "sum", "avg", "min", "max") and isinstance(body.args[0], A.Path)):
         raise TypeMismatch("XPTY0004", "grouping needs an aggregate over a path")
-    steps = list(body.args[0].steps)
-    at = next(k for k, s in enumerate(steps) if any(isinstance(q, A.Bin) and isinstance(q.right, A.Var) and q.right.name == name for q in s.predicates))
-    test = next(q for q in steps[at].predicates if isinstance(q, A.Bin) and isinstance(q.right, A.Var))
+    path = rewrite(body.args[0])
+    steps = list(path.steps)
+    test = next((q for s in steps for q in s.predicates if isinstance(q, A.Bin) and q.op == "=" and isinstance(q.right, A.Var) and q.right.name == name), None)
+    if test is None or rewrite(source).steps[-1] != (test.left.steps[-1] if isinstance(test.left, A.Path) else None):
+        raise TypeMismatch("XPTY0004", f"grouping needs a comparison with ${name}")
+    at = next(k for k, s in enumerate(steps) if any(q is test for q in s.predicates))
     owner = replace(steps[at], predicates=[q for q in steps[at].predicates if q is not test])
-    rows = p.path(rewrite(A.Path(body.args[0].start, [*steps[:at], owner])), p.top())
-    s = Scope(p, rows, ["it", "doc_id", "pre"])
-    key = s.nodes(test.left).select("it", F.col("str_val").alias("key"))
+    env = p.top()
+    rows, inside = p.inside(p.path(A.Path(path.start, [*steps[:at], owner]), env), env)
+    own = p.attribute(test.left)
+    if own is not None:
+        key = rows.withColumn("key", own).where("key IS NOT NULL")
+    else:
+        seq = p.relation(test.left, inside)
+        key = on(rows, seq.df.select(*seq.it, F.col("str_val").alias("key")).distinct(), seq.it)
+    key = key.select(*inside.it, "key")
     if steps[at + 1 :]:
-        found = p.path(A.Path(A.Context(), steps[at + 1 :]), s.inner()).select("it", "str_val")
-        key = key.join(found, "it")
+        seq, value = p.valued(A.Path(A.Context(), steps[at + 1 :]), inside)
+        key = on(key, seq.df.select(*seq.it, value.alias("str_val")), seq.it)
     else:
         key = key.withColumn("str_val", F.lit(""))
     number = F.nanvl(core.parse_number(F.col("str_val")), F.lit(0.0))
     agg = {"count": F.count("*").cast("double"), "sum": F.sum(number), "avg": F.avg(number), "min": F.min(number), "max": F.max(number)}[body.name]
     return key.groupBy("key").agg(agg.alias("value"))
-
-

@@ -12,12 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import DynamicError, StaticError, TypeMismatch, fail
-from ..functions import casts, core
+from ..functions import casts, compat, core
 from ..functions.core import EMPTY, JSON, NUM, STR, Ty, Val, boolean, each, items, many, num, one, str0, string, to_num
 from ..functions.library import LIBRARY, as_map, callee
 from ..functions.library import field as record_field
 from ..plans import ast as A
 
+#: Fixed namespaces of the function library, by the prefix that stands for them here.
 NAMESPACES = {
     "http://www.w3.org/2005/xpath-functions": "",
     "http://www.w3.org/2005/xpath-functions/math": "math:",
@@ -37,6 +38,10 @@ class Options:
     utf16: bool = False
     base_uri: str = ""
     now: object = None
+    #: What system-property() knows, by name.
+    properties: tuple = ()
+    #: Comparisons of the first version: of first items, numbers before strings.
+    first_items: bool = False
 
 
 @dataclass(frozen=True)
@@ -69,6 +74,8 @@ class Compiler:
     # -- dispatch
 
     def compile(self, n: A.Node) -> Val:
+        if self.paths is not None and not isinstance(n, A.Call) and self.paths.takes(n):
+            return self.paths.value(self, n)
         return getattr(self, f"on_{type(n).__name__.lower()}")(n)
 
     def many_of(self, nodes: list) -> list[Val]:
@@ -81,6 +88,8 @@ class Compiler:
         return string(n.value)
 
     def on_var(self, n):
+        if self.paths is not None and (v := self.paths.variable(n.name)) is not None:
+            return v
         return self.variable(n.name)
 
     def on_context(self, n):
@@ -125,7 +134,7 @@ class Compiler:
             return self.paths.set_value(self, n)
         a, b = self.compile(n.left), self.compile(n.right)
         if op in ("=", "!=", "<", "<=", ">", ">="):
-            return boolean(core.general(op, a, b))
+            return boolean(compat.compare(op, a, b) if self.options.first_items else core.general(op, a, b))
         if op in core.SYMBOL:
             out = core.compare(op, one(a), one(b), ordered_text=True)
             missing = F.lit(False)
@@ -134,7 +143,7 @@ class Compiler:
             return boolean(F.when(missing, fail("XPTY0004", f"{op} needs single values", "boolean")).otherwise(out))
         if op == "to":
             x, y = (F.floor(to_num(v)).cast("long") for v in (a, b))
-            return Val(F.when(x <= y, F.transform(F.sequence(x, y), lambda i: i.cast("double"))).otherwise(F.array().cast("array<double>")), NUM.seq)
+            return Val(F.when(x <= y, F.transform(F.sequence(x, y), lambda i: i.cast("double"))).otherwise(F.array().cast("array<double>")), NUM.seq, bounds=(x, y))
         if op == "||":
             return string(F.concat(str0(a), str0(b)))
         return self.arithmetic(op, a, b)
@@ -197,6 +206,8 @@ class Compiler:
         vals = self.many_of(n.items)
         if any(v.kind == "fn" for v in vals):
             raise TypeMismatch("XPTY0004", "functions can't stand in a sequence of rows")
+        if len(vals) == 1:
+            return vals[0]
         ty = core.unify(vals)
         if ty.kind == "empty":
             return vals[0]
@@ -205,14 +216,23 @@ class Compiler:
 
     def on_simplemap(self, n):
         left = many(self.compile(n.left))
+        if not any(isinstance(x, A.Call) and x.name.removeprefix("fn:") == "last" for x in n.right.walk()):
+            sized = lambda body: body(left.col, F.lit(None).cast("int"))
+        else:
+            # the sequence is computed once, not again for each item's last()
+            sized = lambda body: core.let(left.col, lambda xs: body(xs, F.size(xs)))
         out: list[Val] = []
 
-        def run(x, i):
-            out.append(self.at(Val(x, left.ty.item), i + 1, F.size(left.col)).compile(n.right))
-            return out[-1].col
+        def run(xs, size):
+            def each_(x, i):
+                out.append(self.at(Val(x, left.ty.item), i + 1, size).compile(n.right))
+                return out[-1].col
 
-        col = F.transform(left.col, run)
-        return Val(F.flatten(col), out[-1].ty) if out[-1].many else Val(F.array_compact(col), out[-1].ty.seq)
+            col = F.transform(xs, each_)
+            return F.flatten(col) if out[-1].many else F.array_compact(col)
+
+        col = sized(run)
+        return Val(col, out[-1].ty if out[-1].many else out[-1].ty.seq)
 
     def on_filter(self, n):
         v = self.compile(n.base)
@@ -222,14 +242,29 @@ class Compiler:
 
     def filtered(self, v: Val, p: A.Node) -> Val:
         """Items whose position equals a numeric predicate, or for which another one holds."""
+        last = isinstance(p, A.Call) and p.name.removeprefix("fn:") == "last" and not p.args
         if isinstance(p, A.Num):
-            return Val(F.get(v.col, F.lit(int(p.value) - 1)), v.ty.item) if p.value == int(p.value) and p.value >= 1 else Val(F.filter(v.col, lambda x: F.lit(False)), v.ty)
-
-        def keep(x, i):
-            t = self.at(Val(x, v.ty.item), i + 1, F.size(v.col)).compile(p)
+            if p.value != int(p.value) or p.value < 1:
+                return Val(F.filter(v.col, lambda x: F.lit(False)), v.ty)
+            if v.bounds is not None:
+                low, high = v.bounds
+                return num(F.when(low + int(p.value) - 1 <= high, (low + int(p.value) - 1).cast("double")))
+            return Val(F.get(v.col, F.lit(int(p.value) - 1)), v.ty.item)
+        if last and v.bounds is not None:
+            return many(num(F.when(v.bounds[0] <= v.bounds[1], v.bounds[1].cast("double"))))
+        if last:
+            return Val(F.slice(v.col, -1, 1), v.ty)
+
+        def keep(x, i, size):
+            t = self.at(Val(x, v.ty.item), i + 1, size).compile(p)
+            if t.kind == "json" and not t.many:
+                number = F.try_variant_get(t.col, "$", "double")
+                return F.when(number.isNotNull() & ~F.schema_of_variant(t.col).isin("STRING", "BOOLEAN"), number == (i + 1)).otherwise(core.ebv(t))
             return F.coalesce(t.col == (i + 1), F.lit(False)) if t.kind == "num" and not t.many else core.ebv(t)
 
-        return Val(F.filter(v.col, keep), v.ty)
+        if any(isinstance(x, A.Call) and x.name.removeprefix("fn:") == "last" for x in p.walk()):
+            return Val(core.let(v.col, lambda xs: F.filter(xs, lambda x, i: keep(x, i, F.size(xs)))), v.ty)
+        return Val(F.filter(v.col, lambda x, i: keep(x, i, F.lit(None).cast("int"))), v.ty)
 
     def on_template(self, n):
         return string(F.concat(*(str0(self.compile(p)) for p in n.parts))) if n.parts else string("")
@@ -270,6 +305,8 @@ class Compiler:
 
     def on_arraynew(self, n):
         vals = self.many_of(n.members)
+        if any(v.kind == "fn" for v in vals):
+            raise TypeMismatch("XPTY0004", "functions can't stand in an array of rows")
         if not n.square:
             v = vals[0]
             return Val(items(v) if v.kind != "empty" else F.array().cast("array<string>"), Ty("arr", v.ty.item if v.kind != "empty" else STR))
@@ -342,10 +379,23 @@ class Compiler:
     def on_call(self, n):
         if self.paths is not None and (out := self.paths.call(self, n)) is not None:
             return out
+        if self.paths is not None and self.paths.takes(n):
+            return self.paths.value(self, n)
         if any(isinstance(a, A.Placeholder) for a in n.args):
             return self.partial(self.resolve(n.name, len(n.args)), n.args, n.name)
+        if n.name.removeprefix("fn:") == "distinct-values" and len(n.args) == 1 and isinstance(n.args[0], A.Sequence) and len(n.args[0].items) > 1:
+            return self.distinct(self.many_of(n.args[0].items))
         return self.resolve(n.name, len(n.args))(self.many_of(n.args))
 
+    def distinct(self, vals: list[Val]) -> Val:
+        """Distinct items of expressions of several types: 1 and '1' are two."""
+        vals = [v for v in vals if v.kind != "empty"]
+        ty = core.unify(vals)
+        if len({v.kind for v in vals}) == 1 or ty.kind != "str":
+            return Val(F.array_distinct(F.concat(*(items(core.fit(v, ty)) for v in vals))), ty.seq)
+        typed = F.concat(*(F.transform(items(v), lambda x, v=v: F.struct(F.lit(v.kind).alias("k"), core.to_str(Val(x, v.ty.item)).alias("v"))) for v in vals))
+        return Val(F.transform(F.array_distinct(typed), lambda s: s["v"]), ty.seq)
+
     def partial(self, call, args, name=None):
         fixed = [None if isinstance(a, A.Placeholder) else self.compile(a) for a in args]
 

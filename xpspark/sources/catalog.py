@@ -17,11 +17,18 @@ class Catalog:
     def of(self, documents: DataFrame) -> DataFrame:
         return self.nodes.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
+    def known(self, uri: str | None, collection: bool = False) -> DataFrame:
+        """The documents at an address, or of a collection; without a name those of the default one, or all."""
+        if not collection:
+            if not uri:
+                raise DynamicError("FODC0005")
+            return self.documents.where(F.col("uri") == uri)
+        name = uri if uri is not None else self.default
+        return self.documents if name is None else self.documents.where(F.col("collection") == name)
+
     def doc(self, uri: str) -> DataFrame:
         """The document's nodes; none if the address is unknown."""
-        if not uri:
-            raise DynamicError("FODC0005")
-        return self.of(self.documents.where(F.col("uri") == uri))
+        return self.of(self.known(uri))
 
     def doc_available(self, uris: DataFrame, column: str = "uri") -> DataFrame:
         """``uris`` with a boolean ``available``."""
@@ -30,5 +37,4 @@ class Catalog:
 
     def collection(self, name: str | None = None) -> DataFrame:
         """Nodes of a collection, of the default one, or of all documents."""
-        name = name if name is not None else self.default
-        return self.nodes if name is None else self.of(self.documents.where(F.col("collection") == name))
+        return self.of(self.known(name, True)) if (name if name is not None else self.default) is not None else self.nodes

@@ -127,6 +127,8 @@ def copy_of(nodes: DataFrame, selected: DataFrame, deep: bool = True) -> DataFra
         inside = (F.col("pre") == F.col("t_pre")) | ((F.col("parent") == F.col("t_pre")) & F.col("kind").isin(ATTRIBUTE, NAMESPACE))
     rows = nodes.join(tops, (F.col("doc_id") == F.col("t_doc")) & inside)
     moved = {"doc_id": F.xxhash64("t_doc", "t_pre"), "level": F.col("level") - F.col("t_level") + 1, "parent": F.when(F.col("pre") != F.col("t_pre"), F.col("parent")), "anc": F.slice("anc", F.col("t_level") + 1, F.size("anc"))}
+    if "path" in nodes.columns:
+        moved["path"] = F.concat(F.lit("/"), F.array_join(F.slice(F.split("path", "/"), F.col("t_level") + 1, F.size("anc") + 2), "/"))
     return rows.withColumns(moved).select(*nodes.columns)
 
 

@@ -4,6 +4,9 @@ Tables are shredded by DataFrame operations alone: a node's ``pre`` is put toget
 sort or window is needed and filters on names prune whole branches of the union. Texts are parsed in one pass by Arrow
 batches, a document at a time, within a task.
 
+Beside the node columns, elements have ``path``, the local names from the root, and ``attrs``, their attributes by name
+with the distance of their ``pre``; XML, where attributes may have prefixes, has no ``attrs``.
+
 Null texts and texts that aren't well formed (XML, JSON) give no nodes; HTML always parses.
 """
 
@@ -21,11 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StaticError
-from ..operators.nodes import ATTRIBUTE, COLUMNS, COMMENT, DOCUMENT, ELEMENT, NAMESPACE, PI
+from ..operators.nodes import ATTRIBUTE, COLUMNS, COMMENT, DOCUMENT, ELEMENT, MORE, NAMESPACE, PI
 
 TEXT = 3
-SCHEMA = "doc_id long, pre long, fin long, level int, parent long, kind tinyint, name string, local string, ns_uri string, value string, str_val string, ord long, anc array<long>"
-XML_NS = "http://www.w3.org/XML/1998/namespace"
+SCHEMA = "doc_id long, pre long, fin long, level int, parent long, kind tinyint, name string, local string, ns_uri string, value string, str_val string, ord long, anc array<long>, path string, attrs map<string,struct<off:int,v:string>>"
 #: Bits for an element's own attributes.
 OWN_BITS = 6
 
@@ -58,7 +60,9 @@ def relational(levels: list[Level], doc_id: str, ancestors: list[list[Column]])
         at += levels[k].bits
     top = levels[0].df
     parts.append(top.select(*row(F.col(doc_id), F.lit(0), F.lit((1 << at) - 1), 0, None, DOCUMENT, "#document", None, F.lit(1), F.array().cast("array<long>"))))
+    path = ""
     for k, level in enumerate(levels):
+        path += f"/{level.tag}"
         pre = F.lit(1).cast("long")
         ups = [F.lit(0).cast("long")]
         for j in range(1, k + 1):
@@ -70,7 +74,8 @@ def relational(levels: list[Level], doc_id: str, ancestors: list[list[Column]])
         if k == len(levels) - 1:
             fin = pre + F.lit((1 << OWN_BITS) - 2).cast("long")
         base = level.df.select(F.col(doc_id).cast("long").alias("doc_id"), pre.alias("p"), fin.alias("f"), ups[-1].alias("up"), level.key.cast("long").alias("k"), F.array(*ups).alias("ups"), *(c.cast("string").alias(f"a{i}") for i, c in enumerate(level.attributes.values())))
-        parts.append(base.select(*row(F.col("doc_id"), F.col("p"), F.col("f"), k + 1, F.col("up"), ELEMENT, level.tag, None, F.col("k"), F.col("ups"))))
+        entries = [c for i, name in enumerate(level.attributes) for c in (F.lit(name), F.struct(F.lit(i + 1).alias("off"), F.col(f"a{i}").alias("v")))]
+        parts.append(base.select(*row(F.col("doc_id"), F.col("p"), F.col("f"), k + 1, F.col("up"), ELEMENT, level.tag, None, F.col("k"), F.col("ups"), path, F.create_map(*entries))))
         for i, name in enumerate(level.attributes):
             own = F.col("p") + (i + 1)
             parts.append(base.where(F.col(f"a{i}").isNotNull()).select(*row(F.col("doc_id"), own, own, k + 2, F.col("p"), ATTRIBUTE, name, F.col(f"a{i}"), F.lit(i + 1), F.concat("ups", F.array("p")))))
@@ -80,11 +85,12 @@ def relational(levels: list[Level], doc_id: str, ancestors: list[list[Column]])
     return out
 
 
-def row(doc, pre, fin, level, parent, kind, name, value, ord_, anc) -> list[Column]:
+def row(doc, pre, fin, level, parent, kind, name, value, ord_, anc, path=None, attrs=None) -> list[Column]:
     value = F.lit(None).cast("string") if value is None else value
     text = value if kind == ATTRIBUTE else F.lit("")
     cols = [doc.cast("long"), pre.cast("long"), fin.cast("long"), F.lit(level).cast("int"), F.lit(None).cast("long") if parent is None else parent.cast("long"), F.lit(kind).cast("tinyint"), F.lit(name), F.lit(name.rpartition(":")[2]), F.lit("" if kind != DOCUMENT else None), value, text, ord_.cast("long"), anc]
-    return [c.alias(n) for c, n in zip(cols, COLUMNS, strict=True)]
+    cols += [F.lit(path).cast("string"), (F.lit(None) if attrs is None else attrs).cast("map<string,struct<off:int,v:string>>")]
+    return [c.alias(n) for c, n in zip(cols, COLUMNS + MORE, strict=True)]
 
 
 class Builder:
@@ -94,9 +100,11 @@ class Builder:
         self.rows: list[list] = []
         self.open: list[int] = []
         self.counts: list[int] = []
+        self.paths: list[str] = []
         self.add(DOCUMENT, "#document", None, "", uri)
         self.open.append(0)
         self.counts.append(0)
+        self.paths.append("")
 
     def add(self, kind: int, name: str | None, local: str | None, ns: str | None, value: str | None) -> int:
         pre, parent = len(self.rows), self.open[-1] if self.open else None
@@ -106,21 +114,23 @@ class Builder:
             if self.counts:
                 self.counts[-1] += 1
             ord_ = self.counts[-1] if self.counts else 1
-        self.rows.append([pre, pre, len(self.open), parent, kind, name, local, ns, value, [value] if value is not None and kind != DOCUMENT else [], ord_, list(self.open)])
+        self.rows.append([pre, pre, len(self.open), parent, kind, name, local, ns, value, [value] if value is not None and kind != DOCUMENT else [], ord_, list(self.open), None, None])
         return pre
 
     def start(self, name: str, local: str, ns: str, attributes: list[tuple[str, str, str, str]], declared: dict[str, str] | None = None) -> None:
         pre = self.add(ELEMENT, name, local, ns, None)
+        self.paths.append(f"{self.paths[-1]}/{local}")
+        self.rows[pre][12] = self.paths[-1]
         self.open.append(pre)
         self.counts.append(0)
         for prefix, uri in (declared or {}).items():
             self.add(NAMESPACE, prefix, prefix, "", uri)
-        for full, loc, uri, value in attributes:
-            self.add(ATTRIBUTE, full, loc, uri, value)
+        self.rows[pre][13] = [(full, {"off": self.add(ATTRIBUTE, full, loc, uri, value) - pre, "v": value}) for full, loc, uri, value in attributes]
 
     def end(self) -> None:
         self.rows[self.open.pop()][1] = len(self.rows) - 1
         self.counts.pop()
+        self.paths.pop()
 
     def text(self, data: str) -> None:
         last = self.rows[-1]
@@ -199,7 +209,8 @@ class HtmlBuilder(HTMLParser):
         seen: dict[str, str] = {}
         for name, value in attrs:
             seen.setdefault(name, value or "")
-        self.b.start(tag, tag.rpartition(":")[2], "", [(n, n.rpartition(":")[2], "", v) for n, v in seen.items()])
+        # names have no prefixes here: a colon is part of the name
+        self.b.start(tag, tag, "", [(n, n, "", v) for n, v in seen.items()])
         if tag in VOID:
             self.b.end()
         else:
@@ -286,10 +297,14 @@ def shred(df: DataFrame, form: str, id_col: str, text_col: str, uri_col: str | N
 
     # parsing costs far more than dealing the texts evenly
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.where("doc_id IS NOT NULL AND body IS NOT NULL").repartition(n, "doc_id").mapInArrow(run, SCHEMA)
+    out = rows.where("doc_id IS NOT NULL AND body IS NOT NULL").repartition(n, "doc_id").mapInArrow(run, SCHEMA)
+    out = out.drop("attrs") if form == "xml" else out
+    # a query that reads the nodes more than once writes them first
+    out._parsed = True
+    return out
 
 
-ARROW = pa.schema([("doc_id", pa.int64()), ("pre", pa.int64()), ("fin", pa.int64()), ("level", pa.int32()), ("parent", pa.int64()), ("kind", pa.int8()), ("name", pa.string()), ("local", pa.string()), ("ns_uri", pa.string()), ("value", pa.string()), ("str_val", pa.string()), ("ord", pa.int64()), ("anc", pa.list_(pa.int64()))])
+ARROW = pa.schema([("doc_id", pa.int64()), ("pre", pa.int64()), ("fin", pa.int64()), ("level", pa.int32()), ("parent", pa.int64()), ("kind", pa.int8()), ("name", pa.string()), ("local", pa.string()), ("ns_uri", pa.string()), ("value", pa.string()), ("str_val", pa.string()), ("ord", pa.int64()), ("anc", pa.list_(pa.int64())), ("path", pa.string()), ("attrs", pa.map_(pa.string(), pa.struct([("off", pa.int32()), ("v", pa.string())])))])
 
 
 def pack(rows: list[list]) -> pa.RecordBatch:

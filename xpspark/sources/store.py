@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shred import SCHEMA
-
 #: Lets joins on (doc_id, parent) use data that is dealt by doc_id alone.
 CO_LOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -23,7 +21,7 @@ def save(nodes: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str, kind: int | None = None, local: str | None = None) -> DataFrame:
     """The nodes, or those of a kind and name, which are then the only ones that are read."""
-    rows = spark.read.schema(f"{SCHEMA}, part_kind int, part_local string").parquet(path)
+    rows = spark.read.option("basePath", path).parquet(path)
     if kind is not None:
         rows = rows.where(F.col("part_kind") == kind)
     if local is not None:
