@@ -1,34 +1,44 @@
 """Embedding near-dedup: random-hyperplane sign hashing in several tables, exact cosines, distributed components.
 
-Equal vectors of a label form a class, which goes on as one row with its number of copies. In each of ``TABLES`` tables
-the signs against ``BITS`` random hyperplanes name a bucket. Buckets of two classes or more are compared exactly, in
-double precision, in blocks of at most about ``BLOCK`` x ``BLOCK`` classes; a large bucket is dealt to blocks by hash. A
-pair that meets in several tables counts in the first. A block returns a number of links and one forest edge for each
-class at most, never its pairs. Components come from the forest edges.
-
-At a cosine of 0.98 a pair shares a given bucket with probability 0.936 ** 20 = 0.27, and some bucket of 40 with
-probability 0.999996, the expected recall at the threshold; above it, recall is higher.
-
-Results for odd input: vectors that are null, zero or hold null or non-finite components, and vectors without label or
-id, link with nothing; vectors of different lengths don't link; rows that share an id are vectors of their own; a row
-without id has no component and is kept.
+Equal vectors of a label form a class, which goes on as one row with its number of copies. In each table the signs against
+random hyperplanes, hashed with table, label and length, name a bucket. The number of hyperplanes grows with the logarithm
+of the number of classes, so that a bucket meets few strangers at any size, and the number of tables follows from it, so
+that a pair at a cosine of 0.98 shares some bucket with a probability of 1 - ``MISS``, the expected recall at the
+threshold; above it, recall is higher. Of buckets that hold the same classes the first table's is enough. Buckets are
+compared exactly, in double precision, in blocks of at most about ``BLOCK`` x ``BLOCK`` classes; a large bucket is dealt to
+blocks by hash. Blocks stream through a task in the order of their keys. A pair that meets in several tables counts in the
+first. A block returns a number of links and one forest edge for each class at most, never its pairs. Components come from
+the forest edges.
+
+Results for odd input: vectors that are null, empty, zero or hold null or non-finite components, and vectors without label
+or id, link with nothing; vectors of different lengths don't link; vectors of any length are compared whole; rows that
+share an id are vectors of their own, equal vectors (ties) link with each other; a row without id has no component and is
+kept; an empty table gives no rows; extra columns are ignored, whatever their names. Ids must be whole numbers.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import connected_components, materialize
+from .common import bounded_batches, connected_components, materialize
 
-TABLES, BITS, BLOCK, SEED = 40, 20, 1024, 7
+BLOCK, SEED, MISS, LEAST_BITS = 1024, 7, 4e-6, 10
+
+
+def shape(classes: int, threshold: float) -> tuple[int, int]:
+    """Numbers of tables and hyperplanes for so many classes."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, classes))))
+    share = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(MISS) / math.log(1 - share)), bits
 
 
 @functools.lru_cache(maxsize=8)
@@ -36,50 +46,67 @@ def planes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
 
 
-def signs(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """Bucket numbers, a row per vector, a column per table."""
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words in which every bit depends on all."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def buckets(x: np.ndarray, own: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Bucket hashes, a row per vector, a column per table; ``own`` is a hash of label and length."""
     up = (x @ planes(x.shape[1], tables, bits) > 0).reshape(len(x), tables, bits)
-    return up @ (1 << np.arange(bits))
+    signs = up @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    seeds = mix(own.astype(np.int64).view(np.uint64))[:, None] + np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(mix(signs) + seeds).view(np.int64)
 
 
 def prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """``vec_id, label, dim, d0, d1, vector``; dim and digest are null for vectors that link with nothing."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    inner = vectors.schema[vector_col].dataType
+    kind = "float" if isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.FloatType) else "double"
+    number = np.float32 if kind == "float" else np.float64
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("vector")
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(number) + number(0)  # null components become NaN
+            ends = lists.offsets.to_numpy()
+            absent = np.asarray(lists.is_null()) | np.asarray(batch.column("vec_id").is_null()) | np.asarray(batch.column("label").is_null())
             dims, d0, d1, kept = [], [], [], []
-            for vec_id, label, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "vector")), strict=True):
-                x = np.array(v, dtype=np.float64) + 0.0 if v and None not in v else np.zeros(0)
-                if vec_id is None or label is None or not np.isfinite(x).all() or not x.any():
+            for k in range(batch.num_rows):
+                x = flat[ends[k] : ends[k + 1]]
+                if absent[k] or not np.isfinite(x).all() or not x.any():
                     dims.append(None), d0.append(None), d1.append(None), kept.append(None)
                     continue
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), dtype=">i8").tolist()
                 dims.append(len(x)), d0.append(a), d1.append(b), kept.append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(kept, pa.list_(pa.float64()))],
+                [batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(kept, pa.list_(pa.float32() if kind == "float" else pa.float64()))],
                 ["vec_id", "label", "dim", "d0", "d1", "vector"],
             )
 
-    return rows.mapInArrow(run, "vec_id long, label string, dim int, d0 long, d1 long, vector array<double>")
+    return rows.mapInArrow(run, f"vec_id long, label string, dim int, d0 long, d1 long, vector array<{kind}>")
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, table: int, threshold: float) -> pd.DataFrame:
-    """``u, v, links``: copies that each class links with, met here first (v null), and a forest of the links."""
-    x, y = (np.stack(p["vector"].to_list()) for p in (left, right))
+def compare(left: dict, right: dict, same: bool, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``u, v, links``: copies that each class links with, met here first (v -1), and a forest of the links."""
+    x, y = left["vector"], right["vector"]
     cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
     i, j = np.nonzero(np.triu(cosine >= threshold, 1) if same else cosine >= threshold)
-    a, b = (np.stack(p["sig"].to_list())[:, :table] for p in (left, right))
-    fresh = np.concatenate([~(a[i[k : k + 100_000]] == b[j[k : k + 100_000]]).any(axis=1) for k in range(0, len(i), 100_000)] or [np.zeros(0, bool)])
-    i, j = i[fresh], j[fresh]
-    u, v = left["cid"].to_numpy(), right["cid"].to_numpy()
-    at = j if same else j + len(left)
-    cids = u if same else np.concatenate((u, v))
-    copies = left["copies"].to_numpy() if same else np.concatenate((left["copies"].to_numpy(), right["copies"].to_numpy()))
+    if table:
+        a, b = left["hashes"][:, :table], right["hashes"][:, :table]
+        fresh = [~(a[i[k : k + 100_000]] == b[j[k : k + 100_000]]).any(axis=1) for k in range(0, len(i), 100_000)]
+        fresh = np.concatenate(fresh) if fresh else np.zeros(0, bool)
+        i, j = i[fresh], j[fresh]
+    at = j if same else j + len(x)
+    cids = left["cid"] if same else np.concatenate((left["cid"], right["cid"]))
+    copies = left["copies"] if same else np.concatenate((left["copies"], right["copies"]))
     links, root = np.zeros(len(cids), np.int64), np.arange(len(cids))
     np.add.at(links, i, copies[at])
     np.add.at(links, at, copies[i])
-    while True:
+    while len(i):
         low = np.minimum(root[i], root[at])
         new = root.copy()
         np.minimum.at(new, i, low)
@@ -87,50 +114,111 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, table: int, thr
         if (new == root).all():
             break
         root = new
-    tied = np.flatnonzero(root != np.arange(len(cids)))
-    some = np.flatnonzero(links)
-    return pd.DataFrame({"u": np.concatenate((cids[some], cids[tied])), "v": pd.array([None] * len(some) + cids[root[tied]].tolist(), dtype="Int64"), "links": np.concatenate((links[some], np.zeros(len(tied), np.int64)))})
-
-
-def components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = TABLES, bits: int = BITS) -> DataFrame:
+    tied, some = np.flatnonzero(root != np.arange(len(cids))), np.flatnonzero(links)
+    return np.concatenate((cids[some], cids[tied])), np.concatenate((np.full(len(some), -1), cids[root[tied]])), np.concatenate((links[some], np.zeros(len(tied), np.int64)))
+
+
+def block_links(part: dict, threshold: float) -> list[tuple]:
+    """The links of one block: rows of ``own`` i against those of j; vectors of another label or length don't meet."""
+    i, j, table = int(part["i"][0]), int(part["j"][0]), int(part["t"][0])
+    found = []
+    for label in np.unique(part["label"]):
+        sides = []
+        for own in (i, j):
+            at = np.flatnonzero((part["own"] == own) & (part["label"] == label))
+            sides.append({"vector": np.stack([part["vector"][k] for k in at]).astype(np.float64), "hashes": np.stack([part["hashes"][k] for k in at]), "cid": part["cid"][at], "copies": part["copies"][at]} if len(at) else None)
+        if sides[0] is not None and sides[1] is not None and (i != j or len(sides[0]["cid"]) > 1):
+            found.append(compare(*sides, i == j, table, threshold))
+    return found
+
+
+def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The blocks of rows sorted by block, each as arrays; a block may lie in several batches."""
+    numbers = ("b", "i", "j", "t", "own", "label", "cid", "copies")
+    held: dict | None = None
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy() for c in numbers}
+        for c in ("vector", "hashes"):
+            ends, flat = batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()
+            now[c] = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        if held is not None:
+            now = {c: np.concatenate((held[c], now[c])) if c in numbers else [*held[c], *now[c]] for c in now}
+        edges = np.flatnonzero((np.diff(now["b"]) != 0) | (np.diff(now["i"]) != 0) | (np.diff(now["j"]) != 0)) + 1
+        at = 0
+        for end in edges.tolist():
+            yield {c: v[at:end] for c, v in now.items()}
+            at = end
+        held = {c: v[at:].copy() if c in numbers else [x.copy() for x in v[at:]] for c, v in now.items()}
+    if held is not None and len(held["b"]):
+        yield held
+
+
+def components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row."""
-    rows = materialize(prepared(vectors, id_col, vector_col, label_col), "embeddings")
+    spark = vectors.sparkSession
+    bounded_batches(spark)
     key = ["label", "dim", "d0", "d1"]
-    classes = rows.where("d0 IS NOT NULL").groupBy(key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sig = pd.Series(index=pdf.index, dtype=object)
-            for _, part in pdf.groupby("dim"):
-                for k, s in zip(part.index, signs(np.stack(part["vector"].to_list()), tables, bits), strict=True):
-                    sig[k] = s
-            yield pdf.assign(sig=sig)
-
-    schema = "label string, dim int, d0 long, d1 long, rep long, copies long, vector array<double>, sig array<int>"
-    classes = materialize(classes.mapInPandas(sign, schema).withColumn("cid", F.monotonically_increasing_id()), "embeddings")
-
-    slots = classes.select("label", "dim", "cid", F.posexplode("sig").alias("t", "bucket"))
-    where = ["t", "label", "dim", "bucket"]
-    shared = slots.groupBy(where).agg(F.count("*").alias("n")).where("n > 1")
-    members = slots.join(shared, where)
+    good = prepared(vectors, id_col, vector_col, label_col)
+    # vectors are read twice, so that they are shuffled once and written once
+    rows = materialize(good.drop("vector"), "embeddings")
+    classes = good.where("d0 IS NOT NULL").groupBy(key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    n = rows.where("d0 IS NOT NULL").select(*key).distinct().count()
+    tables, bits = shape(n, threshold)
+    classes = classes.withColumn("own", F.xxhash64("label", "dim"))
+    names = [*key, "rep", "copies", "vector", "own"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, own, lists = batch.column("dim").to_numpy(), batch.column("own").to_numpy(), batch.column("vector")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = np.zeros((batch.num_rows, tables), np.int64)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                for k in range(0, len(at), 4096):
+                    some = at[k : k + 4096]
+                    found[some] = buckets(np.stack([flat[ends[r] : ends[r + 1]] for r in some]).astype(np.float64), own[some], tables, bits)
+            hashes = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, tables), pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hashes], [*names, "hashes"])
+
+    vector = dict(classes.dtypes)["vector"]
+    signed = classes.select(*names).mapInArrow(sign, f"label string, dim int, d0 long, d1 long, rep long, copies long, vector {vector}, own long, hashes array<long>")
+    classes = materialize(signed.withColumn("cid", F.monotonically_increasing_id()), "embeddings")
+
+    slots = classes.select("cid", F.posexplode("hashes").alias("t", "h"))
+    twice = slots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(slots.join(twice, "h"), "embeddings")
+    # of buckets that hold the same classes the first is enough
+    shared = met.groupBy("t", "h", "n").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("f0"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("f1"))
+    shared = shared.groupBy("n", "f0", "f1").agg(F.min(F.struct("t", "h")).alias("first")).select("first.t", "first.h", "n")
+    shared = materialize(shared.withColumn("b", F.monotonically_increasing_id()), "embeddings", narrow=True)
+    members = met.drop("n").join(shared, ["t", "h"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumns({"own": F.pmod(F.xxhash64("cid"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    members = members.select(*where, "cid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    members = members.join(classes.select("cid", "copies", "vector", "sig"), "cid")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"u": [], "v": [], "links": []}).astype({"u": "int64", "v": "Int64", "links": "int64"})
-        return compare(left, right, i == j, int(pdf["t"].iloc[0]), threshold)
-
-    found = materialize(members.groupBy(*where, "i", "j").applyInPandas(block, "u long, v long, links long"), "embeddings")
+    members = members.withColumns({"own_block": F.pmod(F.xxhash64("cid"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    members = members.select("b", "t", "cid", F.col("own_block").alias("own"), F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"))
+    members = members.join(classes.select("cid", "copies", "vector", "hashes", F.col("own").alias("label")), "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, size = [], 0
+        for part in streamed(batches):
+            done += block_links(part, threshold)
+            size = sum(len(d[0]) for d in done[-1:]) + size
+            if size > 50_000:
+                yield packed(done)
+                done, size = [], 0
+        yield packed(done)
+
+    def packed(done: list) -> pa.RecordBatch:
+        u, v, links = (np.concatenate([d[k] for d in done]).astype(np.int64) if done else np.zeros(0, np.int64) for k in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(links)], ["u", "v", "links"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select("b", "i", "j", "t", "own", "label", "cid", "copies", "vector", "hashes").repartition(parts, "b", "i", "j").sortWithinPartitions("b", "i", "j")
+    found = materialize(dealt.mapInArrow(run, "u long, v long, links long"), "embeddings")
     links = found.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
-    label = connected_components(found.where("v IS NOT NULL").select("u", "v"), "embeddings").withColumnRenamed("node", "cid")
+    label = connected_components(found.where("v >= 0").select("u", "v"), "embeddings").withColumnRenamed("node", "cid")
     known = classes.select(*key, "cid", "rep", "copies").join(links, "cid", "left").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "component").select(*key, "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.drop("vector").join(known, key, "left")
+    out = rows.join(known, key, "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

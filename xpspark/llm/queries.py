@@ -196,7 +196,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 3 == 1
+    """A row without id is not held out."""
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:

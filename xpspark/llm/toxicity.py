@@ -1,20 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A transducer reads the words of a clause from left to right. Word classes come from lexicons: insults (stems with
-weights, learned from labelled rows, above a few known ones), threats, targets, negations and reported speech. The
-composed machine's state is (words since a negation, reported or not, target seen or not); an insult or threat emits
-its weight, scaled by the state it is read in, and a clause's weight is the sum of its emissions. A document's score
-is the logistic of a linear form in its clauses' weights and its length.
-
-The lexicon's stems (word beginnings of 3 to 12 letters) are chosen on a bounded sample of labelled rows,
-``SAMPLE_ROWS`` at most, equal texts once. A stem's weight is the logarithm of its rate among the words of toxic texts
-over that among those of clean texts; each round takes the stem that adds most weight to toxic texts, which then count
-less for the next stem. Stem counts are made by Spark; the driver gets only stems that may be chosen. The linear
-form's three numbers are then fitted on the same sample. Scoring runs over whole texts, in time proportional to their
-length.
-
-Results for odd input: null or empty text gets the score of a text without matches; without labels of both kinds only
-the known stems score; rows that repeat give equal rows; a null id passes through.
+Five small transducers read the word classes of a clause from left to right:
+
+- insult: emits a match at an insulting word, with the weight of its stem;
+- threat: follows speaker and intent ("I will", "ich werde", "voy a") up to a verb of violence, and knows passives;
+- target: how far the last person named lies behind, and which open matches a person that follows still reaches;
+- negation: how far the last negation lies behind;
+- reported speech: whether a verb of saying or an open quotation mark came before.
+
+``compose`` runs them as one machine, whose transitions are built once for each state and class. A match keeps its weight
+as a register until the words that can change it have passed: an insult that meets a person counts more than one alone, a
+threat counts only with its object, negated and reported matches count less. A clause's weight is the sum of its matches';
+a text's score is the logistic of a linear form in the weights of its clauses and its length.
+
+Insults beyond a few known ones are stems (word beginnings of 3 to 12 letters) chosen on a bounded sample of labelled
+rows, ``SAMPLE_ROWS`` at most, equal texts once, toxic if any of their labels says so. A stem is a candidate only if its
+share of toxic texts would come about by chance with a probability below ``CHANCE`` over all stems of the sample (the
+Chernoff bound of the binomial tail). Its weight is the logarithm of its rate among toxic texts over that among clean
+ones; each round takes the stem that adds most weight to toxic texts, which then count less for the next stem. Stem
+counts are made by Spark; the driver gets only candidates. The linear form's three numbers are then fitted on the same
+sample. Scoring runs over whole texts, in time proportional to their length.
+
+Results for odd input: null or empty text gets the score of a text without matches; very long texts are read whole; an
+empty table gives no rows; without labels of both kinds only the known words score; rows that repeat give equal rows; a
+null id passes through; extra columns are ignored by scores and kept by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +31,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,24 +44,36 @@ from .common import bounded_batches, materialize
 
 SAMPLE_ROWS = 12_000
 STEM_MIN, STEM_MAX = 3, 12
-#: Most stems that the driver gets to choose from.
-CANDIDATES = 20_000
+#: Greatest probability that any stem of the sample is a candidate by chance.
+CHANCE = 0.01
 #: Least ratio of the rates in toxic and clean texts of a stem.
 RATIO = 8.0
 #: What holds the linear form's numbers near their defaults, per row: on separable rows one strong insult stays above the
 #: threshold, and length counts only where clean texts match by chance.
-RIDGE = np.array([0.01, 0.01, 1.0])
-#: Most occurrences of a stem in one text that count for its choice.
-PER_TEXT = 6
+RIDGE = np.array([0.02, 0.02, 1.0])
+#: Words that a negation reaches, that a person before a match and one after it reach, and that a threat's parts span.
+NEGATED, BEHIND, AHEAD, SPAN = 3, 4, 3, 4
+#: What a match's weight is multiplied by.
+AIMED, ALONE, DENIED, SAID, INTENDED = 1.3, 1.0, 0.5, 0.7, 1.5
+TOKEN = re.compile(r"[^\W\d_]+|[\"\u201c\u201d\u00ab\u00bb\u201e]")
 WORD = re.compile(r"[^\W\d_]+")
+MARKS = ".!?;:\n"
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
 #: Fixed word classes in English, French, German and Spanish.
-NEGATION = frozenset("not no never nobody isn aren wasn don doesn pas jamais aucun nicht kein keine niemals nunca jamás tampoco".split())
-REPORT = frozenset("said says quoted reported claims wrote called dit écrit rapporte sagte schrieb berichtet dijo escribió".split())
-TARGET = frozenset("you your he she they them him her these those tu vous ils elles du ihr sie euch tú usted ellos ustedes".split())
-THREAT = {"kill": 4.0, "murder": 4.0, "hurt": 3.0, "destroy": 3.0, "tuer": 4.0, "töten": 4.0, "matar": 4.0}
-INSULT = {"idiot": 5.0, "moron": 5.0, "stupid": 4.0, "scum": 5.0, "imbécile": 5.0, "dummkopf": 5.0, "imbécil": 5.0}
+CLASSES = {
+    "negation": frozenset("not no never nobody neither nor without isn aren wasn weren don doesn didn won wouldn cannot cant pas jamais aucun nicht kein keine keinen niemals nie nunca jamás tampoco".split()),
+    "report": frozenset("said says say quoted reported reports claims claimed wrote called calls dit écrit rapporte affirme sagte sagt schrieb berichtet dijo dice escribió".split()),
+    "person": frozenset("you your yours yourself yourselves u he she they them him her his their these those tu vous te toi ton votre ils elles lui leur du ihr dich euch dir er sie ihn ihm tú usted ustedes vosotros os ellos ellas él ella".split()),
+    "speaker": frozenset("i we ll m im je j nous ich wir yo nosotros".split()),
+    "intent": frozenset("will gonna going shall should must want ll vais allons veux dois werde werden will muss soll voy vamos quiero debo".split()),
+    "auxiliary": frozenset("was were been being be is are got get été est sont wurde wurden wird fue fueron sido son".split()),
+}
+#: Fixed stems of known insults and of verbs of violence, with weights.
+INSULT = {"idiot": 5.0, "moron": 5.0, "stupid": 4.0, "scum": 5.0, "imbecil": 5.0, "imbécile": 5.0, "dummkopf": 5.0, "imbécil": 5.0, "loser": 4.0, "pathetic": 4.0, "worthless": 4.0}
+THREAT = {"kill": 4.0, "murder": 4.0, "hurt": 3.0, "destroy": 3.0, "strangle": 4.0, "tuer": 4.0, "töten": 4.0, "umbring": 4.0, "matar": 4.0}
+#: Endings of a verb of violence that tell of the past.
+PAST = re.compile(r"(?:ed|ó|aron|té|tét)$")
 
 
 @dataclass(frozen=True)
@@ -65,41 +85,152 @@ class Model:
 
 
 def known() -> dict[str, float]:
-    return INSULT | THREAT
+    return dict(INSULT)
+
+
+# -- transducers
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``step(state, word class)`` gives the next state and what is told of the word."""
+
+    start: Hashable
+    step: Callable[[Hashable, str], tuple[Hashable, Hashable]]
+
+
+def since(kinds: set[str], reach: int) -> Transducer:
+    """Tells whether a word of ``kinds`` is among the ``reach`` words before."""
+    return Transducer(reach, lambda s, c: (0 if c in kinds else min(s + 1, reach), s < reach))
+
+
+def insult() -> Transducer:
+    return Transducer(0, lambda s, c: (0, c == "insult"))
+
+
+def threat() -> Transducer:
+    """Tells of a verb of violence whether it is intended, plain, or of the past or passive (None); False for other words.
+
+    The state is how far speaker, intent and auxiliary lie behind.
+    """
+
+    def step(state: tuple[int, int, int], c: str):
+        told: Hashable = False
+        speaker, intent, auxiliary = state
+        if c in ("violence", "violent past"):
+            intended = intent < SPAN
+            told = "intended" if intended else None if c == "violent past" or auxiliary < 2 else "plain"
+        near = lambda hit, n: 0 if hit else min(n + 1, SPAN)
+        # an intent counts with the speaker before it, or if none other is named
+        begun = c in ("intent", "speaker intent") and speaker < SPAN
+        return (near(c in ("speaker", "speaker intent"), speaker), near(begun, intent), near(c == "auxiliary", auxiliary)), told
+
+    return Transducer((SPAN, SPAN, SPAN), step)
+
+
+def report() -> Transducer:
+    """Tells whether a verb of saying came before in the clause, or a quotation is open."""
+
+    def step(state: tuple[bool, bool], c: str):
+        said, quoted = state
+        return (said or c == "report", quoted != (c == "quote")), said or quoted
+
+    return Transducer((False, False), step)
+
+
+def reach() -> Transducer:
+    """Tells the ages of the open matches that a person meets; a match is open for AHEAD words."""
+
+    def step(ages: tuple[int, ...], c: str):
+        older = tuple(a + 1 for a in ages if a + 1 <= AHEAD)
+        return (*older, *((0,) if c in ("insult", "violence", "violent past") else ())), older if c == "person" else ()
+
+    return Transducer((), step)
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """The machines side by side, as one; a transition is built when it is first taken."""
+    table: dict = {}
+
+    def step(states, c: str):
+        found = table.get((states, c))
+        if found is None:
+            moved = [m.step(s, c) for m, s in zip(machines, states, strict=True)]
+            found = table[states, c] = (tuple(s for s, _ in moved), tuple(out for _, out in moved))
+        return found
+
+    return Transducer(tuple(m.start for m in machines), step)
+
+
+GRAMMAR = compose(insult(), threat(), since({"person"}, BEHIND), since({"negation"}, NEGATED), report(), reach())
 
 
 @functools.lru_cache(maxsize=8)
 def matcher(stems: tuple[tuple[str, float], ...]):
-    """A pattern that finds words of the lexicon, and the weight by stem."""
+    """A pattern that finds words of the lexicon, and the weights of insults by stem."""
     weights = dict(stems)
     # longest first: the most specific stem of a word decides
-    body = "|".join(map(re.escape, sorted(weights, key=lambda s: (-len(s), s))))
-    return re.compile(rf"(?<![^\W\d_])(?:{body})") if body else None, weights
+    body = "|".join(map(re.escape, sorted({**weights, **THREAT}, key=lambda s: (-len(s), s))))
+    return re.compile(rf"(?<![^\W\d_])(?:{body})"), weights
+
+
+def classify(token: str, stem: str | None, weights: dict[str, float]) -> str:
+    """The class of a word, ``stem`` being the lexicon's stem that it begins with."""
+    if stem is not None:
+        return "insult" if stem in weights else "violent past" if PAST.search(token) else "violence"
+    if not token[0].isalpha():
+        return "quote"
+    if token in CLASSES["speaker"]:
+        return "speaker intent" if token in CLASSES["intent"] else "speaker"
+    for name in ("negation", "report", "person", "intent", "auxiliary"):
+        if token in CLASSES[name]:
+            return name
+    return "word"
+
+
+def matches(classes: list[str], weights: list[float]) -> list[float]:
+    """The weights of a clause's matches, from its words' classes and their stems' weights."""
+    state, found, kinds = GRAMMAR.start, [], {}
+    for k, c in enumerate(classes):
+        state, (is_insult, violence, person, negated, reported, met) = GRAMMAR.step(state, c)
+        for age in met:
+            at = k - age
+            if at in kinds:
+                kind, scale, aimed = kinds[at]
+                kinds[at] = kind, scale, True
+        scale = (DENIED if negated else 1.0) * (SAID if reported else 1.0)
+        if is_insult:
+            kinds[k] = "insult", scale, person
+        elif violence:
+            # the object stands behind the verb, or before it after an intent
+            kinds[k] = violence, scale, person and violence == "intended"
+    for at, (kind, scale, aimed) in kinds.items():
+        if kind == "insult":
+            found.append(weights[at] * scale * (AIMED if aimed else ALONE))
+        elif aimed:
+            found.append(weights[at] * scale * (INTENDED if kind == "intended" else 1.0))
+    return found
 
 
 def clause_weight(clause: str, pattern, weights: dict[str, float]) -> float:
-    """The transducer's run over one clause."""
-    negated, reported, aimed, emitted = 9, False, False, []
-    for m in WORD.finditer(clause):
-        word = m[0]
-        hit = pattern.match(clause, m.start())
-        if hit:
-            weight = weights[hit[0]]
-            emitted.append(weight * (0.6 if negated <= 2 else 1.0) * (0.8 if reported else 1.0) * (1.2 if aimed else 1.0))
-        negated = 0 if word in NEGATION else negated + 1
-        reported |= word in REPORT
-        aimed |= word in TARGET
-    return sum(emitted)
+    """The grammar's run over one clause."""
+    classes, values = [], []
+    for m in TOKEN.finditer(clause):
+        hit = pattern.match(clause, m.start()) if m[0][0].isalpha() else None
+        stem = hit[0] if hit else None
+        classes.append(classify(m[0], stem, weights))
+        values.append(0.0 if stem is None else weights[stem] if stem in weights else THREAT[stem])
+    return sum(matches(classes, values))
 
 
 def evidence(text: str, stems: tuple[tuple[str, float], ...]) -> float:
-    """The sum of the clauses' weights; only clauses with a match are read."""
+    """The sum of the clauses' weights; only clauses with a word of the lexicon are read."""
     pattern, weights = matcher(stems)
     low = text.lower()
     total, at = 0.0, 0
-    while pattern is not None and (hit := pattern.search(low, at)):
+    while hit := pattern.search(low, at):
         # from the last clause mark before the match to the next after it
-        begin = max(at, *(low.rfind(mark, at, hit.start()) + 1 for mark in ".!?;:\n"))
+        begin = max(at, *(low.rfind(mark, at, hit.start()) + 1 for mark in MARKS))
         end = CLAUSE.search(low, hit.end())
         at = end.start() if end else len(low)
         total += clause_weight(low[begin:at], pattern, weights)
@@ -112,36 +243,33 @@ def score(text: str, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def stems_of(text: str) -> Counter:
-    """Occurrences of each stem in a text, at most PER_TEXT."""
-    found: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for k in range(STEM_MIN, min(len(word), STEM_MAX) + 1):
-            found[word[:k]] += n
-    return Counter({s: min(n, PER_TEXT) for s, n in found.items()})
+# -- learning
 
 
-def choose(rows: list[tuple[list[int], list[int], bool]], stems: list[str], weights: np.ndarray) -> dict[str, float]:
-    """Greedy cover. rows: numbers of the stems in a text, their occurrences, toxic or not."""
-    toxic = [(np.array(j, np.int64), np.array(n, float)) for j, n, y in rows if y]
-    gain, share = np.zeros(len(stems)), np.ones(len(toxic))
+def stems_of(text: str) -> set[str]:
+    """The stems of a text's words."""
+    return {word[:k] for word in set(WORD.findall(text.lower())) for k in range(STEM_MIN, min(len(word), STEM_MAX) + 1)}
+
+
+def choose(rows: list[list[int]], stems: list[str], weights: np.ndarray) -> dict[str, float]:
+    """Greedy cover. rows: numbers of the candidates in each toxic text."""
+    gain, share = np.zeros(len(stems)), np.ones(len(rows))
     having: dict[int, list[int]] = {}
-    for i, (j, n) in enumerate(toxic):
-        np.add.at(gain, j, n * weights[j])
-        for k in j.tolist():
+    for i, j in enumerate(rows):
+        gain[j] += weights[j]
+        for k in j:
             having.setdefault(k, []).append(i)
     lengths = np.array([len(s) for s in stems])
     found: dict[str, float] = {}
-    least = max(1.5, 0.002 * len(toxic))
-    while len(stems) and len(found) < 500:
+    least = max(1.5, 0.002 * len(rows))
+    while len(stems):
         # among equals the longest: it covers as much and is the most specific
         k = int(np.lexsort((lengths, np.round(gain, 6)))[-1])
         if gain[k] < least * weights[k]:
             break
         found[stems[k]] = float(weights[k])
         for i in having[k]:
-            j, n = toxic[i]
-            np.add.at(gain, j, -0.7 * share[i] * n * weights[j])
+            gain[rows[i]] -= 0.7 * share[i] * weights[rows[i]]
             share[i] *= 0.3
         # beginnings and continuations of a chosen stem say the same
         gain[[i for i, s in enumerate(stems) if s.startswith(stems[k]) or stems[k].startswith(s)]] = -np.inf
@@ -167,52 +295,62 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``body, y`` of at most ``sample_rows`` labelled rows, chosen by the hash of their id; equal texts come once."""
+    """``body, y`` of at most ``sample_rows`` labelled rows, chosen by the hash of their texts; equal texts come once.
+
+    Rows are chosen by key and hash; only the chosen ones' texts are fetched. A text with any label 1 is toxic.
+    """
     bounded_batches(docs.sparkSession)
     ids = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col) == 1).alias("y"))
-    ids = ids.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
-    # the broadcast side has sample_rows rows at most
-    found = texts.join(F.broadcast(ids), "key").withColumn("h", F.xxhash64("body")).dropDuplicates(["h"]).limit(sample_rows)
-    return materialize(found.select("body", "y"), "toxicity")
+    hashes = [F.xxhash64("body").alias("h0"), F.xxhash64("body", F.lit(1)).alias("h1")]
+    # a row of labels is narrow; the texts' side is read for its key and hashes alone
+    rows = materialize(texts.select("key", *hashes).join(ids, "key"), "toxicity")
+    chosen = rows.groupBy("h0", "h1").agg(F.max("y").alias("y"), F.min("key").alias("key")).orderBy("h0", "h1").limit(sample_rows)
+    chosen = materialize(chosen, "toxicity")
+    # at most sample_rows rows
+    found = texts.join(F.broadcast(chosen), "key").where((F.xxhash64("body") == F.col("h0")) & (F.xxhash64("body", F.lit(1)) == F.col("h1")))
+    return materialize(found.groupBy("h0", "h1").agg(F.first("body").alias("body"), F.max("y").alias("y")).select("body", "y"), "toxicity")
 
 
 def train(sample: DataFrame) -> Model:
     """Learn stems and linear form from ``body, y`` rows, which must be bounded in number: see ``draw``."""
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for y, text in zip(pdf["y"], pdf["body"], strict=True):
-                found = stems_of(text)
-                yield pd.DataFrame({"y": y, "stem": [*found, ""], "n": [*found.values(), len(WORD.findall(text))]})
-
-    pairs = sample.mapInPandas(spread, "y boolean, stem string, n long")
-    toxic = F.col("y")
-    counts = pairs.groupBy("stem").agg(
-        F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("c1"),
-        F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("c0"),
-        F.sum(toxic.cast("int")).alias("n1"),
-    )
-    words = counts.where("stem = ''").first()
-    if words is None or not words.c1 or not words.c0:
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [stems_of(t) for t in batch.column("body").to_pylist()]
+            y = np.repeat(np.array(batch.column("y").to_pylist(), bool), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([s for f in found for s in f], pa.string())], ["y", "stem"])
+
+    sizes = {r.y: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
+    if not n1 or not n0:
         return Model(tuple(known().items()))
-    weight = F.log((F.col("c1") + 0.5) / (words.c1 + 1)) - F.log((F.col("c0") + 0.5) / (words.c0 + 1))
-    counts = counts.where("n1 >= 2 AND stem <> ''").withColumn("w", F.least(weight, F.lit(6.0))).where(F.col("w") >= math.log(RATIO))
-    chosen = counts.orderBy(F.desc(F.col("c1") * F.col("w")), F.desc(F.length("stem")), "stem").limit(CANDIDATES).collect()
+    counts = sample.mapInArrow(spread, "y boolean, stem string").groupBy("stem").agg(F.sum(F.col("y").cast("long")).alias("c1"), F.sum((~F.col("y")).cast("long")).alias("c0"))
+    counts = materialize(counts, "toxicity")
+    stems = counts.count()
+    share, toxic = F.col("c1") / (F.col("c1") + F.col("c0")), n1 / (n1 + n0)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - toxic))).otherwise(0.0)
+    surprise = (F.col("c1") + F.col("c0")) * (share * F.log(share / toxic) + rest)
+    weight = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
+    fits = (share > toxic) & (surprise > math.log(max(stems, 1) / CHANCE)) & (weight >= math.log(RATIO))
+    chosen = counts.where("c1 > 0").withColumn("w", weight).where(fits).orderBy(F.desc("c1"), F.desc(F.length("stem")), "stem").collect()
     number = {r.stem: k for k, r in enumerate(chosen)}
 
-    def restrict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            have = [{number[s]: n for s, n in stems_of(t).items() if s in number} for t in pdf["body"]]
-            yield pd.DataFrame({"stems": [list(h) for h in have], "n": [list(h.values()) for h in have], "y": pdf["y"]})
+    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            have = [sorted(number[s] for s in stems_of(t) if s in number) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.int32()))], ["stems"])
 
-    have = [(r.stems, r.n, True) for r in sample.where("y").mapInPandas(restrict, "stems array<int>, n array<int>, y boolean").collect()]
-    weights = tuple((known() | choose(have, list(number), np.array([r.w for r in chosen]))).items())
+    have = [r.stems for r in sample.where("y").mapInArrow(restrict, "stems array<int>").orderBy("stems").collect()] if number else []
+    learned = choose(have, list(number), np.array([r.w for r in chosen])) if number else {}
+    # an insult weighs what it is known for at least
+    weights = tuple({s: max(w, learned.get(s, 0.0)) for s, w in {**learned, **known()}.items()}.items())
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"x": [evidence(t, weights) for t in pdf["body"]], "n": pdf["body"].str.len() / 100, "y": pdf["y"].astype(float)})
 
-    xy = sample.mapInPandas(weigh, "x double, n double, y double").toPandas()
+    xy = sample.mapInPandas(weigh, "x double, n double, y double").toPandas().sort_values(["x", "n", "y"])
     return Model(weights, fit_logistic(xy[["x", "n"]].to_numpy(), xy["y"].to_numpy()))
 
 
