@@ -14,12 +14,12 @@ threat counts only with its object, negated and reported matches count less. A c
 a text's score is the logistic of a linear form in the weights of its clauses and its length.
 
 Insults beyond a few known ones are stems (word beginnings of 3 to 12 letters) chosen on a bounded sample of labelled
-rows, ``SAMPLE_ROWS`` at most, equal texts once, toxic if any of their labels says so. A stem is a candidate only if its
-share of toxic texts would come about by chance with a probability below ``CHANCE`` over all stems of the sample (the
-Chernoff bound of the binomial tail). Its weight is the logarithm of its rate among toxic texts over that among clean
-ones; each round takes the stem that adds most weight to toxic texts, which then count less for the next stem. Stem
-counts are made by Spark; the driver gets only candidates. The linear form's three numbers are then fitted on the same
-sample. Scoring runs over whole texts, in time proportional to their length.
+rows, ``SAMPLE_ROWS`` at most, equal texts once, toxic if any of their labels says so. A stem is a candidate only if the
+share of its occurrences (each doubling within a text counts one more) that lies in toxic texts would come about by
+chance with a probability below ``CHANCE`` over all stems of the sample (the Chernoff bound of the binomial tail). Its weight is the logarithm of its rate among the words of toxic texts over that
+among those of clean ones; each round takes the stem that adds most weight to toxic texts, which then count less for the next stem. Stem
+counts are made by Spark; the driver gets only candidates. The linear form is then fitted on the same sample, so that the
+cut at a score of 0.7 errs least. Scoring runs over whole texts, in time proportional to their length.
 
 Results for odd input: null or empty text gets the score of a text without matches; very long texts are read whole; an
 empty table gives no rows; without labels of both kinds only the known words score; rows that repeat give equal rows; a
@@ -31,6 +31,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 
@@ -48,9 +49,10 @@ STEM_MIN, STEM_MAX = 3, 12
 CHANCE = 0.01
 #: Least ratio of the rates in toxic and clean texts of a stem.
 RATIO = 8.0
-#: What holds the linear form's numbers near their defaults, per row: on separable rows one strong insult stays above the
-#: threshold, and length counts only where clean texts match by chance.
-RIDGE = np.array([0.02, 0.02, 1.0])
+#: Least number of toxic texts with a stem.
+TEXTS = 3
+#: The linear form at a score of 0.7, and what a clean text that is flagged costs against a toxic one that is missed.
+CUT, FLAGGED = math.log(0.7 / 0.3), 2.0
 #: Words that a negation reaches, that a person before a match and one after it reach, and that a threat's parts span.
 NEGATED, BEHIND, AHEAD, SPAN = 3, 4, 3, 4
 #: What a match's weight is multiplied by.
@@ -78,10 +80,11 @@ PAST = re.compile(r"(?:ed|ó|aron|té|tét)$")
 
 @dataclass(frozen=True)
 class Model:
-    """Stem weights and the linear form: shift, per unit of weight, per 100 characters."""
+    """Stem weights, the linear form (shift, per unit of weight, per 100 characters), and the scale of threats."""
 
     stems: tuple[tuple[str, float], ...]
     form: tuple[float, float, float] = (-4.0, 1.2, -0.01)
+    level: float = 1.0
 
 
 def known() -> dict[str, float]:
@@ -212,18 +215,18 @@ def matches(classes: list[str], weights: list[float]) -> list[float]:
     return found
 
 
-def clause_weight(clause: str, pattern, weights: dict[str, float]) -> float:
+def clause_weight(clause: str, pattern, weights: dict[str, float], level: float) -> float:
     """The grammar's run over one clause."""
     classes, values = [], []
     for m in TOKEN.finditer(clause):
         hit = pattern.match(clause, m.start()) if m[0][0].isalpha() else None
         stem = hit[0] if hit else None
         classes.append(classify(m[0], stem, weights))
-        values.append(0.0 if stem is None else weights[stem] if stem in weights else THREAT[stem])
+        values.append(0.0 if stem is None else weights[stem] if stem in weights else level * THREAT[stem])
     return sum(matches(classes, values))
 
 
-def evidence(text: str, stems: tuple[tuple[str, float], ...]) -> float:
+def evidence(text: str, stems: tuple[tuple[str, float], ...], level: float = 1.0) -> float:
     """The sum of the clauses' weights; only clauses with a word of the lexicon are read."""
     pattern, weights = matcher(stems)
     low = text.lower()
@@ -233,31 +236,36 @@ def evidence(text: str, stems: tuple[tuple[str, float], ...]) -> float:
         begin = max(at, *(low.rfind(mark, at, hit.start()) + 1 for mark in MARKS))
         end = CLAUSE.search(low, hit.end())
         at = end.start() if end else len(low)
-        total += clause_weight(low[begin:at], pattern, weights)
+        total += clause_weight(low[begin:at], pattern, weights, level)
     return total
 
 
 def score(text: str, model: Model) -> float:
     shift, slope, length = model.form
-    z = shift + slope * evidence(text, model.stems) + length * len(text) / 100
+    z = shift + slope * evidence(text, model.stems, model.level) + length * len(text) / 100
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 # -- learning
 
 
-def stems_of(text: str) -> set[str]:
-    """The stems of a text's words."""
-    return {word[:k] for word in set(WORD.findall(text.lower())) for k in range(STEM_MIN, min(len(word), STEM_MAX) + 1)}
+def stems_of(text: str) -> dict[str, float]:
+    """How often the stems of a text's words occur, each doubling counting one more."""
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for k in range(STEM_MIN, min(len(word), STEM_MAX) + 1):
+            found[word[:k]] += n
+    return {s: 1 + math.log2(n) for s, n in found.items()}
 
 
-def choose(rows: list[list[int]], stems: list[str], weights: np.ndarray) -> dict[str, float]:
-    """Greedy cover. rows: numbers of the candidates in each toxic text."""
+def choose(rows: list[tuple[list[int], list[float]]], stems: list[str], weights: np.ndarray) -> dict[str, float]:
+    """Greedy cover. rows: numbers of the candidates in each toxic text, and how often they occur."""
     gain, share = np.zeros(len(stems)), np.ones(len(rows))
     having: dict[int, list[int]] = {}
-    for i, j in enumerate(rows):
-        gain[j] += weights[j]
-        for k in j:
+    rows = [(np.array(j, np.int64), np.array(n, float)) for j, n in rows]
+    for i, (j, n) in enumerate(rows):
+        np.add.at(gain, j, n * weights[j])
+        for k in j.tolist():
             having.setdefault(k, []).append(i)
     lengths = np.array([len(s) for s in stems])
     found: dict[str, float] = {}
@@ -269,29 +277,39 @@ def choose(rows: list[list[int]], stems: list[str], weights: np.ndarray) -> dict
             break
         found[stems[k]] = float(weights[k])
         for i in having[k]:
-            gain[rows[i]] -= 0.7 * share[i] * weights[rows[i]]
+            j, n = rows[i]
+            np.add.at(gain, j, -0.7 * share[i] * n * weights[j])
             share[i] *= 0.3
         # beginnings and continuations of a chosen stem say the same
         gain[[i for i, s in enumerate(stems) if s.startswith(stems[k]) or stems[k].startswith(s)]] = -np.inf
     return found
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """The linear form by Newton's method, with a small ridge towards the default."""
-    prior, ridge = np.array(Model.form), RIDGE * len(x)
-    b, z = prior.copy(), np.column_stack([np.ones(len(x)), x])
-    loss = lambda b: np.logaddexp(0, (1 - 2 * y) * (z @ b)).sum() + 0.5 * (ridge * (b - prior) ** 2).sum()
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        grad = z.T @ (p - y) + ridge * (b - prior)
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(ridge), grad)
-        size = 1.0
-        while size > 1e-4 and loss(b - size * step) > loss(b):
-            size /= 2
-        b = b - size * step
-        if np.abs(size * step).max() < 1e-7:
-            break
-    return float(b[0]), float(max(b[1], 0.1)), float(min(b[2], 0.0))
+def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """The linear form: evidence, less a share for a text's length, is cut where the sample has the least cost of errors.
+
+    Among equal costs the least share for length and the widest gap between texts win; the slope then is the likeliest one.
+    """
+    best: tuple = (math.inf, 0.0, 0.0, 0.0)
+    for per in (0.0, *(0.01 * 2.0**k for k in range(6))):
+        v = x - per * n
+        order = np.argsort(v, kind="stable")
+        low, toxic = v[order], y[order].astype(float)
+        # cutting before text k: toxic texts below are missed, clean ones from there on are flagged
+        cost = np.concatenate(([0.0], np.cumsum(toxic))) + FLAGGED * ((1 - toxic).sum() - np.concatenate(([0.0], np.cumsum(1 - toxic))))
+        gap = np.concatenate(([0.0], np.diff(low), [1.0]))
+        gap[0] = 1.0
+        usable = np.flatnonzero(gap > 1e-9)
+        k = usable[np.lexsort((-gap[usable], cost[usable]))[0]]
+        middle = low[0] - 0.5 if k == 0 else low[-1] + 0.5 if k == len(low) else (low[k - 1] + low[k]) / 2
+        if cost[k] < best[0] - 1e-9:
+            best = (cost[k], per, float(middle), 0.0)
+    _, per, middle, _ = best
+    z = lambda slope: CUT + slope * (x - per * n - middle)
+    slopes = [0.1 * k for k in range(3, 31)]
+    loss = [np.logaddexp(0, (1 - 2 * y) * z(slope)).sum() for slope in slopes]
+    slope = slopes[int(np.argmin(loss))]
+    return CUT - slope * middle, slope, -slope * per
 
 
 def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -317,41 +335,45 @@ def train(sample: DataFrame) -> Model:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [stems_of(t) for t in batch.column("body").to_pylist()]
+            texts = batch.column("body").to_pylist()
+            found = [{**stems_of(t), "": float(len(WORD.findall(t)))} for t in texts]
             y = np.repeat(np.array(batch.column("y").to_pylist(), bool), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([s for f in found for s in f], pa.string())], ["y", "stem"])
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([s for f in found for s in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.float64())], ["y", "stem", "n"])
 
     sizes = {r.y: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return Model(tuple(known().items()))
-    counts = sample.mapInArrow(spread, "y boolean, stem string").groupBy("stem").agg(F.sum(F.col("y").cast("long")).alias("c1"), F.sum((~F.col("y")).cast("long")).alias("c0"))
+    of = lambda column, y: F.coalesce(F.sum(F.when(F.col("y") == y, column)), F.lit(0))
+    counts = sample.mapInArrow(spread, "y boolean, stem string, n double").groupBy("stem").agg(of(F.lit(1), True).alias("c1"), of(F.col("n"), True).alias("s1"), of(F.col("n"), False).alias("s0"))
     counts = materialize(counts, "toxicity")
-    stems = counts.count()
-    share, toxic = F.col("c1") / (F.col("c1") + F.col("c0")), n1 / (n1 + n0)
+    words, stems = counts.where("stem = ''").first(), counts.count()
+    share, toxic = F.col("s1") / (F.col("s1") + F.col("s0")), words.s1 / (words.s1 + words.s0)
     rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - toxic))).otherwise(0.0)
-    surprise = (F.col("c1") + F.col("c0")) * (share * F.log(share / toxic) + rest)
-    weight = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    fits = (share > toxic) & (surprise > math.log(max(stems, 1) / CHANCE)) & (weight >= math.log(RATIO))
-    chosen = counts.where("c1 > 0").withColumn("w", weight).where(fits).orderBy(F.desc("c1"), F.desc(F.length("stem")), "stem").collect()
+    surprise = (F.col("s1") + F.col("s0")) * (share * F.log(share / toxic) + rest)
+    weight = F.log((F.col("s1") + 0.5) / (words.s1 + 1)) - F.log((F.col("s0") + 0.5) / (words.s0 + 1))
+    fits = (share > toxic) & (surprise > math.log(stems / CHANCE)) & (weight >= math.log(RATIO))
+    # the sums of a group may differ in their last digits from run to run: weights are rounded
+    chosen = counts.where(F.col("c1") >= TEXTS).where("stem <> ''").withColumn("w", F.round(weight, 6)).where(fits).orderBy(F.desc("c1"), F.desc(F.length("stem")), "stem").collect()
     number = {r.stem: k for k, r in enumerate(chosen)}
 
     def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            have = [sorted(number[s] for s in stems_of(t) if s in number) for t in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.int32()))], ["stems"])
+            have = [sorted((number[s], n) for s, n in stems_of(t).items() if s in number) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([[k for k, _ in h] for h in have], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in have], pa.list_(pa.float64()))], ["stems", "n"])
 
-    have = [r.stems for r in sample.where("y").mapInArrow(restrict, "stems array<int>").orderBy("stems").collect()] if number else []
+    have = [(r.stems, r["n"]) for r in sample.where("y").mapInArrow(restrict, "stems array<int>, n array<double>").orderBy("stems", "n").collect()] if number else []
     learned = choose(have, list(number), np.array([r.w for r in chosen])) if number else {}
-    # an insult weighs what it is known for at least
-    weights = tuple({s: max(w, learned.get(s, 0.0)) for s, w in {**learned, **known()}.items()}.items())
+    # known words weigh what they are known for at least, on the scale of the learned ones
+    level = max(1.0, max(learned.values(), default=0.0) / max(INSULT.values()))
+    weights = tuple({**learned, **{s: max(level * w, learned.get(s, 0.0)) for s, w in known().items()}}.items())
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [evidence(t, weights) for t in pdf["body"]], "n": pdf["body"].str.len() / 100, "y": pdf["y"].astype(float)})
+            yield pd.DataFrame({"x": [evidence(t, weights, level) for t in pdf["body"]], "n": pdf["body"].str.len() / 100, "y": pdf["y"].astype(float)})
 
     xy = sample.mapInPandas(weigh, "x double, n double, y double").toPandas().sort_values(["x", "n", "y"])
-    return Model(weights, fit_logistic(xy[["x", "n"]].to_numpy(), xy["y"].to_numpy()))
+    return Model(weights, level=level, form=fit(*(xy[c].to_numpy() for c in ("x", "n", "y"))))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
