@@ -3,19 +3,22 @@ import random
 from xpspark.llm import substring_dedup as sd
 
 
-def brute(rows, run=sd.RUN, least=sd.LEAST_WORDS):
+def brute(rows):
+    """Text by id, from runs as plain strings."""
     seen, out = set(), {}
     for key, text in sorted(rows):
-        parts = [text[a:b] for a, b in sd.sentences(text)]
-        gone, mine = set(), []
-        for k in range(len(parts) - run + 1):
-            words = " ".join(" ".join(parts[k : k + run]).split())
-            if len(words.split()) >= least:
-                if words in seen or words in mine:
-                    gone |= set(range(k, k + run))
-                mine.append(words)
-        seen |= set(mine)
-        out[key] = "".join(p for k, p in enumerate(parts) if k not in gone)
+        parts = [(k, text[a:b].split(), n) for k, (a, b, _, n) in enumerate(sd.units(text)) if text[a:b].strip()]
+        gone, found = set(), set()
+        total = lambda i, j: sum(n for *_, n in parts[i : j + 1])  # noqa: B023, E731
+        for i in range(len(parts)):
+            found |= set([(i, j) for j in range(i + 1, len(parts)) if total(i, j) >= sd.LEAST_WORDS][:1])
+            found |= set([(j, i) for j in range(i - 1, -1, -1) if total(j, i) >= sd.LEAST_WORDS][:1])
+        for i, j in sorted(found):
+            run = " ".join(x for _, w, _ in parts[i : j + 1] for x in w)
+            if run in seen:
+                gone |= set(range(parts[i][0], parts[j][0] + 1))
+            seen.add(run)
+        out[key] = "".join(text[a:b] for k, (a, b, *_) in enumerate(sd.units(text)) if k not in gone)
     return out
 
 
@@ -23,24 +26,33 @@ def test_equals_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 8)))
     sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice([". ", "! ", ".\n", "\n\n"])
-    passages = ["".join(sentence(rng.randint(3, 14)) for _ in range(6)) for _ in range(5)] + [sentence(70)]
+    short = lambda n: "".join(" ".join(word() for _ in range(rng.randint(1, 5))) + rng.choice([". ", "!! ", "\n"]) for _ in range(n))
+    passages = ["".join(sentence(rng.randint(3, 14)) for _ in range(6)) for _ in range(5)] + [sentence(70), short(30), " ".join(word() + "!!" for _ in range(60)) + " "]
     rows = []
     for i in range(150):
         text = [sentence(rng.randint(1, 20)) for _ in range(rng.randint(0, 9))]
         if i % 2:
             text.insert(rng.randint(0, len(text)), rng.choice(passages))
         rows.append((i, "".join(text)))
-    rows += [(500, rows[7][1]), (501, ""), (502, "x " * 9000), (503, rows[9][1] + rows[9][1])]
-    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, place int, key string")
+    rows += [(500, rows[7][1]), (501, ""), (502, "x " * 200), (503, rows[9][1] + rows[9][1]), (504, "\n\n Ab. \n\n")]
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, __places int, key string, __0 int")
     want = brute(rows)
-    assert {r.doc_id: r.text for r in sd.dedup(df).collect()} == want
-    changed = {r.doc_id: r for r in sd.report(df).collect()}
-    assert {k: r.text for k, r in changed.items()} == {k: want[k] for k, t in rows if want[k] != t}
-    for k, r in changed.items():
-        text = dict(rows)[k]
+    out = sd.dedup(df)
+    assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()} == want
+    for r in sd.report(df).collect():
+        text = dict(rows)[r.doc_id]
+        assert r.text == want[r.doc_id] and r.n_sentences == len(sd.units(text)) and bool(r.n_removed) == (want[r.doc_id] != text) == bool(r.first_ids)
         for s in reversed(r.spans):
             text = text[: s.start] + text[s.end :]
-        assert text == r.text and r.first_ids
+        assert text == r.text
+
+
+def test_run_hashes_are_those_of_words():
+    a = "One two three four. Five six seven eight nine ten eleven twelve. Thirteen fourteen."
+    b = "Other words stand here. And more of them. " + a.replace(". ", ".\n ") + " Tail."
+    hashes = lambda t: set(zip(*(h.tolist() for h in sd.runs(t)[2]), strict=True))
+    assert hashes(a) <= hashes(b) and len(hashes(a)) == 2
+    assert not hashes("One two three four. Five six seven eight nine ten twelve eleven. Thirteen fourteen.") & hashes(a)
 
 
 def test_long_sentence_in_other_context(spark):
@@ -49,72 +61,26 @@ def test_long_sentence_in_other_context(spark):
     passage = words(90)
     df = spark.createDataFrame([(i, f"{words(20 + i)} {passage} {words(9)}.") for i in range(6)], "doc_id long, text string")
     got = {r.doc_id: r for r in sd.report(df).collect()}
-    assert set(got) == {1, 2, 3, 4, 5} and all(r.first_ids == [0] for r in got.values())
-
-
-def test_sentences_cover_the_text():
-    for text in ("", "a", "A b. C d!  E\n\n f 3.14 g。h！", "\n\n", " . "):
-        assert "".join(text[a:b] for a, b in sd.sentences(text)) == text
-
-
-def test_odd_rows(spark):
-    text = "One two three four five six seven. Eight nine ten eleven twelve thirteen. End."
-    df = spark.createDataFrame([(1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.text) for r in sd.dedup(df).collect()}
-    assert got == {(1, text), (2, "End."), (None, text), (3, None)}
-    assert sd.dedup(df.limit(0)).count() == 0 == sd.report(df.limit(0)).count()
+    assert all(got[i].first_ids == [0] and len(got[i].text.split()) < 70 for i in range(1, 6)) and not got[0].n_removed
 
 
-def test_passages_equal_brute_force(spark):
-    rng = random.Random(10)
-    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 8)))
-    short = lambda n: "".join(" ".join(word() for _ in range(rng.randint(1, 5))) + rng.choice([". ", "!! ", "\n"]) for _ in range(n))
-    repeats = [short(30) for _ in range(5)] + [" ".join(word() + "!!" for _ in range(60)) + " "]
-    rows = [(i, f"Own {i} {word()}. {short(i % 4)}" + (repeats[i % 6] if i % 2 else "") + f"{word()} end {i}.") for i in range(90)]
-    rows += [(500, ""), (501, "\n\n Ab. \n\n"), (502, "x " * 900), (503, rows[1][1] + rows[1][1])]
-    seen, want = set(), {}
-    for key, text in rows:
-        parts = [(k, text[a:b].split()) for k, (a, b) in enumerate(sd.units(text)) if text[a:b].strip()]
-        gone = set()
-        found = set()
-        for i in range(len(parts)):
-            found |= set([(i, j) for j in range(i + 1, len(parts)) if sum(len(w) for _, w in parts[i : j + 1]) >= 12][:1])
-            found |= set([(j, i) for j in range(i - 1, -1, -1) if sum(len(w) for _, w in parts[j : i + 1]) >= 12][:1])
-        for i, j in sorted(found):
-            run = " ".join(x for _, w in parts[i : j + 1] for x in w)
-            if run in seen:
-                gone |= set(range(parts[i][0], parts[j][0] + 1))
-            seen.add(run)
-        want[key] = "".join(text[a:b] for k, (a, b) in enumerate(sd.units(text)) if k not in gone)
-    df = spark.createDataFrame([*rows, (None, rows[1][1]), (900, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in sd.passages(df).collect() if r.doc_id is not None and r.doc_id != 900}
-    assert {k: r.text for k, r in got.items() if r.n_removed} == {k: want[k] for k, t in rows if want[k] != t}
-    for k, r in got.items():
-        text = dict(rows)[k]
-        for s in reversed(r.spans):
-            text = text[: s.start] + text[s.end :]
-        assert text == r.text and bool(r.first_ids) == bool(r.n_removed)
-    later = [(i, t) for i, t in rows if i % 2 and 11 < i < 90]
-    assert all(repeats[i % 6].strip()[:40] not in got[i].text for i, _ in later)
-    old = {r.doc_id: r.text for r in sd.dedup(df).collect()}
-    assert any(repeats[i % 6] in old[i] for i, _ in later)
+def test_units_cover_the_text():
+    for text in ("", "a", "A b. C d!  E\n\n f 3.14 g。h！", "\n\n", " . ", "x " * 99, "漢" * 99):
+        assert "".join(text[a:b] for a, b, *_ in sd.units(text)) == text
 
 
-def test_passages_without_spaces_or_hashed_words(spark):
+def test_texts_without_spaces(spark):
     rng = random.Random(11)
     glyphs = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300))
-    still = [w for w in ("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)) if sd.word_hash(w) % sd.CUT]
-    uncut = " ".join(still[:200])
-    df = spark.createDataFrame([(1, f"前{glyphs}"), (2, f"後文{glyphs}"), (3, f"One two {uncut}."), (4, f"Six {uncut}.")], "doc_id long, text string")
-    got = {r.doc_id: r for r in sd.passages(df).collect()}
-    assert len(got[2].text) < 60 and len(got[4].text.split()) < 30
-    assert "".join(uncut[a:b] for a, b in sd.units(uncut)) == uncut
+    df = spark.createDataFrame([(1, f"前{glyphs}"), (2, f"後文{glyphs}"), (3, "z" * 500), (4, "y" + "z" * 500)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sd.report(df).collect()}
+    assert len(got[2].text) < 60
 
 
-def test_passages_return_every_row(spark):
+def test_odd_rows(spark):
     text = "One two three four five six seven. Eight nine ten eleven twelve thirteen. End."
     rows = [(1, text), (2, text + " Other."), (None, text), (3, None), (4, ""), (5, "Short."), (6, "Not repeated. At all.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.n_sentences, r.n_removed, r.text) for r in sd.passages(df).collect()}
+    got = {(r.doc_id, r.n_sentences, r.n_removed, r.text) for r in sd.report(df).collect()}
     assert got == {(1, 3, 0, text), (2, 4, 3, "Other."), (None, 3, 0, text), (3, None, None, None), (4, 0, 0, ""), (5, 1, 0, "Short."), (6, 2, 0, "Not repeated. At all.")}
-    assert sd.passages(df.limit(0)).count() == 0
+    assert sd.report(df.limit(0)).count() == 0 == sd.dedup(df.limit(0)).count()

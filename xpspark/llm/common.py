@@ -26,6 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names for ``n`` helper columns that ``df`` does not have, whatever its columns are called."""
+    have, found, k = {c.lower() for c in df.columns}, [], 0
+    while len(found) < n:
+        if f"__{k}" not in have:
+            found.append(f"__{k}")
+        k += 1
+    return found
+
+
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it again: this cuts the lineage durably.
 

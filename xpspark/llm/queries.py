@@ -24,31 +24,45 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.array_join(spans, ","))
 
 
-OP1 = r"""
+#: Weight of a list of words; %s is the list.
+WEIGHT = r"coalesce(list_sum(list_transform(%s, lambda w: greatest(1, len(regexp_extract_all(w, '[\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]')) // 2, CASE WHEN length(w) > 40 THEN length(w) // 5 ELSE 0 END))), 0)"
+OP1 = (
+    r"""
 WITH u AS (
   SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS i FROM (
-    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]\s+|[。！？]\s*|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents)
+    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?][\x09-\x0D\x20]+|[。！？][\x09-\x0D\x20]*|\n[\x09-\x0D\x20]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents)
 ), w AS (
-  SELECT doc_id, i, unit, regexp_extract_all(unit, '^\s*\S+\s*|\S+\s*') AS ws FROM u
-), long AS (
-  SELECT doc_id, i, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM w WHERE len(ws) > 30
+  SELECT *, regexp_extract_all(unit, '^[\x09-\x0D\x20]*[^\x09-\x0D\x20]+[\x09-\x0D\x20]*|[^\x09-\x0D\x20]+[\x09-\x0D\x20]*') AS ws, WEIGHT_UNIT AS weight FROM u
+), atoms AS (
+  SELECT doc_id, i, unnest(ws) AS atom, unnest(list_transform(ws, lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '))) AS hashed, generate_subscripts(ws, 1) AS k FROM w WHERE weight > 30 AND len(ws) > 30
+  UNION ALL SELECT doc_id, i, CASE WHEN k = 1 THEN substr(unit, 1, 3) ELSE substr(unit, k + 2, 1) END, substr(unit, k, 3), k
+  FROM (SELECT doc_id, i, unit, unnest(range(1, length(unit) - 1)) AS k FROM w WHERE weight > 30 AND len(ws) <= 30)
+), valued AS (
+  SELECT *, CAST('0x' || substr(md5(hashed), 1, 7) AS BIGINT) AS v FROM atoms
 ), cuts AS (
-  SELECT *, CAST(k < n AND CAST('0x' || substr(md5(regexp_replace(word, '\s+', '', 'g')), 1, 7) AS BIGINT) % 8 = 0 AS INT) AS cut FROM long
+  SELECT *, k < max(k) OVER (PARTITION BY doc_id, i) AND v = min(v) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS cut FROM valued
 ), grouped AS (
-  SELECT doc_id, i, k, word, coalesce(sum(cut) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM cuts
+  SELECT doc_id, i, k, atom, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM cuts
 ), p AS (
-  SELECT doc_id, i, 0 AS g, unit AS piece FROM w WHERE len(ws) <= 30
-  UNION ALL SELECT doc_id, i, g, string_agg(word, '' ORDER BY k) FROM grouped GROUP BY doc_id, i, g
+  SELECT doc_id, i, 0 AS g, unit AS piece FROM w WHERE weight <= 30
+  UNION ALL SELECT doc_id, i, g, string_agg(atom, '' ORDER BY k) FROM grouped GROUP BY doc_id, i, g
 ), s AS (
-  SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, g) - 1 AS place, list_filter(string_split_regex(piece, '\s+'), lambda x: x <> '') AS words FROM p
+  SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i, g) - 1 AS place, list_filter(string_split_regex(piece, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM p
 ), t AS (
-  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place) AS stop, lead(words) OVER (PARTITION BY doc_id ORDER BY place) AS more FROM s
-), r AS (
-  SELECT doc_id, place, array_to_string(list_concat(words, more), ' ') AS run FROM t WHERE more IS NOT NULL AND len(words) + len(more) >= 12
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place) AS stop FROM s
+), parts AS (
+  SELECT doc_id, place, array_to_string(words, ' ') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r, sum(WEIGHT_WORDS) OVER (PARTITION BY doc_id ORDER BY place) AS total, WEIGHT_WORDS AS weight FROM s WHERE len(words) > 0
+), spread AS (
+  SELECT a.doc_id, a.r AS x, b.r AS y, min(b.r) OVER (PARTITION BY a.doc_id, a.r) AS stop, max(a.r) OVER (PARTITION BY a.doc_id, b.r) AS start
+  FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r + 1 AND a.r + 12 WHERE b.total - a.total + a.weight >= 12
+), runs AS (
+  SELECT DISTINCT doc_id, x, y FROM spread WHERE y = stop OR x = start
+), bodies AS (
+  SELECT runs.doc_id, x, y, string_agg(body, ' ' ORDER BY r) AS run, min(place) AS place, max(place) AS last FROM runs JOIN parts ON parts.doc_id = runs.doc_id AND r BETWEEN x AND y GROUP BY ALL
 ), f AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, place) AS first_doc, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM r
+  SELECT *, first_value(doc_id) OVER (PARTITION BY run ORDER BY doc_id, place) AS first_doc, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM bodies
 ), gone AS (
-  SELECT DISTINCT doc_id, place + d AS place FROM f, (VALUES (0), (1)) AS v(d) WHERE n > 1
+  SELECT DISTINCT doc_id, unnest(range(place, last + 1)) AS place FROM f WHERE n > 1
 ), m AS (
   SELECT t.*, gone.place IS NOT NULL AS gone FROM t LEFT JOIN gone USING (doc_id, place)
 ), islands AS (
@@ -58,11 +72,14 @@ WITH u AS (
   SELECT doc_id, string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a) AS spans FROM islands GROUP BY doc_id
 ), firsts AS (
   SELECT doc_id, list_sort(list(DISTINCT first_doc)) AS first_ids FROM f WHERE n > 1 GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(piece, '' ORDER BY place) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed, any_value(spans) AS spans, any_value(first_ids) AS first_ids,
-  coalesce(string_agg(piece, '' ORDER BY place) FILTER (NOT gone), '') AS text
-FROM m JOIN spans USING (doc_id) JOIN firsts USING (doc_id) GROUP BY doc_id
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(n_sentences, 0) END AS n_sentences, CASE WHEN d.text IS NOT NULL THEN coalesce(n_removed, 0) END AS n_removed, coalesce(spans, '') AS spans,
+  coalesce(first_ids, []) AS first_ids, CASE WHEN n_removed > 0 THEN counted.text ELSE d.text END AS text
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN firsts USING (doc_id)
 """
+).replace("WEIGHT_UNIT", WEIGHT % r"list_filter(string_split_regex(unit, '[\x09-\x0D\x20]+'), lambda x: x <> '')").replace("WEIGHT_WORDS", WEIGHT % "words")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,12 +287,6 @@ FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
 """
 
 
-def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.passages(table(spark, sf_dir, "documents"))
-    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
-    return found.withColumn("spans", F.array_join(spans, ","))
-
-
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

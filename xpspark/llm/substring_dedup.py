@@ -1,27 +1,27 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences; a sentence of more than ``LONG_WORDS`` words is cut further after words whose hash is 0
-modulo ``CUT``, alike wherever it stands. Every run of ``RUN`` consecutive sentences with ``LEAST_WORDS`` words or more is
-hashed (128 bits, white space between words normalized). Hashes meet globally: map-side minima find each run's first
-occurrence (by id, then place), a join on the hash finds the others, and skewed hashes split. Sentences covered by any
-occurrence that isn't the first are removed.
-
-``passages`` reaches passages of sentences of any length: its runs grow, from each sentence on and back from each
-sentence, over as many sentences (two or more) as hold ``LEAST_WORDS`` words, so a repeated passage of whole sentences is
-covered from its first to its last. Long sentences are cut further at local minima of a hash where no word's hash is 0 or
-no white space stands; characters of scripts without spaces count half a word, other words of more than ``LONG_CHARS``
-characters a word per five.
-
-Results for odd input: null text stays null; a text of fewer sentences than a run is left alone; rows without id are
-neither changed nor counted; rows that share an id keep a run if any of them holds its first occurrence at that place;
-extra columns pass through.
+A text is cut into sentences; one of more than ``LONG`` words is cut further after words whose hash is the least among
+``NEIGHBOURS`` on either side, alike wherever it stands. Runs of consecutive sentences slide over the text: from each
+sentence on, and back from each sentence, a run grows over as many sentences (two or more) as hold ``LEAST_WORDS`` words,
+so a repeated passage of whole sentences is covered from its first to its last, however short they are. A run is known by
+the hash of its words (128 bits, from prefix sums over word hashes; white space between words does not count). Hashes meet
+globally: half of the hash finds what may repeat, map-side minima find each run's first occurrence (by id, then place), a
+join on the hash finds the others, and skewed hashes split. Sentences covered by any occurrence that isn't the first are
+removed, in other documents and in the same one.
+
+Characters of scripts without spaces count half a word, other words of more than ``LONG_CHARS`` characters a word per five;
+where a long sentence has no white space, hashes of three characters cut it.
+
+Results for odd input: null text stays null, with null counts; empty and very long texts are read whole; a text of fewer
+sentences than a run is left alone; rows without id are neither changed nor counted; rows that share an id keep a run if
+any of them holds its first occurrence at that place; equal texts (ties) keep the one with the smallest id; an empty table
+gives no rows; extra columns pass through ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, unused
 
-RUN, LEAST_WORDS, LONG_WORDS, CUT = 2, 12, 30, 8
+LEAST_WORDS, LONG, NEIGHBOURS, LONG_CHARS = 12, 30, 4, 40
 #: After a sentence: white space behind its mark, an ideographic mark, or a new line.
-END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n\s*")
-WORD = re.compile(r"\S+\s*")
-LONG_CHARS, NEIGHBOURS = 40, 8
-SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+END = re.compile(r"(?<=[.!?])[\t-\r ]+|(?<=[。！？])[\t-\r ]*|\n[\t-\r ]*")
+WORD = re.compile(r"[^\t-\r ]+[\t-\r ]*")
+SPACELESS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+#: Odd multipliers of the two rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -46,155 +47,96 @@ def sentences(text: str) -> list[tuple[int, int]]:
     found, at = [], 0
     for m in END.finditer(text):
         if m.end() > at:
-            found += pieces(text, at, m.end())
+            found.append((at, m.end()))
             at = m.end()
-    return found + pieces(text, at, len(text)) if at < len(text) else found
+    return [*found, (at, len(text))] if at < len(text) else found
 
 
 def word_hash(word: str) -> int:
     return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
 
 
-def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    if end - start <= 2 * LONG_WORDS:
-        return [(start, end)]
-    words = list(WORD.finditer(text, start, end))
-    if len(words) <= LONG_WORDS:
-        return [(start, end)]
-    cuts = [w.end() for w in words[:-1] if word_hash(w[0].strip()) % CUT == 0]
-    return list(zip([start, *cuts], [*cuts, end], strict=True))
-
-
-def runs(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes]]:
-    """Place and hash of each run."""
-    parts = [text[a:b].split() for a, b in sentences(text)]
-    found = []
-    for k in range(len(parts) - run + 1):
-        words = [w for part in parts[k : k + run] for w in part]
-        if len(words) >= least_words:
-            found.append((k, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-    return found
-
-
-def without(text: str, places: list[int], run: int = RUN) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the sentences of the runs at ``places``, the removed spans, and how many sentences there were."""
-    spans = sentences(text)
-    gone = {k for p in places for k in range(p, p + run)}
-    removed: list[tuple[int, int]] = []
-    for k in sorted(gone):
-        a, b = spans[k]
-        if removed and removed[-1][1] == a:
-            removed[-1] = (removed[-1][0], b)
-        else:
-            removed.append((a, b))
-    return "".join(text[a:b] for k, (a, b) in enumerate(spans) if k not in gone), removed, len(spans)
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``key, places, first_ids``: for each text, its runs that occur earlier in the corpus and where those stand."""
-    bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [runs(t, run, least_words) for t in part.column("body").to_pylist()]
-                which = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                halves = np.frombuffer(b"".join(h for f in found for _, h in f), dtype=">i8").astype(np.int64).reshape(-1, 2)
-                places = pa.array([p for f in found for p, _ in f], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), places, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["key", "place", "h0", "h1"])
-
-    spans = rows.mapInArrow(spread, f"key {kind}, place int, h0 long, h1 long")
-    first = spans.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = spans.join(first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("key").agg(F.collect_set("place").alias("places"), F.collect_set("first.key").alias("first_ids"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns, ``text_col`` without repeated spans."""
-    lost = repeated(docs, id_col, text_col, run, least_words).select(F.col("key").alias("__lost_id"), F.col("places").alias("__places"))
-    rows = docs.join(lost, F.col(id_col) == F.col("__lost_id"), "left").drop("__lost_id")
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None or t is None else without(t, list(p), run)[0] for t, p in zip(text, places, strict=True)], dtype=object)
-
-    return rows.withColumn(text_col, cut(F.col(text_col), F.col("__places"))).drop("__places")
-
-
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Only rows that lose text: ``id, n_sentences, n_removed, spans, first_ids, text``; spans in code points, end exclusive."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    lost = repeated(docs, id_col, text_col, run, least_words)
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).where("body IS NOT NULL").join(lost, "key")
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [without(t, p, run) for t, p in zip(batch.column("body").to_pylist(), batch.column("places").to_pylist(), strict=True)]
-            gone = [len({k for p in places for k in range(p, p + run)}) for places in batch.column("places").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array([n for _, _, n in done], pa.int64()),
-                    pa.array(gone, pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in done], span),
-                    batch.column("first_ids"),
-                    pa.array([t for t, _, _ in done], pa.string()),
-                ],
-                ["key", "n_sentences", "n_removed", "spans", "first_ids", "body"],
-            )
-
-    out = f"key {kind}, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, first_ids array<{kind}>, body string"
-    return rows.select("key", "body", "places", F.array_sort("first_ids").alias("first_ids")).mapInArrow(cut, out).withColumnsRenamed({"key": id_col, "body": text_col})
-
-
 def weight(words: list[str]) -> int:
     """How many words ``words`` count for."""
-    if all(w.isascii() and len(w) <= LONG_CHARS for w in words):
-        return len(words)
     return sum(max(1, len(SPACELESS.findall(w)) // 2, len(w) // 5 if len(w) > LONG_CHARS else 0) for w in words)
 
 
 def low_cuts(ends: list[int], values: list[int]) -> list[int]:
-    """The ends whose value is the least of ``NEIGHBOURS`` on either side."""
+    """The ends, but for the last, whose value is the least of ``NEIGHBOURS`` on either side."""
     return [e for i, e in enumerate(ends[:-1]) if values[i] == min(values[max(0, i - NEIGHBOURS) : i + NEIGHBOURS + 1])]
 
 
-def units(text: str) -> list[tuple[int, int]]:
-    """First and end character of each sentence or piece, long pieces cut further."""
+def units(text: str) -> list[tuple[int, int, list[bytes], int]]:
+    """First and end character, words and weight of each sentence or piece of a long one."""
     found = []
+    spaced = text.isascii() or not SPACELESS.search(text)
+
+    def unit(a: int, b: int) -> tuple[int, int, list[bytes], int]:
+        words = text[a:b].encode("utf-8", "surrogatepass").split()
+        plain = spaced and (b - a <= LONG_CHARS or not words or max(map(len, words)) <= LONG_CHARS)
+        return a, b, words, len(words) if plain else weight([w.decode("utf-8", "surrogatepass") for w in words])
+
     for a, b in sentences(text):
-        words = text[a:b].split() if b - a > LONG_CHARS else []
-        cuts: list[int] = []
-        if len(words) > LONG_WORDS:
+        whole = unit(a, b)
+        if whole[3] <= LONG:
+            found.append(whole)
+            continue
+        if len(whole[2]) > LONG:
             marks = list(WORD.finditer(text, a, b))
-            cuts = low_cuts([m.end() for m in marks], [zlib.crc32(m[0].strip().encode("utf-8", "surrogatepass")) for m in marks])
-        elif words and weight(words) > LONG_WORDS:
-            cuts = low_cuts(list(range(a + 3, b + 1)), [zlib.crc32(text[i - 3 : i].encode("utf-8", "surrogatepass")) for i in range(a + 3, b + 1)])
-        found += zip([a, *cuts], [*cuts, b], strict=True)
+            cuts = low_cuts([m.end() for m in marks], [word_hash(m[0].strip("\t\n\x0b\f\r ")) for m in marks])
+        else:
+            cuts = low_cuts(list(range(a + 3, b + 1)), [word_hash(text[i - 3 : i]) for i in range(a + 3, b + 1)])
+        found += [unit(x, y) for x, y in zip([a, *cuts], [*cuts, b], strict=True)]
     return found
 
 
-def grown_runs(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
-    """Place, number of units and hash of each grown run."""
-    parts = [(k, text[a:b].split()) for k, (a, b) in enumerate(units(text))]
-    parts = [(k, " ".join(words), weight(words)) for k, words in parts if words]
-    total = np.concatenate([[0], np.cumsum([n for _, _, n in parts], dtype=np.int64)])
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers 0 to n - 1 of each base and of its inverse, modulo 2 ** 64."""
+    if not _powers or len(_powers[0][0]) < n:
+        size, found = max(n, 4096, 2 * len(_powers[0][0]) if _powers else 0), []
+        for base in BASES:
+            pair = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                steps = np.full(size, b, np.uint64)
+                steps[0] = 1
+                pair.append(np.cumprod(steps, dtype=np.uint64))
+            found.append(tuple(pair))
+        _powers[:] = found
+    return _powers
+
+
+def runs(text: str, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Place, number of units and the two hash halves of each run."""
+    parts = [(k, words, n) for k, (_, _, words, n) in enumerate(units(text)) if words]
+    none = np.zeros(0, np.int64)
+    if len(parts) < 2:
+        return none, none, [none, none]
+    place = np.array([k for k, _, _ in parts])
+    total = np.concatenate(([0], np.cumsum([n for _, _, n in parts])))
     at = np.arange(len(parts))
     # the last part of the run from each part on, and the first part of the run back from each part
     stop = np.maximum(np.searchsorted(total, total[:-1] + least_words) - 1, at + 1)
     start = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, at - 1)
-    found = {(i, j) for i, j in zip(at.tolist(), stop.tolist(), strict=True) if j < len(parts)}
-    found |= {(i, j) for i, j in zip(start.tolist(), at.tolist(), strict=True) if i >= 0}
-    body = lambda i, j: " ".join([p[1] for p in parts[i : j + 1]]).encode("utf-8", "surrogatepass")
-    return [(parts[i][0], parts[j][0] - parts[i][0] + 1, xxhash.xxh3_128_digest(body(i, j))) for i, j in sorted(found)]
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``key, runs, first_ids``: for each text, place and length of its grown runs that occur earlier and where those stand."""
+    fore, back = stop < len(parts), start >= 0
+    pairs = np.unique(np.concatenate((at[fore] * len(parts) + stop[fore], start[back] * len(parts) + at[back])))
+    first, last = pairs // len(parts), pairs % len(parts)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for _, words, _ in parts for w in words], np.uint64)
+    ends = np.concatenate(([0], np.cumsum([len(words) for _, words, _ in parts])))
+    a, b = ends[first], ends[last + 1]
+    halves = []
+    for k, (power, inverse) in enumerate(powers(len(hashes))):
+        own = hashes if k == 0 else (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * power[: len(own)], dtype=np.uint64)))
+        rolled = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+        halves.append(((rolled ^ (rolled >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64))
+    return place[first], place[last] - place[first] + 1, halves
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``key, runs, first_ids``: for each text, place and length of its runs that occur earlier and where those stand."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
@@ -203,41 +145,67 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [grown_runs(t, least_words) for t in part.column("body").to_pylist()]
-                which = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                halves = np.frombuffer(b"".join(h for f in found for *_, h in f), dtype=">i8").astype(np.int64).reshape(-1, 2)
-                numbers = [pa.array([r[k] for f in found for r in f], pa.int32()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), *numbers, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["key", "place", "size", "h0", "h1"])
+                found = [runs(t, least_words) for t in part.column("body").to_pylist()]
+                which = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
+                places, sizes = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
+                halves = [np.concatenate([f[2][k] for f in found]).astype(np.int64) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), *map(pa.array, (places, sizes, *halves))], ["key", "place", "size", "h0", "h1"])
 
-    runs = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "passages")
+    seen = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "runs")
     # half of the hash finds what may repeat, so that little is left to group by all of it
-    again = runs.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    runs = materialize(runs.join(again, "h0"), "passages")
-    first = runs.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
+    again = seen.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = materialize(seen.join(again, "h0"), "runs")
+    first = met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = met.join(first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
     return later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("runs"), F.collect_set("first.key").alias("first_ids"))
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Every row: ``id, n_sentences, n_removed, spans, first_ids, text``; unchanged rows keep their text, null text has null counts."""
+def without(text: str, found: list[dict]) -> tuple[str, list[dict], int, int]:
+    """The text without its repeated runs, the removed spans, how many units there were and how many went."""
+    spans = units(text)
+    gone = sorted({k for r in found for k in range(r["place"], r["place"] + r["size"]) if k < len(spans)})
+    removed: list[dict] = []
+    for k in gone:
+        a, b = spans[k][:2]
+        if removed and removed[-1]["end"] == a:
+            removed[-1]["end"] = b
+        else:
+            removed.append({"start": a, "end": b})
+    edges = [0, *(x for s in removed for x in (s["start"], s["end"])), len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), removed, len(spans), len(gone)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """All rows and columns, ``text_col`` without repeated spans."""
+    key, runs_ = unused(docs, 2)
+    lost = repeated(docs, id_col, text_col, least_words).select(F.col("key").alias(key), F.col("runs").alias(runs_))
+    rows = docs.join(lost, F.col(id_col) == F.col(key), "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if f is None or t is None else without(t, list(f))[0] for t, f in zip(text, found, strict=True)], dtype=object)
+
+    changed = F.when(F.col(runs_).isNotNull(), cut(F.col(text_col), F.col(runs_))).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, changed).select(*docs.columns)
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """Every row: ``id, n_sentences, n_removed, spans, first_ids, text``; spans in code points, end exclusive.
+
+    Unchanged rows keep their text and have no spans; null text has null counts.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    lost = repeated_passages(docs, id_col, text_col, least_words).withColumnRenamed("key", "lost")
+    lost = repeated(docs, id_col, text_col, least_words).withColumnRenamed("key", "lost")
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(lost, F.col("key") == F.col("lost"), "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def one(text: str | None, runs: list[dict] | None) -> tuple:
+    def one(text: str | None, found: list[dict] | None) -> tuple:
         if text is None:
             return None, None, [], None
-        found = units(text)
-        gone = sorted({k for r in runs or [] for k in range(r["place"], r["place"] + r["size"]) if k < len(found)})
-        removed: list[dict] = []
-        for a, b in (found[k] for k in gone):
-            if removed and removed[-1]["end"] == a:
-                removed[-1]["end"] = b
-            else:
-                removed.append({"start": a, "end": b})
-        edges = [0, *(x for s in removed for x in (s["start"], s["end"])), len(text)]
-        return len(found), len(gone), removed, "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        if not found:
+            return len(units(text)), 0, [], text
+        left, removed, n, gone = without(text, found)
+        return n, gone, removed, left
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
