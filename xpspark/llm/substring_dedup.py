@@ -6,7 +6,7 @@ sentence on, and back from each sentence, a run grows over as many sentences (tw
 so a repeated passage of whole sentences is covered from its first to its last, however short they are. A run is known by
 the hash of its words (128 bits, from prefix sums over word hashes; white space between words does not count). Hashes meet
 globally: half of the hash finds what may repeat, map-side minima find each run's first occurrence (by id, then place), a
-join on the hash finds the others, and skewed hashes split. Sentences covered by any occurrence that isn't the first are
+join on the hash finds the others, with very frequent hashes joined apart. Sentences covered by any occurrence that isn't the first are
 removed, in other documents and in the same one.
 
 Characters of scripts without spaces count half a word, other words of more than ``LONG_CHARS`` characters a word per five;
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, unused
+from .common import bounded_batches, join_hot, materialize, unused
 
 LEAST_WORDS, LONG, NEIGHBOURS, LONG_CHARS = 12, 30, 4, 40
 #: After a sentence: white space behind its mark, an ideographic mark, or a new line.
@@ -108,12 +108,13 @@ def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _powers
 
 
-def runs(text: str, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Place, number of units and the two hash halves of each run."""
-    parts = [(k, words, n) for k, (_, _, words, n) in enumerate(units(text)) if words]
+def runs(text: str, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
+    """Place, number of units and the two hash halves of each run, and the text's number of units."""
+    found = units(text)
+    parts = [(k, words, n) for k, (_, _, words, n) in enumerate(found) if words]
     none = np.zeros(0, np.int64)
     if len(parts) < 2:
-        return none, none, [none, none]
+        return none, none, [none, none], len(found)
     place = np.array([k for k, _, _ in parts])
     total = np.concatenate(([0], np.cumsum([n for _, _, n in parts])))
     at = np.arange(len(parts))
@@ -132,32 +133,37 @@ def runs(text: str, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndar
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * power[: len(own)], dtype=np.uint64)))
         rolled = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
         halves.append(((rolled ^ (rolled >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64))
-    return place[first], place[last] - place[first] + 1, halves
+    return place[first], place[last] - place[first] + 1, halves, len(found)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``key, runs, first_ids``: for each text, place and length of its runs that occur earlier and where those stand."""
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``key, runs, first_ids``: for each text, place and length of its runs that occur earlier and where those stand;
+    and ``key, h0, size``: each text's hash and number of units."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("own"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = [runs(t, least_words) for t in part.column("body").to_pylist()]
-                which = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
-                places, sizes = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
-                halves = [np.concatenate([f[2][k] for f in found]).astype(np.int64) for k in (0, 1)]
+                n, own = part.num_rows, part.column("own").to_numpy()
+                # a row for each text with its size and hash, at place -1, and the rows of its runs
+                which = np.concatenate((np.arange(n), np.repeat(np.arange(n), [len(f[0]) for f in found])))
+                places = np.concatenate((np.full(n, -1), *(f[0] for f in found))).astype(np.int32)
+                sizes = np.concatenate((np.array([f[3] for f in found], np.int64), *(f[1] for f in found))).astype(np.int32)
+                halves = [np.concatenate((own, *(f[2][k] for f in found))).astype(np.int64) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), *map(pa.array, (places, sizes, *halves))], ["key", "place", "size", "h0", "h1"])
 
-    seen = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "runs")
+    all_ = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "runs")
+    seen, sizes = all_.where("place >= 0"), all_.where("place < 0").select("key", "h0", "size").distinct()
     # half of the hash finds what may repeat, so that little is left to group by all of it
-    again = seen.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    met = materialize(seen.join(again, "h0"), "runs")
-    first = met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = met.join(first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("runs"), F.collect_set("first.key").alias("first_ids"))
+    again = materialize(seen.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1"), "runs", narrow=True)
+    met = materialize(join_hot(seen, again, ["h0"]), "runs")
+    first = materialize(met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs", narrow=True)
+    later = join_hot(met, first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
+    return later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("runs"), F.collect_set("first.key").alias("first_ids")), sizes
 
 
 def without(text: str, found: list[dict]) -> tuple[str, list[dict], int, int]:
@@ -178,7 +184,7 @@ def without(text: str, found: list[dict]) -> tuple[str, list[dict], int, int]:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns, ``text_col`` without repeated spans."""
     key, runs_ = unused(docs, 2)
-    lost = repeated(docs, id_col, text_col, least_words).select(F.col("key").alias(key), F.col("runs").alias(runs_))
+    lost = repeated(docs, id_col, text_col, least_words)[0].select(F.col("key").alias(key), F.col("runs").alias(runs_))
     rows = docs.join(lost, F.col(id_col) == F.col(key), "left")
 
     @F.pandas_udf("string")
@@ -195,24 +201,26 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     Unchanged rows keep their text and have no spans; null text has null counts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    lost = repeated(docs, id_col, text_col, least_words).withColumnRenamed("key", "lost")
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(lost, F.col("key") == F.col("lost"), "left")
+    lost, sizes = repeated(docs, id_col, text_col, least_words)
+    known = sizes.join(lost, "key", "left").withColumnRenamed("key", "lost")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
+    rows = rows.join(known, (F.col("key") == F.col("lost")) & (F.xxhash64("body") == F.col("h0")), "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def one(text: str | None, found: list[dict] | None) -> tuple:
+    def one(text: str | None, found: list[dict] | None, size: int | None) -> tuple:
         if text is None:
             return None, None, [], None
         if not found:
-            return len(units(text)), 0, [], text
+            return len(units(text)) if size is None else size, 0, [], text
         left, removed, n, gone = without(text, found)
         return n, gone, removed, left
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [one(t, r) for t, r in zip(batch.column("body").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            done = [one(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("body", "runs", "size")), strict=True)]
             made = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.int64(), span, pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *made[:3], batch.column("first_ids"), made[3]], ["key", "n_sentences", "n_removed", "spans", "first_ids", "body"])
 
     out = f"key {kind}, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, first_ids array<{kind}>, body string"
     ids = F.coalesce(F.array_sort("first_ids"), F.array().cast(f"array<{kind}>")).alias("first_ids")
-    return rows.select("key", "body", "runs", ids).mapInArrow(cut, out).withColumnsRenamed({"key": id_col, "body": text_col})
+    return rows.select("key", "body", "runs", "size", ids).mapInArrow(cut, out).withColumnsRenamed({"key": id_col, "body": text_col})
