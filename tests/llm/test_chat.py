@@ -30,3 +30,18 @@ def test_conversations(spark):
     assert got[1].loss_sha256 == hashlib.sha256(b"yes </s> no").hexdigest() and got[1].loss_chars == 11
     assert got[3].formatted_chars == 50_000 + 6 + chat.OVERHEAD and got[2].n_turns == 1
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_a_conversation_is_one_text():
+    rng = random.Random(4)
+    for _ in range(200):
+        turns = [(rng.choice(["user", "assistant"]), "".join(rng.choices(BITS, k=rng.randint(0, 5)))) for _ in range(rng.randint(1, 6))]
+        text = "".join(chat.render(*t) for t in turns)
+        reader, at = chat.Reader(), 0
+        while at < len(text):
+            step = rng.randint(1, 20)
+            reader.feed(text[at : at + step])
+            at += step
+        row = reader.row("c")
+        assert chat.parse(text) == turns and row[1] == len(turns) and row[5] == len(text)
+        assert row[2] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()

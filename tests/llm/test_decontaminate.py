@@ -48,11 +48,33 @@ def test_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in got) == brute(docs, items)
 
 
+def near_items(have, items):
+    """Items with 8 tenths of a window's words in place or one word late, and no window whole in place."""
+    out = set()
+    for item, w in items:
+        size, whole, close = min(10, len(w)), False, False
+        for at in range(len(w) - size + 1):
+            for p in range(-size - at - 2, len(have) + 1):
+                word = lambda q: have[q] if 0 <= q < len(have) else None
+                exact = [word(p + k) == w[at + k] for k in range(size)]
+                late = [word(p + k + 1) == w[at + k] for k in range(size)]
+                n = sum(a or b for a, b in zip(exact, late, strict=True))
+                whole, close = whole or all(exact), close or 10 * n >= 8 * size
+        out |= {item} if close and not whole else set()
+    return out
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "x a b c d q f g h i j y"), (2, "a b c d")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    got = {r.doc_id: (r.n_hit, r.n_near) for r in decontaminate.decontaminate(d, b).collect()}
-    assert got == {1: (0, 1), 2: (0, 0)}
+    base = "a b c d e f g h i j".split()
+    docs = [("x a b c d q f g h i j y", 1), ("a b c d", 0), ("a b c d e f g h i j", 0), ("a b c d e new f g h i j", 1), ("a b c d e g h i j", 1), ("j i h g f e d c b a", 0)]
+    # every place, and every two places, altered
+    docs += [(" ".join("q" if k == m else w for k, w in enumerate(base)), 1) for m in range(10)]
+    docs += [(" ".join("q" if k in (m, n) else w for k, w in enumerate(base)), 1) for m in range(10) for n in range(m)]
+    docs += [(" ".join(base[:m] + ["in"] + base[m:]), 1) for m in range(1, 10)]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(base))], "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in decontaminate.decontaminate(d, b).collect()}
+    assert [(t, got[k]) for k, (t, n) in enumerate(docs) if got[k] != n] == []
 
 
 def test_no_rows(spark):
@@ -73,16 +95,7 @@ def test_proximity_equals_brute_force(spark):
         for _ in range(rng.randint(0, 3)):
             copy[rng.randrange(len(copy))] = rng.choice([*vocab, "new"])
         docs.append((i, rng.choices(vocab, k=rng.randint(0, 9)) + copy + rng.choices(vocab, k=3)))
-    want = {}
-    for key, have in docs:
-        near = set()
-        for item, w in items:
-            size = min(10, len(w))
-            for at in range(len(w) - size + 1):
-                for p in range(-at - size, len(have) + 1):
-                    n = sum(0 <= p + k < len(have) and have[p + k] == w[at + k] for k in range(size))
-                    near |= {item} if 10 * n >= 8 * size and n < size else set()
-        want[key] = len(near)
+    want = {key: len(near_items(have, items)) for key, have in docs}
     d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
     got = {r.doc_id: r.n_near for r in decontaminate.decontaminate(d, b).collect()}

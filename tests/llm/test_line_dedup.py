@@ -1,57 +1,31 @@
-import hashlib
 import random
-import re
 
 from xpspark.llm import line_dedup
 
 
 def brute(rows):
-    def cut(text):
-        found, now, last = [], [], 0
-        for line in text.split("\n"):
-            v = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
-            now.append(line)
-            if (5 * v + last) % line_dedup.DIVISOR == 0:
-                found, now = [*found, now], []
-            last = v
-        return [*found, now] if now else found
-
     seen, out = set(), []
     for key, text in sorted(rows):
-        kept, lost = [], 0
-        for chunk in cut(text):
-            body = "\n".join(chunk)
-            if len(chunk) > 1 and re.search(r"\S", body) and body in seen:
-                lost += len(chunk)
-            else:
-                kept.append(body)
-            seen.add(body)
-        out.append((key, text.count("\n") + 1, lost, "\n".join(kept)))
+        lines, gone = text.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if "".join(pair).strip():
+                gone |= {k, k + 1} if pair in seen else set()
+                seen.add(pair)
+        out.append((key, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out
 
 
 def test_equals_brute_force(spark):
-    rng = random.Random(4)
-    passage = [[f"line {rng.random()}" for _ in range(9)] for _ in range(6)]
-    rows = []
-    for i in range(150):
-        lines = [f"own {i} {k}" for k in range(rng.randint(0, 8))]
-        at = rng.randint(0, len(lines))
-        lines[at:at] = rng.choice(passage) if i % 2 else ["", "", " "]
-        rows.append((i, "\n".join(lines)))
-    rows += [(500, rows[3][1]), (501, ""), (502, "x" * 50_000 + "\n\n"), (503, "\n".join(map(str, range(5000))))]
-    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, place int, key string")
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choices(["", " ", "a", "b", "c", f"own {i}"], k=rng.randint(0, 9)))) for i in range(120)]
+    rows += [(500, "a\na\na\na"), (501, "\n".join(map(str, range(5000)))), (502, "\n".join(map(str, range(5000)))), (503, ""), (504, "x" * 50_000 + "\n\n"), (505, "y\n" + "x" * 50_000 + "\n\n")]
+    df = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, __gone int, key string, __gone_id int")
     got = line_dedup.dedup(df, details=True)
-    assert got.columns == ["doc_id", "text", "place", "key", "n_lines", "n_removed"]
-    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()) == brute(rows)
-
-
-def test_odd_rows(spark):
-    text = "\n".join(f"line {k}" for k in range(40))
-    df = spark.createDataFrame([(1, text), (2, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.text == text, r.text is None) for r in line_dedup.dedup(df).collect()}
-    assert got == {(1, True, False), (2, False, False), (None, True, False), (3, False, True)}
-    assert line_dedup.dedup(df.limit(0)).count() == 0
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    got = got.collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == brute(rows) and {r["__gone"] for r in got} == {1}
+    lines = lambda texts: {x for t in texts for x in t.split("\n") if x.strip()}
+    assert lines(r.text for r in got) == lines(t for _, t in rows)
 
 
 def test_every_repeated_block_goes(spark):
@@ -62,30 +36,16 @@ def test_every_repeated_block_goes(spark):
         own[i] = [f"own {i} {k}" for k in range(rng.randint(1, 4))]
         rows.append((i, "\n".join([*own[i], *blocks[i % 8], *([f"end {i}"] if i % 3 else [])])))
         own[i] += [f"end {i}"] if i % 3 else []
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
-    got = {r.doc_id: r for r in line_dedup.dedup_blocks(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup(df, details=True).collect()}
     assert {k: r.text for k, r in got.items()} == {i: t if i < 8 else "\n".join(own[i]) for i, t in rows}
     assert all(r.n_removed == (len(blocks[k % 8]) if k >= 8 else 0) for k, r in got.items())
-    chunked = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
-    assert any(chunked[k] != r.text for k, r in got.items())
 
 
-def test_blocks_equal_brute_force(spark):
-    rng = random.Random(6)
-    rows = [(i, "\n".join(rng.choices(["", " ", "a", "b", "c", f"own {i}"], k=rng.randint(0, 9)))) for i in range(120)]
-    rows += [(500, "a\na\na\na"), (501, "\n".join(map(str, range(5000)))), (502, "\n".join(map(str, range(5000)))), (503, "")]
-    seen, want = set(), {}
-    for key, text in rows:
-        lines, gone = text.split("\n"), set()
-        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
-            if "".join(pair).strip():
-                gone |= {k, k + 1} if pair in seen else set()
-                seen.add(pair)
-        want[key] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
-    df = spark.createDataFrame([*rows, (None, "a\nb"), (900, None)], "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_blocks(df).where("doc_id IS NOT NULL AND text IS NOT NULL").collect()}
-    assert got == want
-    odd = {(r.doc_id, r.text) for r in line_dedup.dedup_blocks(df).where("doc_id IS NULL OR text IS NULL").collect()}
-    assert odd == {(None, "a\nb"), (900, None)}
-    lines = lambda texts: {x for t in texts for x in t.split("\n") if x.strip()}
-    assert lines(t for t, _, _ in got.values()) == lines(t for _, t in rows)
+def test_odd_rows(spark):
+    text = "\n".join(f"line {k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (2, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.text == text, r.text is None) for r in line_dedup.dedup(df).collect()}
+    assert got == {(1, True, False), (2, False, False), (None, True, False), (3, False, True)}
+    assert line_dedup.dedup(df.limit(0)).count() == 0
+    assert sorted(r.text for r in line_dedup.dedup(spark.createDataFrame([("b", "x\ny"), ("a", "x\ny\nz")], "doc_id string, text string")).collect()) == ["", "x\ny\nz"]

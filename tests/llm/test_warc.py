@@ -20,6 +20,28 @@ def test_round_trip(spark, tmp_path):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
     assert {r.payload for r in got if r.page_id == 5} == {rows[0][2]}
     files = list((tmp_path / "w").glob("*.gz"))
-    parsed = [h for f in files for h, _ in warc.records(gzip.open(f))]
-    assert len(parsed) == len(rows) and all("x" not in h for h in parsed)
+    parsed = [[h for h, _ in warc.records(gzip.open(f))] for f in files]
+    assert all(p[0]["warc-type"] == "warcinfo" and [h["warc-type"] for h in p].count("warcinfo") == 1 for p in parsed)
+    heads = [h for p in parsed for h in p if h["warc-type"] != "warcinfo"]
+    ids = [h["warc-record-id"] for p in parsed for h in p]
+    assert len(heads) == len(rows) and len(set(ids)) == len(ids)
+    responses = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    for h in heads:
+        assert h["warc-date"][:2] == "20" and (h["warc-type"] == "revisit") == ("warc-refers-to" in h)
+        assert h["warc-type"] == "response" or responses[h["warc-refers-to"]]["warc-payload-digest"] == h["warc-payload-digest"]
     assert warc.archive(df.limit(0), str(tmp_path / "e")).count() == 0
+
+
+def test_revisit_is_resolved_from_what_was_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "same"), (2, "b", "same")], "page_id long, url string, html string")
+    path = warc.write(warc.resolve(df), str(tmp_path / "w"))
+    for f in (tmp_path / "w").glob("*.gz"):
+        body = gzip.open(f).read().replace(b"\r\n\r\nsame", b"\r\n\r\nSAME")
+        with gzip.open(f, "wb") as out:
+            out.write(body)
+        (tmp_path / "w" / f".{f.name}.crc").unlink(missing_ok=True)
+    found = warc.read(spark, path, payloads=False).collect()
+    got = {r.page_id: r for r in found}
+    digest = base64.b32encode(hashlib.sha1(b"SAME").digest()).decode()
+    assert len(found) == 2, found
+    assert got["2"].record_type == "revisit" and got["2"].refers_to == "1" and got["2"].payload_digest == digest == got["1"].payload_digest

@@ -6,11 +6,13 @@ first written as it is, parsed again and compared; parts that don't come back id
 put before the closing bracket of each control-like string) and the turn is parsed again. As a turn starts and ends in
 the parser's start state, turns that round-trip alone also round-trip in sequence.
 
-Rendering is per row, so a conversation of any length spreads over all tasks. Reading back streams rows that are
-hash-distributed by conversation and sorted by turn; a task keeps one turn and a few hash states, never a conversation.
+Rendering is per row, so a conversation of any length spreads over all tasks. Reading back streams the pieces, which are
+hash-distributed by conversation and sorted by turn, through the parser as one text, wherever it is cut; a task keeps one
+turn and a few hash states, never a conversation. As the digests of a conversation are sequential, its turns pass one task.
 
-Results for odd input: null text or role counts as empty; rows of a null conv_id form one conversation; equal turns
-are ordered by role, then formatted text, nulls as empty; an empty table gives no rows.
+Results for odd input: null text or role counts as empty; very long texts are rendered whole; rows of a null conv_id form
+one conversation; equal turns (ties) are ordered by role, then formatted text, nulls as empty; rows that repeat are turns
+of their own; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,12 +88,18 @@ class Reader:
     """What is read back from one conversation's output, turn by turn."""
 
     def __init__(self):
-        self.turns, self.chars, self.loss_chars = 0, 0, 0
+        self.turns, self.chars, self.loss_chars, self.rest = 0, 0, 0, ""
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def feed(self, formatted: str) -> None:
+        """The next piece of the conversation's text, wherever it was cut; what is no whole turn yet waits for the next."""
         self.chars += len(formatted)
-        for role, text in parse(formatted):
+        self.rest += formatted
+        while m := TURN.match(self.rest):
+            if CONTROL.search(m[1]) or CONTROL.search(m[2]):
+                raise ValueError("the grammar does not derive this conversation")
+            self.rest = self.rest[m.end() :]
+            role, text = unescape(m[1]), unescape(m[2])
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if role == "assistant":
@@ -99,6 +107,8 @@ class Reader:
                 self.loss.update(text.encode("utf-8", "surrogatepass"))
 
     def row(self, conv: str | None) -> tuple:
+        if self.rest:
+            raise ValueError("a conversation ends within a turn")
         return conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 

@@ -11,6 +11,10 @@ from ..sources.storage import shared_path
 
 #: Most bytes of an Arrow batch that goes to a Python worker; a single longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Most bytes of a broadcast side.
+MAX_BYTES = 32 << 20
+#: A value is hot if it has more than a HOT-th of all rows; longer ones than LONG_KEY characters are not broadcast.
+HOT, LONG_KEY = 1000, 4096
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -59,11 +63,33 @@ def release(df: DataFrame) -> None:
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if counting shows at most ``max_rows`` rows, else as it is (shuffle join).
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows and ``MAX_BYTES`` of text, else as it is (shuffle join).
 
-    ``df`` should be materialized or cheap: it is counted, up to one row past the bound.
+    ``df`` should be materialized or cheap: it is counted, up to one row past the bound. Its columns must be numbers or text.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= MAX_BYTES else df
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys``, which has a row for each value of ``on`` and ``n``, the number of rows with it.
+
+    Both should be materialized. Values with more than a HOT-th of all rows are HOT at most, and of at most LONG_KEY
+    characters each: they are broadcast, so their rows stay where they are and no task gets all rows of one value.
+    """
+    total = rows.count()
+    short = F.lit(True)
+    for c in on:
+        if dict(keys.dtypes)[c] == "string":
+            short = short & (F.length(c) <= LONG_KEY)
+    often = (F.col("n") * HOT > total) & short
+    hot, cold = keys.where(often), keys.where(~often)
+    marked = rows.join(F.broadcast(hot.select(*on, F.lit(True).alias("__hot"))), on, "left")
+    apart = marked.where("__hot").drop("__hot").join(F.broadcast(hot), on)
+    return apart.unionByName(marked.where("__hot IS NULL").drop("__hot").join(cold, on)).drop("n")
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:

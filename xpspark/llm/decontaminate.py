@@ -1,18 +1,22 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-One pass over the corpus stores the postings (row, term, position) of every benchmark term, sharded by document, and a
-row's number of words. All else reads the index. Each benchmark window (``WINDOW`` consecutive words of an item, or all
-words of a shorter item) looks up its rarest terms by their counts in the index, two more than may be out of place; their
-lists, less the terms' offsets in the item, are intersected on (row, item, start): any two that meet make a candidate. What is left is confirmed term by term, again as an
-intersection of offset-adjusted postings on (row, position, term): all terms in place make an exact phrase match, at
-least ``NEAR`` tenths of a window's terms in place a proximity match. Every join is an equi-join on those keys, so work grows with postings, not
-with their products, and a broadcast side is counted first.
+One pass over the corpus stores the postings (row, term, position) of every benchmark term and a row's number of words;
+all else reads the index. Postings of other words answer no test term, so they are not stored: an index belongs to its
+benchmark. Each benchmark window (``WINDOW`` consecutive words of an item, or all words of a shorter item) looks up its
+rarest terms by their counts in the index, two more than may be missing; their lists, less the terms' offsets in the item,
+are intersected on (row, item, start), where a start also takes what stands up to ``SLOP`` words late: any two that meet
+make a candidate. By the pigeonhole no window with ``NEAR`` tenths of its terms in place is missed, whichever words were
+altered. What is left is confirmed term by term, again as an intersection of offset-adjusted postings on (row, position,
+term): all terms in place make an exact phrase match; ``NEAR`` tenths of them, each in place or up to ``SLOP`` words late, so
+that a word may have been put in or left out between them, a proximity match. Every join is an equi-join on those keys, so
+work grows with postings, not with their products, and a broadcast side is counted first.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII capitals lowered.
 
-Results for odd input: null or empty text has no words and no hits; an item without words has no windows; rows and items
-that repeat are treated each for itself, equal item ids counting once; an item without id hits words but isn't listed; a
-null doc_id passes through.
+Results for odd input: null or empty text has no words and no hits; very long texts are read whole; an empty table gives no
+rows, an empty benchmark no hits; an item without words has no windows; rows and items that repeat are treated each for
+itself, equal item ids counting once; terms of equal frequency (ties) are taken in the item's order; an item without id
+hits words but isn't listed; a null doc_id passes through; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_side
 
-WINDOW, NEAR = 10, 8
+WINDOW, NEAR, SLOP = 10, 8, 1
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Most rows of a side that is broadcast.
 BROADCAST_ROWS = 200_000
@@ -59,10 +63,11 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -
     return materialize(postings, "decontaminate")
 
 
-def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """``row, item, item_id, start, size, in_place``: windows of items found from position ``start`` on.
+def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int = NEAR, slop: int = SLOP) -> DataFrame:
+    """``row, item, item_id, start, size, in_place, met``: windows of items found from position ``start`` on.
 
-    ``in_place`` is the number of the window's words that stand in their places: ``size`` for exact phrases.
+    ``in_place`` is the number of the window's words that stand in their places, ``size`` for exact phrases; ``met`` also
+    counts those that stand up to ``slop`` words late.
     """
     freq = index.where("term >= 0").groupBy("term").agg(F.count("*").alias("freq"))
     spread = words.withColumns({"size": F.least(F.lit(window), "n"), "last": F.greatest(F.lit(0), F.col("n") - window)})
@@ -71,7 +76,7 @@ def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int
     counted = in_window.join(small_side(materialize(freq, "decontaminate", narrow=True), BROADCAST_ROWS), "term")
     rank = F.sort_array(F.collect_list(F.struct("freq", "off", "term")))
     rare = counted.groupBy("item", "w", "size").agg(rank.alias("terms")).where(F.size("terms") * 10 >= F.col("size") * near)
-    # with at most size * (10 - near) / 10 terms elsewhere, any so many and two more terms hold two that stand in place
+    # with at most size * (10 - near) / 10 terms missing, any so many and two more terms hold two that are there
     spare = F.floor(F.col("size") * (10 - near) / 10).cast("int") - (F.col("size") - F.size("terms"))
     picked = F.slice("terms", 1, spare + 2)
     anchors = rare.where(spare >= 0).select("item", "w", F.least(F.lit(2), F.size("terms") - spare).alias("least"), F.explode(picked).alias("t"))
@@ -79,17 +84,22 @@ def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int
     known = small_side(anchors.select("item", "off", "term").distinct(), BROADCAST_ROWS)
     lists = materialize(index.join(known, "term").select("row", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off"), "decontaminate")
     met = lists.join(small_side(anchors.select("item", "off", "w", "least"), BROADCAST_ROWS), ["item", "off"])
+    if slop:
+        met = met.withColumn("diagonal", F.explode(F.array(*(F.col("diagonal") - k for k in range(slop + 1)))))
     places = met.groupBy("row", "item", "diagonal", "w").agg(F.count("*").alias("k"), F.first("least").alias("least")).where("k >= least").select("row", "item", "diagonal").distinct()
     places = materialize(places, "decontaminate", narrow=True)
 
-    wanted = places.join(words.select("item", "off", "term", "n"), "item").withColumn("pos", F.col("diagonal") + F.col("off")).where("pos >= 0")
+    wanted = places.join(words.select("item", "off", "term", "n"), "item")
+    wanted = wanted.withColumn("late", F.explode(F.array(*map(F.lit, range(slop + 1))))).withColumn("pos", F.col("diagonal") + F.col("off") + F.col("late")).where("pos >= 0")
     rows = small_side(materialize(places.select("row").distinct(), "decontaminate", narrow=True), BROADCAST_ROWS)
     there = index.where("term >= 0").join(rows, "row", "left_semi").select("row", "term", "pos")
-    hit = wanted.join(there, ["row", "pos", "term"]).withColumns({"size": F.least(F.lit(window), "n"), "last": F.greatest(F.lit(0), F.col("n") - window)})
+    # a word counts once for a start, and as in place if it is so at all
+    hit = wanted.join(there, ["row", "pos", "term"]).groupBy("row", "item", "diagonal", "off", "n").agg(F.min("late").alias("late"))
+    hit = hit.withColumns({"size": F.least(F.lit(window), "n"), "last": F.greatest(F.lit(0), F.col("n") - window)})
     hit = hit.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("size") + 1), F.least("last", "off"))))
-    found = hit.groupBy("row", "item", "diagonal", "w", "size").agg(F.count("*").alias("in_place")).where(F.col("in_place") * 10 >= F.col("size") * near)
+    found = hit.groupBy("row", "item", "diagonal", "w", "size").agg(F.sum((F.col("late") == 0).cast("long")).alias("in_place"), F.count("*").alias("met")).where(F.col("met") * 10 >= F.col("size") * near)
     names = words.select("item", "item_id").distinct()
-    return found.join(names, "item").select("row", "item", "item_id", (F.col("diagonal") + F.col("w")).alias("start"), "size", "in_place")
+    return found.join(names, "item").select("row", "item", "item_id", (F.col("diagonal") + F.col("w")).alias("start"), "size", "in_place", "met")
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -100,12 +110,15 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def report(index: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_hit, n_items, item_ids, n_near, contaminated``."""
+    """Per document: ``doc_id, n_words, n_hit, n_items, item_ids, n_near, contaminated``.
+
+    ``n_near`` is the number of items with a proximity match and no exact one.
+    """
     exact = found.where("in_place = size")
     covered = exact.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hits = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     items = exact.where("item_id IS NOT NULL").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    near = found.where("in_place < size").select("row", "item").distinct().groupBy("row").agg(F.count("*").alias("n_near"))
+    near = found.groupBy("row", "item").agg(F.bool_or(F.col("in_place") == F.col("size")).alias("whole")).where("NOT whole").groupBy("row").agg(F.count("*").alias("n_near"))
     rows = index.where("term = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     for more in (hits, items, near):
         rows = rows.join(more, "row", "left")

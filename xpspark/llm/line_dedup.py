@@ -1,107 +1,66 @@
 """Line dedup by content-defined line chunks, in DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk where it is 0 modulo
-``DIVISOR``, so that the same run of lines is cut alike wherever it stands, from its second line on. Chunks of two or
-more lines, not all blank, that occur more than once in the corpus are removed but for their first occurrence (by id,
-then place).
-
-``dedup_blocks`` reaches every repeated block: its chunks are all windows of two neighbouring lines, not both blank, so a
-block of two or more lines is covered from its first line to its last wherever it stands. A line that any window but a
-first occurrence covers is removed; the first occurrence of each line in the corpus stays.
+A text's lines are hashed; a hash rolls over two neighbouring lines, and its value alone, not a position, puts a boundary
+after the second one, so that the same run of lines is cut alike wherever it stands. A single set of sparse boundaries
+would miss most short blocks: a chunk that holds both its boundaries is longer than they are. So all residues of the
+rolling hash are used as boundary sets side by side: every pair of neighbouring lines closes a chunk in one of the sets,
+and the chunk is known by that pair, its own content. A block of two or more lines that repeats is then covered from its
+first line to its last, wherever it stands, as the chunks that overlap in it repeat with it. Pairs that are blank throughout
+are no chunks. Lines of any chunk but a first occurrence (by id, then place) are removed; the first occurrence of each line
+stays.
 
 A narrow pass finds hashes that repeat. Only chunks with such hashes are fetched as text and compared byte by byte, by
-grouping on the text itself; copies are pre-aggregated where they lie. What is removed then meets its text by id.
-
-Results for odd input: null text stays null and empty text empty; a text that loses all its chunks is empty; rows
-without id are neither changed nor counted; rows that share an id keep a chunk if any of them holds its first
-occurrence at that place; extra columns pass through.
+grouping on the text itself; copies are pre-aggregated where they lie. Chunks that hold more than a thousandth of all rows,
+which are a thousand at most, are joined apart, so that no task gets one key's rows. What is removed then meets its text by
+id.
+
+Results for odd input: null text stays null and empty text empty; very long texts and lines are compared whole; a text that
+loses all its chunks is empty; rows without id are neither changed nor counted; rows that share an id keep a chunk if any
+of them holds its first occurrence at that place; of equal texts (ties) the one with the smallest id stays; an empty table
+gives no rows; extra columns pass through, whatever their names, but for ``n_lines`` and ``n_removed`` with ``details``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
-
-DIVISOR = 3
-
-
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
-
-
-def chunks(text: Column) -> Column:
-    """The chunks of a text in order, as ``array<struct<n int, body string>>``."""
-
-    def cut(lines: Column, hashes: Column) -> Column:
-        last = F.size(lines) - 1
-        rolled = lambda i: F.get(hashes, i) * 5 + F.coalesce(F.get(hashes, i - 1), F.lit(0))
-        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolled(i) % DIVISOR == 0))
-        return let(ends, lambda e: F.transform(e, lambda end, k: piece(lines, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
-
-    def piece(lines: Column, start: Column, end: Column) -> Column:
-        return F.struct((end - start + 1).alias("n"), F.array_join(F.slice(lines, start + 1, end - start + 1), "\n").alias("body"))
-
-    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, line_hash), lambda hashes: cut(lines, hashes)))
+from .common import join_hot, let, materialize, unused
 
 
-def eligible(chunk: Column) -> Column:
-    return (chunk["n"] > 1) & chunk["body"].rlike(r"\S")
+def pairs(text: Column) -> Column:
+    """The chunks of a text in order: each line with the one after it."""
+    both = lambda lines: F.zip_with(F.slice(lines, 1, F.size(lines) - 1), F.slice(lines, 2, F.size(lines) - 1), lambda a, b: F.concat(a, F.lit("\n"), b))
+    return let(F.split(text, "\n", -1), both)
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunks: Callable[[Column], Column] = chunks) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, gone``: the places of the chunks that each text loses."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
-    hashed = F.transform(chunks(F.col("body")), lambda c, i: F.when(eligible(c), F.struct(i.alias("place"), F.xxhash64(c["body"]).alias("h"))))
-    seen = rows.select("key", F.explode(F.filter(hashed, lambda x: x.isNotNull())).alias("c")).select("key", "c.*")
+    rolled = F.transform(pairs(F.col("body")), lambda c, i: F.when(c.rlike(r"\S"), F.struct(i.alias("place"), F.xxhash64(c).alias("h"))))
+    seen = rows.select("key", F.explode(F.filter(rolled, lambda x: x.isNotNull())).alias("c")).select("key", "c.*")
     seen = materialize(seen, "lines")
-    again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    places = seen.join(again, "h").groupBy("key").agg(F.collect_set("place").alias("places"))
-    fetched = F.arrays_zip(F.col("places").alias("place"), let(chunks(F.col("body")), lambda c: F.transform("places", lambda p: F.get(c, p)["body"])).alias("chunk"))
+    again = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "lines", narrow=True)
+    places = join_hot(seen, again, ["h"]).groupBy("key").agg(F.collect_set("place").alias("places"))
+    fetched = F.arrays_zip(F.col("places").alias("place"), let(pairs(F.col("body")), lambda c: F.transform("places", lambda p: F.get(c, p))).alias("chunk"))
     texts = rows.join(places, "key").select("key", F.explode(fetched).alias("c")).select("key", "c.place", "c.chunk")
     texts = materialize(texts.where("chunk IS NOT NULL"), "lines")
-    first = texts.groupBy("chunk").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    lost = texts.join(first, "chunk").where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
+    first = texts.groupBy("chunk").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "lines", narrow=True)
+    lost = join_hot(texts, first, ["chunk"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
     return lost.groupBy("key").agg(F.collect_set("place").alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", details: bool = False) -> DataFrame:
     """The rows with repeated chunks taken out of ``text_col``; ``details`` adds ``n_lines`` and ``n_removed``."""
-    gone = removals(docs, id_col, text_col).withColumnsRenamed({"key": "__gone_id", "gone": "__gone"})
-    rows = docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left")
-    cut = chunks(F.col(text_col))
-    kept = lambda c: F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("__gone"))
-    text = let(cut, lambda c: F.array_join(F.transform(kept(c), lambda i: F.get(c, i)["body"]), "\n"))
-    out = {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)}
-    if details:
-        size = lambda c: F.aggregate(F.transform("__gone", lambda i: F.get(c, i)["n"]), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
-        out["n_lines"] = F.size(F.split(text_col, "\n", -1)).cast("long")
-        out["n_removed"] = F.when(F.col("__gone").isNull(), 0).otherwise(let(cut, size)).cast("long")
-    names = [*docs.columns, *(n for n in out if n not in docs.columns)]
-    return rows.withColumns(out).select(*names)
-
-
-def pairs(text: Column) -> Column:
-    """The windows of two neighbouring lines in order, as ``array<struct<n int, body string>>``."""
-    piece = lambda line, following: F.struct(F.lit(2).alias("n"), F.concat(line, F.lit("\n"), following).alias("body"))
-    both = lambda lines: F.zip_with(F.slice(lines, 1, F.size(lines) - 1), F.slice(lines, 2, F.size(lines) - 1), piece)
-    return let(F.split(text, "\n", -1), both)
-
-
-def dedup_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows without repeated blocks of two or more lines in ``text_col``; adds ``n_lines`` and ``n_removed``."""
-    gone = removals(docs, id_col, text_col, pairs).withColumnsRenamed({"key": "__gone_id", "gone": "__gone"})
-    rows = docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left")
+    key, gone = unused(docs, 2)
+    rows = docs.join(removals(docs, id_col, text_col).withColumnsRenamed({"key": key, "gone": gone}), F.col(id_col) == F.col(key), "left")
     lines = F.split(text_col, "\n", -1)
-    covered = F.array_union(F.col("__gone"), F.transform("__gone", lambda i: i + 1))
+    covered = F.array_union(F.col(gone), F.transform(gone, lambda i: i + 1))
     kept = lambda found: F.array_except(F.sequence(F.lit(0), F.size(found) - 1), covered)
     left = let(lines, lambda found: F.transform(kept(found), lambda i: F.get(found, i)))
-    out = {
-        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
-        "n_lines": F.size(lines).cast("long"),
-        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size(lines) - F.size(let(lines, kept))).cast("long"),
-    }
+    out = {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))}
+    if details:
+        out["n_lines"] = F.size(lines).cast("long")
+        out["n_removed"] = F.when(F.col(gone).isNull(), 0).otherwise(F.size(lines) - F.size(let(lines, kept))).cast("long")
     return rows.withColumns(out).select(*docs.columns, *(n for n in out if n not in docs.columns))

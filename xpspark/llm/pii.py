@@ -3,8 +3,9 @@
 Base kinds (email, ip, card, phone) are patterns with a check. High-recall generators propose further spans, which may
 overlap: secrets, social-security-like numbers, phones without a country code, account numbers, plain numbers, hex
 keys and spelled-out addresses. Boosted trees read format and context features of each proposal (its kind, length,
-character classes, the words before it); a calibrated threshold selects which are added. Base spans always stay, and a
-proposal that overlaps one is dropped.
+character classes, the words before it); a threshold calibrated for its kind selects it for redaction. Base spans always
+stay, a proposal that overlaps one is dropped, and of selected proposals that overlap each other the one furthest above its
+threshold stays.
 
 The trees are trained on the driver on ``SAMPLE`` generated lines, a bounded sample whose features the same
 expressions compute; calibration and threshold use lines that the trees have not seen. They are applied as one expression
@@ -14,8 +15,9 @@ Positions: a text is split at a kind's matches; spans follow from prefix sums ov
 points. Patterns are written so that a search never restarts inside a run that failed, and with possessive loops, which
 neither recurse nor backtrack: time is linear in a text's length.
 
-Results for odd input: null text counts as empty; an empty text has no spans; rows that repeat give equal rows; a null id
-passes through.
+Results for odd input: null text counts as empty; an empty text has no spans; very long texts are read whole; rows that
+repeat give equal rows; proposals equally far above their thresholds (ties) go by start, then end, then kind; a null id
+passes through; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -165,10 +167,10 @@ def proposals(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Trees as nested (feature, threshold, left, right) tuples with leaf values, and the least sum that selects."""
+    """Trees as nested (feature, cut, left, right) tuples with leaf values, and for each kind the least sum that selects."""
 
     trees: tuple
-    threshold: float
+    thresholds: tuple[tuple[int, float], ...]
 
 
 def lines(n: int, seed: int) -> list[tuple[str, int]]:
@@ -236,10 +238,11 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple:
 
 def calibrate(total: np.ndarray, y: np.ndarray) -> float:
     """The least sum from which on the share of personal data, among unseen lines, is PRECISION or more."""
-    order = np.argsort(-total, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    fine = np.flatnonzero(share >= PRECISION)
-    return float(total[order][fine[-1]]) if len(fine) else math.inf
+    best = math.inf
+    for cut in np.unique(total):
+        if y[total >= cut].mean() >= PRECISION:
+            best = min(best, float(cut))
+    return best
 
 
 @functools.lru_cache(maxsize=1)
@@ -248,8 +251,9 @@ def trained(rows: str) -> Model:
     x, y = data[:, :-1], data[:, -1]
     seen = np.arange(len(x)) % 3 != 0
     trees = boost(x[seen], y[seen])
-    total = sum(predict(t, x[~seen]) for t in trees)
-    return Model(trees, calibrate(total, y[~seen]))
+    total, kind = sum(predict(t, x[~seen]) for t in trees), x[~seen][:, FEATURES.index("rank")]
+    cuts = {r: calibrate(total[kind == r], y[~seen][kind == r]) for r in range(len(BASE), len(KINDS)) if (kind == r).any()}
+    return Model(trees, tuple((r, cuts.get(r, math.inf)) for r in range(len(BASE), len(KINDS))))
 
 
 def train(spark: SparkSession, sample: int = SAMPLE, seed: int = SEED) -> Model:
@@ -267,8 +271,19 @@ def tree_column(tree, m: Column) -> Column:
     return F.when(m[FEATURES[f]] <= cut, tree_column(left, m)).otherwise(tree_column(right, m))
 
 
-def selected(model: Model, m: Column) -> Column:
-    return functools.reduce(lambda a, b: a + b, (tree_column(t, m) for t in model.trees)) >= model.threshold
+def margin(model: Model, m: Column) -> Column:
+    """How far a proposal's sum of leaves lies above its kind's threshold."""
+    total = functools.reduce(lambda a, b: a + b, (tree_column(t, m) for t in model.trees))
+    cuts = F.array(*(F.lit(cut) for _, cut in model.thresholds))
+    return total - F.get(cuts, (m["rank"] - model.thresholds[0][0]).cast("int"))
+
+
+def apart(found: Column) -> Column:
+    """Of spans in order of preference, those that overlap none before them."""
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    free = lambda kept, m: ~F.exists(kept, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
+    plain = lambda m: F.struct(m["start"].alias("start"), m["rank"].alias("rank"), m["end"].alias("end"))
+    return F.aggregate(found, none, lambda kept, m: F.when(free(kept, m), F.array_append(kept, plain(m))).otherwise(kept))
 
 
 def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,9 +294,10 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     base = F.sort_array(F.concat(*(base_spans(text, k) for k in BASE)))
     rows = rows.select(id_col, base.alias("base"), proposals(text).alias("__proposed"))
     free = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    taken = F.filter("__proposed", lambda m: selected(model, m) & free(m))
-    added = F.sort_array(F.transform(taken, lambda m: F.struct(m["start"].alias("start"), m["rank"].cast("int").alias("rank"), m["end"].alias("end"))))
-    return rows.select(id_col, "base", F.when(F.size("__proposed") > 0, added).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("added"))
+    scored = F.transform(F.filter("__proposed", free), lambda m: F.struct((-margin(model, m)).alias("below"), m["start"].alias("start"), m["end"].alias("end"), m["rank"].cast("int").alias("rank")))
+    chosen = F.array_sort(F.filter(scored, lambda m: m["below"] <= 0))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    return rows.select(id_col, "base", F.when(F.size("__proposed") > 0, F.sort_array(apart(chosen))).otherwise(none).alias("added"))
 
 
 def span_text(spans: Column) -> Column:
@@ -291,6 +307,7 @@ def span_text(spans: Column) -> Column:
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, n_email, n_ip, n_card, n_phone, base_text, spans``."""
+    """``id_col, n_email, n_ip, n_card, n_phone, n_spans, base_text, spans``; ``n_spans`` counts spans of all kinds."""
     counts = [F.size(F.filter("base", functools.partial(lambda r, s: s["rank"] == r, r))).cast("long").alias(f"n_{k}") for r, k in enumerate(BASE)]
+    counts.append((F.size("base") + F.size("added")).cast("long").alias("n_spans"))
     return found.select(id_col, *counts, span_text(F.col("base")).alias("base_text"), span_text(F.sort_array(F.concat("base", "added"))).alias("spans"))

@@ -105,7 +105,7 @@ FROM t GROUP BY conv_id
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive(table(spark, sf_dir, "pages"), common.shared_path(spark, "warc"))
+    found = warc.archive(table(spark, sf_dir, "pages"), common.shared_path(spark, "warc"), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -151,7 +151,7 @@ FROM v LEFT JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 OP4 = r"""
@@ -169,14 +169,27 @@ WITH d AS (
   SELECT g.doc_id, g.p, x.size, x.item_id
   FROM (SELECT doc_id, p, s.size, array_to_string(w[p:p + s.size - 1], ' ') AS gram FROM places, (SELECT DISTINCT size FROM windows) s WHERE p + s.size - 1 <= len(w)) g
   JOIN windows x ON x.size = g.size AND x.gram = g.gram
+), terms AS (
+  SELECT row_number() OVER () AS item, item_id, w FROM b WHERE len(w) > 0
+), places2 AS (
+  SELECT item, len(w) AS n, unnest(range(0, len(w))) AS off, unnest(w) AS term FROM terms
+), words2 AS (
+  SELECT doc_id, p - 1 AS pos, w[p] AS term FROM places
+), found AS (
+  SELECT doc_id, item, n, off, pos - off - late AS diagonal, min(late) AS late FROM words2 JOIN places2 USING (term), (VALUES (0), (1)) AS v(late) GROUP BY ALL
+), near AS (
+  SELECT doc_id, item, diagonal, win, least(10, n) AS size, count(*) AS met, count(*) FILTER (late = 0) AS in_place
+  FROM (SELECT *, unnest(range(greatest(0, off - least(10, n) + 1), least(greatest(0, n - 10), off) + 1)) AS win FROM found) GROUP BY ALL HAVING count(*) * 10 >= least(10, n) * 8
+), nears AS (
+  SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, item FROM near GROUP BY ALL HAVING NOT bool_or(in_place = size)) GROUP BY doc_id
 ), covered AS (
   SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM hits) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
 
 
@@ -247,31 +260,6 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10 = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
-), h AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS v FROM l
-), f AS (
-  SELECT *, CAST((v * 5 + coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS INT) AS cut FROM h
-), g AS (
-  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM f
-), c AS (
-  SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, place
-), r AS (
-  SELECT *, n > 1 AND regexp_matches(body, '\\S') AND row_number() OVER (PARTITION BY body ORDER BY doc_id, place) > 1 AS gone FROM c
-)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-  coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
-FROM r GROUP BY doc_id
-"""
-
-
-def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_blocks(docs).select("doc_id", "n_lines", "n_removed", "text")
-
-
-OP10_BLOCKS = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 ), w AS (
@@ -292,4 +280,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substrings": OP1, "op2_chat": OP2, "op3_embeddings": OP3, "op4_decontaminate": OP4, "op5_minhash": OP5, "op9_warc": OP9, "op10_lines": OP10, "op10_blocks": OP10_BLOCKS}
+    return {"op1_substrings": OP1, "op2_chat": OP2, "op3_embeddings": OP3, "op4_decontaminate": OP4, "op5_minhash": OP5, "op9_warc": OP9, "op10_lines": OP10}
