@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from xpspark.llm import bpe, common, decontaminate, line_dedup, minhash, queries, toxicity
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id ``gone`` doesn't hold; only ids are joined with the texts."""
+    (key,) = common.unused(docs, 1)
+    return docs.join(gone.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id") == F.col(key), "left_anti")
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the toxicity grammar, learned from their labels, does not reject."""
     return toxicity.keep_clean(docs, queries.toxicity_model(spark, sf_dir, docs))
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without line chunks that repeat; ``n_chars`` follows the text."""
+    """All documents, without blocks of lines that repeat; ``n_chars`` follows the text."""
     out = line_dedup.dedup(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -27,17 +33,15 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id.
 
-    Only the ids of the other members are joined with the texts. A kept document's rows that repeat are all kept.
+    A kept document's rows that repeat are all kept.
     """
-    gone = minhash.components(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, minhash.components(docs).where("NOT kept"))
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item; rows without id stay."""
     found = decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, found.where("contaminated AND doc_id IS NOT NULL"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
