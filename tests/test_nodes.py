@@ -115,3 +115,75 @@ def test_axes_on_random_trees(spark):
         assert len(got) == 100
         for r in got:
             assert sorted(map(int, r.to)) == sorted(reference(trees[r.doc_id], axis, int(r.i))), axis
+
+
+R = '<r><a id="1"><b/><b/></a><a id="2"><b/></a><c/><a id="3"/><g><h/><a id="4"><b>x</b></a></g></r>'
+ITEMS = [
+    ("/r/a[$n]/@id", ["2"]), ("/r/a[count(b)]/@id", []), ("/r/a[string-length(@id)]/@id", ["1"]), ("/r/a[number(@id)]/@id", ["1", "2", "3"]), ("/r/a[if (b) then 1 else 2]/@id", ["1"]), ("//a[$n]/@id", ["2"]), ("/r/a[position() = last()]/@id", ["3"]), ("/r/a[@id and 2]/@id", ["1", "2", "3"]),
+    ("name((//c, //a)[1])", ["c"]), ("reverse(//a)[1]/@id", ["4"]), ("head(reverse(//a))/@id", ["4"]), ("(//a, //a)/@id", ["1", "2", "3", "4"]), ("count((//a, //a))", ["8"]), ("reverse((//c, //a))/name()", ["a", "a", "a", "a", "c"]), ("name((//c/ancestor::*)[1])", ["r"]), ("name((//h/ancestor::*)[1])", ["g"]), ("sort(//a, (), function($x) { -number($x/@id) })/@id", ["4", "3", "2", "1"]), ("insert-before(//c, 1, //g)/name()", ["g", "c"]), ("remove(//a, 2)/@id", ["1", "3", "4"]), ("tail(//a)/@id", ["2", "3", "4"]), ("subsequence(//a, 2, 2)/@id", ["2", "3"]),
+    ("name(//g/preceding::*[1])", ["b"]), ("//g/preceding-sibling::a[1]/@id", ["1"]), ("//g/preceding-sibling::a[last()]/@id", ["3"]), ("//c/following-sibling::a[1]/@id", ["3"]), ("name(//c/following::*[2])", ["g"]), ("//a[1]/following-sibling::a[1]/@id", ["2"]), ("//a[following-sibling::c]/@id", ["1", "2"]), ("//a[not(following::a)]/@id", ["4"]), ("//a[preceding-sibling::a][1]/@id", ["2"]),
+    ("if (//c) then //a/@id else //b", ["1", "2", "3", "4"]), ("if (//z) then //a else //g/a/@id", ["4"]), ("let $x := //a return $x[b]/@id", ["1", "2", "4"]), ("let $n := count(//a) return $n + 1", ["5"]), ("for $x in //a return count($x/b)", ["2", "1", "0", "1"]), ("for $x in //a return $x/b/..", ["", "", "x"]), ("for $x in //a[b], $y in $x/b return concat($x/@id, $y)", ["1", "1", "2", "4x"]), ("for $x in (1, 2), $a in //a[@id = $x] return $a/@id", ["1", "2"]), ("//a ! @id", ["1", "2", "3", "4"]), ("//a ! position()", ["1", "2", "3", "4"]), ("(1, 2) ! count(//a)", ["4", "4"]), ("//a/string(@id)", ["1", "2", "3", "4"]), ("//a/(b | @id)", ["1", "", "", "2", "", "3", "4", "x"]), ("distinct-values(//*/name())", ["r", "a", "c", "g", "b", "h"]),
+    ("for $a in //a, $b in //a[@id > $a/@id] return concat($a/@id, $b/@id)", ["12", "13", "14", "23", "24", "34"]), ("for $a in //a, $b in //b return if ($b/../@id = $a/@id) then concat($a/@id, name($b)) else ()", ["1b", "1b", "2b", "4b"]), ("for $k in distinct-values(//a/@id) return count(//a[@id = $k]/b)", ["2", "1", "0", "1"]), ("some $x in //a, $y in //h satisfies $y << $x", ["true"]), ("every $x in //a satisfies $x/b", ["false"]), ("//a[some $x in b satisfies $x = 'x']/@id", ["4"]),
+    ("count(//namespace::*)", ["12"]), ("//c/namespace::xml", ["http://www.w3.org/XML/1998/namespace"]), ("//a[@id = true()]/@id", ["1", "2", "3", "4"]), ("//a[@id > 2]/@id", ["3", "4"]), ("sum(//a/@id)", ["10"]), ("max(//a/@id)", ["4"]), ("string-join(//a/@id, '-')", ["1-2-3-4"]), ("//b/root()/name()", ["#document"]), ("path(//c)", ["/r/c"]), ("//a[last()]/@id", ["3", "4"]), ("//a[b][last()]/@id", ["2", "4"]), ("count(//a[1]/following::*)", ["8"]), ("exactly-one(//c)/name()", ["c"]), ("//document-node(element(r))/name()", []), ("/self::document-node(element(r))/name()", ["#document"]), ("/self::document-node(element(q))", []), ("string(100000000000000000000)", ["100000000000000000000"]),
+]
+
+
+def shown(df):
+    return [r.str_val for r in df.orderBy("seq" if "seq" in df.columns else "pre").collect()]
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return shred.shred(spark.createDataFrame([(1, R)], "i long, t string"), "xml", "i", "t").cache()
+
+
+@pytest.mark.parametrize(("query", "want"), ITEMS)
+def test_items(spark, tree, query, want):
+    assert shown(Engine(spark).nodes(tree, query, {"n": 2} if "$n]" in query else None)) == want
+
+
+def test_wrong_steps_have_codes(spark, tree):
+    from xpspark.errors import XPathError
+
+    for query, code in (("(1, 2)/a", "XPTY0019"), ("//a/string(@id)/b", "XPTY0019"), ("doc('x')", "FODC0005"), ("key('k', 1)", "XPST0001"), ("[abs#1]", "XPTY0004")):
+        with pytest.raises(XPathError) as e:
+            Engine(spark).nodes(tree, query)
+        assert e.value.code == code, query
+
+
+def test_attributes_and_paths_need_no_join(spark):
+    docs = spark.createDataFrame([(1, "<html><body><ul><li class='x'><a href='u'>k</a></li></ul><a href='v' id='w'>l</a></body></html>")], "i long, t string")
+    nodes = shred.shred(docs, "html", "i", "t")
+    e = Engine(spark)
+    for query, want in (("//a[@href]/@href", ["u", "v"]), ("/html/body/a/@id", ["w"]), ("//li//a", ["k"]), ("//a[@id = 'w']", ["l"]), ("//a[not(@id)]/@*", ["u"])):
+        df = e.nodes(nodes, query)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert shown(df) == want and plan.count("MapInArrow") == 1 and "Join" not in plan, query
+
+
+def test_values_meet_within_a_document(spark):
+    docs = spark.createDataFrame([(1, "<r><a k='1'/></r>"), (2, "<r><a k='2'/><b k='1'/><b k='2'/></r>")], "i long, t string")
+    nodes = shred.shred(docs, "xml", "i", "t").cache()
+    e = Engine(spark)
+    assert [(r.doc_id, r.str_val) for r in e.nodes(nodes, "//a[@k = //b/@k]/@k").collect()] == [(2, "2")]
+    assert [(r.it, r.str_val) for r in e.nodes(nodes, "count(//a[@k = //b/@k])").orderBy("it").collect()] == [(1, "0"), (2, "1")]
+    assert shown(e.nodes(nodes, "for $b in //b return //a[@k = $b/@k]/@k", scope="all")) == ["1", "2"]
+
+
+def test_nested_contexts(spark):
+    docs = spark.createDataFrame([(1, "<a i='1'><a i='2'><b/><a i='3'><b/></a></a><b/></a>")], "i long, t string")
+    nodes = shred.shred(docs, "xml", "i", "t").cache()
+    e = Engine(spark)
+    assert e.nodes(nodes, "//a//b").count() == 3 == e.nodes(nodes, "//a/descendant::b").count()
+    assert shown(e.nodes(nodes, "//a//a/@i")) == ["2", "3"]
+    assert [r.n for r in e.table(nodes, "//a", {"n": "count(.//b)"}).orderBy("pre").collect()] == [3.0, 2.0, 1.0]
+
+
+def test_running_sums(spark):
+    from xpspark.operators.running import before
+
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(1 << 50), t, rng.randint(0, 3)) for g in range(3) for t in range(200)]
+    df = spark.createDataFrame(rows, "g int, at long, tie int, w long")
+    for r in before(df, ["g"], "at", "tie", "w", "n", "total").collect():
+        assert r.n == sum(w for g, a, t, w in rows if g == r.g and (a, t) <= (r.at, r.tie)) and r.total == sum(w for g, *_, w in rows if g == r.g)

@@ -64,3 +64,45 @@ def test_yaml():
     value = serialize.parse_yaml(text)
     assert value == {"a": 1, "b": ["x", {"y": 2, "z": "q"}], "c": [1, 2], "d": {"e": True}}
     assert serialize.parse_yaml(serialize.to_yaml({"a": "1", "b": {"c": [1, "x"]}})) == {"a": "1", "b": {"c": [1, "x"]}}
+
+
+def test_late_events_and_other_windows(spark, tmp_path):
+    rows = [(0, "2024-01-01 00:01:00", "a"), (1, "2024-01-01 00:04:00", "a"), (2, "2024-01-01 02:00:00", "a")]
+    late = [(3, "2024-01-01 00:02:00", "a"), (4, "2024-01-01 01:58:00", "a")]
+    more = [(5, "2024-01-01 02:01:00", "a")]
+    for k, part in enumerate((rows, more, late)):
+        spark.createDataFrame(part, "i long, s string, k string").select("i", F.to_timestamp("s").alias("ts"), "k").coalesce(1).write.parquet(str(tmp_path / f"ev/p={k}"))
+    stream = lambda: spark.readStream.schema("i long, ts timestamp, k string, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
+    got = {str(r.start)[11:16]: r.n for r in runtime.tumbling_counts(spark, stream(), "ts", "k", "10 minutes", late="10 minutes").collect()}
+    # the watermark is at 01:50 when the late files come: the window at 00:00 is closed, that at 01:50 is open
+    assert got == {"00:00": 2, "02:00": 2, "01:50": 1}
+    slid = {str(r.start)[11:16]: r.n for r in runtime.sliding_counts(spark, stream(), "ts", "k", "10 minutes", "5 minutes", late="1 day").collect()}
+    assert slid == {"23:55": 3, "00:00": 3, "01:50": 1, "01:55": 3, "02:00": 2}
+    assert sorted((str(r.start)[11:16], r.n) for r in runtime.session_counts(spark, stream(), "ts", "k", "5 minutes").collect()) == [("00:01", 3), ("01:58", 3)]
+
+
+def test_accumulator_stream(spark, tmp_path):
+    rows = [(d, p, float(p)) for d in (1, 2) for p in (1, 2, 3)]
+    spark.createDataFrame(rows, "doc_id long, pre long, x double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, pre long, x double").parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in runtime.run_accumulator(spark, stream, lambda v, r: v + r["x"]).collect())
+    assert got == [(d, p, b, a) for d in (1, 2) for p, b, a in ((1, 0.0, 1.0), (2, 1.0, 3.0), (3, 3.0, 6.0))]
+
+
+def test_host_accumulators():
+    a = runtime.Accumulators()
+    a.register({"n": 0.0})
+    a.update("n", 5.0, "pre")
+    held = a.snapshot()
+    a.update("n", 9.0)
+    assert (a.before("n"), a.after("n")) == (5.0, 9.0)
+    a.restore(held)
+    assert (a.before("n"), a.after("n")) == (5.0, 5.0)
+    with pytest.raises(DynamicError):
+        a.after("m")
+
+
+def test_analysis_helpers():
+    from xpspark.streaming import analyzer
+
+    assert analyzer.is_motionless("1 + 2") and analyzer.is_grounded("a/b") and not analyzer.is_streamable("//a") and analyzer.memory_footprint("a[b]") == 0.4

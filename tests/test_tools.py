@@ -25,11 +25,26 @@ def test_complexity_hints_warnings():
     assert analyze.complexity("//a[b[c = 1]][position() > 2]/d[count(e) = last()]").level in ("complex", "very complex")
     assert any("nested" in h.message for h in analyze.hints("//a[b[c]]"))
     assert any("ms" in h.message for h in analyze.hints("1", seconds=0.5))
-    w = analyze.Warnings()
-    assert [c for c, _ in w.inspect("//a/following::b[true()]")] == ["XPWP0001", "XPWP0002", "XPWS0001"]
     assert analyze.Warnings(least="warning").inspect("//a") == []
 
 
+@pytest.mark.parametrize(("query", "codes"), [
+    ("namespace::x", ["XPWD0001"]), ("contains(a, 'x')", ["XPWD0002"]), ("'a' lt 'b'", ["XPWC0002"]), ("number(())", ["XPWC0003"]), ("'1' + 2", ["XPWT0001"]), ("'1' = 2", ["XPWT0001"]), ("a['x']", ["XPWT0002"]), ("1 + 1.5", ["XPWT0003"]), ("() + 1", ["XPWB0001"]),
+    ("() eq 1", ["XPWB0002"]), ("(1, 2) eq 1", ["XPWB0003"]), ("string(a)", ["XPWB0004"]), ("//a", ["XPWP0001"]), ("a = 1", ["XPWP0002"]), ("1 + 2", []),
+])
+def test_warnings(query, codes):
+    assert [c for c, _ in analyze.Warnings().inspect(query)] == codes
+    assert [c for c, _ in analyze.Warnings().inspect(query, compat=True)] == ["XPWC0001", *codes]
+
+
+def test_warning_filters():
+    assert len(analyze.WARNINGS) == 14
+    seen = []
+    w = analyze.Warnings(categories=("performance",), once=False, most=3, handler=lambda c, m: seen.append(c))
+    w.inspect("//a[b = 1][//c = 2]/string(d)")
+    assert [c for c, _ in w.found] == seen and len(seen) == 3 and set(seen) <= {"XPWP0001", "XPWP0002"}
+
+
 def test_profiler():
     p = analyze.Profiler()
     assert p.run("q", lambda: [1, 2]) == [1, 2] and p.summary()["q"]["rows"] == 2 and p.hot_spots() == ["q"]

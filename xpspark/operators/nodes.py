@@ -91,6 +91,11 @@ class Env:
     free: bool = False
 
 
+def text(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def on(left: DataFrame, right: DataFrame, keys: tuple | list, how: str = "inner") -> DataFrame:
     """A join on equal column names; without keys ``right`` is one row, or all of it belongs to every row."""
     return left.join(right, list(keys), how) if keys else left.crossJoin(right)
@@ -252,7 +257,8 @@ class Paths:
         if isinstance(n, A.Filter):
             return self.plural(n.base, env)
         if isinstance(n, A.Call) and n.args and n.name.removeprefix("fn:") in NODE_CALLS | {"distinct-values", "data"}:
-            return self.plural(n.args[0], env)
+            name = n.name.removeprefix("fn:")
+            return self.plural(n.args[0], env) or (name in NODE_CALLS and self.noded(n.args[0], env))
         return self.noded(n, env)
 
     def kind_of(self, p: A.Node, env: Env) -> str:
@@ -520,6 +526,8 @@ class Paths:
         strict = ordered and self.order_mode == "reference"
         if s.axis == "namespace":
             return self.filtered(self.namespace_nodes(ctx, s), s.predicates, ("parent",), [F.asc("ord")], env)
+        if strict and ctx.order is not None and s.axis in ("child", "attribute") and not ctx.bag:
+            return self.kept_order(ctx, s, env)
         if strict and (ctx.order is not None or s.axis not in EASY):
             return self.pairwise(ctx, s, env, True)
         parental = s.axis in ("self", "child", "attribute", "//", "//@")
@@ -531,6 +539,18 @@ class Paths:
         by = ("doc_id", "pre") if s.axis == "self" else ("doc_id", "parent")
         return replace(self.filtered(out, s.predicates, by, [F.asc("pre")], env), order=order)
 
+    def kept_order(self, ctx: Seq, s: A.Step, env: Env) -> Seq:
+        """A child or attribute step of contexts in an order of their own: a node has one parent, so nothing is met twice."""
+        carried = replace(ctx, df=ctx.df.withColumn("seq", ctx.key()))
+        cols = [*ctx.it, *self.columns, F.concat("c_seq", F.array("pre")).alias("seq")]
+        if s.axis == "attribute" and (rows := self.attributes(carried, s.test, "seq")) is not None:
+            df = rows.withColumnRenamed("seq", "c_seq").select(*cols)
+        else:
+            c = carried.df.select(*ctx.it, F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("seq").alias("c_seq"))
+            df = c.join(self.goal(s), (F.col("doc_id") == F.col("c_doc")) & (F.col("parent") == F.col("c_pre"))).select(*cols)
+        out = replace(ctx, df=df, level=None if ctx.level is None else ctx.level + 1, order=F.col("seq"), flat=ctx.flat or s.axis == "attribute", single=False)
+        return self.filtered(out, s.predicates, ("doc_id", "parent"), [F.asc("pre")], env)
+
     @staticmethod
     def placed(p: A.Node) -> bool:
         return any(c.name.removeprefix("fn:") in ("position", "last") and not c.args for c in own_calls(p))
@@ -600,21 +620,19 @@ class Paths:
         # one row for a document and iteration: no node is met twice
         return Seq(d.join(keys, same & beyond).select(*cols), ctx.it, unique=unique)
 
-    def attributes(self, ctx: Seq, test: A.Test) -> DataFrame | None:
+    def attributes(self, ctx: Seq, test: A.Test, *more: str) -> DataFrame | None:
         """Attribute nodes made from their elements' ``attrs``, without a join; None if that can't be done."""
         if "attrs" not in self.columns or test.prefix is not None or test.kind not in ("name", "any") or ctx.bag:
             return None
         if test.kind == "name":
-            rows, name, a = ctx.df, F.lit(test.name), F.col("attrs")[test.name]
+            rows, name, a = ctx.df, text(test.name), f"attrs[{text(test.name)}]"
         else:
-            rest = [c for c in ctx.df.columns if c != "attrs"]
-            rows = ctx.df.select(*rest, F.explode("attrs").alias("__k", "__a"))
-            name, a = F.col("__k"), F.col("__a")
+            rows, name, a = ctx.df.selectExpr("*", "explode(attrs) AS (__k, __a)"), "__k", "__a"
         made = {
-            "pre": F.col("pre") + a["off"], "fin": F.col("pre") + a["off"], "level": F.col("level") + 1, "parent": F.col("pre"), "kind": F.lit(ATTRIBUTE).cast("tinyint"), "name": name, "local": name, "ns_uri": F.lit(""),
-            "value": a["v"], "str_val": a["v"], "ord": a["off"].cast("long"), "anc": F.concat("anc", F.array("pre")), "attrs": F.lit(None).cast(dict(self.nodes.dtypes)["attrs"]),
+            "pre": f"pre + {a}.off", "fin": f"pre + {a}.off", "level": "level + 1", "parent": "pre", "kind": f"CAST({ATTRIBUTE} AS TINYINT)", "name": name, "local": name, "ns_uri": "''",
+            "value": f"{a}.v", "str_val": f"{a}.v", "ord": f"CAST({a}.off AS BIGINT)", "anc": "concat(anc, array(pre))", "attrs": f"CAST(NULL AS {dict(self.nodes.dtypes)['attrs']})",
         }
-        return rows.where(a["v"].isNotNull()).select(*ctx.it, *(made.get(c, F.col(c)).alias(c) for c in self.columns))
+        return rows.where(f"{a}.v IS NOT NULL").selectExpr(*ctx.it, *(f"{made.get(c, c)} AS {c}" for c in self.columns), *more)
 
     def attribute(self, n: A.Node) -> Column | None:
         """The value of an attribute of the row at hand, if a column holds it."""
@@ -925,7 +943,7 @@ class Paths:
             return self.source(name, n, env)
         if name == "root" and not n.args:
             return self.roots(env.focus)
-        if not n.args or not self.plural(n.args[0], env):
+        if not n.args or not (self.plural(n.args[0], env) or (name in NODE_CALLS and self.noded(n.args[0], env))):
             return None
         if name == "distinct-values":
             seq, value = self.valued(n.args[0], env, True)
@@ -1360,7 +1378,10 @@ def select(nodes: DataFrame, query: A.Node, compiler: Compiler, **options) -> Da
     """The items that a query gives in each document: nodes, or values as rows of kind 0."""
     p = Paths(nodes, compiler, **options)
     env = p.top()
-    out = p.sequence(rewrite(query), env, True)
+    query = rewrite(query)
+    # nodes of paths can be sorted by their place; other sequences tell their order
+    plain = isinstance(query, A.Root | A.Bin) or (isinstance(query, A.Path) and isinstance(query.start, A.Root | A.Context))
+    out = p.sequence(query, env, not plain)
     return result(p, p.lift(out, env), env.it)
 
 

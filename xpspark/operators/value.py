@@ -393,7 +393,8 @@ class Compiler:
         ty = core.unify(vals)
         if len({v.kind for v in vals}) == 1 or ty.kind != "str":
             return Val(F.array_distinct(F.concat(*(items(core.fit(v, ty)) for v in vals))), ty.seq)
-        typed = F.concat(*(F.transform(items(v), lambda x, v=v: F.struct(F.lit(v.kind).alias("k"), core.to_str(Val(x, v.ty.item)).alias("v"))) for v in vals))
+        tagged = lambda v: F.transform(items(v), lambda x: F.struct(F.lit(v.kind).alias("k"), core.to_str(Val(x, v.ty.item)).alias("v")))
+        typed = F.concat(*map(tagged, vals))
         return Val(F.transform(F.array_distinct(typed), lambda s: s["v"]), ty.seq)
 
     def partial(self, call, args, name=None):

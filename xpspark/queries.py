@@ -17,8 +17,13 @@ from . import schema
 from .engine import Engine
 from .functions import indexed
 from .sources import serialize, shred, tables
+from .sources.catalog import Catalog
 from .streaming import runtime
 
+#: The order of an order's items, and a number as JSON texts spell it.
+ITEM = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
+JSON_NUMBER = "CAST(%s AS VARCHAR)"
+
 #: name: (table, kept columns, [(column, query, SQL)])
 VALUE: dict[str, tuple[str, list[str], list[tuple[str, str, str]]]] = {
     "arithmetic": ("lineitem", ["l_orderkey", "l_linenumber"], [
@@ -104,6 +109,27 @@ VALUE: dict[str, tuple[str, list[str], list[tuple[str, str, str]]]] = {
     "aggregates": ("embeddings", ["vec_id"], [
         ("total", "round(1000 * sum($embedding?*))", "floor(1000 * list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) + 0.5)"), ("mean", "round(1000 * avg($embedding?*))", "floor(1000 * (list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding)) + 0.5)"), ("skips", "sum((1, number('x'), $label))", "CAST(1 + label AS DOUBLE)"), ("nothing", "sum(())", "0.0"), ("n", "count((1, 2, $label))", "3.0"),
     ]),
+    "constructors": ("events", ["event_id"], [
+        ("decimal", "xs:decimal('1.5')", "1.5"), ("float", "xs:float('2.5')", "2.5"), ("datetime", "string(xs:dateTime('2024-02-03T04:05:06'))", "'2024-02-03T04:05:06'"), ("uri", "xs:anyURI('http://x/y')", "'http://x/y'"), ("qname", "xs:QName('p:a')", "'p:a'"), ("untyped", "xs:untypedAtomic($event_type)", "event_type"),
+        ("year_month", "xs:gYearMonth('2024-02')", "'2024-02'"), ("month_day", "xs:gMonthDay('--02-29')", "'--02-29'"), ("g_day", "xs:gDay('---05')", "'---05'"), ("g_month", "xs:gMonth('--02')", "'--02'"), ("b64", "xs:base64Binary('SGk=')", "'SGk='"),
+        ("long", "xs:long($user_id)", "CAST(user_id AS DOUBLE)"), ("int", "xs:int($user_id)", "CAST(user_id AS DOUBLE)"), ("short", "xs:short($user_id mod 1000)", "CAST(user_id % 1000 AS DOUBLE)"), ("not_positive", "xs:nonPositiveInteger(-$user_id)", "CAST(-user_id AS DOUBLE)"), ("negative", "xs:negativeInteger(-$user_id - 1)", "CAST(-user_id - 1 AS DOUBLE)"), ("not_negative", "xs:nonNegativeInteger($user_id)", "CAST(user_id AS DOUBLE)"), ("positive", "xs:positiveInteger($user_id + 1)", "CAST(user_id + 1 AS DOUBLE)"),
+        ("u_long", "xs:unsignedLong($user_id)", "CAST(user_id AS DOUBLE)"), ("u_int", "xs:unsignedInt($user_id)", "CAST(user_id AS DOUBLE)"), ("u_short", "xs:unsignedShort($user_id mod 1000)", "CAST(user_id % 1000 AS DOUBLE)"), ("u_byte", "xs:unsignedByte($user_id mod 200)", "CAST(user_id % 200 AS DOUBLE)"), ("too_large", "try { xs:byte($user_id + 128) } catch * { -1 }", "-1.0"), ("string", "xs:string($event_type)", "event_type"), ("double", "xs:double(string($user_id))", "CAST(user_id AS DOUBLE)"), ("time", "xs:time('10:20:30')", "'10:20:30'"), ("duration", "xs:duration('P1DT2H')", "'P1DT2H'"), ("cast", "string($user_id) cast as xs:integer", "CAST(user_id AS DOUBLE)"),
+    ]),
+    "dates_parts": ("events", ["event_id"], [
+        ("year", "year-from-date(xs:date($ts))", "CAST(year(ts) AS DOUBLE)"), ("month", "month-from-date(xs:date($ts))", "CAST(month(ts) AS DOUBLE)"), ("day", "day-from-date(xs:date($ts))", "CAST(day(ts) AS DOUBLE)"), ("zone", "string(timezone-from-date('2024-02-03Z'))", "'PT0S'"), ("minutes", "minutes-from-time(xs:time('10:20:30'))", "20.0"), ("seconds", "seconds-from-time(xs:time('10:20:30.5'))", "30.5"), ("zone_time", "string(timezone-from-time('10:00:00+01:30'))", "'PT1H30M'"),
+        ("years", "years-from-duration(xs:duration('P2Y3M'))", "2.0"), ("months", "months-from-duration(xs:duration('P2Y3M'))", "3.0"), ("hours", "hours-from-duration(xs:duration('P1DT5H6M7S'))", "5.0"), ("mins", "minutes-from-duration(xs:duration('P1DT5H6M7S'))", "6.0"), ("secs", "seconds-from-duration(xs:duration('PT7.5S'))", "7.5"), ("date_moved", "adjust-date-to-timezone('2024-01-01Z', xs:duration('PT2H'))", "'2024-01-01+02:00'"), ("time_moved", "adjust-time-to-timezone('10:00:00Z', xs:duration('-PT1H'))", "'09:00:00-01:00'"), ("implicit", "string(implicit-timezone())", "'PT0S'"),
+        ("now", "year-from-dateTime(current-dateTime()) > 2000 and year-from-date(current-date()) > 2000", "true"), ("clock", "matches(string(current-time()), '^[0-9:]+$')", "true"), ("later", "string(xs:date($ts) + xs:duration('P1M'))", "strftime(CAST(ts AS DATE) + INTERVAL 1 MONTH, '%Y-%m-%d')"),
+    ]),
+    "binary": ("part", ["p_partkey"], [
+        ("hex", "base64-to-hex(encode-base64($p_name))", "hex(encode(p_name))"), ("text", "decode-base64(encode-base64($p_name))", "p_name"), ("joined", "binary-concat((encode-hex($p_name), '00'), 'hex')", "hex(encode(p_name)) || '00'"), ("size", "binary-length(encode-base64($p_name), 'base64')", "CAST(strlen(p_name) AS DOUBLE)"),
+    ]),
+    "cardinality": ("nation", ["n_nationkey"], [
+        ("most", "zero-or-one($n_name)", "n_name"), ("none", "empty(zero-or-one(()))", "true"), ("least", "count(one-or-more(($n_name, 'x')))", "2.0"), ("any", "count(unordered((1, 2, 3)))", "3.0"), ("data", "data($n_name)", "n_name"), ("html", "escape-html-uri('http://x/a b')", "'http://x/a b'"), ("unset", "empty(environment-variable('NO_SUCH_VARIABLE_HERE'))", "true"), ("set", "exists(available-environment-variables())", "true"), ("group", "count(current-group())", "0.0"), ("key", "current-grouping-key()", "''"),
+        ("kinds", "count(distinct-values((1, '1')))", "2.0"), ("big", "string(100000000000000000000)", "'100000000000000000000'"), ("version", "system-property('xsl:version')", "'3.0'"), ("known", "function-available('concat') and not(function-available('no-such'))", "true"), ("element", "element-available('xsl:if')", "false"), ("entity", "unparsed-entity-uri('x')", "''"),
+    ]),
+    "trees": ("events", ["event_id"], [
+        ("xml", "json-to-xml($props)", "'<root><k>' || json_extract_string(props, '$.k') || '</k></root>'"), ("json", "xml-to-json(json-to-xml($props))", "'{\"k\": ' || json_extract_string(props, '$.k') || '}'"), ("yaml", "number(parse-yaml(concat('k: ', $user_id))?k)", "CAST(user_id AS DOUBLE)"), ("back", "serialize-yaml(map{'a': $event_type})", "'a: ' || event_type"),
+    ]),
 }
 
 #: name: (documents, nodes selected, SQL); the result is doc_id, value, the selected nodes' string values.
@@ -132,6 +158,37 @@ PATHS: dict[str, tuple[str, str, str]] = {
     "predicate_or": ("geography", "//customer[@acctbal > 9900 or order/@totalprice > 400000]/@key", "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_acctbal > 9900 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
 }
 
+#: name: (documents, query, options, SQL); the result is doc_id, value of the items of expressions over nodes.
+ITEMS: dict[str, tuple[str, str, dict, str]] = {
+    "predicate_variable": ("geography", "/nation/customer[$n]/@key", {"variables": {"n": 2}}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n = 2"),
+    "predicate_function": ("geography", "/nation/customer[string-length(@mktsegment)]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n = length(c_mktsegment)"),
+    "predicate_aggregate": ("geography", "/nation/customer[count(order)]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n = k"),
+    "sequence_order": ("geography", "(//order, //customer)[1]/@key", {}, "SELECT doc_id, CAST(k AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY branch, c, k) AS n FROM (SELECT c_nationkey AS doc_id, 0 AS branch, c_custkey AS c, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT c_nationkey, 1, c_custkey, c_custkey FROM customer)) WHERE n = 1"),
+    "reverse_nodes": ("geography", "reverse(//customer)[position() <= 2]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS n FROM customer) WHERE n <= 2"),
+    "sort_nodes": ("geography", "sort(//customer, (), function($c) { number($c/@acctbal) })[1]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS n FROM customer) WHERE n = 1"),
+    "preceding_position": ("geography", "/nation/customer[last()]/preceding::*[1]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(coalesce((SELECT min(o_orderkey) FROM orders WHERE o_custkey = first), first) AS VARCHAR) AS value FROM (SELECT c_nationkey, min(c_custkey) AS first FROM customer GROUP BY 1 HAVING count(*) > 1)"),
+    "sibling_position": ("geography", "//customer[@acctbal > 9000]/following-sibling::customer[1]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(following AS VARCHAR) AS value FROM (SELECT *, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS following FROM customer) WHERE c_acctbal > 9000 AND following IS NOT NULL"),
+    "for_join": ("geography", "for $c in //customer[@acctbal > 9000], $o in //order return if ($o/../@key = $c/@key) then concat($c/@name, ':', $o/@key) else ()", {}, "SELECT c_nationkey AS doc_id, c_name || ':' || o_orderkey AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000"),
+    "for_theta": ("geography", "for $a in //customer[@acctbal > 9000], $b in //customer[@acctbal > $a/@acctbal] return concat($a/@key, '<', $b/@key)", {}, "SELECT a.c_nationkey AS doc_id, a.c_custkey || '<' || b.c_custkey AS value FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_acctbal > a.c_acctbal WHERE a.c_acctbal > 9000"),
+    "for_nodes": ("geography", "for $c in //customer[@acctbal > 9500] return $c/order/@key", {}, "SELECT c_nationkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9500"),
+    "if_nodes": ("geography", "if (//customer[@acctbal > 9900]) then //customer[@acctbal > 9900]/@key else /nation/@name", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"),
+    "let_nodes": ("geography", "let $rich := //customer[@acctbal > 9000], $n := count($rich) return $rich[@mktsegment = 'BUILDING']/concat(@key, '/', $n)", {}, "SELECT c_nationkey AS doc_id, c_custkey || '/' || count(*) OVER (PARTITION BY c_nationkey) AS value FROM customer WHERE c_acctbal > 9000 QUALIFY c_mktsegment = 'BUILDING'"),
+    "simple_map_nodes": ("geography", "//customer[@acctbal > 9000] ! concat(@key, '/', count(order))", {}, "SELECT c_nationkey AS doc_id, c_custkey || '/' || count(o_orderkey) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000 GROUP BY c_nationkey, c_custkey"),
+    "path_values": ("geography", "//customer[@acctbal > 9500]/string(@name)", {}, "SELECT c_nationkey AS doc_id, c_name AS value FROM customer WHERE c_acctbal > 9500"),
+    "subsequence_nodes": ("geography", "subsequence(//customer, 2, 2)/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n IN (2, 3)"),
+    "distinct_nodes": ("geography", "distinct-values(//customer/@mktsegment)", {}, "SELECT DISTINCT c_nationkey AS doc_id, c_mktsegment AS value FROM customer"),
+    "key_lookup": ("geography", "key('segment', 'BUILDING')[@acctbal > 5000]/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000"),
+    "copies": ("geography", "copy-of(//customer[@acctbal > 9500])/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_acctbal > 9500"),
+    "doc_by_address": ("geography", "doc('nation/3')//customer[@acctbal > 5000]/@key", {"scope": "all"}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_nationkey = 3 AND c_acctbal > 5000"),
+    "collection_join": ("geography", "for $a in collection('region 2')//customer[@acctbal > 9000], $b in collection('region 3')//customer[@acctbal > 9000][@mktsegment = $a/@mktsegment] return concat($a/@key, '-', $b/@key)", {"scope": "all"}, "SELECT CAST(NULL AS BIGINT) AS doc_id, a.c_custkey || '-' || b.c_custkey AS value FROM customer a JOIN nation m ON m.n_nationkey = a.c_nationkey JOIN customer b ON b.c_mktsegment = a.c_mktsegment JOIN nation n ON n.n_nationkey = b.c_nationkey WHERE m.n_regionkey = 2 AND n.n_regionkey = 3 AND a.c_acctbal > 9000 AND b.c_acctbal > 9000"),
+    "count_documents": ("geography", "count(//order)", {}, "SELECT n_nationkey AS doc_id, CAST(count(o_orderkey) AS VARCHAR) AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
+    "attributes_any": ("orders", "/order[@totalprice > 400000]/@*", {}, "SELECT o_orderkey AS doc_id, unnest([CAST(o_orderkey AS VARCHAR), CAST(o_totalprice AS VARCHAR)]) AS value FROM orders WHERE o_totalprice > 400000"),
+    "axis_ancestor_or_self": ("geography", "//order[@totalprice > 400000]/ancestor-or-self::*/@key", {}, "SELECT doc_id, value FROM (SELECT DISTINCT c_nationkey AS doc_id, 'o' || o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000 UNION SELECT c_nationkey, 'c' || c_custkey, CAST(c_custkey AS VARCHAR) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000 UNION SELECT c_nationkey, 'n', CAST(c_nationkey AS VARCHAR) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000)"),
+    "axis_self_and_siblings": ("geography", "/nation/customer[last()]/self-and-siblings::customer/@key", {}, "SELECT c_nationkey AS doc_id, CAST(c_custkey AS VARCHAR) AS value FROM customer"),
+    "tests_of_kinds": ("markup", "//text() | //comment() | //processing-instruction('go') | //p:*/@p:k | //element(b) | /document-node(element(a))", {"namespaces": {"p": "urn:x"}}, "SELECT n_nationkey AS doc_id, unnest([n_name, 'c' || n_nationkey, 'now', CAST(n_nationkey AS VARCHAR), n_name]) AS value FROM nation"),
+    "namespace_nodes": ("markup", "//b/namespace::*", {}, "SELECT n_nationkey AS doc_id, unnest(['urn:x', 'http://www.w3.org/XML/1998/namespace']) AS value FROM nation"),
+}
+
 #: name: (documents, nodes, queries per node, SQL); the result has the queries' columns.
 TABLES: dict[str, tuple[str, str, dict[str, str], str]] = {
     "axis_following_sibling": ("geography", "//customer[@acctbal > 9500]", {"k": "string(@key)", "n": "count(following-sibling::customer)"}, "SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(n AS DOUBLE) AS n FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM customer) WHERE c_acctbal > 9500"),
@@ -141,6 +198,8 @@ TABLES: dict[str, tuple[str, str, dict[str, str], str]] = {
     "node_functions": ("geography", "//customer[@acctbal > 9000]", {"n": "name()", "l": "local-name()", "u": "namespace-uri()", "kids": "has-children()", "up": "name(..)", "first": "name(@*)", "a": "number(@acctbal)"}, "SELECT 'customer' AS n, 'customer' AS l, '' AS u, true AS kids, 'nation' AS up, 'key' AS first, CAST(c_acctbal AS DOUBLE) AS a FROM customer WHERE c_acctbal > 9000"),
     "node_aggregates": ("orders", "/order", {"k": "string(@key)", "n": "count(lineitem)", "total": "round(100 * sum(lineitem/@extendedprice))", "low": "min(lineitem/@quantity)", "high": "max(lineitem/@quantity)", "mean": "round(100 * avg(lineitem/@quantity))"}, "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(count(l_orderkey) AS DOUBLE) AS n, coalesce(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) * 100 AS DOUBLE), 0) AS total, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high, floor(100 * CAST(sum(l_quantity) AS DOUBLE) / count(l_orderkey) + 0.5) AS mean FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"),
     "node_strings": ("orders", "/order[@totalprice > 100000]", {"k": "string(@key)", "flags": "string-join(lineitem/@returnflag, ',')", "any": "exists(lineitem[@returnflag = 'R'])", "first": "string(lineitem[1]/@quantity = lineitem[1]/@quantity)"}, "SELECT CAST(o_orderkey AS VARCHAR) AS k, coalesce(string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate), '') AS flags, coalesce(bool_or(l_returnflag = 'R'), false) AS \"any\", CASE WHEN count(l_orderkey) > 0 THEN 'true' ELSE 'false' END AS first FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 100000 GROUP BY o_orderkey"),
+    "node_properties": ("geography", "//customer[@acctbal > 9500]", {"k": "string(@key)", "path": "path()", "same": "generate-id() = generate-id(.)", "top": "count(root(.)/nation)", "base": "base-uri()", "nil": "nilled()", "nm": "node-name()", "scope": "string-join(in-scope-prefixes(.), ',')", "xml": "namespace-uri-for-prefix('xml', .)", "uri": "empty(document-uri(.))", "data": "data(@key)"}, "SELECT CAST(c_custkey AS VARCHAR) AS k, '/nation/customer' || CASE WHEN size > 1 THEN '[' || n || ']' ELSE '' END AS path, true AS same, 1.0 AS top, '' AS base, false AS nil, 'customer' AS nm, 'xml' AS scope, 'http://www.w3.org/XML/1998/namespace' AS xml, true AS uri, CAST(c_custkey AS VARCHAR) AS data FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer) WHERE c_acctbal > 9500"),
+    "running_values": ("orders", "//lineitem", {"k": "string(../@key)", "line": "string(@linenumber)", "before": "accumulator-before('quantity')", "after": "accumulator-after('quantity')"}, f"SELECT CAST(l_orderkey AS VARCHAR) AS k, CAST(l_linenumber AS VARCHAR) AS line, CAST(coalesce(sum(l_quantity) OVER w, 0) AS DOUBLE) AS before, CAST(coalesce(sum(l_quantity) OVER w, 0) AS DOUBLE) AS after FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) WINDOW w AS (PARTITION BY l_orderkey ORDER BY {ITEM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
     "html_links": ("pages", "//a[@href]", {"href": "string(@href)"}, "SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages"),
     "html_items": ("pages", "/html", {"n": "count(.//nav//li)", "lang": "string(@lang)"}, "SELECT CAST(len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>')) AS DOUBLE) AS n, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages"),
 }
@@ -152,6 +211,10 @@ FLWOR: dict[str, tuple[str, str, str]] = {
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "markup":
+        nation = tables.table(spark, sf_dir, "nation")
+        text = F.format_string('<p:a xmlns:p="urn:x" xmlns="urn:y" p:k="%s"><b xmlns="">%s</b><!--c%s--><?go now?></p:a>', "n_nationkey", "n_name", "n_nationkey")
+        return shred.shred(nation.select("n_nationkey", text.alias("text")), "xml", "n_nationkey", "text")
     if name == "pages":
         return shred.shred(tables.table(spark, sf_dir, "pages"), "html", "page_id", "html")
     return getattr(tables, name)(spark, sf_dir)
@@ -167,9 +230,26 @@ def path_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).nodes(documents(spark, sf_dir, source), query).select("doc_id", F.col("str_val").alias("value"))
 
 
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine that knows the nations' documents by address and region, a key and an accumulator."""
+    e = Engine(spark)
+    nation = tables.table(spark, sf_dir, "nation")
+    known = nation.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("nation/"), "n_nationkey").alias("uri"), F.concat(F.lit("region "), "n_regionkey").alias("collection"))
+    e.catalog = Catalog(known, known)
+    e.key("segment", "customer", "@mktsegment")
+    e.accumulators.append(runtime.Accumulator("quantity", (F.col("kind") == 2) & (F.col("name") == "quantity"), F.col("str_val").cast("double")))
+    return e
+
+
+def items_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, query, options, _ = ITEMS[name]
+    found = engine(spark, sf_dir).nodes(documents(spark, sf_dir, source), query, **options)
+    return found.select("doc_id", F.col("str_val").alias("value"))
+
+
 def table_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     source, each, columns, _ = TABLES[name]
-    return Engine(spark).table(documents(spark, sf_dir, source), each, columns).drop("doc_id", "pre")
+    return engine(spark, sf_dir).table(documents(spark, sf_dir, source), each, columns).drop("doc_id", "pre")
 
 
 def flwor_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +277,24 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.tumbling_counts(spark, events, "ts", "event_type", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type in windows of an hour that begin every half hour."""
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return runtime.sliding_counts(spark, events, "ts", "event_type", "1 hour", "30 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions, which end after an hour without events."""
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return runtime.session_counts(spark, events, "ts", "user_id", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def stream_accumulator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters said in a conversation before and after each turn, from turns as a stream."""
+    turns = stream_of(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("pre"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("size"))
+    return runtime.run_accumulator(spark, turns, lambda total, row: total + row["size"])
+
+
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The character sets that pages name, from pages as a stream."""
     pages = stream_of(spark, sf_dir, "pages")
@@ -205,14 +303,13 @@ def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's document as XML, without its customers."""
-    nodes = tables.geography(spark, sf_dir).where("level <= 1 OR (level = 2 AND kind = 2)")
-    return serialize.serialize(nodes).select("doc_id", "text")
+    """Each order's document with its items as XML."""
+    return serialize.serialize(tables.orders(spark, sf_dir)).select("doc_id", "text")
 
 
 def nodes_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tables.geography(spark, sf_dir).where("level <= 1 OR (level = 2 AND kind = 2)")
-    return serialize.xml_to_json(nodes)
+    """Each order's document with its items as JSON."""
+    return serialize.xml_to_json(tables.orders(spark, sf_dir))
 
 
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,9 +344,12 @@ def yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHER: dict[str, tuple[Callable, str]] = {
     "accumulators": (accumulators, "SELECT l_orderkey AS doc_id, CAST(coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before, CAST(sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS after FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)"),
     "stream_windows": (stream_windows, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "stream_sliding": (stream_sliding, "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY 1, 2"),
+    "stream_sessions": (stream_sessions, "SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CAST(coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR, true) AS INT) AS begins FROM events)) GROUP BY user_id, session"),
+    "stream_accumulator": (stream_accumulator, "SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS pre, CAST(coalesce(sum(length(coalesce(text, ''))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before, CAST(sum(length(coalesce(text, ''))) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     "stream_documents": (stream_documents, "SELECT page_id AS doc_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS value FROM pages WHERE contains(html, '<meta charset=')"),
-    "serialized": (serialized, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<nation key=\"' || n_nationkey || '\" name=\"' || n_name || '\"/>' AS text FROM nation"),
-    "nodes_to_json": (nodes_to_json, "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '{\"@key\": ' || n_nationkey || ', \"@name\": \"' || n_name || '\"}' AS json FROM nation"),
+    "serialized": (serialized, f"SELECT o_orderkey AS doc_id, '<order key=\"' || o_orderkey || '\" totalprice=\"' || o_totalprice || CASE WHEN items IS NULL THEN '\"/>' ELSE '\">' || items || '</order>' END AS text FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('<lineitem linenumber=\"' || l_linenumber || '\" quantity=\"' || l_quantity || '\" extendedprice=\"' || l_extendedprice || '\" returnflag=\"' || l_returnflag || '\"/>', '' ORDER BY {ITEM}) AS items FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"),
+    "nodes_to_json": (nodes_to_json, f"SELECT o_orderkey AS doc_id, '{{\"@key\": ' || o_orderkey || ', \"@totalprice\": ' || {JSON_NUMBER % 'o_totalprice'} || coalesce(', \"lineitem\": ' || items, '') || '}}' AS json FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN n > 1 THEN '[' || items || ']' ELSE items END AS items FROM (SELECT l_orderkey, count(*) AS n, string_agg('{{\"@linenumber\": ' || l_linenumber || ', \"@quantity\": ' || {JSON_NUMBER % 'l_quantity'} || ', \"@extendedprice\": ' || {JSON_NUMBER % 'l_extendedprice'} || ', \"@returnflag\": \"' || l_returnflag || '\"}}', ', ' ORDER BY {ITEM}) AS items FROM lineitem GROUP BY 1)) ON l_orderkey = o_orderkey"),
     "json_documents": (json_documents, "SELECT event_id AS doc_id, json_extract_string(props, '$.k') AS value FROM events"),
     "schema_validation": (schema_validation, "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n, count(*) FILTER (c_acctbal < 0 OR c_acctbal > 9000) AS invalid FROM customer GROUP BY 1"),
     "lookups": (lookups, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) AND l_quantity BETWEEN 10 AND 20"),
@@ -259,13 +359,13 @@ OTHER: dict[str, tuple[Callable, str]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable] = {}
-    for kind, run in ((PATHS, path_query), (VALUE, value_query), (TABLES, table_query), (FLWOR, flwor_query)):
+    for kind, run in ((PATHS, path_query), (VALUE, value_query), (ITEMS, items_query), (TABLES, table_query), (FLWOR, flwor_query)):
         found |= {name: functools.partial(run, name) for name in kind}
     return found | {name: run for name, (run, _) in OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: sql for name, (_, _, sql) in PATHS.items()} | {name: sql for name, (_, _, _, sql) in TABLES.items()} | {name: sql for name, (_, _, sql) in FLWOR.items()} | {name: sql for name, (_, sql) in OTHER.items()}
+    found = {name: sql for name, (_, _, sql) in PATHS.items()} | {name: sql for name, (_, _, _, sql) in ITEMS.items()} | {name: sql for name, (_, _, _, sql) in TABLES.items()} | {name: sql for name, (_, _, sql) in FLWOR.items()} | {name: sql for name, (_, sql) in OTHER.items()}
     for name, (source, keep, columns) in VALUE.items():
         # a number like 2.0 is a DECIMAL in the SQL dialect: it is spelled as a DOUBLE
         typed = [(c, re.sub(r"(?<![\w.'])(-?\d+\.\d+)(?![\w.'])", r"\1e0", sql)) for c, _, sql in columns]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StaticError
-from ..operators.nodes import ATTRIBUTE, COLUMNS, COMMENT, DOCUMENT, ELEMENT, MORE, NAMESPACE, PI
+from ..operators.nodes import ATTRIBUTE, COLUMNS, COMMENT, DOCUMENT, ELEMENT, MORE, NAMESPACE, PI, text
 
 TEXT = 3
 SCHEMA = "doc_id long, pre long, fin long, level int, parent long, kind tinyint, name string, local string, ns_uri string, value string, str_val string, ord long, anc array<long>, path string, attrs map<string,struct<off:int,v:string>>"
@@ -54,43 +54,40 @@ def relational(levels: list[Level], doc_id: str, ancestors: list[list[Column]])
     """
     if sum(x.bits for x in levels[1:]) + OWN_BITS > 62:
         raise StaticError("FODC0005", "keys need more than 62 bits: begin documents at a deeper level")
-    parts, shifts, at = [], [0] * len(levels), OWN_BITS
+    shifts, at = [0] * len(levels), OWN_BITS
     for k in range(len(levels) - 1, 0, -1):
         shifts[k] = at
         at += levels[k].bits
-    top = levels[0].df
-    parts.append(top.select(*row(F.col(doc_id), F.lit(0), F.lit((1 << at) - 1), 0, None, DOCUMENT, "#document", None, F.lit(1), F.array().cast("array<long>"))))
+    parts = [levels[0].df.select(F.col(doc_id).cast("long").alias("doc_id")).selectExpr(*row("0L", f"{(1 << at) - 1}L", 0, "CAST(NULL AS BIGINT)", DOCUMENT, "#document", "CAST(NULL AS STRING)", "1L", "CAST(array() AS ARRAY<BIGINT>)"))]
     path = ""
     for k, level in enumerate(levels):
         path += f"/{level.tag}"
-        pre = F.lit(1).cast("long")
-        ups = [F.lit(0).cast("long")]
+        pre, ups = "1L", ["0L"]
         for j in range(1, k + 1):
             ups.append(pre)
-            key = ancestors[k][j - 1]
-            guarded = F.when((key >= 0) & (key < (1 << levels[j].bits) - 1), key).otherwise(F.raise_error(F.lit(f"key of {levels[j].tag} exceeds its bits")).cast("long"))
-            pre = pre + F.shiftleft(guarded.cast("long") + 1, shifts[j])
-        fin = pre + F.lit((1 << shifts[k]) - 2 if k else (1 << at) - 2).cast("long")
-        if k == len(levels) - 1:
-            fin = pre + F.lit((1 << OWN_BITS) - 2).cast("long")
-        base = level.df.select(F.col(doc_id).cast("long").alias("doc_id"), pre.alias("p"), fin.alias("f"), ups[-1].alias("up"), level.key.cast("long").alias("k"), F.array(*ups).alias("ups"), *(c.cast("string").alias(f"a{i}") for i, c in enumerate(level.attributes.values())))
-        entries = [c for i, name in enumerate(level.attributes) for c in (F.lit(name), F.struct(F.lit(i + 1).alias("off"), F.col(f"a{i}").alias("v")))]
-        parts.append(base.select(*row(F.col("doc_id"), F.col("p"), F.col("f"), k + 1, F.col("up"), ELEMENT, level.tag, None, F.col("k"), F.col("ups"), path, F.create_map(*entries))))
+            guarded = f"CASE WHEN k{j} >= 0 AND k{j} < {(1 << levels[j].bits) - 1} THEN k{j} ELSE CAST(raise_error({text('key of ' + levels[j].tag + ' exceeds its bits')}) AS BIGINT) END"
+            pre = f"{pre} + shiftleft({guarded} + 1, {shifts[j]})"
+        size = (1 << OWN_BITS) - 2 if k == len(levels) - 1 else (1 << shifts[k]) - 2 if k else (1 << at) - 2
+        keys = [c.cast("long").alias(f"k{j + 1}") for j, c in enumerate(ancestors[k])]
+        base = level.df.select(F.col(doc_id).cast("long").alias("doc_id"), level.key.cast("long").alias("k"), *keys, *(c.cast("string").alias(f"a{i}") for i, c in enumerate(level.attributes.values())))
+        own = [f"a{i}" for i in range(len(level.attributes))]
+        base = base.selectExpr("doc_id", "k", f"{pre} AS p", f"{ups[-1]} AS up", f"array({', '.join(ups)}) AS ups", *own)
+        entries = ", ".join(f"{text(name)}, named_struct('off', {i + 1}, 'v', a{i})" for i, name in enumerate(level.attributes))
+        parts.append(base.selectExpr(*row("p", f"p + {size}L", k + 1, "up", ELEMENT, level.tag, "CAST(NULL AS STRING)", "k", "ups", text(path), f"map({entries})" if entries else None)))
         for i, name in enumerate(level.attributes):
-            own = F.col("p") + (i + 1)
-            parts.append(base.where(F.col(f"a{i}").isNotNull()).select(*row(F.col("doc_id"), own, own, k + 2, F.col("p"), ATTRIBUTE, name, F.col(f"a{i}"), F.lit(i + 1), F.concat("ups", F.array("p")))))
+            parts.append(base.where(f"a{i} IS NOT NULL").selectExpr(*row(f"p + {i + 1}L", f"p + {i + 1}L", k + 2, "p", ATTRIBUTE, name, f"a{i}", f"{i + 1}L", "concat(ups, array(p))")))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.union(p)
     return out
 
 
-def row(doc, pre, fin, level, parent, kind, name, value, ord_, anc, path=None, attrs=None) -> list[Column]:
-    value = F.lit(None).cast("string") if value is None else value
-    text = value if kind == ATTRIBUTE else F.lit("")
-    cols = [doc.cast("long"), pre.cast("long"), fin.cast("long"), F.lit(level).cast("int"), F.lit(None).cast("long") if parent is None else parent.cast("long"), F.lit(kind).cast("tinyint"), F.lit(name), F.lit(name.rpartition(":")[2]), F.lit("" if kind != DOCUMENT else None), value, text, ord_.cast("long"), anc]
-    cols += [F.lit(path).cast("string"), (F.lit(None) if attrs is None else attrs).cast("map<string,struct<off:int,v:string>>")]
-    return [c.alias(n) for c, n in zip(cols, COLUMNS + MORE, strict=True)]
+def row(pre: str, fin: str, level: int, parent: str, kind: int, name: str, value: str, ord_: str, anc: str, path: str = "CAST(NULL AS STRING)", attrs: str | None = None) -> list[str]:
+    """SQL for the node columns; a filter on a literal column prunes a whole branch of a union."""
+    content = value if kind == ATTRIBUTE else "''"
+    space = "CAST(NULL AS STRING)" if kind == DOCUMENT else "''"
+    cols = ["doc_id", pre, fin, str(level), parent, f"CAST({kind} AS TINYINT)", text(name), text(name.rpartition(":")[2]), space, value, content, ord_, anc, path, attrs or "CAST(NULL AS MAP<STRING, STRUCT<off: INT, v: STRING>>)"]
+    return [f"{c} AS {n}" for c, n in zip(cols, COLUMNS + MORE, strict=True)]
 
 
 class Builder:

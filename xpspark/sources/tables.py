@@ -16,9 +16,9 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per nation: nation / customer / order. Keys take 27 and 29 bits."""
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
-    nation = t("nation")
-    customer = t("customer").withColumn("n_nationkey", c("c_nationkey"))
-    orders = t("orders").join(t("customer").select("c_custkey", c("c_nationkey").alias("n_nationkey")), c("o_custkey") == c("c_custkey"))
+    nation, people = t("nation"), t("customer")
+    customer = people.withColumn("n_nationkey", c("c_nationkey"))
+    orders = t("orders").join(people.select("c_custkey", c("c_nationkey").alias("n_nationkey")), c("o_custkey") == c("c_custkey"))
     levels = [
         Level("nation", nation, c("n_nationkey"), 0, {"key": c("n_nationkey"), "name": c("n_name")}),
         Level("customer", customer, c("c_custkey"), 27, {"key": c("c_custkey"), "name": c("c_name"), "acctbal": c("c_acctbal"), "mktsegment": c("c_mktsegment"), "nationkey": c("c_nationkey")}),

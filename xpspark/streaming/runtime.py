@@ -19,10 +19,10 @@ from .analyzer import analyze
 
 @dataclass
 class Config:
-    """``max_buffer`` bounds a Buffer; ``max_footprint`` and ``strict`` decide which queries a stream accepts."""
+    """``max_buffer`` bounds a Buffer; if ``strict``, a stream refuses queries that don't stream or hold more than ``max_footprint``."""
 
     max_buffer: int = 1000
-    max_footprint: float = 1.0
+    max_footprint: float = 0.1
     strict: bool = False
 
 
@@ -32,6 +32,13 @@ class Stats:
     peak: int = 0
     refused: int = 0
     batches: list[int] = field(default_factory=list)
+    #: How often a query was run that does not stream, by reason.
+    not_streamable: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def memory(self) -> int:
+        """An estimate of the bytes held at most, 1,000 a row."""
+        return 1000 * self.peak
 
     @property
     def efficiency(self) -> float:
@@ -65,7 +72,10 @@ def select_stream(spark: SparkSession, documents: DataFrame, form: str, id_col:
     """
     config, stats = config or Config(), stats or Stats()
     found = analyze(query)
-    if (config.strict and not found.streamable) or found.footprint > config.max_footprint:
+    if not found.streamable:
+        for reason in found.reasons:
+            stats.not_streamable[reason] = stats.not_streamable.get(reason, 0) + 1
+    if config.strict and (not found.streamable or found.footprint > config.max_footprint):
         stats.refused += 1
         raise DynamicError("XPDY0002", f"not streamable: {'; '.join(found.reasons)}")
     out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
@@ -85,10 +95,13 @@ def select_stream(spark: SparkSession, documents: DataFrame, form: str, id_col:
     return spark.read.schema("doc_id long, pre long, name string, str_val string, batch int").parquet(out)
 
 
-def tumbling_counts(spark: SparkSession, events: DataFrame, time_col: str, key_col: str, width: str, late: str = "10 minutes") -> DataFrame:
-    """Counts by key and window of a stream with a watermark, run until its source is exhausted."""
+def windowed(spark: SparkSession, events: DataFrame, time_col: str, key_col: str, window: Column, late: str) -> DataFrame:
+    """Counts by key and window of a stream with a watermark, run until its source is exhausted.
+
+    Events more than ``late`` behind the latest one seen are dropped once their window's state is gone.
+    """
     out, state = shared_path(spark, "windows"), shared_path(spark, "windows-state")
-    counted = events.withWatermark(time_col, late).groupBy(F.window(time_col, width), F.col(key_col)).agg(F.count("*").alias("n"))
+    counted = events.withWatermark(time_col, late).groupBy(window.alias("window"), F.col(key_col)).agg(F.count("*").alias("n"))
     rows = counted.select(F.col("window.start").alias("start"), key_col, "n")
 
     def batch(df: DataFrame, number: int) -> None:
@@ -102,6 +115,37 @@ def tumbling_counts(spark: SparkSession, events: DataFrame, time_col: str, key_c
     return found.groupBy("start", key_col).agg(F.max_by("n", "seen").alias("n"))
 
 
+def tumbling_counts(spark: SparkSession, events: DataFrame, time_col: str, key_col: str, width: str, late: str = "10 minutes") -> DataFrame:
+    """``start, key, n`` of windows that don't overlap."""
+    return windowed(spark, events, time_col, key_col, F.window(time_col, width), late)
+
+
+def sliding_counts(spark: SparkSession, events: DataFrame, time_col: str, key_col: str, width: str, slide: str, late: str = "10 minutes") -> DataFrame:
+    """``start, key, n`` of windows of ``width`` that begin every ``slide``."""
+    return windowed(spark, events, time_col, key_col, F.window(time_col, width, slide), late)
+
+
+def session_counts(spark: SparkSession, events: DataFrame, time_col: str, key_col: str, gap: str) -> DataFrame:
+    """``start, key, n`` of each key's sessions, which end ``gap`` after their last event.
+
+    A session may grow with every batch, so each batch gives all sessions and the last one's count.
+    """
+    out, state = shared_path(spark, "sessions"), shared_path(spark, "sessions-state")
+    counted = events.groupBy(F.session_window(time_col, gap).alias("window"), F.col(key_col)).agg(F.count("*").alias("n"))
+    rows = counted.select(F.col("window.start").alias("start"), key_col, "n")
+    last: list[int] = []
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last[:] = [number]
+
+    run = rows.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    kind = events.schema[key_col].dataType.simpleString()
+    schema = f"start timestamp, {key_col} {kind}, n long"
+    return spark.read.schema(schema).parquet(f"{out}/batch={last[0]}") if last else spark.createDataFrame([], schema)
+
+
 @dataclass(frozen=True)
 class Accumulator:
     """A named fold over nodes in document order: rows that ``match`` add ``select`` by ``combine`` (sum, count, min, max)."""
@@ -139,3 +183,52 @@ def accumulate_stream(nodes: DataFrame, combine: Callable[[float, dict], float],
         yield pd.DataFrame(out, columns=["doc_id", "pre", "before", "after"])
 
     return nodes.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, pre long, before double, after double", "value double", "append", "NoTimeout")
+
+
+def run_accumulator(spark: SparkSession, rows: DataFrame, combine: Callable[[float, dict], float], initial: float = 0.0) -> DataFrame:
+    """``accumulate_stream`` over a stream of rows ``doc_id, pre, ...`` until its source is exhausted."""
+    out, state = shared_path(spark, "accumulator"), shared_path(spark, "accumulator-state")
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    found = accumulate_stream(rows, combine, initial)
+    found.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id long, pre long, before double, after double, batch int").parquet(out).drop("batch")
+
+
+class Accumulators:
+    """A host's accumulators by name, beside those that Spark computes: values that it sets before and after a node."""
+
+    def __init__(self):
+        self.states: dict[str, dict] = {}
+
+    def register(self, states: dict[str, float]) -> None:
+        self.states |= {name: {"value": value, "before": None, "after": None} for name, value in states.items()}
+
+    def update(self, name: str, value, phase: str = "post") -> None:
+        """A new value, as that before a node ("pre") or after it ("post"); an unknown name begins with it."""
+        if name not in self.states:
+            self.states[name] = {"value": value, "before": None, "after": None}
+            return
+        self.states[name] |= {"value": value, "before" if phase == "pre" else "after": value}
+
+    def before(self, name: str):
+        return self.read(name, "before")
+
+    def after(self, name: str):
+        return self.read(name, "after")
+
+    def read(self, name: str, when: str):
+        if name not in self.states:
+            raise DynamicError("XPDY0002", f"no accumulator {name}")
+        state = self.states[name]
+        return state["value"] if state[when] is None else state[when]
+
+    def snapshot(self) -> dict:
+        return {name: s["value"] for name, s in self.states.items()}
+
+    def restore(self, snapshot: dict) -> None:
+        """Values of a snapshot; what was set before and after a node is forgotten."""
+        for name in snapshot.keys() & self.states.keys():
+            self.states[name] = {"value": snapshot[name], "before": None, "after": None}
