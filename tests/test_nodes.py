@@ -143,10 +143,10 @@ def test_items(spark, tree, query, want):
 
 
 def test_wrong_steps_have_codes(spark, tree):
-    from xpspark.errors import XPathError
+    from xpspark.errors import QueryError
 
     for query, code in (("(1, 2)/a", "XPTY0019"), ("//a/string(@id)/b", "XPTY0019"), ("doc('x')", "FODC0005"), ("key('k', 1)", "XPST0001"), ("[abs#1]", "XPTY0004")):
-        with pytest.raises(XPathError) as e:
+        with pytest.raises(QueryError) as e:
             Engine(spark).nodes(tree, query)
         assert e.value.code == code, query
 

@@ -46,7 +46,7 @@ CODES = {
 }
 
 
-class XPathError(Exception):
+class QueryError(Exception):
     """An error with a code; ``qname`` and ``uri`` name it as ``err:CODE``."""
 
     def __init__(self, code: str, message: str = ""):
@@ -62,15 +62,15 @@ class XPathError(Exception):
         return f"{NAMESPACE}#{self.code}"
 
 
-class StaticError(XPathError):
+class StaticError(QueryError):
     pass
 
 
-class DynamicError(XPathError):
+class DynamicError(QueryError):
     pass
 
 
-class TypeMismatch(XPathError):
+class TypeMismatch(QueryError):
     pass
 
 

@@ -496,7 +496,7 @@ class Paths:
             else:
                 here = here & F.col("path").rlike("^" + "".join(("/" if s.axis == "child" else "(?:/[^/]+)*/") + name(s) for s in steps[:n]) + "$")
         found = Seq(self.keyed(self.nodes.where(here), env.doc), it, flat=down or last.axis == "//@", level=n if down else None)
-        found = self.filtered(found, last.predicates, ("doc_id",) if last.axis == "descendant" else ("doc_id", "parent"), [F.asc("pre")], env)
+        found = self.filtered(found, last.predicates, ("doc_id",) if last.axis == "descendant" else ("doc_id", "parent"), "pre", env)
         return replace(found, order=F.array("doc_id", "parent", "pre") if strict and last.axis == "//" else None), steps[n:]
 
     def from_parents(self, s: A.Step, env: Env) -> Seq:
@@ -509,7 +509,7 @@ class Paths:
         rows = rows if level is None else rows.where(F.col("level") == level)
         rows = self.tested(rows, s.test)
         found = Seq(rows.withColumns({a: F.col("doc_id"), b: F.col("parent")}), env.it, flat=True, level=level)
-        return self.filtered(found, s.predicates, (), [F.asc("pre")], env)
+        return self.filtered(found, s.predicates, (), "pre", env)
 
     def tested(self, df: DataFrame, test: A.Test) -> DataFrame:
         """``document-node(element(n))``: documents whose first element fits."""
@@ -537,7 +537,7 @@ class Paths:
         out = self.targets(ctx, s)
         order = F.array("doc_id", "parent", "pre") if strict and (s.axis == "//" or (s.axis in ("child", "attribute") and not ctx.flat)) else None
         by = ("doc_id", "pre") if s.axis == "self" else ("doc_id", "parent")
-        return replace(self.filtered(out, s.predicates, by, [F.asc("pre")], env), order=order)
+        return replace(self.filtered(out, s.predicates, by, "pre", env), order=order)
 
     def kept_order(self, ctx: Seq, s: A.Step, env: Env) -> Seq:
         """A child or attribute step of contexts in an order of their own: a node has one parent, so nothing is met twice."""
@@ -549,7 +549,7 @@ class Paths:
             c = carried.df.select(*ctx.it, F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("seq").alias("c_seq"))
             df = c.join(self.goal(s), (F.col("doc_id") == F.col("c_doc")) & (F.col("parent") == F.col("c_pre"))).select(*cols)
         out = replace(ctx, df=df, level=None if ctx.level is None else ctx.level + 1, order=F.col("seq"), flat=ctx.flat or s.axis == "attribute", single=False)
-        return self.filtered(out, s.predicates, ("doc_id", "parent"), [F.asc("pre")], env)
+        return self.filtered(out, s.predicates, ("doc_id", "parent"), "pre", env)
 
     @staticmethod
     def placed(p: A.Node) -> bool:
@@ -674,15 +674,15 @@ class Paths:
 
     # -- steps that need each context by itself
 
-    def positions(self, axis: str) -> list[Column]:
-        """The order in which an axis numbers its nodes."""
+    def positions(self, axis: str) -> list[Column] | str:
+        """The order in which an axis numbers its nodes; "pre" for that of the document."""
         if axis in ("ancestor", "ancestor-or-self") or (axis in ("preceding", "preceding-sibling") and self.order_mode == "spec"):
             return [F.desc("pre")]
         if axis == "preceding":
             # a subtree's root stands after all that is below it
             root = F.get(F.array_except(F.concat("anc", F.array("pre")), "c_anc"), F.lit(0))
             return [root.asc(), (F.col("pre") == root).asc(), F.asc("pre")]
-        return [F.asc("pre")]
+        return "pre"
 
     def pairs(self, ctx: Seq, s: A.Step, keyed: bool) -> DataFrame:
         """A row for each context and node that it reaches."""
@@ -716,7 +716,7 @@ class Paths:
 
     def pairwise(self, ctx: Seq, s: A.Step, env: Env, keyed: bool) -> Seq:
         order = self.positions(s.axis)
-        by = ("doc_id", "parent") if s.axis == "//" else ()
+        by = ("parent",) if s.axis == "//" else ()
         found = self.filtered(Seq(self.pairs(ctx, s, keyed), ctx.it, unique=False), s.predicates, ("c_doc", "c_pre", *by), order, env)
         it, df = found.it, found.df
         if not keyed:
@@ -755,7 +755,7 @@ class Paths:
         rest = s.predicates[1:]
         if any(self.kind_of(q, env) in ("num", "any") or self.placed(q) for q in rest):
             return None
-        return self.filtered(out, rest, (), [F.asc("pre")], env)
+        return self.filtered(out, rest, (), "pre", env)
 
     def ranks(self, rows: DataFrame, keep: list[str], s: A.Step) -> tuple[DataFrame, list[str]]:
         """Contexts (``__w`` 0) and a step's nodes (``__w`` 1), each with ``__n``, the nodes up to its place, and ``__total``.
@@ -766,7 +766,7 @@ class Paths:
         place, here = ("ord", "ord") if s.axis in SIBLINGS else ("pre", "fin") if s.axis == "following" else ("fin", "pre")
         d, strict = self.goal(replace(s, predicates=[])), s.axis.startswith("preceding")
         if s.predicates and not (isinstance(s.predicates[0], A.Num) or (isinstance(s.predicates[0], A.Call) and s.predicates[0].name == "last")):
-            d = self.filtered(Seq(d, ()), s.predicates, ("doc_id", "parent"), [F.asc("pre")], Env((), d)).df
+            d = self.filtered(Seq(d, ()), s.predicates, ("doc_id", "parent"), "pre", Env((), d)).df
         types = dict(self.nodes.dtypes)
         full = "struct<" + ",".join(f"{c}:{types[c]}" for c in self.columns) + ">"
         kinds = dict(rows.dtypes)
@@ -776,13 +776,13 @@ class Paths:
 
     # -- predicates
 
-    def filtered(self, found: Seq, predicates: list, by: tuple, order: list[Column] | None, env: Env) -> Seq:
-        """``by``: columns beside the iteration within which positions count; order None: that of the sequence."""
+    def filtered(self, found: Seq, predicates: list, by: tuple, order: list[Column] | str | None, env: Env) -> Seq:
+        """``by``: columns beside the iteration within which positions count; order "pre": by document, None: the sequence's."""
         for p in predicates:
             found = self.predicate(found, p, by, order, env)
         return found
 
-    def predicate(self, found: Seq, p: A.Node, by: tuple, order: list[Column] | None, env: Env) -> Seq:
+    def predicate(self, found: Seq, p: A.Node, by: tuple, order: list[Column] | str | None, env: Env) -> Seq:
         """Items that a predicate keeps."""
         kinds = replace(env, focus=found if found.atoms is None else None)
         if isinstance(p, A.Bin) and p.op == "and" and not self.placed(p) and {self.kind_of(p.left, kinds), self.kind_of(p.right, kinds)} <= {"bool", "nodes"}:
@@ -791,12 +791,18 @@ class Paths:
             p = A.Call("last", [])
         columns = found.df.columns
         scope = (*found.it, *by)
-        order = [found.key()] if order is None and found.order is not None else order or [F.asc("doc_id"), F.asc("pre")]
+        place = F.col("pre") if order == "pre" else found.key() if order is None else None
+        order = order if place is None else [place]
         if isinstance(p, A.Num):
             df = found.df.withColumn("__n", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("__n") == p.value)
             return replace(found, df=df.select(*columns), single=found.single or not by)
         if isinstance(p, A.Call) and p.name == "last" and not p.args:
-            df = self.numbered(found.df, scope, order).where("__pos = __last")
+            if place is None:
+                df = self.numbered(found.df, scope, order).where("__pos = __last")
+            else:
+                # the greatest place, combined before the shuffle: no task holds all rows of a group
+                rows = found.df.withColumn("__place", place)
+                df = on(rows, rows.groupBy(*scope).agg(F.max("__place").alias("__edge")), scope).where("__place = __edge")
             return replace(found, df=df.select(*columns), single=found.single or not by)
         correlated = bool(variables(p) & env.loops.keys())
         if found.atoms is None and correlated and (kept := self.value_join(found, p, env)) is not None:
@@ -1163,10 +1169,7 @@ class Scope:
         if name in self.OWN:
             return string(F.coalesce(F.col(self.OWN[name]), F.lit("")))
         if name == "has-children":
-            inner = self.paths.nodes.where(~F.col("kind").isin(ATTRIBUTE, NAMESPACE) & F.col("parent").isNotNull()).select(F.col("doc_id").alias("__d"), F.col("parent").alias("__p"))
-            a, b = self.env.focus.it[-2:]
-            found = inner.withColumnsRenamed({"__d": a, "__p": b})
-            return boolean(self.join(Seq(found, (a, b)), F.bool_or(F.lit(True)), F.lit(False), "has-children"))
+            return boolean(self.join(self.relative(A.Step("child", A.Test("node"))), F.bool_or(F.lit(True)), F.lit(False), "has-children"))
         if name == "generate-id":
             return string(F.concat(F.lit("n"), F.lower(F.hex(F.xxhash64("doc_id", "pre")))))
         if name == "path":
@@ -1313,7 +1316,7 @@ class Scope:
         """An accumulator's running value at the context node."""
         from ..streaming.runtime import accumulate
 
-        if not n.args or not isinstance(n.args[0], A.Str) or not self.at_nodes:
+        if not n.args or not isinstance(n.args[0], A.Str) or not self.at_nodes or len(self.env.focus.it) < 2:
             raise StaticError("XPST0001", f"{name} needs an accumulator's name and a context node")
         known = [a for a in self.paths.accumulators if a.name == n.args[0].value]
         if not known:
