@@ -42,8 +42,11 @@ def test_equals_brute_force(spark, monkeypatch):
     rows += [(1000 + i, (hot + 0.01 * rng.standard_normal(32)).astype(np.float32).tolist(), 1) for i in range(120)]
     rows += [(2000 + i, rows[0][1], 0) for i in range(50)] + [(3000, rows[0][1], 1), (3001, rows[0][1], None), (None, rows[0][1], 0)]
     rows += [(3002, None, 0), (3003, [], 0), (3004, [0.0] * 32, 0), (3005, [float("nan")] * 32, 0), (3006, [float("inf")] + [1.0] * 31, 0), (3007, [None] + [1.0] * 31, 0)]
+    # a cosine of exactly 0.98, and the next below
+    rows += [(3100, [1.0, 0.0, 0.0, 0.0], 2), (3101, [49.0, 3.0, 3.0, 9.0], 2), (3102, [49.0, 3.0, 3.0, 9.001], 3), (3103, [1.0, 0.0, 0.0, 0.0], 3)]
     rows += [(3008, [0.0, 1.0], 0), (3009, [-0.0, 2.0], 0), (3010, [0.0, 1.0], 0), (3010, [0.0, 1.0], 0)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, cid int")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in ed.components(df).collect())
     assert got == brute(rows)
+    assert {g[0]: g[1] for g in got}["3100"] == 1 and {g[0]: g[1] for g in got}["3103"] == 0
     assert ed.components(df.limit(0)).count() == 0

@@ -33,14 +33,15 @@ def corpus():
             lines = docs[i - 1][1].split("\n") + ["more"]
         docs.append((i, "\n".join(lines), "en", "s", 1))
         labels.append((i, 1, int(toxic)))
-    docs += [(400, None, None, None, None), (401, "", "en", "s", 0), (None, "free text here", "en", "s", 3)]
+    docs += [(400, None, None, None, None), (401, "", "en", "s", 0), (None, "free text here", "en", "s", 3), (403, "long " + " ".join(f"w{k}" for k in range(20_000)), "en", "s", 0)]
     return docs, labels, items
 
 
 def test_equals_brute_force_stage_by_stage(spark, tmp_path):
     docs, labels, items = corpus()
     sf = str(tmp_path)
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    docs = [(*d, 7, "k") for d in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, __0 int, key string").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     now = queries.table(spark, sf, "documents")
@@ -57,7 +58,7 @@ def test_equals_brute_force_stage_by_stage(spark, tmp_path):
     want = sorted((str(i), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for i, ids in ((i, bpe.load(path).encode(t or "", add_special_tokens=False).ids) for i, t in rows))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, now, sf)
-        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "__0", "key"], name
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect())
     assert 20 < len(got) < 240 and got == want
     none = now.limit(0)

@@ -6,8 +6,9 @@ join, a window around the cut is encoded again and grown until it agrees exactly
 with the left side's token there, and one of its inner tokens with the right side's. Agreement on a token's id and
 extent fixes the rest, as each adjacent pair of tokens then stands in an encoding of the same characters.
 
-Results for odd input: null text counts as empty; an empty text has no ids and decodes to ''; rows that repeat
-give equal rows, one for each; a null id passes through.
+Results for odd input: null text counts as empty; an empty text has no ids and decodes to ''; very long texts are encoded
+whole; rows that repeat (ties) give equal rows, one for each; a null id passes through; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

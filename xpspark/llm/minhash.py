@@ -9,8 +9,10 @@ classes of one bucket in different components, neither its center, is then compa
 that count common shingles for all their pairs at once and return at most one edge per class.
 
 Results for odd input: null, empty or blank text has an empty set, links with nothing and is kept; a text with fewer
-words than a shingle has one shingle, all its words; rows that share an id are one document, linked if any of them is;
-rows without id link with nothing, get no component and are kept.
+words than a shingle has one shingle, all its words; very long texts are read whole; rows that share an id are one
+document, linked if any of them is; equal texts (ties) form one class, whose smallest id is kept; rows without id link with
+nothing, get no component and are kept; an empty table gives no rows; extra columns are ignored, whatever their names. Ids
+must be whole numbers.
 """
 
 from __future__ import annotations
