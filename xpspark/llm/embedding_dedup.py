@@ -7,8 +7,8 @@ that a pair at a cosine of 0.98 shares some bucket with a probability of 1 - ``M
 threshold; above it, recall is higher. Of buckets that hold the same classes the first table's is enough. Buckets are
 compared exactly, in double precision, in blocks of at most about ``BLOCK`` x ``BLOCK`` classes; a large bucket is dealt to
 blocks by hash. Blocks stream through a task in the order of their keys. A pair that meets in several tables counts in the
-first. A block returns a number of links and one forest edge for each class at most, never its pairs. Components come from
-the forest edges.
+first. A block returns a number of links and one forest edge for each class at most, never its pairs, but for blocks of at
+most ``SMALL`` classes, which are compared many at a time and give their few links. Components come from these edges.
 
 Results for odd input: vectors that are null, empty, zero or hold null or non-finite components, and vectors without label
 or id, link with nothing; vectors of different lengths don't link; vectors of any length are compared whole; rows that
@@ -118,38 +118,80 @@ def compare(left: dict, right: dict, same: bool, table: int, threshold: float) -
     return np.concatenate((cids[some], cids[tied])), np.concatenate((np.full(len(some), -1), cids[root[tied]])), np.concatenate((links[some], np.zeros(len(tied), np.int64)))
 
 
-def block_links(part: dict, threshold: float) -> list[tuple]:
+#: Blocks of at most so many classes are compared many at a time.
+SMALL = 8
+NUMBERS = ("b", "i", "j", "t", "own", "label", "cid", "copies")
+
+
+def block_links(rows: dict, at: slice, threshold: float) -> list[tuple]:
     """The links of one block: rows of ``own`` i against those of j; vectors of another label or length don't meet."""
-    i, j, table = int(part["i"][0]), int(part["j"][0]), int(part["t"][0])
+    i, j, table = (int(rows[c][at.start]) for c in ("i", "j", "t"))
     found = []
-    for label in np.unique(part["label"]):
+    for label in np.unique(rows["label"][at]):
         sides = []
         for own in (i, j):
-            at = np.flatnonzero((part["own"] == own) & (part["label"] == label))
-            sides.append({"vector": np.stack([part["vector"][k] for k in at]).astype(np.float64), "hashes": np.stack([part["hashes"][k] for k in at]), "cid": part["cid"][at], "copies": part["copies"][at]} if len(at) else None)
+            some = at.start + np.flatnonzero((rows["own"][at] == own) & (rows["label"][at] == label))
+            vectors = [rows["flat"][rows["ends"][k] : rows["ends"][k + 1]] for k in some]
+            sides.append({"vector": np.stack(vectors).astype(np.float64), "hashes": rows["hashes"][some], "cid": rows["cid"][some], "copies": rows["copies"][some]} if len(some) else None)
         if sides[0] is not None and sides[1] is not None and (i != j or len(sides[0]["cid"]) > 1):
             found.append(compare(*sides, i == j, table, threshold))
     return found
 
 
+def small_links(rows: dict, starts: np.ndarray, size: int, x: np.ndarray, threshold: float) -> tuple:
+    """The links of many blocks of ``size`` classes, which are few enough to give them all as edges."""
+    at = starts[:, None] + np.arange(size)
+    v = x[at].astype(np.float64)
+    norm = np.sqrt(np.einsum("gid,gid->gi", v, v))
+    a, b = np.triu_indices(size, 1)
+    cosine = np.einsum("gid,gjd->gij", v, v)[:, a, b] / (norm[:, a] * norm[:, b])
+    g, k = np.nonzero(cosine >= threshold)
+    p, q = at[g, a[k]], at[g, b[k]]
+    # pairs that met in an earlier table are known from there
+    fresh = (rows["hashes"][p] == rows["hashes"][q]).argmax(axis=1) == rows["t"][starts[g]]
+    p, q = p[fresh], q[fresh]
+    u, w, copies = rows["cid"][p], rows["cid"][q], rows["copies"]
+    return np.concatenate((u, w, w)), np.concatenate((np.full(2 * len(u), -1), u)), np.concatenate((copies[q], copies[p], np.zeros(len(u), np.int64)))
+
+
+def links_of(rows: dict, threshold: float) -> list[tuple]:
+    """The links of whole blocks, which follow each other in ``rows``."""
+    n = len(rows["b"])
+    if not n:
+        return []
+    new = np.concatenate(([True], (np.diff(rows["b"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate((starts, [n])))
+    dims = np.diff(rows["ends"])
+    even = (dims == dims[0]).all()
+    small = (sizes <= SMALL) & (rows["i"][starts] == rows["j"][starts]) & (np.minimum.reduceat(rows["label"], starts) == np.maximum.reduceat(rows["label"], starts)) & even
+    found = []
+    if even:
+        x = rows["flat"].reshape(n, -1)
+        for size in range(2, SMALL + 1):
+            some = starts[small & (sizes == size)]
+            found += [small_links(rows, some[k : k + 4096], size, x, threshold) for k in range(0, len(some), 4096)]
+    for start, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        found += block_links(rows, slice(start, start + size), threshold)
+    return found
+
+
 def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The blocks of rows sorted by block, each as arrays; a block may lie in several batches."""
-    numbers = ("b", "i", "j", "t", "own", "label", "cid", "copies")
+    """Rows sorted by block as arrays, whole blocks at a time; a block may lie in several batches."""
     held: dict | None = None
     for batch in batches:
-        now = {c: batch.column(c).to_numpy() for c in numbers}
-        for c in ("vector", "hashes"):
-            ends, flat = batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()
-            now[c] = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        lists, hashes = batch.column("vector"), batch.column("hashes")
+        ends = lists.offsets.to_numpy()
+        now = {c: batch.column(c).to_numpy() for c in NUMBERS} | {"flat": lists.values.to_numpy()[ends[0] : ends[-1]], "ends": ends - ends[0], "hashes": hashes.flatten().to_numpy().reshape(batch.num_rows, -1)}
         if held is not None:
-            now = {c: np.concatenate((held[c], now[c])) if c in numbers else [*held[c], *now[c]] for c in now}
-        edges = np.flatnonzero((np.diff(now["b"]) != 0) | (np.diff(now["i"]) != 0) | (np.diff(now["j"]) != 0)) + 1
-        at = 0
-        for end in edges.tolist():
-            yield {c: v[at:end] for c, v in now.items()}
-            at = end
-        held = {c: v[at:].copy() if c in numbers else [x.copy() for x in v[at:]] for c, v in now.items()}
-    if held is not None and len(held["b"]):
+            now = {c: np.concatenate((held[c], now[c])) for c in (*NUMBERS, "flat", "hashes")} | {"ends": np.concatenate((held["ends"], held["ends"][-1] + now["ends"][1:]))}
+        edges = np.flatnonzero((np.diff(now["b"]) != 0) | (np.diff(now["i"]) != 0) | (np.diff(now["j"]) != 0))
+        cut = int(edges[-1]) + 1 if len(edges) else 0
+        split = now["ends"][cut]
+        if cut:
+            yield {c: now[c][:cut] for c in (*NUMBERS, "hashes")} | {"flat": now["flat"][:split], "ends": now["ends"][: cut + 1]}
+        held = {c: now[c][cut:].copy() for c in (*NUMBERS, "hashes")} | {"flat": now["flat"][split:].copy(), "ends": now["ends"][cut:] - split}
+    if held is not None:
         yield held
 
 
@@ -199,9 +241,9 @@ def components(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size = [], 0
-        for part in streamed(batches):
-            done += block_links(part, threshold)
-            size = sum(len(d[0]) for d in done[-1:]) + size
+        for rows_ in streamed(batches):
+            done += (new := links_of(rows_, threshold))
+            size += sum(len(d[0]) for d in new)
             if size > 50_000:
                 yield packed(done)
                 done, size = [], 0
