@@ -40,13 +40,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rolled = F.transform(pairs(F.col("body")), lambda c, i: F.when(c.rlike(r"\S"), F.struct(i.alias("place"), F.xxhash64(c).alias("h"))))
     seen = rows.select("key", F.explode(F.filter(rolled, lambda x: x.isNotNull())).alias("c")).select("key", "c.*")
     seen = materialize(seen, "lines")
-    again = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "lines", narrow=True)
+    again = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "lines")
     places = join_hot(seen, again, ["h"]).groupBy("key").agg(F.collect_set("place").alias("places"))
     fetched = F.arrays_zip(F.col("places").alias("place"), let(pairs(F.col("body")), lambda c: F.transform("places", lambda p: F.get(c, p))).alias("chunk"))
     texts = rows.join(places, "key").select("key", F.explode(fetched).alias("c")).select("key", "c.place", "c.chunk")
     texts = materialize(texts.where("chunk IS NOT NULL"), "lines")
     first = texts.groupBy("chunk").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first, "lines", narrow=True)
+    first = materialize(first, "lines")
     lost = join_hot(texts, first, ["chunk"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
     return lost.groupBy("key").agg(F.collect_set("place").alias("gone"))
 

@@ -159,9 +159,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     all_ = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "runs")
     seen, sizes = all_.where("place >= 0"), all_.where("place < 0").select("key", "h0", "size").distinct()
     # half of the hash finds what may repeat, so that little is left to group by all of it
-    again = materialize(seen.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1"), "runs", narrow=True)
+    again = materialize(seen.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1"), "runs")
     met = materialize(join_hot(seen, again, ["h0"]), "runs")
-    first = materialize(met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs", narrow=True)
+    first = materialize(met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs")
     later = join_hot(met, first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
     return later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("runs"), F.collect_set("first.key").alias("first_ids")), sizes
 
