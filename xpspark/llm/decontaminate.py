@@ -4,8 +4,8 @@ One pass over the corpus stores the postings (row, term, position) of every benc
 all else reads the index. Postings of other words answer no test term, so they are not stored: an index belongs to its
 benchmark. Each benchmark window (``WINDOW`` consecutive words of an item, or all words of a shorter item) looks up its
 rarest terms by their counts in the index, two more than may be missing; their lists, less the terms' offsets in the item,
-are intersected on (row, item, start), where a start also takes what stands up to ``SLOP`` words late: any two that meet
-make a candidate. By the pigeonhole no window with ``NEAR`` tenths of its terms in place is missed, whichever words were
+are intersected on (row, item) in the order of their starts: any two that start at most ``SLOP`` words apart make a
+candidate. By the pigeonhole no window with ``NEAR`` tenths of its terms in place is missed, whichever words were
 altered. What is left is confirmed term by term, again as an intersection of offset-adjusted postings on (row, position,
 term): all terms in place make an exact phrase match; ``NEAR`` tenths of them, each in place or up to ``SLOP`` words late, so
 that a word may have been put in or left out between them, a proximity match. Every join is an equi-join on those keys, so
@@ -21,7 +21,7 @@ hits words but isn't listed; a null doc_id passes through; extra columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side
@@ -81,12 +81,13 @@ def matches(index: DataFrame, words: DataFrame, window: int = WINDOW, near: int
     picked = F.slice("terms", 1, spare + 2)
     anchors = rare.where(spare >= 0).select("item", "w", F.least(F.lit(2), F.size("terms") - spare).alias("least"), F.explode(picked).alias("t"))
     anchors = materialize(anchors.select("item", "w", "least", "t.off", "t.term"), "decontaminate", narrow=True)
-    known = small_side(anchors.select("item", "off", "term").distinct(), BROADCAST_ROWS)
-    lists = materialize(index.join(known, "term").select("row", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off"), "decontaminate")
-    met = lists.join(small_side(anchors.select("item", "off", "w", "least"), BROADCAST_ROWS), ["item", "off"])
-    if slop:
-        met = met.withColumn("diagonal", F.explode(F.array(*(F.col("diagonal") - k for k in range(slop + 1)))))
-    places = met.groupBy("row", "item", "diagonal", "w").agg(F.count("*").alias("k"), F.first("least").alias("least")).where("k >= least").select("row", "item", "diagonal").distinct()
+    known = anchors.groupBy("item", "off", "term").agg(F.min("least").alias("least"))
+    lists = index.join(small_side(known, BROADCAST_ROWS), "term").select("row", "item", (F.col("pos") - F.col("off")).alias("diagonal"), "off", "least")
+    # two terms of an item whose starts are at most slop apart are neighbours in the order of starts
+    order = Window.partitionBy("row", "item").orderBy("diagonal", "off")
+    near_by = lists.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(order)).where((F.col("gap") <= slop) | (F.col("least") == 1))
+    starts = F.array(F.when(F.col("least") == 1, F.col("diagonal")), *(F.when(F.col("gap") <= k, F.col("diagonal") - k) for k in range(slop + 1)))
+    places = near_by.select("row", "item", F.explode(F.array_distinct(F.array_compact(starts))).alias("diagonal")).distinct()
     places = materialize(places, "decontaminate", narrow=True)
 
     wanted = places.join(words.select("item", "off", "term", "n"), "item")
