@@ -49,3 +49,15 @@ def test_odd_rows(spark):
     assert got == {(1, True, False), (2, False, False), (None, True, False), (3, False, True)}
     assert line_dedup.dedup(df.limit(0)).count() == 0
     assert sorted(r.text for r in line_dedup.dedup(spark.createDataFrame([("b", "x\ny"), ("a", "x\ny\nz")], "doc_id string, text string")).collect()) == ["", "x\ny\nz"]
+
+
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    # every chunk of text gets one of three hashes
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda c, *more: F.length(c).cast("long") % 3 if not more else real(c, *more))
+    rng = random.Random(7)
+    rows = [(i, "\n".join(rng.choices(["a", "bb", "ccc", "dddd", "ee", f"own {i}"], k=rng.randint(0, 7)))) for i in range(60)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), details=True).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == brute(rows)

@@ -10,7 +10,8 @@ are no chunks. Lines of any chunk but a first occurrence (by id, then place) are
 stays.
 
 A narrow pass finds hashes that repeat. Only chunks with such hashes are fetched as text and compared byte by byte, by
-grouping on the text itself; copies are pre-aggregated where they lie. Chunks that hold more than a thousandth of all rows,
+grouping on the text itself; copies are pre-aggregated where they lie. What a hash stands for is then known, and texts that
+share a hash but differ are told apart. Chunks that hold more than a thousandth of all rows,
 which are a thousand at most, are joined apart, so that no task gets one key's rows. What is removed then meets its text by
 id.
 
@@ -41,13 +42,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seen = rows.select("key", F.explode(F.filter(rolled, lambda x: x.isNotNull())).alias("c")).select("key", "c.*")
     seen = materialize(seen, "lines")
     again = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "lines")
-    places = join_hot(seen, again, ["h"]).groupBy("key").agg(F.collect_set("place").alias("places"))
-    fetched = F.arrays_zip(F.col("places").alias("place"), let(pairs(F.col("body")), lambda c: F.transform("places", lambda p: F.get(c, p))).alias("chunk"))
-    texts = rows.join(places, "key").select("key", F.explode(fetched).alias("c")).select("key", "c.place", "c.chunk")
-    texts = materialize(texts.where("chunk IS NOT NULL"), "lines")
-    first = texts.groupBy("chunk").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first, "lines")
-    lost = join_hot(texts, first, ["chunk"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
+    met = materialize(join_hot(seen, again, ["h"]), "lines")
+    places = met.groupBy("key").agg(F.collect_list(F.struct("place", "h")).alias("places"))
+    body = lambda c: F.transform("places", lambda p: F.struct(p["place"].alias("place"), p["h"].alias("h"), F.get(c, p["place"]).alias("chunk")))
+    fetched = let(pairs(F.col("body")), body)
+    texts = rows.join(places, "key").select("key", F.explode(fetched).alias("c")).select("key", "c.*").where(F.xxhash64("chunk") == F.col("h"))
+    # the bytes of all chunks with a hash are compared here: copies lie in one group, each other text is a group of its own
+    first = texts.groupBy("h", "chunk").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n"))
+    known = first.groupBy("h").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    known = materialize(known.where("n > 1"), "lines")
+    later = (F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place"))
+    lost = join_hot(met, known.where("texts = 1").drop("texts"), ["h"]).where(later).select("key", "place")
+    if known.where("texts > 1").limit(1).count():
+        # several texts share a hash: they are told apart by their bytes
+        mixed = texts.join(known.where("texts > 1").select("h"), "h")
+        again = mixed.groupBy("chunk").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        lost = lost.unionByName(mixed.join(again, "chunk").where(later).select("key", "place"))
     return lost.groupBy("key").agg(F.collect_set("place").alias("gone"))
 
 
