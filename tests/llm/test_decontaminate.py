@@ -49,7 +49,7 @@ def test_equals_brute_force(spark):
 
 
 def near_items(have, items):
-    """Items with 8 tenths of a window's words in place or one word late, and no window whole in place."""
+    """Items with 8 tenths of a window's words, five or more, in place or one word late, and no window whole in place."""
     out = set()
     for item, w in items:
         size, whole, close = min(10, len(w)), False, False
@@ -59,7 +59,7 @@ def near_items(have, items):
                 exact = [word(p + k) == w[at + k] for k in range(size)]
                 late = [word(p + k + 1) == w[at + k] for k in range(size)]
                 n = sum(a or b for a, b in zip(exact, late, strict=True))
-                whole, close = whole or all(exact), close or 10 * n >= 8 * size
+                whole, close = whole or all(exact), close or (10 * n >= 8 * size and size >= 5)
         out |= {item} if close and not whole else set()
     return out
 

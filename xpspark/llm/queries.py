@@ -179,7 +179,7 @@ WITH d AS (
   SELECT doc_id, item, n, off, pos - off - late AS diagonal, min(late) AS late FROM words2 JOIN places2 USING (term), (VALUES (0), (1)) AS v(late) GROUP BY ALL
 ), near AS (
   SELECT doc_id, item, diagonal, win, least(10, n) AS size, count(*) AS met, count(*) FILTER (late = 0) AS in_place
-  FROM (SELECT *, unnest(range(greatest(0, off - least(10, n) + 1), least(greatest(0, n - 10), off) + 1)) AS win FROM found) GROUP BY ALL HAVING count(*) * 10 >= least(10, n) * 8
+  FROM (SELECT *, unnest(range(greatest(0, off - least(10, n) + 1), least(greatest(0, n - 10), off) + 1)) AS win FROM found) GROUP BY ALL HAVING count(*) FILTER (late = 0) = least(10, n) OR (count(*) * 10 >= least(10, n) * 8 AND least(10, n) >= 5)
 ), nears AS (
   SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, item FROM near GROUP BY ALL HAVING NOT bool_or(in_place = size)) GROUP BY doc_id
 ), covered AS (
