@@ -124,7 +124,7 @@ VALUE: dict[str, tuple[str, list[str], list[tuple[str, str, str]]]] = {
         ("hex", "base64-to-hex(encode-base64($p_name))", "hex(encode(p_name))"), ("text", "decode-base64(encode-base64($p_name))", "p_name"), ("joined", "binary-concat((encode-hex($p_name), '00'), 'hex')", "hex(encode(p_name)) || '00'"), ("size", "binary-length(encode-base64($p_name), 'base64')", "CAST(strlen(p_name) AS DOUBLE)"),
     ]),
     "cardinality": ("nation", ["n_nationkey"], [
-        ("most", "zero-or-one($n_name)", "n_name"), ("none", "empty(zero-or-one(()))", "true"), ("least", "count(one-or-more(($n_name, 'x')))", "2.0"), ("any", "count(unordered((1, 2, 3)))", "3.0"), ("data", "data($n_name)", "n_name"), ("html", "escape-html-uri('http://x/a b')", "'http://x/a b'"), ("unset", "empty(environment-variable('NO_SUCH_VARIABLE_HERE'))", "true"), ("set", "exists(available-environment-variables())", "true"), ("group", "count(current-group())", "0.0"), ("key", "current-grouping-key()", "''"),
+        ("most", "zero-or-one($n_name)", "n_name"), ("none", "empty(zero-or-one(()))", "true"), ("least", "count(one-or-more(($n_name, 'x')))", "2.0"), ("any", "count(unordered((1, 2, 3)))", "3.0"), ("data", "data($n_name)", "n_name"), ("html", "escape-html-uri('http://x/a b')", "'http://x/a%20b'"), ("unset", "empty(environment-variable('NO_SUCH_VARIABLE_HERE'))", "true"), ("set", "exists(available-environment-variables())", "true"), ("group", "count(current-group())", "0.0"), ("key", "current-grouping-key()", "''"),
         ("kinds", "count(distinct-values((1, '1')))", "2.0"), ("big", "string(100000000000000000000)", "'100000000000000000000'"), ("version", "system-property('xsl:version')", "'3.0'"), ("known", "function-available('concat') and not(function-available('no-such'))", "true"), ("element", "element-available('xsl:if')", "false"), ("entity", "unparsed-entity-uri('x')", "''"),
     ]),
     "trees": ("events", ["event_id"], [
@@ -198,7 +198,7 @@ TABLES: dict[str, tuple[str, str, dict[str, str], str]] = {
     "node_functions": ("geography", "//customer[@acctbal > 9000]", {"n": "name()", "l": "local-name()", "u": "namespace-uri()", "kids": "has-children()", "up": "name(..)", "first": "name(@*)", "a": "number(@acctbal)"}, "SELECT 'customer' AS n, 'customer' AS l, '' AS u, true AS kids, 'nation' AS up, 'key' AS first, CAST(c_acctbal AS DOUBLE) AS a FROM customer WHERE c_acctbal > 9000"),
     "node_aggregates": ("orders", "/order", {"k": "string(@key)", "n": "count(lineitem)", "total": "round(100 * sum(lineitem/@extendedprice))", "low": "min(lineitem/@quantity)", "high": "max(lineitem/@quantity)", "mean": "round(100 * avg(lineitem/@quantity))"}, "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(count(l_orderkey) AS DOUBLE) AS n, coalesce(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) * 100 AS DOUBLE), 0) AS total, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high, floor(100 * CAST(sum(l_quantity) AS DOUBLE) / count(l_orderkey) + 0.5) AS mean FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"),
     "node_strings": ("orders", "/order[@totalprice > 100000]", {"k": "string(@key)", "flags": "string-join(lineitem/@returnflag, ',')", "any": "exists(lineitem[@returnflag = 'R'])", "first": "string(lineitem[1]/@quantity = lineitem[1]/@quantity)"}, "SELECT CAST(o_orderkey AS VARCHAR) AS k, coalesce(string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate), '') AS flags, coalesce(bool_or(l_returnflag = 'R'), false) AS \"any\", CASE WHEN count(l_orderkey) > 0 THEN 'true' ELSE 'false' END AS first FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 100000 GROUP BY o_orderkey"),
-    "node_properties": ("geography", "//customer[@acctbal > 9500]", {"k": "string(@key)", "path": "path()", "same": "generate-id() = generate-id(.)", "top": "count(root(.)/nation)", "base": "base-uri()", "nil": "nilled()", "nm": "node-name()", "scope": "string-join(in-scope-prefixes(.), ',')", "xml": "namespace-uri-for-prefix('xml', .)", "uri": "empty(document-uri(.))", "data": "data(@key)"}, "SELECT CAST(c_custkey AS VARCHAR) AS k, '/nation/customer' || CASE WHEN size > 1 THEN '[' || n || ']' ELSE '' END AS path, true AS same, 1.0 AS top, '' AS base, false AS nil, 'customer' AS nm, 'xml' AS scope, 'http://www.w3.org/XML/1998/namespace' AS xml, true AS uri, CAST(c_custkey AS VARCHAR) AS data FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer) WHERE c_acctbal > 9500"),
+    "node_properties": ("geography", "//customer[@acctbal > 9500]", {"k": "string(@key)", "path": "path()", "same": "generate-id() = generate-id(.)", "top": "count(root(.)/nation)", "base": "base-uri()", "nil": "nilled()", "nm": "node-name()", "scope": "string-join(in-scope-prefixes(.), ',')", "xml": "namespace-uri-for-prefix('xml', .)", "uri": "empty(document-uri(.))", "data": "string(data(@key))"}, "SELECT CAST(c_custkey AS VARCHAR) AS k, '/nation/customer' || CASE WHEN size > 1 THEN '[' || n || ']' ELSE '' END AS path, true AS same, CAST(1 AS DOUBLE) AS top, '' AS base, false AS nil, 'customer' AS nm, 'xml' AS scope, 'http://www.w3.org/XML/1998/namespace' AS xml, true AS uri, CAST(c_custkey AS VARCHAR) AS data FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS size FROM customer) WHERE c_acctbal > 9500"),
     "running_values": ("orders", "//lineitem", {"k": "string(../@key)", "line": "string(@linenumber)", "before": "accumulator-before('quantity')", "after": "accumulator-after('quantity')"}, f"SELECT CAST(l_orderkey AS VARCHAR) AS k, CAST(l_linenumber AS VARCHAR) AS line, CAST(coalesce(sum(l_quantity) OVER w, 0) AS DOUBLE) AS before, CAST(coalesce(sum(l_quantity) OVER w, 0) AS DOUBLE) AS after FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) WINDOW w AS (PARTITION BY l_orderkey ORDER BY {ITEM} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
     "html_links": ("pages", "//a[@href]", {"href": "string(@href)"}, "SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages"),
     "html_items": ("pages", "/html", {"n": "count(.//nav//li)", "lang": "string(@lang)"}, "SELECT CAST(len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>')) AS DOUBLE) AS n, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages"),
