@@ -53,6 +53,8 @@ RATIO = 8.0
 TEXTS = 3
 #: The linear form at a score of 0.7, and what a clean text that is flagged costs against a toxic one that is missed.
 CUT, FLAGGED = math.log(0.7 / 0.3), 2.0
+#: Least distance of evidence between texts that a cut by length may part.
+GAP = 0.2
 #: Words that a negation reaches, that a person before a match and one after it reach, and that a threat's parts span.
 NEGATED, BEHIND, AHEAD, SPAN = 3, 4, 3, 4
 #: What a match's weight is multiplied by.
@@ -299,7 +301,8 @@ def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float, floa
         cost = np.concatenate(([0.0], np.cumsum(toxic))) + FLAGGED * ((1 - toxic).sum() - np.concatenate(([0.0], np.cumsum(1 - toxic))))
         gap = np.concatenate(([0.0], np.diff(low), [1.0]))
         gap[0] = 1.0
-        usable = np.flatnonzero(gap > 1e-9)
+        # length may only part texts that it parts clearly: between texts of equal evidence it would fit chance
+        usable = np.flatnonzero(gap > (GAP if per else 1e-9))
         k = usable[np.lexsort((-gap[usable], cost[usable]))[0]]
         middle = low[0] - 0.5 if k == 0 else low[-1] + 0.5 if k == len(low) else (low[k - 1] + low[k]) / 2
         if cost[k] < best[0] - 1e-9:
