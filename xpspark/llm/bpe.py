@@ -240,7 +240,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     flat += ids
                     ends.append(len(flat))
                     # the file names no decoder: the library puts a space between tokens
-                    decoded.append(" ".join([name[i] for i in ids]) if plain else tokenizer.decode(ids, skip_special_tokens=False))
+                    decoded.append(" ".join(map(name.__getitem__, ids)) if plain else tokenizer.decode(ids, skip_special_tokens=False))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
 
