@@ -106,3 +106,15 @@ def test_analysis_helpers():
     from xpspark.streaming import analyzer
 
     assert analyzer.is_motionless("1 + 2") and analyzer.is_grounded("a/b") and not analyzer.is_streamable("//a") and analyzer.memory_footprint("a[b]") == 0.4
+
+
+def test_json_reads_no_attribute_nodes(spark):
+    """Documents are a stream of few rows: attributes come with their elements, and no group is a pandas frame."""
+    texts = ['<a><b x="1" y="z">7</b><b>t</b></a>', "<a></a>", '<p q="2.50"></p>', "<ul><li>1<li>2</ul>"]
+    nodes = shred.shred(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "html", "k", "t")
+    found = serialize.xml_to_json(nodes)
+    want = {0: '{"b": [{"@x": 1, "@y": "z", "#text": 7}, "t"]}', 1: "null", 2: '{"@q": 2.5}', 3: '{"li": [1, 2]}'}
+    assert {r.doc_id: r.json for r in found.collect()} == want
+    assert {r.doc_id: r.json for r in serialize.xml_to_json(nodes.drop("attrs")).collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan

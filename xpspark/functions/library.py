@@ -1220,7 +1220,7 @@ def json_of_xml(text: str) -> str | None:
     from ..sources import serialize, shred
 
     rows = shred.xml_nodes(text)
-    return None if rows is None else json.dumps(serialize.json_of([(r[0], r[3], r[4], r[5], r[8]) for r in rows]), ensure_ascii=False)
+    return None if rows is None else serialize.json_text([(r[0], r[3], r[4], r[5], r[8]) for r in rows])
 
 
 @fn("json-to-xml", least=1, most=2)

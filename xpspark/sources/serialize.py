@@ -6,9 +6,12 @@ a document's events are joined in that order. A document is the unit, so a group
 
 from __future__ import annotations
 
+import functools
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,43 +80,100 @@ def scalar(text: str):
     return int(number) if number.is_integer() and abs(number) < 1e15 and not any(c in low for c in ".eE") else number if number == number and abs(number) != float("inf") else text
 
 
-def json_of(rows: list[tuple]) -> object:
-    """A document's (pre, parent, kind, name, value) rows as a JSON value: elements by content, repeated names as arrays."""
+def scalar_text(text: str) -> str:
+    return json.dumps(scalar(text), ensure_ascii=False)
+
+
+def entry(name: str, text: str) -> str:
+    """An attribute as a member of a JSON object."""
+    return f"{json.dumps('@' + name, ensure_ascii=False)}: {scalar_text(text)}"
+
+
+#: Names, and short values that repeat such as flags and small numbers, are spelled once.
+label = functools.lru_cache(1 << 12)(functools.partial(json.dumps, ensure_ascii=False))
+short_entry = functools.lru_cache(1 << 14)(entry)
+
+
+def json_text(rows: list[tuple], attributes: dict[int, list[tuple[str, str]]] | None = None) -> str:
+    """A document's (pre, parent, kind, name, value) rows as a JSON text: elements by content, repeated names as arrays.
+
+    ``attributes``: names and values by element, in order; without it they are rows.
+    """
     below: dict[int | None, list[tuple]] = {}
     for r in rows:
-        below.setdefault(r[1], []).append(r)
+        if r[1] in below:
+            below[r[1]].append(r)
+        else:
+            below[r[1]] = [r]
 
     def value(r):
-        kids = [k for k in below.get(r[0], []) if k[2] == ELEMENT]
-        own = [k for k in below.get(r[0], []) if k[2] == ATTRIBUTE]
-        text = "".join(k[4] or "" for k in below.get(r[0], []) if k[2] in (TEXT, 4))
+        inner = below.get(r[0], ())
+        own = [(k[3], k[4]) for k in inner if k[2] == ATTRIBUTE] if attributes is None else attributes.get(r[0], ())
+        parts = [short_entry(n, v) if v and len(v) <= 32 else entry(n, v or "") for n, v in own]
+        if not inner:
+            return "{" + ", ".join(parts) + "}" if parts else "null"
+        kids = [k for k in inner if k[2] == ELEMENT]
+        text = "".join(k[4] or "" for k in inner if k[2] in (TEXT, 4))
         if not kids and not own:
-            return scalar(text) if text else None
-        out: dict[str, object] = {f"@{k[3]}": scalar(k[4] or "") for k in own}
+            return scalar_text(text) if text else "null"
         seen: dict[str, list] = {}
         for k in kids:
             seen.setdefault(k[3], []).append(value(k))
         if not own and list(seen) == ["item"]:
-            return seen["item"]
-        out |= {n: v[0] if len(v) == 1 else v for n, v in seen.items()}
+            return "[" + ", ".join(seen["item"]) + "]"
+        parts += [f"{label(n)}: {v[0] if len(v) == 1 else '[' + ', '.join(v) + ']'}" for n, v in seen.items()]
         if text.strip() and not kids:
-            out["#text"] = scalar(text)
-        return out
+            parts.append(f'"#text": {scalar_text(text)}')
+        return "{" + ", ".join(parts) + "}"
 
     root = next((r for r in below.get(next((r[0] for r in rows if r[2] == DOCUMENT), None), []) if r[2] == ELEMENT), None)
-    return value(root) if root else None
+    return value(root) if root else "null"
 
 
-def xml_to_json(nodes: DataFrame) -> DataFrame:
-    """``doc_id, json``: the value of each document's root element."""
-    kept = nodes.select("doc_id", "pre", "parent", "kind", "name", "value")
+def listed(column: pa.Array) -> list:
+    """A column's values: much faster than ``to_pylist``, which only numbers with nulls need."""
+    return column.to_pylist() if column.null_count and pa.types.is_integer(column.type) else column.to_numpy(zero_copy_only=False).tolist()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pre")
-        rows = [(p, None if pd.isna(u) else int(u), k, n, v) for p, u, k, n, v in zip(pdf["pre"], pdf["parent"], pdf["kind"], pdf["name"], pdf["value"], strict=True)]
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "json": [json.dumps(json_of(rows), ensure_ascii=False)]})
 
-    return kept.groupBy("doc_id").applyInPandas(run, "doc_id long, json string")
+def xml_to_json(nodes: DataFrame) -> DataFrame:
+    """``doc_id, json``: the value of each document's root element.
+
+    Partitions are sorted by document and place and read as a stream, so a task holds one document at a time. Where elements
+    have their attributes in ``attrs``, attribute nodes are not read.
+    """
+    held = "attrs" in nodes.columns
+    kept = nodes.where(F.col("kind") != ATTRIBUTE) if held else nodes
+    # the document node alone has no parent
+    kept = kept.select("doc_id", "pre", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), "kind", "name", "value", *(["attrs"] if held else []))
+
+    def made(docs: list, texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "json"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, rows, own = None, [], {} if held else None
+        for batch in batches:
+            docs, texts = [], []
+            columns = [listed(batch.column(c)) for c in ("pre", "parent", "kind", "name", "value")]
+            if held:
+                maps = batch.column("attrs")
+                edges, keys = listed(maps.offsets), listed(maps.keys)
+                offs, values = (listed(maps.items.field(c)) for c in ("off", "v"))
+            for i, (d, r) in enumerate(zip(listed(batch.column("doc_id")), zip(*columns, strict=True), strict=True)):
+                if d != doc:
+                    if rows:
+                        docs.append(doc)
+                        texts.append(json_text(rows, own))
+                    doc, rows, own = d, [], {} if held else None
+                rows.append(r)
+                if held and (a := edges[i]) < (b := edges[i + 1]):
+                    at = range(a, b) if offs[a:b] == sorted(offs[a:b]) else sorted(range(a, b), key=offs.__getitem__)
+                    own[r[0]] = [(keys[k], values[k]) for k in at if values[k] is not None]
+            if docs:
+                yield made(docs, texts)
+        if rows:
+            yield made([doc], [json_text(rows, own)])
+
+    return kept.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInArrow(run, "doc_id long, json string")
 
 
 def copy_of(nodes: DataFrame, selected: DataFrame, deep: bool = True) -> DataFrame:
