@@ -187,3 +187,18 @@ def test_running_sums(spark):
     df = spark.createDataFrame(rows, "g int, at long, tie int, w long")
     for r in before(df, ["g"], "at", "tie", "w", "n", "total").collect():
         assert r.n == sum(w for g, a, t, w in rows if g == r.g and (a, t) <= (r.at, r.tie)) and r.total == sum(w for g, *_, w in rows if g == r.g)
+
+
+def test_ordered_join_of_variables_stays_narrow(spark):
+    """Pairs that compare by order are neither grouped nor joined again for their attributes."""
+    def rows(i, values):
+        return "<r>" + "".join(f'<c k="{i}{j}" v="{v}"/>' for j, v in enumerate(values)) + "</r>"
+
+    values = [["3", "10", "9", "x", "10.0", "-1"], ["2"], []]
+    df = spark.createDataFrame([(i, rows(i, v)) for i, v in enumerate(values)], "doc_id long, text string")
+    nodes = shred.shred(df, "html", "doc_id", "text")
+    for op, holds in ((">", lambda a, b: b > a), (">=", lambda a, b: b >= a), ("<", lambda a, b: b < a), ("<=", lambda a, b: b <= a)):
+        found = Engine(spark).nodes(nodes, f"for $a in //c[@v > 2], $b in //c[@v {op} $a/@v] return concat($a/@k, '{op}', $b/@k, $b/@none)")
+        want = sorted(f"{i}{j}{op}{i}{k}" for i, v in enumerate(values) for j, a in enumerate(v) for k, b in enumerate(v) if "x" not in (a, b) and float(a) > 2 and holds(float(a), float(b)))
+        assert sorted(r.str_val for r in found.collect()) == want
+        assert "collect_list" not in found.select("doc_id", "str_val")._jdf.queryExecution().optimizedPlan().toString()

@@ -79,7 +79,7 @@ class Env:
     """Where an expression stands: its iterations (``rows``, keyed by ``it``), their context node and loop variables.
 
     doc names the column with the document of absolute paths (None: all documents); free: paths may start from nodes that
-    are no context, as results meet the contexts afterwards.
+    are no context, as results meet the contexts afterwards; own: name and items of the variable whose nodes ``rows`` are.
     """
 
     it: tuple[str, ...]
@@ -89,6 +89,7 @@ class Env:
     values: dict = field(default_factory=dict)
     doc: str | None = None
     free: bool = False
+    own: tuple[str, Seq] | None = None
 
 
 def text(value: str) -> str:
@@ -172,7 +173,8 @@ class Paths:
         item = Seq(rows.select(*it, *self.columns), it, flat=True, level=seq.level, unique=seq.unique and not seq.bag, single=True, atoms=seq.atoms)
         loops = env.loops if name is None else {**env.loops, name: item}
         focus = item if name is None or self.compiler.options.compat else env.focus
-        return replace(env, it=it, rows=rows.select(*it), focus=focus, loops=loops, free=False, doc=new[0] if name is None and not marked else env.doc)
+        own = (name, item) if name is not None and seq.atoms is None else None
+        return replace(env, it=it, rows=rows.select(*it), focus=focus, loops=loops, free=False, doc=new[0] if name is None and not marked else env.doc, own=own)
 
     def leave(self, out: Seq, inner: Env, env: Env, ordered: bool, distinct: bool = False) -> Seq:
         """The items of all of ``inner``'s iterations as one sequence of ``env``'s."""
@@ -325,7 +327,11 @@ class Paths:
         """An expression of values, once for each iteration."""
         if isinstance(n, A.Sequence) and not n.items:
             return Seq(self.atom_rows(env.rows.where(F.lit(False)), F.lit(""), "str", env.it, F.array(F.lit(0).cast("long"))), env.it, F.col("seq"), atoms="str")
-        s = Scope(self, env.rows if env.focus is None or set(env.focus.it) != set(env.it) else env.focus.df, env)
+        rows = env.rows if env.focus is None or set(env.focus.it) != set(env.it) else env.focus.df
+        if env.own is not None and rows is env.rows and set(env.own[1].it) == set(env.it) and "attrs" in self.columns:
+            # the innermost variable's own rows: its attributes need no join
+            rows = env.own[1].df.select(*env.it, F.col("attrs").alias("__attrs"))
+        s = Scope(self, rows, env)
         v = s.compile(n)
         return self.spread(s.result(), v, env.it, None)
 
@@ -642,6 +648,11 @@ class Paths:
         fits = isinstance(s, A.Step) and s.axis == "attribute" and not s.predicates and s.test.kind == "name" and s.test.prefix is None
         return F.col("attrs")[s.test.name]["v"] if fits else None
 
+    def of_variable(self, n: A.Node, env: Env) -> bool:
+        """True for an attribute of a loop's variable, which is one node at most: it has one value at most."""
+        here = isinstance(n, A.Path) and isinstance(n.start, A.Var) and n.start.name in env.loops and self.attribute(A.Path(A.Context(), n.steps)) is not None
+        return here and env.loops[n.start.name].single and env.loops[n.start.name].atoms is None
+
     def outermost(self, ctx: Seq) -> DataFrame:
         """The contexts that no other one holds."""
         it = list(ctx.it)
@@ -929,14 +940,34 @@ class Paths:
         elif op == "=":
             met = mine.withColumn("__number", core.parse_number(F.col("__mine"))).join(theirs.withColumn("__value", b.col), same & (F.col("__number") == F.col("__value")) & ~F.isnan("__number"))
         else:
-            met = mine.join(theirs, same & core.compare(op, a, b))
+            met = self.theta(mine, theirs, shared, op, a, b)
         it = tuple(x for x in env.it if x in found.it or x in other.it)
-        one = own_value is not None and other.single
+        one = own_value is not None and (other.single or self.of_variable(right, env))
         extra = [c for c in found.df.columns if c not in found.it]
         df = met.select(*it, *extra)
         df = df if one else df.dropDuplicates([*it, "doc_id", "pre", *(c for c in ("c_doc", "c_pre") if c in extra)])
         return replace(found, df=df, it=it, unique=False)
 
+    def theta(self, mine: DataFrame, theirs: DataFrame, shared: list[str], op: str, a: Val, b: Val) -> DataFrame:
+        """Pairs of equal ``shared`` columns that compare by order or differ.
+
+        Numbers are read once a row, not once a pair; of a group's candidates only those beyond the other side's edge are paired.
+        """
+        keys = [f"__k_{x}" for x in shared]
+        same = functools.reduce(lambda p, q: p & q, (F.col(x) == F.col(k) for x, k in zip(shared, keys, strict=True)), F.lit(True))
+        if op == "!=":
+            return mine.join(theirs, same & core.compare(op, a, b))
+        x, y = F.col("__x"), F.col("__y")
+        beyond = lambda p, q: {"<": p < q, "<=": p <= q, ">": p > q, ">=": p >= q}[op]
+        mine, theirs = (df.withColumn(name, core.to_num(v)).where(~F.isnan(name)) for df, name, v in ((mine, "__x", a), (theirs, "__y", b)))
+        edge = (F.min if op in (">", ">=") else F.max)("__y").alias("__edge")
+        edges = theirs.groupBy(*(F.col(k).alias(f"{k}_e") for k in keys)).agg(edge) if keys else theirs.agg(edge)
+        near = functools.reduce(lambda p, q: p & q, (F.col(s) == F.col(f"{k}_e") for s, k in zip(shared, keys, strict=True)), F.lit(True))
+        mine = mine.join(edges, near & beyond(x, F.col("__edge"))).drop("__edge", *(f"{k}_e" for k in keys))
+        # a row makes many pairs: rows are dealt evenly first, however few files or bytes hold them
+        mine = mine.repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "pre")
+        return mine.join(theirs, same & beyond(x, y))
+
     def expression_step(self, ctx: Seq, s: A.Node, env: Env, ordered: bool) -> Seq:
         """A step that is any expression, with each node as its context."""
         return self.mapped(ctx, s, env, ordered, step=True)
@@ -1137,6 +1168,11 @@ class Scope:
             return Val(own, STR, nodes=True)
         if isinstance(n, A.Path) and isinstance(n.start, A.Var) and n.start.name not in self.env.loops:
             return replace(c, paths=None).on_path(n)
+        if isinstance(n, A.Path) and isinstance(n.start, A.Var) and self.paths.of_variable(n, self.env):
+            name, (step,) = n.start.name, n.steps
+            if self.env.own is not None and self.env.own[0] == name and self.env.own[1] is self.env.loops[name] and "__attrs" in self.rows.columns:
+                return Val(F.col("__attrs")[step.test.name]["v"], STR, nodes=True)
+            return Val(self.join(self.env.loops[name], F.max(F.col("attrs")[step.test.name]["v"]), key=f"${name}"), STR, nodes=True)
         return self.collected(self.paths.sequence(n, self.env, True), f"value {n!r}")
 
     def is_kind(self, n: A.TypeOp) -> Val | None:
