@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from xpspark.llm import substring_dedup as sd
 
 
@@ -77,6 +79,25 @@ def test_texts_without_spaces(spark):
     assert len(got[2].text) < 60
 
 
+def test_repeats_within_a_text_are_told_there(spark, monkeypatch):
+    passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. "
+    rows = [(i, f"Start {i} of a text. " + passage * 20) for i in range(1, 31)] + [(40, "Alone stands this one here, of seven. And this goes with it, is as long. " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met, join = [], sd.join_hot
+    monkeypatch.setattr(sd, "join_hot", lambda rows_, keys, on: met.append(rows_.count()) or join(rows_, keys, on))
+    got = sorted((r.doc_id, r.n_removed, r.first_ids) for r in sd.report(df).collect())
+    # by hand: the first text keeps its first passage, as does the text that only repeats itself
+    assert got == [(i, 40 - 2 * (i == 1), [1]) for i in range(1, 31)] + [(40, 4, [40])]
+    # two hashes of the passage in each of 30 texts and two in the last, where each text's 39 runs of the passage were met before
+    assert met[-1] == 2 * 31
+
+
+def test_told():
+    which, h0, h1 = np.array([0, 0, 0, 0, 1, 1]), np.array([5, 5, 5, 6, 5, 6]), np.array([1, 1, 2, 1, 1, 6])
+    assert sd.told(which, [h0, h1]).tolist() == [1, 2, 0, 0, 0, 0]
+    assert sd.told(which[:0], [h0[:0], h1[:0]]).tolist() == []
+
+
 def test_odd_rows(spark):
     text = "One two three four five six seven. Eight nine ten eleven twelve thirteen. End."
     rows = [(1, text), (2, text + " Other."), (None, text), (3, None), (4, ""), (5, "Short."), (6, "Not repeated. At all.")]

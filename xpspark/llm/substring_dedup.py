@@ -4,7 +4,8 @@ A text is cut into sentences; one of more than ``LONG`` words is cut further aft
 ``NEIGHBOURS`` on either side, alike wherever it stands. Runs of consecutive sentences slide over the text: from each
 sentence on, and back from each sentence, a run grows over as many sentences (two or more) as hold ``LEAST_WORDS`` words,
 so a repeated passage of whole sentences is covered from its first to its last, however short they are. A run is known by
-the hash of its words (128 bits, from prefix sums over word hashes; white space between words does not count). Hashes meet
+the hash of its words (128 bits, from prefix sums over word hashes; white space between words does not count). Repeats within
+a text are told there, so a text meets others by one row a hash, however often it repeats itself. Hashes meet
 globally: half of the hash finds what may repeat, map-side minima find each run's first occurrence (by id, then place), a
 join on the hash finds the others, with very frequent hashes joined apart. Sentences covered by any occurrence that isn't the first are
 removed, in other documents and in the same one.
@@ -136,6 +137,16 @@ def runs(text: str, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndar
     return place[first], place[last] - place[first] + 1, halves, len(found)
 
 
+def told(which: np.ndarray, halves: list[np.ndarray]) -> np.ndarray:
+    """For each run of texts ``which``, in order of place: 0 if its text has it once, 1 at the first of several, 2 at the others."""
+    order = np.lexsort((*halves, which))
+    same = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (which, *halves)])
+    after, before = np.concatenate(([False], same)), np.concatenate((same, [False]))
+    found = np.zeros(len(which), np.int8)
+    found[order] = np.where(after[: len(which)], 2, before[: len(which)])
+    return found
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """``key, runs, first_ids``: for each text, place and length of its runs that occur earlier and where those stand;
     and ``key, h0, size``: each text's hash and number of units."""
@@ -154,16 +165,22 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 places = np.concatenate((np.full(n, -1), *(f[0] for f in found))).astype(np.int32)
                 sizes = np.concatenate((np.array([f[3] for f in found], np.int64), *(f[1] for f in found))).astype(np.int32)
                 halves = [np.concatenate((own, *(f[2][k] for f in found))).astype(np.int64) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), *map(pa.array, (places, sizes, *halves))], ["key", "place", "size", "h0", "h1"])
+                more = np.concatenate((np.zeros(n, np.int8), told(which[n:], [h[n:] for h in halves])))
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(which)), *map(pa.array, (places, sizes, *halves, more))], ["key", "place", "size", "h0", "h1", "more"])
 
-    all_ = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long"), "runs")
-    seen, sizes = all_.where("place >= 0"), all_.where("place < 0").select("key", "h0", "size").distinct()
+    all_ = materialize(rows.mapInArrow(spread, f"key {kind}, place int, size int, h0 long, h1 long, more byte"), "runs")
+    seen, sizes = all_.where("place >= 0 AND more < 2"), all_.where("place < 0").select("key", "h0", "size").distinct()
     # half of the hash finds what may repeat, so that little is left to group by all of it
-    again = materialize(seen.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1"), "runs")
+    often = [F.count("*").alias("n"), F.max("more").alias("more")]
+    again = materialize(seen.groupBy("h0").agg(*often).where("n > 1 OR more > 0").drop("more"), "runs")
     met = materialize(join_hot(seen, again, ["h0"]), "runs")
-    first = materialize(met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs")
-    later = join_hot(met, first, ["h0", "h1"]).where((F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place")))
-    return later.groupBy("key").agg(F.collect_set(F.struct("place", "size")).alias("runs"), F.collect_set("first.key").alias("first_ids")), sizes
+    first = materialize(met.groupBy("h0", "h1").agg(F.min(F.struct("key", "place")).alias("first"), *often).where("n > 1 OR more > 0").drop("more"), "runs")
+    later = (F.col("key") != F.col("first.key")) | (F.col("place") != F.col("first.place"))
+    run = F.struct("place", "size")
+    # a row that is the first itself is kept, but its text's others, told before, still name its id
+    found = join_hot(met, first, ["h0", "h1"]).where(later | (F.col("more") > 0)).select("key", F.when(later, run).alias("run"), F.col("first.key").alias("first_id"))
+    within = all_.where("more = 2").select("key", run.alias("run"), F.lit(None).cast(kind).alias("first_id"))
+    return found.unionByName(within).groupBy("key").agg(F.collect_set("run").alias("runs"), F.collect_set("first_id").alias("first_ids")), sizes
 
 
 def without(text: str, found: list[dict]) -> tuple[str, list[dict], int, int]:
