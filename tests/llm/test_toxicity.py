@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from xpspark.llm import queries, toxicity
@@ -32,6 +34,24 @@ def test_held_out_accuracy(spark):
     assert toxicity.keep_clean(df, model).count() == sum(s < 0.7 for s in got.values())
 
 
+def test_stems_of_a_batch_are_held_a_part_at_a_time():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdeghiklmnorstu", k=rng.randint(3, 12)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(400)] + ["", " ".join(word() for _ in range(40_000)), "last one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 3 == 0 for k in range(len(texts))])], ["body", "y"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in toxicity.stem_rows(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # all stems at once take 95 MB, those of the longest text 46
+    assert peak < 60 << 20
+    got = [r for b in toxicity.stem_rows(iter([batch])) for r in zip(*b.to_pydict().values(), strict=True)]
+    want = [(k % 3 == 0, s, n) for k, t in enumerate(texts) for s, n in {**toxicity.stems_of(t), "": float(len(toxicity.WORD.findall(t)))}.items()]
+    assert len(got) == rows and got == want
+
+
 KINDS = ["insult", "violence", "violent past", "person", "negation", "report", "quote", "speaker", "intent", "speaker intent", "auxiliary", "word", "word", "word"]
 
 

@@ -55,6 +55,8 @@ TEXTS = 3
 CUT, FLAGGED = math.log(0.7 / 0.3), 2.0
 #: Least distance of evidence between texts that a cut by length may part.
 GAP = 0.2
+#: Most characters of the texts whose stems a worker holds at once; a single longer text is held alone.
+HELD = 1 << 18
 #: Words that a negation reaches, that a person before a match and one after it reach, and that a threat's parts span.
 NEGATED, BEHIND, AHEAD, SPAN = 3, 4, 3, 4
 #: What a match's weight is multiplied by.
@@ -260,6 +262,22 @@ def stems_of(text: str) -> dict[str, float]:
     return {s: 1 + math.log2(n) for s, n in found.items()}
 
 
+def stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``y, stem, n`` of each text of ``body, y`` batches, HELD characters at once: stems take fifty times their text's memory."""
+    for batch in batches:
+        texts, labels = batch.column("body").to_pylist(), batch.column("y").to_pylist()
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= HELD:
+                held += len(texts[end])
+                end += 1
+            found = [{**stems_of(t), "": float(len(WORD.findall(t)))} for t in texts[at:end]]
+            y = np.repeat(np.array(labels[at:end], bool), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([s for f in found for s in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.float64())], ["y", "stem", "n"])
+            at = end
+
+
 def choose(rows: list[tuple[list[int], list[float]]], stems: list[str], weights: np.ndarray) -> dict[str, float]:
     """Greedy cover. rows: numbers of the candidates in each toxic text, and how often they occur."""
     gain, share = np.zeros(len(stems)), np.ones(len(rows))
@@ -336,19 +354,12 @@ def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 def train(sample: DataFrame) -> Model:
     """Learn stems and linear form from ``body, y`` rows, which must be bounded in number: see ``draw``."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("body").to_pylist()
-            found = [{**stems_of(t), "": float(len(WORD.findall(t)))} for t in texts]
-            y = np.repeat(np.array(batch.column("y").to_pylist(), bool), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array([s for f in found for s in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.float64())], ["y", "stem", "n"])
-
     sizes = {r.y: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return Model(tuple(known().items()))
     of = lambda column, y: F.coalesce(F.sum(F.when(F.col("y") == y, column)), F.lit(0))
-    counts = sample.mapInArrow(spread, "y boolean, stem string, n double").groupBy("stem").agg(of(F.lit(1), True).alias("c1"), of(F.col("n"), True).alias("s1"), of(F.col("n"), False).alias("s0"))
+    counts = sample.mapInArrow(stem_rows, "y boolean, stem string, n double").groupBy("stem").agg(of(F.lit(1), True).alias("c1"), of(F.col("n"), True).alias("s1"), of(F.col("n"), False).alias("s0"))
     counts = materialize(counts, "toxicity")
     words, stems = counts.where("stem = ''").first(), counts.count()
     share, toxic = F.col("s1") / (F.col("s1") + F.col("s0")), words.s1 / (words.s1 + words.s0)
